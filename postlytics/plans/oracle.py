@@ -266,3 +266,139 @@ SELECT avg_er, CAST(5.0 AS DOUBLE) AS benchmark,
        CASE WHEN {r('avg_er - 5.0', 1)} >= 0 THEN 'up' ELSE 'down' END AS direction
 FROM a"""),
     }
+
+
+# ---------------------------------------------------------------- hypothesis tests
+def _fx(v: str) -> str:
+    return f"(CASE WHEN abs({v}) < 1e-300 THEN 1e-300 ELSE {v} END)"
+
+
+def betainc_ctes(src: str, out: str, half_steps: int = 1000) -> str:
+    """CTEs turning ``src(id, a, b, x)`` into ``out(id, ibeta)`` = I_x(a, b).
+
+    The same modified-Lentz continued fraction as the Spark side, unrolled as
+    a recursive CTE (needs ``WITH RECURSIVE``).
+    """
+    m = "((cf.j + 2) // 2)"
+    odd = f"({m} * (bb - {m}) * xx / ((aa - 1.0 + 2 * {m}) * (aa + 2 * {m})))"
+    even = f"(-(aa + {m}) * (aa + bb + {m}) * xx / ((aa + 2 * {m}) * (aa + 1.0 + 2 * {m})))"
+    coef = f"(CASE WHEN (cf.j + 1) % 2 = 1 THEN {odd} ELSE {even} END)"
+    d_new = f"(1.0 / {_fx(f'1.0 + {coef} * cf.d')})"
+    c_new = _fx(f"1.0 + {coef} / cf.c")
+    d0 = f"(1.0 / {_fx('1.0 - (aa + bb) * xx / (aa + 1.0)')})"
+    return f"""
+, {out}_p AS (
+  SELECT id, a, b, x, x >= (a + 1.0) / (a + b + 2.0) AS sw,
+         CASE WHEN x >= (a + 1.0) / (a + b + 2.0) THEN b ELSE a END AS aa,
+         CASE WHEN x >= (a + 1.0) / (a + b + 2.0) THEN a ELSE b END AS bb,
+         CASE WHEN x >= (a + 1.0) / (a + b + 2.0) THEN 1.0 - x ELSE x END AS xx
+  FROM {src}
+),
+{out}_cf(id, j, c, d, h) AS (
+  SELECT id, 0, 1.0::DOUBLE, {d0}, {d0} FROM {out}_p
+  UNION ALL
+  SELECT cf.id, cf.j + 1, {c_new}, {d_new}, cf.h * {d_new} * {c_new}
+  FROM {out}_cf cf JOIN {out}_p p ON p.id = cf.id WHERE cf.j < {half_steps}
+),
+{out} AS (
+  SELECT p.id,
+         CASE WHEN p.x IS NULL THEN NULL WHEN p.x <= 0 THEN 0.0 WHEN p.x >= 1 THEN 1.0
+              ELSE (CASE WHEN sw THEN 1.0 - fr * h / aa ELSE fr * h / aa END) END AS ibeta
+  FROM (SELECT p.*, exp(lgamma(aa + bb) - lgamma(aa) - lgamma(bb) + aa * ln(xx) + bb * ln(1.0 - xx)) AS fr
+        FROM {out}_p p) p
+  JOIN (SELECT id, h FROM {out}_cf WHERE j = {half_steps}) c ON c.id = p.id
+)
+"""
+
+
+def qr(body: str) -> str:
+    return PREFIX.replace("WITH posts AS", "WITH RECURSIVE posts AS", 1) + body
+
+
+def _label(e: str) -> str:
+    return (f"CASE WHEN {e} < 0.01 THEN 'negligible' WHEN {e} < 0.06 THEN 'small' "
+            f"WHEN {e} < 0.14 THEN 'medium' ELSE 'large' END")
+
+
+def _anova_tail(g: str) -> str:
+    """ANOVA CTEs over a moments CTE ``g(grp, n, mean, var)`` -> ``st`` with f, p, eta2."""
+    return f"""
+, tot AS (SELECT CAST(sum(n) AS BIGINT) AS n_total, count(*) AS k, sum(n * mean) / sum(n) AS gm FROM {g}),
+a AS (SELECT n_total, k, sum(n * pow(mean - gm, 2)) AS ssb, sum((n - 1) * coalesce(var, 0.0)) AS ssw
+      FROM {g} CROSS JOIN tot GROUP BY n_total, k),
+st0 AS (SELECT *, CAST(k - 1 AS DOUBLE) AS d1, CAST(n_total - k AS DOUBLE) AS d2,
+               (ssb / CAST(k - 1 AS DOUBLE)) / (ssw / CAST(n_total - k AS DOUBLE)) AS f,
+               CASE WHEN ssb + ssw > 0 THEN ssb / (ssb + ssw) ELSE 0.0 END AS eta2 FROM a),
+src AS (SELECT 1 AS id, d2 / 2.0 AS a, d1 / 2.0 AS b, d2 / (d2 + d1 * f) AS x FROM st0)
+{betainc_ctes('src', 'pv')}
+, st AS (SELECT st0.*, CASE WHEN f <= 0 THEN 1.0 ELSE pv.ibeta END AS p FROM st0 CROSS JOIN pv)
+"""
+
+
+def _moments(group_expr: str, where: str = "TRUE", min_n: int = 5, value: str = ER, src: str = "pre") -> str:
+    return f"""
+, g AS (SELECT CAST({group_expr} AS VARCHAR) AS grp, count({value}) AS n, avg({value}) AS mean,
+              var_samp({value}) AS var
+        FROM {src} WHERE {group_expr} IS NOT NULL AND {value} IS NOT NULL AND {where}
+        GROUP BY 1 HAVING count({value}) >= {min_n})
+"""
+
+
+def _welch(equal_var: bool) -> str:
+    n1, n2 = "CAST(n1 AS DOUBLE)", "CAST(n2 AS DOUBLE)"
+    se_w = f"sqrt(v1 / {n1} + v2 / {n2})"
+    df_w = f"(pow(v1 / {n1} + v2 / {n2}, 2) / (pow(v1 / {n1}, 2) / ({n1} - 1) + pow(v2 / {n2}, 2) / ({n2} - 1)))"
+    sp2 = f"((({n1} - 1) * v1 + ({n2} - 1) * v2) / ({n1} + {n2} - 2))"
+    se_p = f"sqrt({sp2} * (1.0 / {n1} + 1.0 / {n2}))"
+    se, dfree = (se_p, f"({n1} + {n2} - 2)") if equal_var else (se_w, df_w)
+    mm = f"(({n1} * m1 + {n2} * m2) / ({n1} + {n2}))"
+    ssb = f"({n1} * pow(m1 - {mm}, 2) + {n2} * pow(m2 - {mm}, 2))"
+    ssw = f"(({n1} - 1) * coalesce(v1, 0.0) + ({n2} - 1) * coalesce(v2, 0.0))"
+    name = "Student t-test" if equal_var else "Welch t-test"
+    return qr(f"""
+, w1 AS (SELECT count({ER}) AS n1, avg({ER}) AS m1, var_samp({ER}) AS v1 FROM pre WHERE is_weekend AND {ER} IS NOT NULL),
+w2 AS (SELECT count({ER}) AS n2, avg({ER}) AS m2, var_samp({ER}) AS v2 FROM pre WHERE NOT is_weekend AND {ER} IS NOT NULL),
+t0 AS (SELECT *, (m1 - m2) / {se} AS t, {dfree} AS df,
+              CASE WHEN {ssb} + {ssw} > 0 THEN {ssb} / ({ssb} + {ssw}) ELSE 0.0 END AS eta2
+       FROM w1 CROSS JOIN w2),
+src AS (SELECT 1 AS id, df / 2.0 AS a, 0.5 AS b, df / (df + t * t) AS x FROM t0)
+{betainc_ctes('src', 'pv')}
+SELECT '{name}' AS test, {r('t', 4)} AS statistic, {r('pv.ibeta', 4)} AS p_value, {r('df', 4)} AS df,
+       pv.ibeta < 0.05 AS reject_h0, {r('eta2', 4)} AS effect_size, {_label(r('eta2', 4))} AS effect_label,
+       CASE WHEN m1 > m2 THEN 'Weekend' ELSE 'Weekday' END AS better_period,
+       {r('m2', 2)} AS weekday_avg, {r('m1', 2)} AS weekend_avg, n1 AS weekend_n, n2 AS weekday_n
+FROM t0 CROSS JOIN pv WHERE n1 >= 5 AND n2 >= 5""")
+
+
+_REELS = (f"regexp_matches(CAST(post_type AS VARCHAR), 'reel|video', 'i') AND CAST(duration_sec AS DOUBLE) > 3.0 "
+          f"AND CAST(duration_sec AS DOUBLE) <= 90.0 AND duration_sec IS NOT NULL AND {ER} IS NOT NULL")
+
+
+def stats_sql() -> dict[str, str]:
+    return {
+        "anova_content_type": qr(_moments("post_type") + _anova_tail("g") + f"""
+, best AS (SELECT grp AS best FROM g ORDER BY mean DESC, grp LIMIT 1)
+SELECT 'One-Way ANOVA' AS test, {r('f', 4)} AS statistic, {r('p', 4)} AS p_value, d1 AS df_between,
+       d2 AS df_within, p < 0.05 AS reject_h0, {r('eta2', 4)} AS effect_size,
+       {_label(r('eta2', 4))} AS effect_label, best AS best_group, k AS groups, n_total
+FROM st CROSS JOIN best WHERE k >= 2"""),
+        "anova_group_means": q(_moments("post_type") + f"SELECT grp, n, {r('mean', 2)} AS mean_er FROM g"),
+        "welch_weekend": _welch(False),
+        "student_t": _welch(True),
+        "levene": qr(f"""
+, d AS (SELECT CAST(post_type AS VARCHAR) AS grp, {ER} AS v FROM pre WHERE post_type IS NOT NULL AND {ER} IS NOT NULL),
+md AS (SELECT grp, median(v) AS med FROM d GROUP BY grp HAVING count(*) >= 5),
+z AS (SELECT grp, abs(v - med) AS z FROM d JOIN md USING (grp))
+""" + _moments("grp", min_n=1, value="z", src="z") + _anova_tail("g") + f"""
+SELECT {r('f', 4)} AS statistic, {r('p', 4)} AS p_value, d1 AS df_between, d2 AS df_within,
+       k AS groups, n_total FROM st"""),
+        "duration_terciles": q(f"""
+, reels AS (SELECT CAST(duration_sec AS DOUBLE) AS d, {ER} AS v FROM pre WHERE {_REELS}),
+qq AS (SELECT quantile_cont(d, 1.0 / 3.0) AS q1, quantile_cont(d, 2.0 / 3.0) AS q2, min(d) AS dmin, max(d) AS dmax FROM reels),
+lab AS (SELECT reels.*, CASE WHEN NOT (dmin < q1 AND q1 < q2 AND q2 < dmax) THEN NULL
+                             WHEN d <= q1 THEN 'Short' WHEN d <= q2 THEN 'Medium' ELSE 'Long' END AS duration_group
+        FROM reels CROSS JOIN qq)
+SELECT duration_group, CASE duration_group WHEN 'Short' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END AS group_order,
+       count(*) AS reels, {r('avg(v)', 2)} AS mean_er, min(d) AS min_duration, max(d) AS max_duration
+FROM lab WHERE duration_group IS NOT NULL GROUP BY duration_group"""),
+    }

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.operators import eda
+from postlytics.operators import eda, stats
 from postlytics.operators.features import ER, TOTAL, Prepared, hour_label, meta_summary, preprocess
 from postlytics.sources.fixtures import posts_from_events
 
@@ -79,15 +79,31 @@ EDA_QUERIES: dict[str, Query] = {
 }
 
 
+STATS_QUERIES: dict[str, Query] = {
+    "anova_content_type": _on_pre(stats.anova_by),
+    "anova_group_means": _on_pre(stats.anova_group_means),
+    "welch_weekend": _on_pre(stats.weekend_test),
+    "student_t": _on_pre(lambda p: stats.weekend_test(p, equal_var=True)),
+    "levene": _on_pre(stats.levene_by),
+    "duration_terciles": _on_pre(stats.duration_terciles),
+    # rows-only
+    "shapiro_wilk": _on_pre(stats.shapiro_by),
+    "duration_test": _on_pre(stats.duration_test),
+    "test_summary": _on_pre(stats.test_summary),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(EDA_QUERIES)
+    out.update(STATS_QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from postlytics.plans.oracle import eda_sql
+    from postlytics.plans.oracle import eda_sql, stats_sql
 
     out = {}
     out.update(eda_sql())
+    out.update(stats_sql())
     return out
