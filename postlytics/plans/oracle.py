@@ -402,3 +402,56 @@ SELECT duration_group, CASE duration_group WHEN 'Short' THEN 1 WHEN 'Medium' THE
        count(*) AS reels, {r('avg(v)', 2)} AS mean_er, min(d) AS min_duration, max(d) AS max_duration
 FROM lab WHERE duration_group IS NOT NULL GROUP BY duration_group"""),
     }
+
+
+# ---------------------------------------------------------------- filters, sinks, reports
+_DOUBLE_COLUMNS = ["engagement_rate_pct", "total_engagements", "reach", "impressions", "views", "likes",
+                   "comments", "saves", "shares", "follows", "save_rate_pct", "share_rate_pct",
+                   "comments_per_like", "like_rate_on_views_pct", "profile_visits",
+                   "profile_to_follow_conversion_pct"]
+
+
+def _json_safe_cols() -> str:
+    out = []
+    for c in PRE_COLUMNS:
+        if c in _DOUBLE_COLUMNS:
+            out.append(f"CASE WHEN isnan({c}) OR isinf({c}) THEN NULL ELSE {r(c, 4)} END AS {c}")
+        elif c == "publish_time":
+            out.append(f"strftime({c}, '%Y-%m-%d') AS {c}")
+        else:
+            out.append(c)
+    return ", ".join(out)
+
+
+def _preview_cols() -> str:
+    return ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" if c == "publish_time" else c
+                     for c in PRE_COLUMNS)
+
+
+def misc_sql() -> dict[str, str]:
+    return {
+        "reel_filter": q(f"""SELECT post_id, post_type, duration_sec, {ER} FROM pre
+WHERE coalesce(regexp_matches(CAST(post_type AS VARCHAR), 'reel|video', 'i'), false)"""),
+        "duration_filter": q(f"""SELECT post_id, post_type, CAST(duration_sec AS DOUBLE) AS duration_sec, {ER}
+FROM pre WHERE {_REELS}"""),
+        "complete_cases": q(f"""SELECT count(*) AS rows_before,
+       count(*) FILTER (WHERE reach IS NOT NULL AND views IS NOT NULL AND likes IS NOT NULL AND comments IS NOT NULL
+                        AND saves IS NOT NULL AND shares IS NOT NULL AND follows IS NOT NULL AND post_type IS NOT NULL
+                        AND weekday IS NOT NULL AND hour IS NOT NULL AND {ER} IS NOT NULL) AS rows_after FROM pre"""),
+        "period_label": q("SELECT post_id, CASE WHEN is_weekend THEN 'Weekend' ELSE 'Weekday' END AS period FROM pre"),
+        "json_safe": q(f"SELECT {_json_safe_cols()} FROM pre"),
+        "preview": q(f"SELECT {_preview_cols()} FROM pre ORDER BY post_id LIMIT 5"),
+        "overview": q(f"""
+, m AS (SELECT count(*) AS total_rows, strftime(min(publish_time), '%Y-%m-%d') AS date_range_start,
+              strftime(max(publish_time), '%Y-%m-%d') AS date_range_end, {r(f'avg({ER})', 2)} AS avg_er,
+              {r(f'max({ER})', 2)} AS max_er FROM pre),
+d AS (SELECT weekday AS best_day, {r('mm', 1)} AS best_day_er FROM (
+        SELECT weekday, avg({ER}) AS mm FROM pre WHERE weekday IS NOT NULL GROUP BY weekday)
+      WHERE mm IS NOT NULL ORDER BY mm DESC, weekday LIMIT 1),
+h AS (SELECT hour AS best_hour FROM (SELECT hour, avg({ER}) AS mm FROM pre WHERE hour IS NOT NULL GROUP BY hour)
+      WHERE mm IS NOT NULL ORDER BY mm DESC, hour LIMIT 1),
+t AS (SELECT post_type AS best_type FROM (
+        SELECT post_type, avg({ER}) AS mm FROM pre WHERE post_type IS NOT NULL GROUP BY post_type)
+      WHERE mm IS NOT NULL ORDER BY mm DESC, post_type LIMIT 1)
+SELECT * FROM m CROSS JOIN d CROSS JOIN h CROSS JOIN t"""),
+    }

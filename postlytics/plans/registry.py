@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.operators import eda, stats
+from postlytics.operators import eda, filters, stats
+from postlytics.plans import reports
+from postlytics.sources import sinks
 from postlytics.operators.features import ER, TOTAL, Prepared, hour_label, meta_summary, preprocess
 from postlytics.sources.fixtures import posts_from_events
 
@@ -93,17 +95,33 @@ STATS_QUERIES: dict[str, Query] = {
 }
 
 
+MISC_QUERIES: dict[str, Query] = {
+    "reel_filter": _on_pre(lambda p: filters.reel_filter(p).select("post_id", "post_type", "duration_sec", ER)),
+    "duration_filter": _on_pre(lambda p: filters.duration_filter(p).select("post_id", "post_type",
+                                                                           "duration_sec", ER)),
+    "complete_cases": _on_pre(filters.complete_cases),
+    "period_label": _on_pre(lambda p: p.df.select("post_id", filters.period().alias("period"))),
+    "json_safe": _on_pre(lambda p: sinks.json_safe(p.df)),
+    "preview": _on_pre(lambda p: sinks.preview(p.df, 5)),
+    "overview": _on_pre(reports.overview),
+    # rows-only
+    "eda_report": _on_pre(reports.eda_report),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(MISC_QUERIES)
     out.update(EDA_QUERIES)
     out.update(STATS_QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from postlytics.plans.oracle import eda_sql, stats_sql
+    from postlytics.plans.oracle import eda_sql, misc_sql, stats_sql
 
     out = {}
+    out.update(misc_sql())
     out.update(eda_sql())
     out.update(stats_sql())
     return out
