@@ -455,3 +455,25 @@ t AS (SELECT post_type AS best_type FROM (
       WHERE mm IS NOT NULL ORDER BY mm DESC, post_type LIMIT 1)
 SELECT * FROM m CROSS JOIN d CROSS JOIN h CROSS JOIN t"""),
     }
+
+
+def loader_sql() -> dict[str, str]:
+    export = """
+, export AS (
+  SELECT CAST(post_id AS VARCHAR) AS post_id, date_trunc('second', publish_time) AS publish_time, post_type,
+         CAST(duration_sec AS VARCHAR) AS duration_sec, CAST(reach AS DOUBLE) AS reach,
+         CAST(impressions AS DOUBLE) AS impressions,
+         CASE WHEN views % 100 = 0 THEN CAST(printf('%.1f', views / 1000.0) AS DOUBLE) * 1000.0
+              ELSE CAST(views AS DOUBLE) END AS views,
+         CAST(likes AS DOUBLE) AS likes, CAST(comments AS DOUBLE) AS comments, CAST(saves AS DOUBLE) AS saves,
+         CAST(shares AS DOUBLE) AS shares, CAST(follows AS DOUBLE) AS follows,
+         CAST(profile_visits AS DOUBLE) AS profile_visits
+  FROM posts
+)
+"""
+    e = eda_sql()
+    return {
+        "read_export": q(export + "SELECT * FROM export"),
+        "read_export_er_by_type": e["er_by_type"],
+        "read_export_monthly_trend": e["monthly_trend"],
+    }

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from postlytics.operators import eda, filters, stats
 from postlytics.plans import reports
-from postlytics.sources import sinks
+from postlytics.operators.roles import resolve_roles, role_report
+from postlytics.sources import csv_export, sinks
+from postlytics.sources.exports import export_from_tables
 from postlytics.operators.features import ER, TOTAL, Prepared, hour_label, meta_summary, preprocess
 from postlytics.sources.fixtures import posts_from_events
 
@@ -74,7 +76,6 @@ EDA_QUERIES: dict[str, Query] = {
     "benchmark_check": _on_pre(eda.benchmark_check),
     "benchmark_status": _on_pre(eda.benchmark_status),
     # rows-only (no exact SQL twin)
-    "column_types": _on_pre(eda.column_types),
     "er_density": _on_pre(eda.er_density),
     "mean_ci": _on_pre(eda.mean_ci),
     "trend_line_ci": _on_pre(eda.trend_line_ci),
@@ -109,8 +110,34 @@ MISC_QUERIES: dict[str, Query] = {
 }
 
 
+EXPORT_COLUMNS = ["post_id", "publish_time", "post_type", "duration_sec", "reach", "impressions", "views",
+                  "likes", "comments", "saves", "shares", "follows", "profile_visits"]
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csv_export.read_export(spark, export_from_tables(spark, sf_dir))
+
+
+def _loaded_pre(spark: SparkSession, sf_dir: str) -> Prepared:
+    return preprocess(_loaded(spark, sf_dir))
+
+
+LOADER_QUERIES: dict[str, Query] = {
+    "read_export": lambda s, d: _loaded(s, d).select(*EXPORT_COLUMNS),
+    "read_export_er_by_type": lambda s, d: eda.er_by_type(_loaded_pre(s, d)),
+    "read_export_monthly_trend": lambda s, d: eda.monthly_trend(_loaded_pre(s, d)),
+    # rows-only
+    "latest_file": lambda s, d: csv_export.latest_file(s, export_from_tables(s, d)).select("path"),
+    "detect_content_type": lambda s, d: s.createDataFrame(
+        [(csv_export.content_type_of(_loaded(s, d)),)], "content_type string"),
+    "role_report": lambda s, d: role_report(s, resolve_roles(_loaded(s, d).columns)),
+    "column_types": lambda s, d: eda.column_types(_loaded_pre(s, d)),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(LOADER_QUERIES)
     out.update(MISC_QUERIES)
     out.update(EDA_QUERIES)
     out.update(STATS_QUERIES)
@@ -118,9 +145,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from postlytics.plans.oracle import eda_sql, misc_sql, stats_sql
+    from postlytics.plans.oracle import eda_sql, loader_sql, misc_sql, stats_sql
 
     out = {}
+    out.update(loader_sql())
     out.update(misc_sql())
     out.update(eda_sql())
     out.update(stats_sql())
