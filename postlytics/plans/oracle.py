@@ -477,3 +477,27 @@ def loader_sql() -> dict[str, str]:
         "read_export_er_by_type": e["er_by_type"],
         "read_export_monthly_trend": e["monthly_trend"],
     }
+
+
+def ml_sql() -> dict[str, str]:
+    rows = f"""
+, mr AS (
+  SELECT CAST(post_id AS VARCHAR) AS row_key,
+         CAST(('0x' || substr(md5('42|' || CAST(post_id AS VARCHAR)), 1, 8))::BIGINT % 100 AS INTEGER) AS bucket
+  FROM pre
+  WHERE reach IS NOT NULL AND views IS NOT NULL AND likes IS NOT NULL AND comments IS NOT NULL AND saves IS NOT NULL
+    AND shares IS NOT NULL AND follows IS NOT NULL AND post_type IS NOT NULL AND weekday IS NOT NULL
+    AND hour IS NOT NULL AND {ER} IS NOT NULL
+)
+"""
+    return {
+        "model_rows": q(rows + "SELECT row_key, bucket, bucket % 5 AS fold FROM mr"),
+        "split": q(rows + "SELECT CASE WHEN bucket < 20 THEN 'test' ELSE 'train' END AS part, count(*) AS rows "
+                   "FROM mr GROUP BY 1"),
+        "evaluate": q(f"""
+, m AS (SELECT post_type, avg({ER}) AS prediction FROM pre GROUP BY post_type),
+p AS (SELECT {ER} AS label, prediction FROM pre JOIN m USING (post_type) WHERE {ER} IS NOT NULL),
+a AS (SELECT sum(pow(label - prediction, 2)) AS sse, avg(abs(label - prediction)) AS mae,
+             avg(pow(label - prediction, 2)) AS mse, var_pop(label) AS vy, count(label) AS n FROM p)
+SELECT {r('1.0 - sse / (vy * n)', 4)} AS r2, {r('mae', 4)} AS mae, {r('sqrt(mse)', 4)} AS rmse FROM a"""),
+    }

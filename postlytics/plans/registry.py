@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.operators import eda, filters, stats
+from postlytics.operators import eda, filters, ml, stats
 from postlytics.plans import reports
 from postlytics.operators.roles import resolve_roles, role_report
 from postlytics.sources import csv_export, sinks
@@ -135,8 +135,86 @@ LOADER_QUERIES: dict[str, Query] = {
 }
 
 
+_MODELS: dict[tuple, ml.Trained] = {}
+
+
+def trained(spark: SparkSession, sf_dir: str, name: str, variant: str = "api") -> ml.Trained:
+    """Fitted model per (session, data, model): later queries reuse it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, variant)
+    if key not in _MODELS:
+        _MODELS[key] = ml.train_model(prepared(spark, sf_dir), name, variant)
+    return _MODELS[key]
+
+
+def _metrics(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = trained(spark, sf_dir, name)
+        return ml.evaluate(t.model.transform(t.test)).select(F.lit(name).alias("model"), "*")
+    return run
+
+
+def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [_metrics(n)(spark, sf_dir).withColumn("model_order", F.lit(i)) for i, n in enumerate(ml.MODEL_ORDER)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    best = out.agg(F.min_by("model", F.struct(-F.col("r2"), F.col("model_order"))).alias("__best"))
+    return out.crossJoin(best).withColumn("is_best", F.col("model") == F.col("__best")).drop("__best")
+
+
+def _planned(pre: Prepared) -> DataFrame:
+    """Planned posts derived from the table: the held-out rows, some fields left blank."""
+    fs = ml.select_features(pre, "api")
+    rows = ml.model_rows(pre, fs)
+    k = F.col("row_key").cast("long")
+    blanks = {c: F.when(k % 3 == 0, F.lit(None)).otherwise(F.col(c)) for c in fs.numeric[:2]}
+    blanks[pre.roles.type] = F.when(k % 4 == 0, F.lit(None)).otherwise(F.col(pre.roles.type))
+    blanks["weekday"] = F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("weekday"))
+    blanks["hour"] = F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("hour").cast("int"))
+    return rows.where(F.col("bucket") < 20).select("row_key", *fs.all).withColumns(blanks)
+
+
+def _predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pre = prepared(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "predict")
+    if key not in _MODELS:
+        scored = ml.predict_posts(pre, _planned(pre))
+        _MODELS[key] = scored
+    return _MODELS[key].select("row_key", "predicted_er")
+
+
+def _type_mean_predictor(pre: Prepared) -> DataFrame:
+    t = pre.roles.type
+    means = pre.df.groupBy(t).agg(F.avg(ER).alias("prediction"))
+    return pre.df.where(F.col(ER).isNotNull()).join(means, t).select(F.col(ER).alias("label"), "prediction")
+
+
+ML_QUERIES: dict[str, Query] = {
+    "model_rows": _on_pre(lambda p: ml.model_rows(p, ml.select_features(p, "api"))
+                          .select(F.col("row_key"), "bucket", "fold")),
+    "split": _on_pre(lambda p: ml.model_rows(p, ml.select_features(p, "api"))
+                     .groupBy(F.when(F.col("bucket") < 20, "test").otherwise("train").alias("part"))
+                     .agg(F.count(F.lit(1)).alias("rows"))),
+    "evaluate": _on_pre(lambda p: ml.evaluate(_type_mean_predictor(p))),
+    # rows-only (models)
+    "linear_model": _metrics("Linear Regression"),
+    "ridge_model": _metrics("Ridge Regression"),
+    "forest_model": _metrics("Random Forest"),
+    "boosted_model": _metrics("Gradient Boosting"),
+    "cross_validate": _on_pre(lambda p: ml.cross_validate(p, "Linear Regression")),
+    "compare_models": _compare,
+    "feature_importance": lambda s, d: ml.feature_importance(trained(s, d, "Gradient Boosting")),
+    "residual_summary": lambda s, d: ml.residual_summary(trained(s, d, "Gradient Boosting")),
+    "predict_posts": _predict,
+    "prediction_label": lambda s, d: ml.prediction_label(prepared(s, d), _predict(s, d)),
+    "ml_summary": lambda s, d: ml.ml_summary(_compare(s, d), ml.feature_importance(
+        trained(s, d, "Gradient Boosting")), prepared(s, d).df.count()),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(ML_QUERIES)
     out.update(LOADER_QUERIES)
     out.update(MISC_QUERIES)
     out.update(EDA_QUERIES)
@@ -145,9 +223,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from postlytics.plans.oracle import eda_sql, loader_sql, misc_sql, stats_sql
+    from postlytics.plans.oracle import eda_sql, loader_sql, misc_sql, ml_sql, stats_sql
 
     out = {}
+    out.update(ml_sql())
     out.update(loader_sql())
     out.update(misc_sql())
     out.update(eda_sql())

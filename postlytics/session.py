@@ -18,6 +18,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8) -> SparkSe
         SparkSession.builder.master(master)
         .appName("postlytics")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
