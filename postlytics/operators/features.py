@@ -70,21 +70,29 @@ def total_engagements(roles: Roles) -> Column:
     return acc
 
 
-def pick_denominator(df: DataFrame, roles: Roles, threshold: float = DENOMINATOR_THRESHOLD) -> str:
-    """P10: first of reach, impressions, views with > 25 % non-null cells."""
+def _column_counts(df: DataFrame, roles: Roles, date: str | None) -> dict[str, int]:
+    """One aggregate: row count, non-null counts of the denominator candidates and the date."""
     cands = [(name, getattr(roles, name)) for name in ("reach", "impressions", "views")]
-    cands = [(n, c) for n, c in cands if c]
-    if not cands:
-        return "unknown"
-    row = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.count(F.col(c)).alias(f"__{n}") for n, c in cands]).first()
-    total = row["__n"]
-    for n, _c in cands:
-        if row[f"__{n}"] > total * threshold:
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    aggs += [F.count(F.col(c)).alias(f"__{n}") for n, c in cands if c]
+    if date:
+        aggs.append(F.count(F.col(date)).alias("__date"))
+    return df.agg(*aggs).first().asDict()
+
+
+def _choose_denominator(counts: dict[str, int], roles: Roles, threshold: float) -> str:
+    total = counts["__n"]
+    for n in ("reach", "impressions", "views"):
+        if getattr(roles, n) and counts[f"__{n}"] > total * threshold:
             return n
     return "unknown"
 
 
+def pick_denominator(df: DataFrame, roles: Roles, threshold: float = DENOMINATOR_THRESHOLD) -> str:
+    """P10: first of reach, impressions, views with > 25 % non-null cells."""
+    return _choose_denominator(_column_counts(df, roles, None), roles, threshold)
+
+
 def rate(num: Column, den: Column, scale: float = 100.0, digits: int = 4) -> Column:
     """``scale * num / den`` (0 -> null), half-even to ``digits``."""
     value = safe_div(F.lit(scale) * num, den) if scale != 1.0 else safe_div(num, den)
@@ -106,10 +114,6 @@ def hour_label(hour: Column) -> Column:
     return F.concat(hour.cast("string"), F.lit(":00"))
 
 
-def _has_valid_date(df: DataFrame, date_col: str) -> bool:
-    return len(df.select(date_col).where(F.col(date_col).isNotNull()).limit(1).take(1)) > 0
-
-
 def preprocess(df: DataFrame, roles: Roles | None = None, *, check_dates: bool = True) -> Prepared:
     """P20: roles, typed metrics, totals, rates, calendar features, column order."""
     roles = roles or resolve_roles(df.columns)
@@ -128,7 +132,8 @@ def preprocess(df: DataFrame, roles: Roles | None = None, *, check_dates: bool =
     typed = metrics_to_numeric(df, roles)
     if roles.duration and not isinstance(typed.schema[roles.duration].dataType, T.NumericType):
         typed = typed.withColumn(roles.duration, metric_to_double(typed, roles.duration))
-    denominator = pick_denominator(typed, roles)
+    counts = _column_counts(typed, roles, date)
+    denominator = _choose_denominator(counts, roles, DENOMINATOR_THRESHOLD)
     den_col = getattr(roles, denominator) if denominator != "unknown" else None
 
     new: dict[str, Column] = {TOTAL: total_engagements(roles)}
@@ -146,7 +151,7 @@ def preprocess(df: DataFrame, roles: Roles | None = None, *, check_dates: bool =
         new["like_rate_on_views_pct"] = rate(F.col(roles.likes), F.col(roles.views))
     if roles.follows and roles.profile_visits:
         new["profile_to_follow_conversion_pct"] = rate(F.col(roles.follows), F.col(roles.profile_visits))
-    if date and (not check_dates or _has_valid_date(typed, date)):
+    if date and (not check_dates or counts.get("__date", 0) > 0):
         new.update(calendar_columns(F.col(date)))
 
     # total first: the rates read it

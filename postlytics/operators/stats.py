@@ -242,7 +242,6 @@ def shapiro_wilk(df: DataFrame, group: str, value: str = ER, alpha: float = ALPH
         F.avg("x").alias("mean"), F.var_samp("x").alias("var"),
     )
     nn = F.col("n").cast("double")
-    u = F.lit(1.0) / F.sqrt(nn)
     c1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
     c2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
 
@@ -252,35 +251,36 @@ def shapiro_wilk(df: DataFrame, group: str, value: str = ER, alpha: float = ALPH
             acc = acc * x + F.lit(c)
         return acc
 
-    ss = F.sqrt(F.col("summ2"))
-    a1 = poly(c1, u) - F.col("m1") / ss
-    a2 = poly(c2, u) - F.col("m2") / ss
+    # staged projections: every intermediate is computed once, never inlined twice
+    st = agg.where(F.col("n") >= 3).withColumn("u", F.lit(1.0) / F.sqrt(nn)) \
+        .withColumn("ss", F.sqrt(F.col("summ2")))
+    st = st.withColumn("a1", poly(c1, F.col("u")) - F.col("m1") / F.col("ss")) \
+        .withColumn("a2", poly(c2, F.col("u")) - F.col("m2") / F.col("ss"))
     big = nn > 5
-    fac = F.when(big, F.sqrt((F.col("summ2") - 2 * F.col("m1") ** 2 - 2 * F.col("m2") ** 2)
-                             / (1 - 2 * a1 * a1 - 2 * a2 * a2))) \
-        .otherwise(F.sqrt((F.col("summ2") - 2 * F.col("m1") ** 2) / (1 - 2 * a1 * a1)))
+    st = st.withColumn("fac", F.when(big, F.sqrt((F.col("summ2") - 2 * F.col("m1") ** 2 - 2 * F.col("m2") ** 2)
+                                                 / (1 - 2 * F.col("a1") ** 2 - 2 * F.col("a2") ** 2)))
+                       .otherwise(F.sqrt((F.col("summ2") - 2 * F.col("m1") ** 2) / (1 - 2 * F.col("a1") ** 2))))
     # middle ranks: coefficient m_r / fac; ends: the corrected a1 (and a2 when n > 5)
-    lin = F.when(nn == 3, F.lit(math.sqrt(0.5)) * F.col("sx_1")).otherwise(
-        F.col("mx_mid") / fac + a1 * F.col("sx_1")
-        + F.when(big, a2 * F.col("sx_2")).otherwise(F.col("mx_2") / fac))
-    sse = F.col("var") * (nn - 1)
-    w = F.least(F.pow(lin, 2) / sse, F.lit(1.0))
+    st = st.withColumn("lin", F.when(nn == 3, F.lit(math.sqrt(0.5)) * F.col("sx_1")).otherwise(
+        F.col("mx_mid") / F.col("fac") + F.col("a1") * F.col("sx_1")
+        + F.when(big, F.col("a2") * F.col("sx_2")).otherwise(F.col("mx_2") / F.col("fac"))))
+    st = st.withColumn("W", F.least(F.pow(F.col("lin"), 2) / (F.col("var") * (nn - 1)), F.lit(1.0)))
     # p-value (Royston 1995)
+    st = st.withColumn("wy", F.log(F.lit(1.0) - F.col("W"))) \
+        .withColumn("gamma", poly([-2.273, 0.459], nn))
     ln_n = F.log(nn)
-    wy = F.log(F.lit(1.0) - w)
-    gamma = poly([-2.273, 0.459], nn)
-    m_small = poly([0.5440, -0.39978, 0.025054, -6.714e-4], nn)
-    s_small = F.exp(poly([1.3822, -0.77857, 0.062767, -0.0020322], nn))
-    m_big = poly([-1.5861, -0.31082, -0.083751, 0.0038915], ln_n)
-    s_big = F.exp(poly([-0.4803, -0.082676, 0.0030302], ln_n))
-    y_small = -F.log(gamma - wy)
-    z_small = (y_small - m_small) / s_small
-    z_big = (wy - m_big) / s_big
-    p3 = F.greatest(F.lit(0.0), F.lit(6.0 / math.pi) * (F.asin(F.sqrt(w)) - F.lit(math.asin(math.sqrt(0.75)))))
+    z_small = (-F.log(F.col("gamma") - F.col("wy")) - poly([0.5440, -0.39978, 0.025054, -6.714e-4], nn)) \
+        / F.exp(poly([1.3822, -0.77857, 0.062767, -0.0020322], nn))
+    z_big = (F.col("wy") - poly([-1.5861, -0.31082, -0.083751, 0.0038915], ln_n)) \
+        / F.exp(poly([-0.4803, -0.082676, 0.0030302], ln_n))
+    st = st.withColumn("z", F.when(nn <= 11, z_small).otherwise(z_big))
+    st = st.withColumn("upper", F.lit(1.0) - norm_cdf(F.col("z")))
+    p3 = F.greatest(F.lit(0.0), F.lit(6.0 / math.pi) * (F.asin(F.sqrt(F.col("W")))
+                                                       - F.lit(math.asin(math.sqrt(0.75)))))
     p = F.when(nn == 3, p3) \
-        .when(nn <= 11, F.when(wy >= gamma, F.lit(1e-99)).otherwise(F.lit(1.0) - norm_cdf(z_small))) \
-        .otherwise(F.lit(1.0) - norm_cdf(z_big))
-    out = agg.where(F.col("n") >= 3).select("grp", "n", w.alias("W"), p.alias("p"))
+        .when(nn <= 11, F.when(F.col("wy") >= F.col("gamma"), F.lit(1e-99)).otherwise(F.col("upper"))) \
+        .otherwise(F.col("upper"))
+    out = st.select("grp", "n", "W", p.alias("p"))
     return out.withColumn("normal", F.col("p") > alpha)
 
 
