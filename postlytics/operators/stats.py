@@ -358,18 +358,45 @@ def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: floa
     return out
 
 
+def p_values(pre: Prepared) -> DataFrame:
+    """Every test statistic with its degrees of freedom and p-value."""
+    a = anova_by(pre).select(F.lit("content_type_anova").alias("test_name"), "statistic",
+                             F.col("df_between").alias("df1"), F.col("df_within").alias("df2"), "p_value")
+    w = weekend_test(pre).select(F.lit("weekend_welch").alias("test_name"), "statistic",
+                                 F.lit(1.0).alias("df1"), F.col("df").alias("df2"), "p_value")
+    s = weekend_test(pre, equal_var=True).select(F.lit("weekend_student").alias("test_name"), "statistic",
+                                                 F.lit(1.0).alias("df1"), F.col("df").alias("df2"), "p_value")
+    lv = levene_by(pre).select(F.lit("content_type_levene").alias("test_name"), "statistic",
+                               F.col("df_between").alias("df1"), F.col("df_within").alias("df2"), "p_value")
+    return a.unionByName(w).unionByName(s).unionByName(lv)
+
+
+def _pstr(p: Column) -> Column:
+    """p rounded to 4 digits as plain text (no exponent)."""
+    return F.regexp_replace(F.format_string("%.4f", p), "(\\.[0-9]*?)0+$", "$1")
+
+
 def test_summary(pre: Prepared, alpha: float = ALPHA) -> DataFrame:
-    """Every test as one row, each with its own decision."""
+    """H12 + H10: every test as one row with its own decision (D7) and a sentence."""
     a = anova_by(pre, alpha=alpha).select(
         F.lit("content_type").alias("test_name"), "test", "statistic", "p_value", "reject_h0",
-        "effect_size", "effect_label")
+        "effect_size", "effect_label",
+        F.concat(F.lit("Content type "), F.when(F.col("reject_h0"), "DOES").otherwise("does NOT"),
+                 F.lit(" significantly affect ER (p="), _pstr(F.col("p_value")), F.lit(", effect="),
+                 F.col("effect_label"), F.lit("). Best: "), F.col("best_group"), F.lit(".")).alias("interpretation"))
     w = weekend_test(pre, alpha=alpha).select(
         F.lit("weekend").alias("test_name"), "test", "statistic", "p_value", "reject_h0",
-        "effect_size", "effect_label")
+        "effect_size", "effect_label",
+        F.concat(F.col("better_period"), F.lit(" posts perform "),
+                 F.when(F.col("reject_h0"), "significantly").otherwise("slightly"),
+                 F.lit(" better (p="), _pstr(F.col("p_value")), F.lit(", effect="), F.col("effect_label"),
+                 F.lit("). Weekday avg: "), F.format_string("%.2f", F.col("weekday_avg")),
+                 F.lit("% | Weekend avg: "), F.format_string("%.2f", F.col("weekend_avg")), F.lit("%.")
+                 ).alias("interpretation"))
     d = duration_test(pre, alpha=alpha).where(F.col("error").isNull()).select(
         F.lit("reel_duration").alias("test_name"), F.col("test_used").alias("test"), "statistic", "p_value",
         "reject_h0", rint_round(F.col("effect_size_eta2"), 4).alias("effect_size"),
-        effect_label(F.col("effect_size_eta2")).alias("effect_label"))
+        effect_label(F.col("effect_size_eta2")).alias("effect_label"), F.col("conclusion").alias("interpretation"))
     rows = a.unionByName(w).unionByName(d)
     return rows.withColumn("decision", F.when(F.col("reject_h0"), "reject H0").otherwise("do not reject H0")) \
         .withColumn("action", F.when(F.col("reject_h0"),

@@ -374,7 +374,23 @@ _REELS = (f"regexp_matches(CAST(post_type AS VARCHAR), 'reel|video', 'i') AND CA
           f"AND CAST(duration_sec AS DOUBLE) <= 90.0 AND duration_sec IS NOT NULL AND {ER} IS NOT NULL")
 
 
+def _pvalues_sql() -> str:
+    d = stats_sql_base()
+    return (
+        f"SELECT 'content_type_anova' AS test_name, statistic, df_between AS df1, df_within AS df2, p_value "
+        f"FROM ({d['anova_content_type']}) "
+        f"UNION ALL SELECT 'weekend_welch', statistic, 1.0, df, p_value FROM ({d['welch_weekend']}) "
+        f"UNION ALL SELECT 'weekend_student', statistic, 1.0, df, p_value FROM ({d['student_t']}) "
+        f"UNION ALL SELECT 'content_type_levene', statistic, df_between, df_within, p_value FROM ({d['levene']})")
+
+
 def stats_sql() -> dict[str, str]:
+    out = stats_sql_base()
+    out["p_values"] = _pvalues_sql()
+    return out
+
+
+def stats_sql_base() -> dict[str, str]:
     return {
         "anova_content_type": qr(_moments("post_type") + _anova_tail("g") + f"""
 , best AS (SELECT grp AS best FROM g ORDER BY mean DESC, grp LIMIT 1)

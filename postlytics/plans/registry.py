@@ -88,6 +88,7 @@ STATS_QUERIES: dict[str, Query] = {
     "welch_weekend": _on_pre(stats.weekend_test),
     "student_t": _on_pre(lambda p: stats.weekend_test(p, equal_var=True)),
     "levene": _on_pre(stats.levene_by),
+    "p_values": _on_pre(stats.p_values),
     "duration_terciles": _on_pre(stats.duration_terciles),
     # rows-only
     "shapiro_wilk": _on_pre(stats.shapiro_by),
@@ -183,6 +184,14 @@ def _predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _MODELS[key].select("row_key", "predicted_er")
 
 
+def _stage_output(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """M4 / M5: the fitted feature stages applied to the held-out rows (vector as array)."""
+    from pyspark.ml.functions import vector_to_array
+
+    t = trained(spark, sf_dir, "Linear Regression")
+    return t.model.transform(t.test).select("row_key", vector_to_array(F.col(column)).alias(column.strip("_")))
+
+
 def _type_mean_predictor(pre: Prepared) -> DataFrame:
     t = pre.roles.type
     means = pre.df.groupBy(t).agg(F.avg(ER).alias("prediction"))
@@ -207,6 +216,8 @@ ML_QUERIES: dict[str, Query] = {
     "residual_summary": lambda s, d: ml.residual_summary(trained(s, d, "Gradient Boosting")),
     "predict_posts": _predict,
     "prediction_label": lambda s, d: ml.prediction_label(prepared(s, d), _predict(s, d)),
+    "scaled_features": lambda s, d: _stage_output(s, d, "__num"),
+    "one_hot": lambda s, d: _stage_output(s, d, "features"),
     "ml_summary": lambda s, d: ml.ml_summary(_compare(s, d), ml.feature_importance(
         trained(s, d, "Gradient Boosting")), prepared(s, d).df.count()),
 }

@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference analyses finished exports; it has no stream, watermark, window
+or state, so there is nothing to re-express with Structured Streaming.
+"""
