@@ -11,6 +11,8 @@ offset plus its position inside the partition.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,3 +47,54 @@ def _checkpoint_ok(spark) -> bool:
         return spark.sparkContext.getCheckpointDir() is not None
     except Exception:  # noqa: BLE001 - e.g. Spark Connect: no SparkContext
         return False
+
+
+# Above this many distinct values per group the value->count map of
+# ``percentile`` is no longer a safe single-task state; ranks take over.
+MAP_QUANTILE_MAX_DISTINCT = 1_000_000
+
+
+def _rank_quantiles(df: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles from distributed ranks (no group in one task)."""
+    r = ranks_within_groups(df, group, value)
+    pos = [(F.col("n") - 1).cast("double") * F.lit(float(p)) for p in probs]
+    want = F.lit(False)
+    for h in pos:
+        want = want | (F.col("rank") == F.floor(h) + 1) | (F.col("rank") == F.ceil(h) + 1)
+    picked = r.where(want)  # at most 2 rows per quantile and group
+    aggs = [F.first("n").alias("n")]
+    for i, h in enumerate(pos):
+        aggs.append(F.max(F.when(F.col("rank") == F.floor(h) + 1, F.col(value))).alias(f"__lo{i}"))
+        aggs.append(F.max(F.when(F.col("rank") == F.ceil(h) + 1, F.col(value))).alias(f"__hi{i}"))
+    g = picked.groupBy(group).agg(*aggs)
+    out = []
+    for i, h in enumerate(pos):
+        frac = h - F.floor(h)
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        out.append(F.when(hi == lo, lo).otherwise(lo + (hi - lo) * frac).alias(f"q{i}"))
+    return g.select(group, F.array(*out).alias("q"))
+
+
+def group_quantiles(df: DataFrame, group: str | None, value: str, probs: list[float],
+                    method: str | None = None) -> DataFrame:
+    """Exact quantiles (linear interpolation, as pandas / DuckDB ``quantile_cont``) per group.
+
+    Returns (group, q array) - or a one-row (q array) frame when ``group`` is None.
+    ``method``: ``map`` = Spark ``percentile`` (value->count state, fast while
+    distinct values are few); ``rank`` = distributed ranks; ``auto`` = a
+    HyperLogLog distinct count per group decides (size check before choosing).
+    """
+    method = method or os.environ.get("POSTLYTICS_QUANTILES", "auto")
+    g = group or "__all"
+    d = df.select((F.col(group) if group else F.lit(0)).alias(g), F.col(value).alias("__v")) \
+        .where(F.col(g).isNotNull() & F.col("__v").isNotNull())
+    if method == "auto":
+        widest = d.groupBy(g).agg(F.approx_count_distinct("__v", 0.05).alias("__d")).agg(F.max("__d")).first()[0]
+        method = "map" if (widest or 0) <= MAP_QUANTILE_MAX_DISTINCT else "rank"
+    if method == "map":
+        res = d.groupBy(g).agg(F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+    else:
+        res = _rank_quantiles(d, g, "__v", probs)
+    if group is None:
+        return res.agg(F.first("q").alias("q"))  # always one row (null q when empty)
+    return res.withColumnRenamed(g, group)

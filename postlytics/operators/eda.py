@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlytics.functions.columns import rint_round
+from postlytics.functions.ranking import group_quantiles
 from postlytics.operators.features import ER, TOTAL, Prepared
 
 # Calendar order used by the reports.
@@ -28,9 +29,12 @@ def _er() -> Column:
     return F.col(ER)
 
 
-def _quartiles(c: Column) -> Column:
-    """One exact percentile state for all three quartiles."""
-    return F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def er_quartiles(pre: Prepared) -> DataFrame:
+    """One row: exact quartiles of the engagement rate (size-checked strategy)."""
+    return group_quantiles(pre.df, None, ER, QUARTILES)
 
 
 def numeric_columns(pre: Prepared) -> list[str]:
@@ -50,14 +54,14 @@ def describe_numeric(pre: Prepared, k: float = 1.5, digits: int = 2) -> DataFram
     cols = numeric_columns(pre)
     long = pre.df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], cols, "column_name", "value")
-    stats = long.groupBy("column_name").agg(
+    moments = long.groupBy("column_name").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
-        _quartiles(F.col("value")).alias("q"),
         F.max("value").alias("max"),
-    ).select(
+    )
+    stats = moments.join(group_quantiles(long, "column_name", "value", QUARTILES), "column_name", "left").select(
         "column_name", "count", "mean", "std", "min",
         F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max",
     ).withColumn("iqr", F.col("p75") - F.col("p25")) \
@@ -81,9 +85,9 @@ def er_stats(pre: Prepared, digits: int = 2) -> DataFrame:
     """A3: mean, median, std, min, max, q25, q75 of the engagement rate."""
     er = _er()
     return pre.df.agg(
-        F.avg(er).alias("mean"), _quartiles(er).alias("q"), F.stddev_samp(er).alias("std"),
+        F.avg(er).alias("mean"), F.stddev_samp(er).alias("std"),
         F.min(er).alias("min"), F.max(er).alias("max"),
-    ).select(
+    ).crossJoin(er_quartiles(pre)).select(
         rint_round(F.col("mean"), digits).alias("mean"),
         rint_round(F.col("q")[1], digits).alias("median"),
         rint_round(F.col("std"), digits).alias("std"),
@@ -96,7 +100,7 @@ def er_stats(pre: Prepared, digits: int = 2) -> DataFrame:
 
 def er_bounds(pre: Prepared, k: float = 1.5) -> DataFrame:
     """One-row quartiles and IQR fences of the engagement rate."""
-    return pre.df.agg(_quartiles(_er()).alias("q")).select(
+    return er_quartiles(pre).select(
         F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
     ).withColumn("iqr", F.col("q3") - F.col("q1")) \
      .withColumn("lower_bound", F.col("q1") - F.lit(k) * F.col("iqr")) \
@@ -189,11 +193,14 @@ def er_by_type(pre: Prepared, digits: int = 2) -> DataFrame:
     if not t:
         raise ValueError("no content type column")
     er = _er()
-    return pre.df.where(F.col(t).isNotNull()).groupBy(t).agg(
+    base = pre.df.where(F.col(t).isNotNull())
+    med = group_quantiles(base, t, ER, [0.5])
+    return base.groupBy(t).agg(
         rint_round(F.avg(er), digits).alias("avg_er"),
-        rint_round(F.median(er), digits).alias("median_er"),
         F.count(er).alias("posts"),
         rint_round(F.stddev_samp(er), digits).alias("std_er"),
+    ).join(med, t, "left").select(
+        t, "avg_er", rint_round(F.col("q")[0], digits).alias("median_er"), "posts", "std_er",
     ).orderBy(F.desc("avg_er"), t)
 
 
@@ -329,7 +336,7 @@ def box_stats(pre: Prepared, group: str | None = None, k: float = 1.5, value: st
     else:
         df = df.withColumn("__g", F.col(group).cast("string"))
     df = df.where(v.isNotNull() & F.col("__g").isNotNull())
-    q = df.groupBy("__g").agg(_quartiles(v).alias("q")).select(
+    q = group_quantiles(df, "__g", value, QUARTILES).select(
         "__g", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.withColumn("lo_f", F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_f", F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1")))
@@ -416,9 +423,12 @@ def column_defaults(pre: Prepared, numeric: list[str] | None = None, categorical
     spark = pre.df.sparkSession
     parts = []
     if numeric:
-        med = pre.df.agg(*[F.median(F.col(c)).alias(c) for c in numeric])
-        parts.append(med.unpivot([], numeric, "feature", "median")
-                     .select("feature", F.col("median").cast("double"), F.lit(None).cast("string").alias("mode")))
+        long = pre.df.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
+            [], numeric, "feature", "value")
+        med = group_quantiles(long, "feature", "value", [0.5])
+        names = spark.createDataFrame([(c,) for c in numeric], "feature string")
+        parts.append(names.join(med, "feature", "left")
+                     .select("feature", F.col("q")[0].alias("median"), F.lit(None).cast("string").alias("mode")))
     for c in categorical:
         dtype = pre.df.schema[c].dataType
         counts = pre.df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))

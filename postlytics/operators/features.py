@@ -178,11 +178,12 @@ def order_columns(df: DataFrame, roles: Roles) -> DataFrame:
 
 def meta_summary(pre: Prepared) -> DataFrame:
     """A1: row count, avg / median / max ER (2 digits), date range, denominator."""
+    from postlytics.functions.ranking import group_quantiles
+
     er = F.col(ER)
     aggs = [
         F.count(F.lit(1)).alias("total_rows"),
         rint_round(F.avg(er), 2).alias("avg_engagement_rate"),
-        rint_round(F.median(er), 2).alias("median_engagement_rate"),
         rint_round(F.max(er), 2).alias("max_engagement_rate"),
     ]
     if pre.roles.date:
@@ -192,4 +193,6 @@ def meta_summary(pre: Prepared) -> DataFrame:
     else:
         aggs += [F.lit(None).cast("string").alias("date_range_start"),
                  F.lit(None).cast("string").alias("date_range_end")]
-    return pre.df.agg(*aggs).withColumn("engagement_denominator", F.lit(pre.denominator))
+    med = group_quantiles(pre.df, None, ER, [0.5]).select(
+        rint_round(F.col("q")[0], 2).alias("median_engagement_rate"))
+    return pre.df.agg(*aggs).crossJoin(med).withColumn("engagement_denominator", F.lit(pre.denominator))

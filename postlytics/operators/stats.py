@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from postlytics.functions.columns import rint_round
 from postlytics.functions.distributions import f_sf, norm_cdf, norm_ppf, t_two_sided_p
-from postlytics.functions.ranking import ranks_within_groups
+from postlytics.functions.ranking import group_quantiles, ranks_within_groups
 from postlytics.operators.features import ER, Prepared
 
 ALPHA = 0.05
@@ -152,8 +152,9 @@ def levene(df: DataFrame, group: str, value: str = ER, min_n: int = 1) -> DataFr
     """H7: Brown-Forsythe/Levene (median-centred) = ANOVA on |x - group median|."""
     d = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()) \
         .select(F.col(group).cast("string").alias("grp"), F.col(value).alias("v"))
-    counts = d.groupBy("grp").agg(F.count(F.lit(1)).alias("__n"), F.median("v").alias("med"))
-    keep = counts.where(F.col("__n") >= min_n).select("grp", "med")
+    counts = d.groupBy("grp").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_n)
+    med = group_quantiles(d, "grp", "v", [0.5]).select("grp", F.col("q")[0].alias("med"))
+    keep = counts.join(med, "grp").select("grp", "med")
     z = d.join(keep, "grp").select("grp", F.abs(F.col("v") - F.col("med")).alias("z"))
     a = anova_from_moments(group_moments(z, "grp", "z"))
     return a.select(F.col("F").alias("W"), F.col("p"), "df_between", "df_within", "k", "n_total")
@@ -192,8 +193,8 @@ def with_terciles(reels: DataFrame, duration: str) -> DataFrame:
     Tied edges leave no three bins: every row then gets a null group and the
     caller reports the error.
     """
-    q = reels.agg(F.percentile(F.col(duration), F.array(F.lit(1.0 / 3.0), F.lit(2.0 / 3.0))).alias("q"),
-                  F.min(duration).alias("dmin"), F.max(duration).alias("dmax"))
+    q = reels.agg(F.min(duration).alias("dmin"), F.max(duration).alias("dmax")).crossJoin(
+        group_quantiles(reels, None, duration, [1.0 / 3.0, 2.0 / 3.0]))
     q = q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), "dmin", "dmax")
     dc = F.col(duration)
     distinct_edges = (F.col("dmin") < F.col("q1")) & (F.col("q1") < F.col("q2")) & (F.col("q2") < F.col("dmax"))

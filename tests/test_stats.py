@@ -122,3 +122,19 @@ def test_null_date_is_weekday(spark):
 def test_all_null_parts_total_zero(spark):
     df = spark.createDataFrame([(1, 10.0, None, None)], "post_id long, reach double, likes double, saves double")
     assert preprocess(df).df.first()["total_engagements"] == 0.0
+
+
+def test_rank_quantiles_equal_map_quantiles(spark):
+    from postlytics.functions.ranking import group_quantiles
+
+    rng = np.random.default_rng(7)
+    data = [("hot" if i % 3 else f"g{i % 5}", float(rng.integers(0, 1000)) / 7) for i in range(4000)]
+    df = spark.createDataFrame(data, "g string, v double")
+    probs = [0.25, 0.5, 0.75, 1 / 3]
+    a = {r["g"]: r["q"] for r in group_quantiles(df, "g", "v", probs, method="map").collect()}
+    b = {r["g"]: r["q"] for r in group_quantiles(df, "g", "v", probs, method="rank").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert np.allclose(a[k], b[k], rtol=0, atol=1e-9)
+    one = group_quantiles(df, None, "v", [0.5], method="rank").first()["q"][0]
+    assert one == pytest.approx(float(np.quantile([v for _, v in data], 0.5)), abs=1e-9)
