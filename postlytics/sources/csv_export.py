@@ -95,33 +95,38 @@ def find_header_row(records: list[list[str]]) -> int:
 
 
 # ------------------------------------------------------------------ S1 / S5 / S6
-def _read_one(spark: SparkSession, file: str) -> tuple[DataFrame, list[str]]:
+def sample_head(spark: SparkSession, file: str) -> tuple[str, list[str]]:
+    """(encoding, header fields) of one file from a bounded head sample."""
     enc = pick_encoding(spark, file)
     records = _head_records(spark, file, enc)
     if not records:
         raise ValueError(f"empty export: {file}")
-    h = find_header_row(records)
-    header = records[h]
+    return enc, records[find_header_row(records)]
+
+
+def _read_group(spark: SparkSession, files: list[str], encoding: str, header: list[str]) -> DataFrame:
+    """One CSV read for all files sharing (encoding, header).
+
+    ``multiLine`` files are never split, so inside a task the ids follow each
+    file's record order; every file's header row is found by content and only
+    records after it are kept.
+    """
     width = len(header)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
                           + [T.StructField("_overflow", T.StringType())])
     df = (spark.read.schema(schema)
           .option("header", False).option("multiLine", True).option("escape", '"')
-          .option("encoding", enc).option("mode", "PERMISSIVE")
-          .csv(file))
-    # multiLine: one file = one partition, so the ids follow record order
-    df = df.withColumn("_row_id", F.monotonically_increasing_id())
-    # skip blank records the way the sampler did: find the header by content
-    df = df.where(F.col("_overflow").isNull())  # S5: too many fields -> dropped
-    first = F.col("_c0")
-    df = df.withColumn("_c0", F.regexp_replace(first, "^\ufeff", ""))
-    header_cond = F.lit(True)
+          .option("encoding", encoding).option("mode", "PERMISSIVE")
+          .csv(files))
+    df = df.withColumn("_file", F.input_file_name()).withColumn("_row_id", F.monotonically_increasing_id())
+    df = df.where(F.col("_overflow").isNull())  # S5: too many fields -> dropped; too few -> null-padded
+    df = df.withColumn("_c0", F.regexp_replace(F.col("_c0"), "^\ufeff", ""))
+    is_header = F.lit(True)
     for i, name in enumerate(header):
-        header_cond = header_cond & (F.coalesce(F.col(f"_c{i}"), F.lit("")) == F.lit(name))
-    # rows after the first record equal to the header
-    hdr_id = df.where(header_cond).agg(F.min("_row_id").alias("__h"))
-    body = df.crossJoin(F.broadcast(hdr_id)).where(F.col("_row_id") > F.col("__h")).drop("__h", "_overflow")
-    return body, header
+        is_header = is_header & (F.coalesce(F.col(f"_c{i}"), F.lit("")) == F.lit(name))
+    # (files) rows: Spark broadcasts it when small, shuffles otherwise
+    starts = df.where(is_header).groupBy("_file").agg(F.min("_row_id").alias("__h"))
+    return df.join(starts, "_file").where(F.col("_row_id") > F.col("__h")).drop("__h", "_overflow", "_file")
 
 
 def null_tokens(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -233,21 +238,27 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.dropna(how="all", subset=data)
 
 
-def read_export(spark: SparkSession, path: str, min_numeric_ratio: float = 0.6, glob: str = "*.csv") -> DataFrame:
-    """One or many exports -> one typed table with ``_row_id`` (file order).
+def read_export(spark: SparkSession, path: str, min_numeric_ratio: float = 0.6, glob: str = "*.csv",
+                max_parallel_samples: int = 16) -> DataFrame:
+    """One or many exports -> one typed table with ``_row_id`` (record order).
 
-    Files with different headers are read one by one and stacked by column
-    name; the file listing is metadata only.
+    Heads are sampled concurrently (a few lines per file); files sharing an
+    encoding and header are read by one CSV scan; groups with different
+    headers are stacked by column name.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     files = [r["path"] for r in list_files(spark, path, glob).orderBy("path").select("path").collect()]
     if not files:
         raise FileNotFoundError(f"no {glob} files under {path}")
+    with ThreadPoolExecutor(max_workers=max(1, min(max_parallel_samples, len(files)))) as pool:
+        heads = list(pool.map(lambda f: sample_head(spark, f), files))
+    groups: dict[tuple, list[str]] = {}
+    for f, (enc, header) in zip(files, heads):
+        groups.setdefault((enc, tuple(header)), []).append(f)
     parts = []
-    for i, f in enumerate(files):
-        body, header = _read_one(spark, f)
-        named = _name_columns(body, header)
-        # file order first, then record order: a global row key
-        named = named.withColumn("_row_id", F.col("_row_id") + F.lit(i) * F.lit(1 << 40))
+    for (enc, header), members in groups.items():
+        named = _name_columns(_read_group(spark, members, enc, list(header)), list(header))
         parts.append(null_tokens(named, [c for c in named.columns if c != "_row_id"]))
     raw = parts[0]
     for p in parts[1:]:

@@ -72,3 +72,15 @@ def test_empty_rows_and_multiline(spark, cases):
     assert rows(read_export(spark, cases["empty_rows.csv"])) == [("a", "1"), ("b", "2")]
     ml = rows(read_export(spark, cases["multiline.csv"]))
     assert ml[0][1] == "line one\nline two" and len(ml) == 2
+
+
+def test_many_files_mixed_headers(spark, tmp_path):
+    d = tmp_path / "mixed"
+    d.mkdir()
+    (d / "a.csv").write_bytes(b"Report,,\nPost ID,Reach,Likes\n1,100,5\n2,200,6\n")
+    (d / "b.csv").write_bytes(b"Post ID,Reach,Likes\n3,300,7\n")
+    (d / "c.csv").write_bytes(b"Post ID,Reach,Saves\n4,400,1\n")
+    df = read_export(spark, str(d))
+    got = sorted((r["post_id"], r["reach"], r["likes"], r["saves"]) for r in df.collect())
+    assert got == [("1", 100.0, 5.0, None), ("2", 200.0, 6.0, None), ("3", 300.0, 7.0, None),
+                   ("4", 400.0, None, 1.0)]
