@@ -259,14 +259,26 @@ def read_export(spark: SparkSession, path: str, min_numeric_ratio: float = 0.6,
     parts = []
     for (enc, header), members in groups.items():
         named = _name_columns(_read_group(spark, members, enc, list(header)), list(header))
-        parts.append(null_tokens(named, [c for c in named.columns if c != "_row_id"]))
-    raw = parts[0]
-    for p in parts[1:]:
-        raw = raw.unionByName(p, allowMissingColumns=True)
-    typed = clean_ids(raw)
-    typed = smart_numeric(typed, min_numeric_ratio)
-    typed = parse_dates(typed)
-    return drop_empty_rows(typed)
+        raw = null_tokens(named, [c for c in named.columns if c != "_row_id"])
+        # types are decided per header group, as the reference decides per file
+        typed = parse_dates(smart_numeric(clean_ids(raw), min_numeric_ratio))
+        parts.append(drop_empty_rows(typed))
+    return _stack(parts)
+
+
+def _stack(parts: list[DataFrame]) -> DataFrame:
+    """Union by name; a column typed differently across groups falls back to text."""
+    types: dict[str, set] = {}
+    for p in parts:
+        for f in p.schema.fields:
+            types.setdefault(f.name, set()).add(f.dataType.simpleString())
+    mixed = {c for c, ts in types.items() if len(ts) > 1}
+    out = None
+    for p in parts:
+        if mixed & set(p.columns):
+            p = p.withColumns({c: F.col(c).cast("string") for c in mixed & set(p.columns)})
+        out = p if out is None else out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def content_type_of(df: DataFrame) -> str:
