@@ -158,10 +158,11 @@ def make_model(name: str, variant: str = "api", gbt_subsample: float = 0.8):
         trees, depth, leaf = (500, 12, 2) if variant == "library" else (400, 10, 3)
         return RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=trees, maxDepth=depth,
                                      minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=SEED,
-                                     checkpointInterval=10)
+                                     checkpointInterval=10, cacheNodeIds=True)
     if name == "Gradient Boosting":
         return GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=300, maxDepth=5, stepSize=0.05,
-                            subsamplingRate=gbt_subsample, seed=SEED, checkpointInterval=10)
+                            subsamplingRate=gbt_subsample, seed=SEED, checkpointInterval=10,
+                            cacheNodeIds=True)
     raise ValueError(name)
 
 

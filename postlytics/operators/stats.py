@@ -298,8 +298,9 @@ def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: floa
     One result row; when a requirement is not met the row carries ``error``.
     """
     d = pre.roles.duration
-    reels = duration_rows(pre, lo, hi, lo_inclusive)
-    t = with_terciles(reels, d).where(F.col("duration_group").isNotNull())
+    # the labelled reels feed a dozen one-row branches: cut the lineage once
+    reels = duration_rows(pre, lo, hi, lo_inclusive).select(d, ER).checkpoint(eager=True)
+    t = with_terciles(reels, d).where(F.col("duration_group").isNotNull()).checkpoint(eager=True)
     m = group_moments(t, "duration_group", ER, min_group)
     mo = m.withColumn("ord", F.when(F.col("grp") == "Short", 1).when(F.col("grp") == "Medium", 2).otherwise(3))
     a = anova_from_moments(m)
