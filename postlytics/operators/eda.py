@@ -23,6 +23,7 @@ from postlytics.operators.features import ER, TOTAL, Prepared
 # Calendar order used by the reports.
 WEEKDAY_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 DEFAULT_BENCHMARK = 5.0
+SQRT_2PI = 2.5066282746310002
 
 
 def _er() -> Column:
@@ -120,8 +121,8 @@ def er_outlier_summary(pre: Prepared, k: float = 1.5) -> DataFrame:
     b = F.broadcast(er_bounds(pre, k))
     joined = pre.df.select(ER).crossJoin(b)
     is_out = (_er() < F.col("lower_bound")) | (_er() > F.col("upper_bound"))
-    agg = joined.groupBy("q1", "median", "q3", "iqr", "lower_bound", "upper_bound").agg(
-        F.count_if(is_out).alias("outliers"), F.count(F.lit(1)).alias("rows"))
+    agg = joined.agg(*[F.first(c).alias(c) for c in ["q1", "median", "q3", "iqr", "lower_bound", "upper_bound"]],
+                     F.count_if(is_out).alias("outliers"), F.count(F.lit(1)).alias("rows"))
     return agg.select(
         *[rint_round(F.col(c), 4).alias(c) for c in ["q1", "median", "q3", "iqr", "lower_bound", "upper_bound"]],
         F.col("outliers").cast("bigint").alias("outliers"),
@@ -320,10 +321,10 @@ def er_density(pre: Prepared, gridsize: int = 200, cut: float = 3.0) -> DataFram
     vals = pre.df.where(er.isNotNull()).groupBy(er.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     z = (F.col("x") - F.col("v")) / F.col("bw")
     dens = vals.crossJoin(F.broadcast(grid)).groupBy("point", "x", "n", "bw").agg(
-        F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("s"))
+        F.sum(F.col("c") * F.exp(F.lit(-0.5) * (z * z))).alias("s"))
     return dens.select(
-        "point", "x",
-        (F.col("s") / (F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))).alias("density"),
+        "point", rint_round(F.col("x"), 8).alias("x"),
+        rint_round(F.col("s") / (F.col("n") * F.col("bw") * F.lit(SQRT_2PI)), 10).alias("density"),
     ).orderBy("point")
 
 

@@ -517,3 +517,41 @@ a AS (SELECT sum(pow(label - prediction, 2)) AS sse, avg(abs(label - prediction)
              avg(pow(label - prediction, 2)) AS mse, var_pop(label) AS vy, count(label) AS n FROM p)
 SELECT {r('1.0 - sse / (vy * n)', 4)} AS r2, {r('mae', 4)} AS mae, {r('sqrt(mse)', 4)} AS rmse FROM a"""),
     }
+
+
+def report_sql() -> dict[str, str]:
+    e = eda_sql()
+
+    def part(section: str, body: str, key: str, value: str, text: str) -> str:
+        return (f"SELECT '{section}' AS section, CAST({key} AS VARCHAR) AS key, CAST({value} AS DOUBLE) AS value, "
+                f"CAST({text} AS VARCHAR) AS text FROM ({body})")
+
+    er_long = " UNION ALL ".join(
+        f"SELECT '{c}' AS k, {c} AS v FROM ({e['er_stats']})" for c in
+        ["mean", "median", "std", "min", "max", "q25", "q75"])
+    parts = [
+        part("summary", e["meta_summary"], "'total_posts'", "total_rows", "NULL"),
+        part("date_range", e["meta_summary"], "'start'", "NULL", "date_range_start"),
+        part("date_range", e["meta_summary"], "'end'", "NULL", "date_range_end"),
+        part("engagement_rate", er_long, "k", "v", "NULL"),
+        part("day_averages", e["er_by_weekday"], "weekday", "avg_er", "NULL"),
+        part("best_day", e["best_weekday"], "'best_day'", "avg_er", "best_weekday"),
+        part("top3_hours", e["top_hours"], "rank", "hour", "NULL"),
+        part("content_type_avg", e["er_by_type"], "post_type", "avg_er", "NULL"),
+        part("best_content_type", e["best_type"], "'best_type'", "avg_er", "best_type"),
+        part("engagement_breakdown", e["interaction_breakdown"], "interaction", "total", "NULL"),
+        part("monthly_trend", e["monthly_trend"], "month_end", "avg_er", "NULL"),
+        part("top10_posts", e["top_posts"], "rank", ER, "NULL"),
+        part("benchmark", e["benchmark_check"], "'beats_benchmark'", "benchmark", "beats_benchmark"),
+    ]
+    density = q(f"""
+, st AS (SELECT count({ER}) AS n, stddev_samp({ER}) AS sd, min({ER}) AS lo, max({ER}) AS hi FROM pre),
+st2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
+st3 AS (SELECT *, lo - 3.0 * bw AS g_lo, hi + 3.0 * bw AS g_hi FROM st2),
+grid AS (SELECT CAST(range AS INTEGER) AS point, g_lo + range * (g_hi - g_lo) / 199.0 AS x, n, bw
+         FROM range(200) CROSS JOIN st3),
+vals AS (SELECT {ER} AS v, count(*) AS c FROM pre WHERE {ER} IS NOT NULL GROUP BY 1),
+s AS (SELECT point, x, n, bw, sum(c * exp(-0.5 * (((x - v) / bw) * ((x - v) / bw)))) AS s
+      FROM grid CROSS JOIN vals GROUP BY point, x, n, bw)
+SELECT point, {r('x', 8)} AS x, {r('s / (n * bw * 2.5066282746310002)', 10)} AS density FROM s""")
+    return {"eda_report": " UNION ALL ".join(parts), "er_density": density}
