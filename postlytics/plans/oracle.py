@@ -555,3 +555,112 @@ s AS (SELECT point, x, n, bw, sum(c * exp(-0.5 * (((x - v) / bw) * ((x - v) / bw
       FROM grid CROSS JOIN vals GROUP BY point, x, n, bw)
 SELECT point, {r('x', 8)} AS x, {r('s / (n * bw * 2.5066282746310002)', 10)} AS density FROM s""")
     return {"eda_report": " UNION ALL ".join(parts), "er_density": density}
+
+
+# ---------------------------------------------------------------- Shapiro-Wilk twin
+def _poly_sql(coefs: list[float], x: str) -> str:
+    acc = repr(coefs[-1])
+    for c in reversed(coefs[:-1]):
+        acc = f"(({acc}) * ({x}) + {c!r})"
+    return acc
+
+
+def norm_ppf_sql(p: str) -> str:
+    """AS 241 from the same coefficient table as the Spark expression."""
+    from postlytics.functions import distributions as dd
+
+    q = f"(({p}) - 0.5)"
+    rc = f"(0.180625 - {q} * {q})"
+    central = f"({q} * {_poly_sql(dd._A, rc)} / {_poly_sql(dd._B, rc)})"
+    rr = f"sqrt(-ln(least({p}, 1.0 - ({p}))))"
+    near = f"({_poly_sql(dd._C, f'{rr} - 1.6')} / {_poly_sql(dd._D, f'{rr} - 1.6')})"
+    far = f"({_poly_sql(dd._E, f'{rr} - 5.0')} / {_poly_sql(dd._Fc, f'{rr} - 5.0')})"
+    tail = f"(CASE WHEN {rr} <= 5.0 THEN {near} ELSE {far} END)"
+    tail = f"(CASE WHEN {q} < 0 THEN -{tail} ELSE {tail} END)"
+    return f"(CASE WHEN abs({q}) <= 0.425 THEN {central} ELSE {tail} END)"
+
+
+def normcdf_ctes(src: str, out: str, steps: int = 400) -> str:
+    """``src(id, z)`` -> ``out(id, cdf)``: series / continued fraction of Q(1/2, z^2/2)."""
+    import math as _m
+
+    lg = repr(_m.lgamma(0.5))
+    tiny = "1e-300"
+
+    def fx(v):
+        return f"(CASE WHEN abs({v}) < {tiny} THEN {tiny} ELSE {v} END)"
+
+    an = "(-(s.i + 1.0) * ((s.i + 1.0) - 0.5))"
+    d_new = f"(1.0 / {fx(f'{an} * s.d + (s.b + 2.0)')})"
+    c_new = fx(f"(s.b + 2.0) + {an} / s.c")
+    return f"""
+, {out}_x AS (SELECT id, z, z * z / 2.0 AS x FROM {src}),
+{out}_s(id, i, term, total) AS (
+  SELECT id, 0, 1.0 / 0.5, 1.0 / 0.5 FROM {out}_x
+  UNION ALL
+  SELECT s.id, s.i + 1, s.term * x.x / (0.5 + (s.i + 1)), s.total + s.term * x.x / (0.5 + (s.i + 1))
+  FROM {out}_s s JOIN {out}_x x ON x.id = s.id WHERE s.i < {steps}
+),
+{out}_c(id, i, c, d, h, b) AS (
+  SELECT id, 0, 1.0 / {tiny}, 1.0 / (x + 0.5), 1.0 / (x + 0.5), x + 0.5 FROM {out}_x
+  UNION ALL
+  SELECT s.id, s.i + 1, {c_new}, {d_new}, s.h * {d_new} * {c_new}, s.b + 2.0
+  FROM {out}_c s WHERE s.i < {steps}
+),
+{out} AS (
+  SELECT x.id,
+         CASE WHEN x.z IS NULL THEN NULL WHEN x.z = 0 THEN 0.5
+              ELSE (CASE WHEN x.z > 0 THEN 1.0 - uq / 2.0 ELSE uq / 2.0 END) END AS cdf
+  FROM (SELECT x.*, CASE WHEN x.x < 1.5
+                         THEN 1.0 - s.total * exp(-x.x + 0.5 * ln(x.x) - {lg})
+                         ELSE exp(-x.x + 0.5 * ln(x.x) - {lg}) * c.h END AS uq
+        FROM {out}_x x JOIN (SELECT id, total FROM {out}_s WHERE i = {steps}) s ON s.id = x.id
+        JOIN (SELECT id, h FROM {out}_c WHERE i = {steps}) c ON c.id = x.id) x
+)
+"""
+
+
+def shapiro_sql_body(data_cte: str) -> str:
+    """CTEs from ``data_cte(grp, x)`` to ``sw(grp, n, w, p)`` (Royston 1995)."""
+    c1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
+    c2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
+    m = norm_ppf_sql("(rank - 0.375) / (n + 0.25)")
+    return f"""
+, sr AS (SELECT grp, x, row_number() OVER (PARTITION BY grp ORDER BY x) AS rank,
+                count(*) OVER (PARTITION BY grp) AS n FROM {data_cte}),
+sm AS (SELECT *, {m} AS m, least(rank, n - rank + 1) AS j,
+              CASE WHEN rank * 2 < n + 1 THEN -1.0 WHEN rank * 2 > n + 1 THEN 1.0 ELSE 0.0 END AS sgn FROM sr),
+sa AS (SELECT grp, n, sum(m * m) AS summ2,
+              sum(CASE WHEN j > 2 THEN m * x ELSE 0.0 END) AS mx_mid, sum(CASE WHEN j = 2 THEN m * x ELSE 0.0 END) AS mx_2,
+              sum(CASE WHEN j = 1 THEN sgn * x ELSE 0.0 END) AS sx_1, sum(CASE WHEN j = 2 THEN sgn * x ELSE 0.0 END) AS sx_2,
+              max(CASE WHEN rank = 1 THEN m END) AS m1, max(CASE WHEN rank = 2 THEN m END) AS m2, var_samp(x) AS var
+       FROM sm GROUP BY grp, n HAVING n >= 3),
+s1 AS (SELECT *, 1.0 / sqrt(CAST(n AS DOUBLE)) AS u, sqrt(summ2) AS ss FROM sa),
+s2 AS (SELECT *, {_poly_sql(c1, 'u')} - m1 / ss AS a1, {_poly_sql(c2, 'u')} - m2 / ss AS a2 FROM s1),
+s3 AS (SELECT *, CASE WHEN n > 5 THEN sqrt((summ2 - 2 * pow(m1, 2) - 2 * pow(m2, 2)) / (1 - 2 * pow(a1, 2) - 2 * pow(a2, 2)))
+                      ELSE sqrt((summ2 - 2 * pow(m1, 2)) / (1 - 2 * pow(a1, 2))) END AS fac FROM s2),
+s4 AS (SELECT *, CASE WHEN n = 3 THEN {0.5 ** 0.5!r} * sx_1
+                      ELSE mx_mid / fac + a1 * sx_1 + CASE WHEN n > 5 THEN a2 * sx_2 ELSE mx_2 / fac END END AS lin FROM s3),
+s5 AS (SELECT *, least(pow(lin, 2) / (var * (n - 1)), 1.0) AS w FROM s4),
+s6 AS (SELECT *, ln(1.0 - w) AS wy, {_poly_sql([-2.273, 0.459], 'CAST(n AS DOUBLE)')} AS gamma FROM s5),
+s7 AS (SELECT *, row_number() OVER (ORDER BY grp) AS id,
+              CASE WHEN n <= 11 THEN (-ln(gamma - wy) - {_poly_sql([0.5440, -0.39978, 0.025054, -6.714e-4], 'CAST(n AS DOUBLE)')})
+                                     / exp({_poly_sql([1.3822, -0.77857, 0.062767, -0.0020322], 'CAST(n AS DOUBLE)')})
+                   ELSE (wy - {_poly_sql([-1.5861, -0.31082, -0.083751, 0.0038915], 'ln(CAST(n AS DOUBLE))')})
+                        / exp({_poly_sql([-0.4803, -0.082676, 0.0030302], 'ln(CAST(n AS DOUBLE))')}) END AS z FROM s6)
+{normcdf_ctes('(SELECT id, z FROM s7)', 'nc')}
+, sw AS (
+  SELECT s7.grp, s7.n, s7.w,
+         CASE WHEN s7.n = 3 THEN greatest(0.0, {6 / 3.141592653589793!r} * (asin(sqrt(s7.w)) - {__import__('math').asin(0.75 ** 0.5)!r}))
+              WHEN s7.n <= 11 AND s7.wy >= s7.gamma THEN 1e-99
+              ELSE 1.0 - nc.cdf END AS p
+  FROM s7 JOIN nc ON nc.id = s7.id
+)
+"""
+
+
+def shapiro_sql() -> dict[str, str]:
+    body = f"""
+, sd AS (SELECT CAST(post_type AS VARCHAR) AS grp, {ER} AS x FROM pre WHERE post_type IS NOT NULL AND {ER} IS NOT NULL)
+""" + shapiro_sql_body("sd")
+    return {"shapiro_wilk": qr(body + f"SELECT grp, n, {r('w', 4)} AS W, {r('p', 4)} AS p_value, p > 0.05 AS normal FROM sw")}

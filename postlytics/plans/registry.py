@@ -234,9 +234,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from postlytics.plans.oracle import eda_sql, loader_sql, misc_sql, ml_sql, report_sql, stats_sql
+    from postlytics.plans.oracle import eda_sql, loader_sql, misc_sql, ml_sql, report_sql, shapiro_sql, stats_sql
 
     out = {}
+    out.update(shapiro_sql())
     out.update(report_sql())
     out.update(ml_sql())
     out.update(loader_sql())
