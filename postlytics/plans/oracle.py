@@ -663,4 +663,123 @@ def shapiro_sql() -> dict[str, str]:
     body = f"""
 , sd AS (SELECT CAST(post_type AS VARCHAR) AS grp, {ER} AS x FROM pre WHERE post_type IS NOT NULL AND {ER} IS NOT NULL)
 """ + shapiro_sql_body("sd")
-    return {"shapiro_wilk": qr(body + f"SELECT grp, n, {r('w', 4)} AS W, {r('p', 4)} AS p_value, p > 0.05 AS normal FROM sw")}
+    return {"shapiro_wilk": qr(body + f"SELECT grp, n, {r('w', 4)} AS W, {r('p', 4)} AS p_value, p > 0.05 AS normal FROM sw"),
+            "duration_test": duration_test_sql(), "test_summary": test_summary_sql()}
+
+
+def _anova_ctes(g: str, prefix: str) -> str:
+    """``g(grp, n, mean, var)`` -> ``{prefix}2(n_total, k, ssb, ssw, d1, d2, f, eta2)``; always one row."""
+    return f"""
+, {prefix}t AS (SELECT CAST(sum(n) AS BIGINT) AS n_total, count(*) AS k, sum(n * mean) / sum(n) AS gm FROM {g}),
+{prefix}1 AS (SELECT max(t.n_total) AS n_total, coalesce(max(t.k), 0) AS k,
+                     sum(g.n * pow(g.mean - t.gm, 2)) AS ssb, sum((g.n - 1) * coalesce(g.var, 0.0)) AS ssw
+              FROM {prefix}t t LEFT JOIN {g} g ON TRUE),
+{prefix}2 AS (SELECT *, CAST(k - 1 AS DOUBLE) AS d1, CAST(n_total - k AS DOUBLE) AS d2,
+                     (ssb / CAST(k - 1 AS DOUBLE)) / (ssw / CAST(n_total - k AS DOUBLE)) AS f,
+                     CASE WHEN ssb + ssw > 0 THEN ssb / (ssb + ssw) ELSE 0.0 END AS eta2 FROM {prefix}1)
+"""
+
+
+def duration_test_sql() -> str:
+    n1, n2 = "CAST(n1 AS DOUBLE)", "CAST(n2 AS DOUBLE)"
+    se_w = f"sqrt(v1 / {n1} + v2 / {n2})"
+    df_w = f"(pow(v1 / {n1} + v2 / {n2}, 2) / (pow(v1 / {n1}, 2) / ({n1} - 1) + pow(v2 / {n2}, 2) / ({n2} - 1)))"
+    sp2 = f"((({n1} - 1) * v1 + ({n2} - 1) * v2) / ({n1} + {n2} - 2))"
+    se_p = f"sqrt({sp2} * (1.0 / {n1} + 1.0 / {n2}))"
+    body = f"""
+, reels AS (SELECT CAST(duration_sec AS DOUBLE) AS d, {ER} AS v FROM pre WHERE {_REELS}),
+qq AS (SELECT quantile_cont(d, 1.0 / 3.0) AS q1, quantile_cont(d, 2.0 / 3.0) AS q2, min(d) AS dmin, max(d) AS dmax FROM reels),
+lab AS (SELECT reels.*, CASE WHEN NOT (dmin < q1 AND q1 < q2 AND q2 < dmax) THEN NULL
+                             WHEN d <= q1 THEN 'Short' WHEN d <= q2 THEN 'Medium' ELSE 'Long' END AS grp
+        FROM reels CROSS JOIN qq),
+t AS (SELECT * FROM lab WHERE grp IS NOT NULL),
+g AS (SELECT grp, count(v) AS n, avg(v) AS mean, var_samp(v) AS var,
+             CASE grp WHEN 'Short' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END AS ord
+      FROM t GROUP BY grp HAVING count(v) >= 3)
+{_anova_ctes('g', 'an')}
+, tz AS (SELECT t.grp, t.v FROM t JOIN g USING (grp)),
+md AS (SELECT grp, quantile_cont(v, 0.5) AS med FROM tz GROUP BY grp),
+zz AS (SELECT grp, abs(v - med) AS z FROM tz JOIN md USING (grp)),
+lg AS (SELECT grp, count(z) AS n, avg(z) AS mean, var_samp(z) AS var FROM zz GROUP BY grp)
+{_anova_ctes('lg', 'lv')}
+, g1 AS (SELECT n AS n1, mean AS m1, var AS v1 FROM g ORDER BY ord LIMIT 1),
+g2 AS (SELECT n AS n2, mean AS m2, var AS v2 FROM g ORDER BY ord DESC LIMIT 1),
+tt AS (SELECT (m1 - m2) / {se_p} AS tp, ({n1} + {n2} - 2) AS dfp, (m1 - m2) / {se_w} AS tw, {df_w} AS dfw
+       FROM (SELECT 1) one LEFT JOIN g1 ON TRUE LEFT JOIN g2 ON TRUE),
+src AS (
+  SELECT 1 AS id, d2 / 2.0 AS a, d1 / 2.0 AS b, d2 / (d2 + d1 * f) AS x FROM an2
+  UNION ALL SELECT 2, d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f) FROM lv2
+  UNION ALL SELECT 3, dfp / 2.0, 0.5, dfp / (dfp + tp * tp) FROM tt
+  UNION ALL SELECT 4, dfw / 2.0, 0.5, dfw / (dfw + tw * tw) FROM tt
+)
+{betainc_ctes('src', 'pv')}
+, sd2 AS (SELECT grp, v AS x FROM tz)
+{shapiro_sql_body('sd2')}
+, res AS (
+  SELECT (SELECT count(*) FROM reels) AS valid_reels, (SELECT count(*) FROM t) AS total_reels,
+         an2.k, an2.f, an2.eta2,
+         (SELECT CASE WHEN f <= 0 THEN 1.0 ELSE ibeta END FROM pv, an2 WHERE pv.id = 1) AS p_anova,
+         (SELECT ibeta FROM pv WHERE id = 2) AS levene_p,
+         tt.tp, tt.tw,
+         (SELECT ibeta FROM pv WHERE id = 3) AS p_pooled, (SELECT ibeta FROM pv WHERE id = 4) AS p_welch,
+         (SELECT bool_and(p > 0.05) FROM sw) AS normality_passed,
+         (SELECT '{{' || string_agg('"' || grp || '":' || CAST(n AS VARCHAR), ',' ORDER BY grp) || '}}' FROM g) AS group_counts,
+         (SELECT '{{' || string_agg('"' || grp || '":"' || printf('%.2f%%', mean) || '"', ',' ORDER BY grp) || '}}' FROM g)
+           AS group_means,
+         (SELECT grp FROM g ORDER BY mean DESC, grp LIMIT 1) AS best
+  FROM an2 CROSS JOIN tt
+),
+fin AS (
+  SELECT *, CASE WHEN k = 2 THEN (CASE WHEN levene_p > 0.05 THEN tp ELSE tw END) ELSE f END AS stat,
+            CASE WHEN k = 2 THEN (CASE WHEN levene_p > 0.05 THEN p_pooled ELSE p_welch END) ELSE p_anova END AS pval
+  FROM res
+)
+SELECT CASE WHEN valid_reels < 15 THEN printf('Only %d valid Reels: not enough for a reliable test (need >= %d).', valid_reels, 15)
+            WHEN total_reels = 0 THEN 'Could not create duration bins: tied tercile edges.'
+            WHEN k < 2 THEN 'Not enough duration groups with sufficient data.' END AS error,
+       CASE WHEN k = 2 THEN 'Two-Sample t-Test' ELSE 'One-Way ANOVA' END AS test_used,
+       valid_reels AS total_reels_analyzed, group_counts, group_means, best AS best_duration_group,
+       normality_passed, {r('levene_p', 4)} AS equal_variance_p, {r('stat', 3)} AS statistic,
+       {r('pval', 4)} AS p_value, CAST(0.05 AS DOUBLE) AS alpha, pval < 0.05 AS reject_h0,
+       {r('eta2', 3)} AS effect_size_eta2,
+       'The effect of duration on engagement is ' || CASE WHEN pval < 0.05 THEN 'significant' ELSE 'not significant' END
+         || ' (p = ' || printf('%.4f', pval) || '). We '
+         || CASE WHEN pval < 0.05 THEN 'reject' ELSE 'do NOT reject' END || ' the null hypothesis.' AS conclusion,
+       CASE WHEN best = 'Short' THEN 'Focus on Short Reels: they have the highest mean engagement rate.'
+            ELSE 'Duration matters less than content quality: test hooks, trends and thumbnails.' END AS agency_recommendation
+FROM fin
+"""
+    return qr(body)
+
+
+def test_summary_sql() -> str:
+    s = stats_sql_base()
+    dur = duration_test_sql()
+
+    def pstr(p: str) -> str:
+        return f"regexp_replace(printf('%.4f', {p}), '(\\.[0-9]*?)0+$', '\\1')"
+
+    lab = _label("effect_size")
+    rows = f"""
+SELECT 'content_type' AS test_name, test, statistic, p_value, reject_h0, effect_size, effect_label,
+       'Content type ' || CASE WHEN reject_h0 THEN 'DOES' ELSE 'does NOT' END || ' significantly affect ER (p='
+       || {pstr('p_value')} || ', effect=' || effect_label || '). Best: ' || best_group || '.' AS interpretation
+FROM ({s['anova_content_type']})
+UNION ALL
+SELECT 'weekend', test, statistic, p_value, reject_h0, effect_size, effect_label,
+       better_period || ' posts perform ' || CASE WHEN reject_h0 THEN 'significantly' ELSE 'slightly' END
+       || ' better (p=' || {pstr('p_value')} || ', effect=' || effect_label || '). Weekday avg: '
+       || printf('%.2f', weekday_avg) || '% | Weekend avg: ' || printf('%.2f', weekend_avg) || '%.'
+FROM ({s['welch_weekend']})
+UNION ALL
+SELECT 'reel_duration', test_used, statistic, p_value, reject_h0, {r('effect_size_eta2', 4)},
+       {_label('effect_size_eta2')}, conclusion
+FROM ({dur}) WHERE error IS NULL
+"""
+    del lab
+    return f"""
+SELECT *, CASE WHEN reject_h0 THEN 'reject H0' ELSE 'do not reject H0' END AS decision,
+       CASE WHEN reject_h0 THEN 'Act on ' || test_name || ': the difference is real.'
+            ELSE 'No action on ' || test_name || ': the difference may be chance.' END AS action
+FROM ({rows})
+"""
