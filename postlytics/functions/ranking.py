@@ -16,6 +16,8 @@ import os
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlytics.session import cut_lineage
+
 
 def ranks_within_groups(df: DataFrame, group: str, value: str, num_partitions: int | None = None) -> DataFrame:
     """Add ``rank`` (1..n, ties in arbitrary order) and ``n`` per group.
@@ -29,7 +31,7 @@ def ranks_within_groups(df: DataFrame, group: str, value: str, num_partitions: i
                .withColumn("__pid", F.spark_partition_id())
                .withColumn("__pos", F.monotonically_increasing_id()))
     # one lineage cut so both uses below see the same physical order
-    ordered = ordered.checkpoint(eager=True) if _checkpoint_ok(spark) else ordered.cache()
+    ordered = cut_lineage(ordered)
     blocks = ordered.groupBy("__pid", group).agg(
         F.count(F.lit(1)).alias("__cnt"), F.min("__pos").alias("__first"))
     w = Window.partitionBy(group).orderBy("__pid")
@@ -42,13 +44,6 @@ def ranks_within_groups(df: DataFrame, group: str, value: str, num_partitions: i
         .drop("__pid", "__pos", "__offset", "__first")
 
 
-def _checkpoint_ok(spark) -> bool:
-    try:
-        return spark.sparkContext.getCheckpointDir() is not None
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no SparkContext
-        return False
-
-
 # Above this many distinct values per group the value->count map of
 # ``percentile`` is no longer a safe single-task state; ranks take over.
 MAP_QUANTILE_MAX_DISTINCT = 1_000_000

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from postlytics.functions.columns import rint_round
 from postlytics.operators.features import ER, Prepared
+from postlytics.session import checkpoint_dir
 
 SEED = 42
 LABEL = "label"
@@ -168,6 +169,7 @@ def make_model(name: str, variant: str = "api", gbt_subsample: float = 0.8):
 
 def _fit(name: str, fs: FeatureSet, train: DataFrame, variant: str, alpha: float = 1.0,
          gbt_subsample: float = 0.8) -> PipelineModel:
+    checkpoint_dir(train.sparkSession)  # tree models checkpoint every 10 iterations
     st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("sy")).first()
     n, sy = st["n"], st["sy"] or 0.0
     model = make_model(name, variant, gbt_subsample)

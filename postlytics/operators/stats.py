@@ -16,6 +16,7 @@ from postlytics.functions.columns import rint_round
 from postlytics.functions.distributions import f_sf, norm_cdf, norm_ppf, t_two_sided_p
 from postlytics.functions.ranking import group_quantiles, ranks_within_groups
 from postlytics.operators.features import ER, Prepared
+from postlytics.session import cut_lineage
 
 ALPHA = 0.05
 
@@ -299,8 +300,8 @@ def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: floa
     """
     d = pre.roles.duration
     # the labelled reels feed a dozen one-row branches: cut the lineage once
-    reels = duration_rows(pre, lo, hi, lo_inclusive).select(d, ER).checkpoint(eager=True)
-    t = with_terciles(reels, d).where(F.col("duration_group").isNotNull()).checkpoint(eager=True)
+    reels = cut_lineage(duration_rows(pre, lo, hi, lo_inclusive).select(d, ER))
+    t = cut_lineage(with_terciles(reels, d).where(F.col("duration_group").isNotNull()))
     m = group_moments(t, "duration_group", ER, min_group)
     mo = m.withColumn("ord", F.when(F.col("grp") == "Short", 1).when(F.col("grp") == "Medium", 2).otherwise(3))
     a = anova_from_moments(m)

@@ -51,3 +51,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
+
+    Never ``localCheckpoint``: executor-local blocks vanish with the executor.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
