@@ -472,6 +472,13 @@ def top_posts(pre: Prepared, n: int = 10, columns: list[str] | None = None) -> D
     return ranked.select(F.row_number().over(w).alias("rank"), *columns)
 
 
+def top_posts_library(pre: Prepared, n: int = 10) -> DataFrame:
+    """T1, library variant: date, rate, total engagements and the denominator column."""
+    r = pre.roles
+    den = r.reach or r.views or r.impressions
+    return top_posts(pre, n, [c for c in (r.date, ER, TOTAL, den) if c])
+
+
 def top5_posts(pre: Prepared) -> DataFrame:
     """The five best posts with date (or N/A), type and interactions."""
     r = pre.roles

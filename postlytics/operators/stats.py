@@ -293,10 +293,13 @@ def shapiro_by(pre: Prepared, group: str | None = None, alpha: float = ALPHA) ->
 
 
 def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: float = 90.0,
-                  lo_inclusive: bool = False, min_reels: int = 15, min_group: int = 3) -> DataFrame:
+                  lo_inclusive: bool = False, min_reels: int = 15, min_group: int = 3,
+                  t_test: str = "levene") -> DataFrame:
     """H4: does reel duration affect the rate?  ANOVA over terciles, t-test if 2 remain.
 
-    One result row; when a requirement is not met the row carries ``error``.
+    ``t_test``: ``levene`` (library: pooled when Levene does not reject, else
+    Welch), ``pooled`` (notebook) or ``welch``.  One result row; when a
+    requirement is not met the row carries ``error``.
     """
     d = pre.roles.duration
     # the labelled reels feed a dozen one-row branches: cut the lineage once
@@ -326,7 +329,7 @@ def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: floa
     row = (all_reels.crossJoin(counts).crossJoin(a).crossJoin(lev).crossJoin(tt_p).crossJoin(tt_w)
            .crossJoin(sw).crossJoin(summary).crossJoin(best).crossJoin(short_mean))
     two = F.col("k") == 2
-    pooled = F.col("levene_p") > alpha
+    pooled = {"levene": F.col("levene_p") > alpha, "pooled": F.lit(True), "welch": F.lit(False)}[t_test]
     stat = F.when(two, F.when(pooled, F.col("t_pooled")).otherwise(F.col("t_welch"))).otherwise(F.col("F"))
     pval = F.when(two, F.when(pooled, F.col("p_pooled")).otherwise(F.col("p_welch"))).otherwise(F.col("p"))
     reject = pval < alpha

@@ -255,6 +255,13 @@ SELECT CAST(row_number() OVER (ORDER BY {er} DESC NULLS LAST, post_id) AS INTEGE
        coalesce(CAST(post_type AS VARCHAR), '') AS content_type,
        CAST(total_engagements AS BIGINT) AS interactions, {r(er, 1)} AS er_1dp
 FROM pre ORDER BY {er} DESC NULLS LAST, post_id LIMIT 5"""),
+        "top_posts_library": q(f"""
+SELECT CAST(row_number() OVER (ORDER BY {er} DESC NULLS LAST, post_id) AS INTEGER) AS rank,
+       publish_time, {er}, total_engagements, reach
+FROM pre ORDER BY {er} DESC NULLS LAST, post_id LIMIT 10"""),
+        "er_histogram_25": _histogram(25),
+        "benchmark_check_notebook": q(f"""
+SELECT {r(f'avg({er})', 2)} AS avg_er, CAST(3.5 AS DOUBLE) AS benchmark, avg({er}) > 3.5 AS beats_benchmark FROM pre"""),
         "benchmark_check": q(f"""
 SELECT {r(f'avg({er})', 2)} AS avg_er, CAST(5.0 AS DOUBLE) AS benchmark, avg({er}) > 5.0 AS beats_benchmark FROM pre"""),
         "benchmark_status": q(f"""
@@ -390,8 +397,26 @@ def stats_sql() -> dict[str, str]:
     return out
 
 
+def _terciles_sql(where: str) -> str:
+    return q(f"""
+, reels AS (SELECT CAST(duration_sec AS DOUBLE) AS d, {ER} AS v FROM pre WHERE {where}),
+qq AS (SELECT quantile_cont(d, 1.0 / 3.0) AS q1, quantile_cont(d, 2.0 / 3.0) AS q2, min(d) AS dmin, max(d) AS dmax FROM reels),
+lab AS (SELECT reels.*, CASE WHEN NOT (dmin < q1 AND q1 < q2 AND q2 < dmax) THEN NULL
+                             WHEN d <= q1 THEN 'Short' WHEN d <= q2 THEN 'Medium' ELSE 'Long' END AS duration_group
+        FROM reels CROSS JOIN qq)
+SELECT duration_group, CASE duration_group WHEN 'Short' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END AS group_order,
+       count(*) AS reels, {r('avg(v)', 2)} AS mean_er, min(d) AS min_duration, max(d) AS max_duration
+FROM lab WHERE duration_group IS NOT NULL GROUP BY duration_group""")
+
+
+_REELS_NOTEBOOK = (f"regexp_matches(CAST(post_type AS VARCHAR), 'reel|video', 'i') "
+                   f"AND CAST(duration_sec AS DOUBLE) >= 3.0 AND CAST(duration_sec AS DOUBLE) <= 180.0 "
+                   f"AND duration_sec IS NOT NULL AND {ER} IS NOT NULL")
+
+
 def stats_sql_base() -> dict[str, str]:
     return {
+        "duration_terciles_notebook": _terciles_sql(_REELS_NOTEBOOK),
         "anova_content_type": qr(_moments("post_type") + _anova_tail("g") + f"""
 , best AS (SELECT grp AS best FROM g ORDER BY mean DESC, grp LIMIT 1)
 SELECT 'One-Way ANOVA' AS test, {r('f', 4)} AS statistic, {r('p', 4)} AS p_value, d1 AS df_between,

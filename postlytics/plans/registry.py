@@ -73,8 +73,11 @@ EDA_QUERIES: dict[str, Query] = {
     "distinct_types": _on_pre(eda.distinct_types),
     "top_posts": _on_pre(eda.top_posts),
     "top5_posts": _on_pre(eda.top5_posts),
+    "top_posts_library": _on_pre(eda.top_posts_library),
+    "er_histogram_25": _on_pre(lambda p: eda.er_histogram(p, 25)),
     "benchmark_check": _on_pre(eda.benchmark_check),
     "benchmark_status": _on_pre(eda.benchmark_status),
+    "benchmark_check_notebook": _on_pre(lambda p: eda.benchmark_check(p, 3.5)),
     # rows-only (no exact SQL twin)
     "er_density": _on_pre(eda.er_density),
     "mean_ci": _on_pre(eda.mean_ci),
@@ -90,6 +93,7 @@ STATS_QUERIES: dict[str, Query] = {
     "levene": _on_pre(stats.levene_by),
     "p_values": _on_pre(stats.p_values),
     "duration_terciles": _on_pre(stats.duration_terciles),
+    "duration_terciles_notebook": _on_pre(lambda p: stats.duration_terciles(p, 3.0, 180.0, lo_inclusive=True)),
     # rows-only
     "shapiro_wilk": _on_pre(stats.shapiro_by),
     "duration_test": _on_pre(stats.duration_test),

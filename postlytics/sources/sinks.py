@@ -49,3 +49,17 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def write_summary_csv(pre, path: str) -> None:
+    """The describe table (with outlier counts) as one small CSV."""
+    from postlytics.operators.eda import describe_numeric
+
+    write_csv(describe_numeric(pre), path, single_file=True)
+
+
+def write_top_posts_csv(pre, path: str, n: int = 10) -> None:
+    """Date, rate, total and denominator of the n best posts."""
+    from postlytics.operators.eda import top_posts_library
+
+    write_csv(top_posts_library(pre, n), path, single_file=True)
