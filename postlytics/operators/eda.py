@@ -358,28 +358,58 @@ def box_stats(pre: Prepared, group: str | None = None, k: float = 1.5, value: st
     )
 
 
+# Poisson cdf tables for counts 1..POISSON_TABLE_MAX, built from the pmf recurrence.
+POISSON_TABLE_MAX = 40
+
+
+def _poisson_cdf_table() -> list[list[float]]:
+    table = []
+    for lam in range(1, POISSON_TABLE_MAX + 1):
+        kmax = int(lam + 12 * math.sqrt(lam) + 12)
+        pmf, cdf, acc = math.exp(-lam), [], 0.0
+        for k in range(kmax + 1):
+            acc += pmf
+            cdf.append(min(acc, 1.0))
+            pmf *= lam / (k + 1)
+        table.append(cdf)
+    return table
+
+
+def poisson_weight(count: Column, u: Column) -> Column:
+    """Poisson(count) draw from a uniform u: exact inverse cdf for counts up to 40
+    (table lookup), normal approximation with continuity correction above."""
+    from postlytics.functions.distributions import norm_ppf
+
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in _poisson_cdf_table()])
+    exact = F.size(F.filter(F.element_at(table, count.cast("int")), lambda x: x < u))
+    lam = count.cast("double")
+    approx = F.greatest(F.lit(0.0), F.floor(lam + F.sqrt(lam) * norm_ppf(u) + 0.5))
+    return F.when(count <= POISSON_TABLE_MAX, exact.cast("double")).otherwise(approx)
+
+
 def mean_ci(pre: Prepared, group: str = "weekday", n_boot: int = 1000, level: float = 0.95,
             seed: int = 42) -> DataFrame:
     """Bootstrap interval of each group's mean (Poisson bootstrap).
 
-    Each post gets, per replicate, a Poisson(1) weight from a hash of (post,
-    replicate, seed); the replicate sums are map-side partial aggregates over
-    (group, replicate), so no group is ever materialised in one task.
+    Rows are first reduced to (group, value, count).  Resampling every post
+    with a Poisson(1) weight is the same as giving each distinct value a
+    Poisson(count) weight, so each replicate costs one draw per distinct value
+    instead of one per post.  Draws come from a hash of (group, value,
+    replicate, seed): repeatable under any partitioning or retry.  Replicate
+    sums are map-side partial aggregates; only groups x replicates rows shuffle.
     """
     key = F.col(group)
-    rowkey = _row_key(pre)
-    df = pre.df.where(key.isNotNull() & _er().isNotNull()).select(key.alias("grp"), ER, rowkey.alias("__k"))
-    reps = df.sparkSession.range(n_boot).select(F.col("id").alias("rep"))
-    u = (F.abs(F.xxhash64(F.col("__k"), F.col("rep"), F.lit(seed))) % F.lit(1 << 30)).cast("double") / float(1 << 30)
-    # Poisson(1) by inverse cdf on the hashed uniform
-    cum = [math.exp(-1.0) * sum(1.0 / math.factorial(j) for j in range(i + 1)) for i in range(12)]
-    weight = F.lit(12)
-    for i in reversed(range(12)):
-        weight = F.when(u < F.lit(cum[i]), F.lit(i)).otherwise(weight)
-    w = df.crossJoin(F.broadcast(reps)).withColumn("w", weight.cast("double"))
-    rep_means = w.groupBy("grp", "rep").agg((F.sum(F.col("w") * _er()) / F.sum("w")).alias("m"))
+    vals = pre.df.where(key.isNotNull() & _er().isNotNull()).groupBy(key.cast("string").alias("grp"), _er().alias("v")) \
+        .agg(F.count(F.lit(1)).alias("c"))
+    reps = vals.sparkSession.range(n_boot).select(F.col("id").alias("rep"))
+    h = F.xxhash64(F.col("grp"), F.col("v"), F.col("rep"), F.lit(seed))
+    u = (h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + 0.5) / float(1 << 53)
+    w = vals.crossJoin(F.broadcast(reps)).withColumn("w", poisson_weight(F.col("c"), u))
+    rep_means = w.groupBy("grp", "rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    means = df.groupBy("grp").agg(F.avg(ER).alias("mean"), F.count(F.lit(1)).alias("n"))
+    means = vals.groupBy("grp").agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"),
+                                    F.sum("c").alias("n"))
+    # n_boot replicate means per group: a bounded percentile state
     ci = rep_means.groupBy("grp").agg(F.percentile("m", F.array(F.lit(lo), F.lit(hi))).alias("p"))
     return means.join(ci, "grp").select(
         "grp", "n", rint_round(F.col("mean"), 4).alias("mean"),

@@ -31,3 +31,28 @@ def test_same_result_under_any_partitioning(spark, pre_small):
     re = Prepared(pre_small.df.repartition(7), pre_small.roles, pre_small.denominator)
     b = sorted(map(tuple, eda.er_by_type(re).collect()))
     assert a == b
+
+
+def test_bootstrap_ci_close_to_normal_interval(spark, pre_small):
+    import math
+
+    out = {r["grp"]: r for r in eda.mean_ci(pre_small).collect()}
+    pdf = pre_small.df.select("weekday", "engagement_rate_pct").toPandas().dropna()
+    for day, g in pdf.groupby("weekday"):
+        r = out[day]
+        se = g.engagement_rate_pct.std(ddof=1) / math.sqrt(len(g))
+        assert r["n"] == len(g)
+        assert r["ci_low"] < r["mean"] < r["ci_high"]
+        width = r["ci_high"] - r["ci_low"]
+        assert 0.6 * 3.92 * se < width < 1.4 * 3.92 * se
+
+
+def test_poisson_weights_have_the_right_moments(spark):
+    from postlytics.operators.eda import poisson_weight
+
+    df = spark.range(200000).select(
+        ((F.xxhash64("id").bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + 0.5) / float(1 << 53)).alias("u"))
+    for c in (1, 7, 40, 100):
+        m, v = df.select(poisson_weight(F.lit(c), F.col("u")).alias("w")).agg(
+            F.avg("w"), F.var_samp("w")).first()
+        assert abs(m - c) < 0.05 * c + 0.02 and abs(v - c) < 0.1 * c + 0.05
