@@ -375,16 +375,43 @@ def _poisson_cdf_table() -> list[list[float]]:
     return table
 
 
-def poisson_weight(count: Column, u: Column) -> Column:
-    """Poisson(count) draw from a uniform u: exact inverse cdf for counts up to 40
-    (table lookup), normal approximation with continuity correction above."""
+def _poisson_one(u: Column) -> Column:
+    cdf = _poisson_cdf_table()[0]
+    out = F.lit(float(len(cdf)))
+    for k in reversed(range(len(cdf))):
+        out = F.when(u < F.lit(cdf[k]), F.lit(float(k))).otherwise(out)
+    return out
+
+
+def _poisson_table(count: Column, u: Column) -> Column:
+    rows = ", ".join("array(" + ", ".join(f"{x!r}D" for x in row) + ")" for row in _poisson_cdf_table())
+    table = F.expr(f"array({rows})")  # parsed once on the JVM, folded to one literal
+    return F.size(F.filter(F.element_at(table, count.cast("int")), lambda x: x < u)).cast("double")
+
+
+def _poisson_normal(count: Column, u: Column) -> Column:
     from postlytics.functions.distributions import norm_ppf
 
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in _poisson_cdf_table()])
-    exact = F.size(F.filter(F.element_at(table, count.cast("int")), lambda x: x < u))
     lam = count.cast("double")
-    approx = F.greatest(F.lit(0.0), F.floor(lam + F.sqrt(lam) * norm_ppf(u) + 0.5))
-    return F.when(count <= POISSON_TABLE_MAX, exact.cast("double")).otherwise(approx)
+    return F.greatest(F.lit(0.0), F.floor(lam + F.sqrt(lam) * norm_ppf(u) + 0.5))
+
+
+def poisson_weight(count: Column, u: Column) -> Column:
+    """Poisson(count) draw from a uniform u: exact inverse cdf for counts up to 40
+    (CASE chain for 1, table lookup up to 40), normal approximation with
+    continuity correction above."""
+    return F.when(count == 1, _poisson_one(u)).when(count <= POISSON_TABLE_MAX, _poisson_table(count, u)) \
+        .otherwise(_poisson_normal(count, u))
+
+
+def with_poisson_weights(df: DataFrame, count: str, u: str, out: str = "w") -> DataFrame:
+    """``poisson_weight`` split by count range, so each branch is one small
+    expression that stays inside whole-stage codegen."""
+    c, uu = F.col(count), F.col(u)
+    one = df.where(c == 1).withColumn(out, _poisson_one(uu))
+    mid = df.where((c > 1) & (c <= POISSON_TABLE_MAX)).withColumn(out, _poisson_table(c, uu))
+    big = df.where(c > POISSON_TABLE_MAX).withColumn(out, _poisson_normal(c, uu))
+    return one.unionByName(mid).unionByName(big)
 
 
 def mean_ci(pre: Prepared, group: str = "weekday", n_boot: int = 1000, level: float = 0.95,
@@ -404,7 +431,7 @@ def mean_ci(pre: Prepared, group: str = "weekday", n_boot: int = 1000, level: fl
     reps = vals.sparkSession.range(n_boot).select(F.col("id").alias("rep"))
     h = F.xxhash64(F.col("grp"), F.col("v"), F.col("rep"), F.lit(seed))
     u = (h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + 0.5) / float(1 << 53)
-    w = vals.crossJoin(F.broadcast(reps)).withColumn("w", poisson_weight(F.col("c"), u))
+    w = with_poisson_weights(vals.crossJoin(F.broadcast(reps)).withColumn("u", u), "c", "u")
     rep_means = w.groupBy("grp", "rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     means = vals.groupBy("grp").agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"),

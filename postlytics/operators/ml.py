@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from postlytics.functions.columns import rint_round
 from postlytics.operators.features import ER, Prepared
-from postlytics.session import checkpoint_dir
+from postlytics.session import checkpoint_dir, ensure_parallelism
 
 SEED = 42
 LABEL = "label"
@@ -162,8 +162,7 @@ def make_model(name: str, variant: str = "api", gbt_subsample: float = 0.8):
                                      checkpointInterval=10, cacheNodeIds=True)
     if name == "Gradient Boosting":
         return GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=300, maxDepth=5, stepSize=0.05,
-                            subsamplingRate=gbt_subsample, seed=SEED, checkpointInterval=10,
-                            cacheNodeIds=True)
+                            subsamplingRate=gbt_subsample, seed=SEED, checkpointInterval=10)
     raise ValueError(name)
 
 
@@ -199,7 +198,7 @@ class Trained:
 
 def prepare_model_data(pre: Prepared, variant: str = "api", test_size: float = 0.2, seed: int = SEED):
     fs = select_features(pre, variant)
-    rows = model_rows(pre, fs, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = ensure_parallelism(model_rows(pre, fs, seed)).persist(StorageLevel.MEMORY_AND_DISK)
     check_rows(rows, MIN_ROWS.get(variant, 30))
     train, test = split(rows, test_size)
     return fs, rows, train, test
@@ -308,7 +307,7 @@ def fill_planned(pre: Prepared, planned: DataFrame, fs: FeatureSet,
 def predict_posts(pre: Prepared, planned: DataFrame, clip: bool = True, variant: str = "predict") -> DataFrame:
     """Train gradient boosting on all complete rows, score a table of planned posts."""
     fs = select_features(pre, "api")
-    rows = model_rows(pre, fs).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = ensure_parallelism(model_rows(pre, fs)).persist(StorageLevel.MEMORY_AND_DISK)
     check_rows(rows, MIN_ROWS[variant])
     model = _fit("Gradient Boosting", fs, rows, "api", gbt_subsample=1.0)
     scored = model.transform(fill_planned(pre, planned, fs))

@@ -15,7 +15,7 @@ from postlytics.operators import eda, filters, ml, stats
 from postlytics.plans import reports
 from postlytics.operators.roles import resolve_roles, role_report
 from postlytics.sources import csv_export, sinks
-from postlytics.sources.exports import export_from_tables
+from postlytics.sources.exports import export_from_tables, materialized_posts
 from postlytics.operators.features import ER, TOTAL, Prepared, hour_label, meta_summary, preprocess
 from postlytics.sources.fixtures import posts_from_events
 
@@ -23,7 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
-    return preprocess(posts_from_events(spark, sf_dir))
+    """Preprocessed posts; the derivation from ``events`` is materialised once per session."""
+    return preprocess(materialized_posts(spark, sf_dir))
 
 
 def _on_pre(fn: Callable[[Prepared], DataFrame]) -> Query:

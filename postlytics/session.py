@@ -60,3 +60,11 @@ def cut_lineage(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ensure_parallelism(df):
+    """Spread a small input over all cores (no-op when it already has enough
+    partitions, i.e. always at scale).  Iterative jobs - model training - run
+    one task per partition, so a single-file input would run on one core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from postlytics.session import checkpoint_dir
+from postlytics.session import checkpoint_dir, ensure_parallelism
 from postlytics.sources.csv_export import write_messy_export
 from postlytics.sources.fixtures import posts_from_events
 
@@ -24,3 +24,18 @@ def export_from_tables(spark: SparkSession, sf_dir: str, num_files: int = 4) ->
         write_messy_export(posts_from_events(spark, sf_dir), path, num_files=num_files)
         _WRITTEN[key] = path
     return _WRITTEN[key]
+
+
+_POSTS: dict[tuple[str, str], str] = {}
+
+
+def materialized_posts(spark: SparkSession, sf_dir: str):
+    """The events-derived posts table, written once per session as Parquet in the
+    shared checkpoint folder and read back (scans then prune and push down)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _POSTS:
+        base = checkpoint_dir(spark).rstrip("/")
+        path = f"{base}/posts/{uuid.uuid4().hex}"
+        posts_from_events(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _POSTS[key] = path
+    return ensure_parallelism(spark.read.parquet(_POSTS[key]))
