@@ -41,6 +41,7 @@ LABEL = "label"
 # Model names and defaults of the reference's model zoo.
 MODEL_ORDER = ["Linear Regression", "Ridge Regression", "Random Forest", "Gradient Boosting"]
 MIN_ROWS = {"library": 50, "api": 30, "notebook": 30, "predict": 20}
+TEST_SIZE = {"library": 0.25, "api": 0.2, "notebook": 0.2}
 
 
 @dataclass(frozen=True)
@@ -196,7 +197,8 @@ class Trained:
     test: DataFrame
 
 
-def prepare_model_data(pre: Prepared, variant: str = "api", test_size: float = 0.2, seed: int = SEED):
+def prepare_model_data(pre: Prepared, variant: str = "api", test_size: float | None = None, seed: int = SEED):
+    test_size = test_size if test_size is not None else TEST_SIZE.get(variant, 0.2)
     fs = select_features(pre, variant)
     rows = ensure_parallelism(model_rows(pre, fs, seed)).persist(StorageLevel.MEMORY_AND_DISK)
     check_rows(rows, MIN_ROWS.get(variant, 30))
@@ -204,15 +206,17 @@ def prepare_model_data(pre: Prepared, variant: str = "api", test_size: float = 0
     return fs, rows, train, test
 
 
-def train_model(pre: Prepared, name: str, variant: str = "api", test_size: float = 0.2) -> Trained:
+def train_model(pre: Prepared, name: str, variant: str = "api", test_size: float | None = None) -> Trained:
     fs, _rows, train, test = prepare_model_data(pre, variant, test_size)
     return Trained(name, _fit(name, fs, train, variant), fs, test)
 
 
-def model_metrics(pre: Prepared, name: str, variant: str = "api", test_size: float = 0.2) -> DataFrame:
-    """M7-M11 for one model: fit on the train split, metrics on the test split."""
+def model_metrics(pre: Prepared, name: str, variant: str = "api", test_size: float | None = None) -> DataFrame:
+    """M7-M11 for one model: fit on the train split, metrics on the test split
+    (3 digits for the library variant, 4 otherwise)."""
     t = train_model(pre, name, variant, test_size)
-    return evaluate(t.model.transform(t.test)).select(F.lit(name).alias("model"), "*")
+    digits = 3 if variant == "library" else 4
+    return evaluate(t.model.transform(t.test), digits).select(F.lit(name).alias("model"), "*")
 
 
 def cross_validate(pre: Prepared, name: str, variant: str = "api", k: int = 5) -> DataFrame:
@@ -266,6 +270,11 @@ def feature_importance(t: Trained, digits: int = 4) -> DataFrame:
         .orderBy(F.desc("importance"), "feature")
 
 
+def top_features(importance: DataFrame, n: int = 10) -> DataFrame:
+    """T4: the n most important features (10 / 12 / 5 / 3 in the reference's views)."""
+    return importance.orderBy(F.desc("importance"), "feature").limit(n)
+
+
 def residual_summary(t: Trained) -> DataFrame:
     """Residual mean / population std, largest over- and under-estimate, axis limits."""
     p = t.model.transform(t.test).withColumn("res", F.col(LABEL) - F.col("prediction"))

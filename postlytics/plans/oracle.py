@@ -784,7 +784,6 @@ def test_summary_sql() -> str:
     def pstr(p: str) -> str:
         return f"regexp_replace(printf('%.4f', {p}), '(\\.[0-9]*?)0+$', '\\1')"
 
-    lab = _label("effect_size")
     rows = f"""
 SELECT 'content_type' AS test_name, test, statistic, p_value, reject_h0, effect_size, effect_label,
        'Content type ' || CASE WHEN reject_h0 THEN 'DOES' ELSE 'does NOT' END || ' significantly affect ER (p='
@@ -801,7 +800,6 @@ SELECT 'reel_duration', test_used, statistic, p_value, reject_h0, {r('effect_siz
        {_label('effect_size_eta2')}, conclusion
 FROM ({dur}) WHERE error IS NULL
 """
-    del lab
     return f"""
 SELECT *, CASE WHEN reject_h0 THEN 'reject H0' ELSE 'do not reject H0' END AS decision,
        CASE WHEN reject_h0 THEN 'Act on ' || test_name || ': the difference is real.'
