@@ -224,7 +224,7 @@ FROM pre WHERE reach IS NOT NULL AND {er} IS NOT NULL"""),
         "trend_line": q(f"""
 SELECT 'reach' AS x_column, {r(f'regr_slope({er}, reach)', 10)} AS slope,
        {r(f'regr_intercept({er}, reach)', 6)} AS intercept, {r(f'regr_r2({er}, reach)', 6)} AS r2,
-       regr_count({er}, reach) AS n_pairs FROM pre"""),
+       CAST(regr_count({er}, reach) AS BIGINT) AS n_pairs FROM pre"""),
         "er_histogram": _histogram(30),
         "box_stats": _box(None),
         "box_stats_by_type": _box("post_type"),
