@@ -68,8 +68,8 @@ def describe_numeric(pre: Prepared, k: float = 1.5, digits: int = 2) -> DataFram
     ).withColumn("iqr", F.col("p75") - F.col("p25")) \
      .withColumn("lower_bound", F.col("p25") - F.lit(k) * F.col("iqr")) \
      .withColumn("upper_bound", F.col("p75") + F.lit(k) * F.col("iqr"))
-    # one row per column: Spark's size-checked broadcast takes this side
-    outl = long.join(stats.select("column_name", "lower_bound", "upper_bound"), "column_name") \
+    # one row per numeric column: bounded by the schema, so broadcast
+    outl = long.join(F.broadcast(stats.select("column_name", "lower_bound", "upper_bound")), "column_name") \
         .groupBy("column_name").agg(
             F.count_if((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")))
             .alias("outliers_count"))

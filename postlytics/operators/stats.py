@@ -309,13 +309,14 @@ def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: floa
     mo = m.withColumn("ord", F.when(F.col("grp") == "Short", 1).when(F.col("grp") == "Medium", 2).otherwise(3))
     a = anova_from_moments(m)
     # two groups: t-test in label order, pooled when Levene does not reject
-    lev = levene(t.join(m.select(F.col("grp").alias("duration_group")), "duration_group"),
+    kept = F.broadcast(m.select(F.col("grp").alias("duration_group")))  # at most 3 labels
+    lev = levene(t.join(kept, "duration_group"),
                  "duration_group", ER).select(F.col("p").alias("levene_p"))
     first = mo.agg(F.min_by(F.struct("n", "mean", "var"), F.col("ord")).alias("s")).select("s.*")
     second = mo.agg(F.max_by(F.struct("n", "mean", "var"), F.col("ord")).alias("s")).select("s.*")
     tt_p = two_group_test(first, second, equal_var=True).select(F.col("t").alias("t_pooled"), F.col("p").alias("p_pooled"))
     tt_w = two_group_test(first, second, equal_var=False).select(F.col("t").alias("t_welch"), F.col("p").alias("p_welch"))
-    sw = shapiro_wilk(t.join(m.select(F.col("grp").alias("duration_group")), "duration_group"),
+    sw = shapiro_wilk(t.join(kept, "duration_group"),
                       "duration_group", ER, alpha).agg(F.bool_and("normal").alias("normality_passed"))
     counts = t.agg(F.count(F.lit(1)).alias("total_reels"))
     all_reels = reels.agg(F.count(F.lit(1)).alias("valid_reels"))

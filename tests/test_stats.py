@@ -138,3 +138,17 @@ def test_rank_quantiles_equal_map_quantiles(spark):
         assert np.allclose(a[k], b[k], rtol=0, atol=1e-9)
     one = group_quantiles(df, None, "v", [0.5], method="rank").first()["q"][0]
     assert one == pytest.approx(float(np.quantile([v for _, v in data], 0.5)), abs=1e-9)
+
+
+def test_ranks_split_a_run_of_ties(spark):
+    # a third of all rows share one (group, value): the ranks must still be a permutation
+    data = [("hot", 0.0)] * 3000 + [("hot", float(i)) for i in range(1, 3001)] + [("cold", float(i)) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, x double")
+    r = ranks_within_groups(df, "g", "x", num_partitions=8)
+    per = r.groupBy("g").agg(F.count("*").alias("c"), F.countDistinct("rank").alias("d"),
+                             F.min("rank").alias("lo"), F.max("rank").alias("hi")).collect()
+    for row in per:
+        assert row["c"] == row["d"] == row["hi"] and row["lo"] == 1
+    zero_parts = r.where((F.col("g") == "hot") & (F.col("x") == 0.0)).select(F.spark_partition_id()).distinct().count()
+    assert zero_parts >= 2  # the run of ties is cut over several tasks
+    assert r.where((F.col("g") == "hot") & (F.col("x") == 0.0)).agg(F.max("rank")).first()[0] == 3000
