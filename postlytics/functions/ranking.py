@@ -19,24 +19,28 @@ from pyspark.sql import functions as F
 from postlytics.session import cut_lineage
 
 
+def range_ordered(df: DataFrame, group: str, value: str, num_partitions: int | None = None) -> DataFrame:
+    """Range-partition on (group, value), sort inside partitions, and tag each row
+    with its partition (``__pid``) and an increasing position (``__pos``)."""
+    p = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a hash tie-breaker lets the range bounds cut a long run of one repeated
+    # value (a hot group with a third of all rows at 0.0) over many tasks
+    tb = F.xxhash64(F.monotonically_increasing_id(), F.spark_partition_id())
+    return (df.withColumn("__tb", tb)
+            .repartitionByRange(p, F.col(group), F.col(value), F.col("__tb"))
+            .sortWithinPartitions(group, value, "__tb")
+            .withColumn("__pid", F.spark_partition_id())
+            .withColumn("__pos", F.monotonically_increasing_id())
+            .drop("__tb"))
+
+
 def ranks_within_groups(df: DataFrame, group: str, value: str, num_partitions: int | None = None) -> DataFrame:
     """Add ``rank`` (1..n, ties in arbitrary order) and ``n`` per group.
 
     ``df`` must carry non-null ``group`` and ``value`` columns.
     """
-    spark = df.sparkSession
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a hash tie-breaker lets the range bounds cut a long run of one repeated
-    # value (a hot group with a third of all rows at 0.0) over many tasks
-    tb = F.xxhash64(F.monotonically_increasing_id(), F.spark_partition_id())
-    ordered = (df.withColumn("__tb", tb)
-               .repartitionByRange(p, F.col(group), F.col(value), F.col("__tb"))
-               .sortWithinPartitions(group, value, "__tb")
-               .withColumn("__pid", F.spark_partition_id())
-               .withColumn("__pos", F.monotonically_increasing_id())
-               .drop("__tb"))
     # one lineage cut so both uses below see the same physical order
-    ordered = cut_lineage(ordered)
+    ordered = cut_lineage(range_ordered(df, group, value, num_partitions))
     blocks = ordered.groupBy("__pid", group).agg(
         F.count(F.lit(1)).alias("__cnt"), F.min("__pos").alias("__first"))
     w = Window.partitionBy(group).orderBy("__pid")
