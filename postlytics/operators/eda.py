@@ -182,7 +182,7 @@ def er_by_hour(pre: Prepared, digits: int = 2) -> DataFrame:
 def top_hours(pre: Prepared, n: int = 3, digits: int = 2) -> DataFrame:
     """A10: the n best hours by mean rate (smaller hour first on ties)."""
     g = pre.df.where(F.col("hour").isNotNull()).groupBy("hour").agg(F.avg(_er()).alias("__m"))
-    w = Window.orderBy(F.desc("__m"), F.asc("hour"))
+    w = Window.orderBy(F.desc("__m"), F.asc("hour"))  # ranks the n rows left after the limit
     top = g.where(F.col("__m").isNotNull()).orderBy(F.desc("__m"), F.asc("hour")).limit(n)
     return top.select(F.row_number().over(w).alias("rank"), "hour",
                       rint_round(F.col("__m"), digits).alias("avg_er"))
@@ -219,10 +219,10 @@ def interaction_breakdown(pre: Prepared, digits: int = 2) -> DataFrame:
     parts = [(lbl, getattr(r, lbl)) for lbl in ("likes", "comments", "saves", "shares") if getattr(r, lbl)]
     sums = pre.df.agg(*[F.sum(F.col(c)).cast("bigint").alias(lbl) for lbl, c in parts])
     long = sums.unpivot([], [lbl for lbl, _ in parts], "interaction", "total")
-    w = Window.partitionBy()  # four rows: the window holds them all
-    return long.select(
+    total = sums.select(sum((F.col(lbl) for lbl, _ in parts), F.lit(0)).alias("__all"))
+    return long.crossJoin(F.broadcast(total)).select(
         "interaction", "total",
-        rint_round(F.col("total") / F.sum("total").over(w) * 100.0, digits).alias("share_pct"),
+        rint_round(F.col("total") / F.col("__all") * 100.0, digits).alias("share_pct"),
     )
 
 
@@ -525,7 +525,7 @@ def top_posts(pre: Prepared, n: int = 10, columns: list[str] | None = None) -> D
         columns = [c for c in (r.date, ER, r.type, r.likes, r.saves) if c]
     key = _row_key(pre)
     ranked = pre.df.select(*columns, key.alias("__k")).orderBy(_er().desc_nulls_last(), F.col("__k")).limit(n)
-    w = Window.orderBy(F.col(ER).desc_nulls_last(), F.col("__k"))
+    w = Window.orderBy(F.col(ER).desc_nulls_last(), F.col("__k"))  # over the n kept rows only
     return ranked.select(F.row_number().over(w).alias("rank"), *columns)
 
 
