@@ -35,3 +35,22 @@ def strip_number_text(c: Column) -> Column:
 def to_double_guarded(s: Column) -> Column:
     """Text to double only when it is a plain number, else null (never raises)."""
     return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
+
+
+def ntz_text(c: Column | str, style: str = "iso") -> Column:
+    """Wall-clock text of a timestamp, independent of the session time zone.
+
+    (``date_format`` routes through the session zone and moves wall times that
+    fall in a daylight-saving gap.)  ``style``: ``iso`` = yyyy-MM-dd HH:mm:ss,
+    ``dmy`` = dd/MM/yyyy HH:mm:ss, ``date`` = yyyy-MM-dd.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    if style == "date":
+        return c.cast("date").cast("string")
+    parts = [F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c), F.floor(F.second(c)).cast("int")]
+    if style == "iso":
+        return F.format_string("%04d-%02d-%02d %02d:%02d:%02d", *parts)
+    if style == "dmy":
+        y, mo, d, h, mi, s = parts
+        return F.format_string("%02d/%02d/%04d %02d:%02d:%02d", d, mo, y, h, mi, s)
+    raise ValueError(style)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlytics.functions.columns import rint_round
+from postlytics.functions.columns import ntz_text, rint_round
 from postlytics.functions.ranking import group_quantiles
 from postlytics.operators.features import ER, TOTAL, Prepared
 
@@ -539,7 +539,7 @@ def top_posts_library(pre: Prepared, n: int = 10) -> DataFrame:
 def top5_posts(pre: Prepared) -> DataFrame:
     """The five best posts with date (or N/A), type and interactions."""
     r = pre.roles
-    d = F.coalesce(F.date_format(F.col(r.date), "yyyy-MM-dd"), F.lit("N/A")) if r.date else F.lit("N/A")
+    d = F.coalesce(ntz_text(r.date, "date"), F.lit("N/A")) if r.date else F.lit("N/A")
     t = F.coalesce(F.col(r.type).cast("string"), F.lit("")) if r.type else F.lit("")
     key = _row_key(pre)
     ranked = pre.df.select(d.alias("date"), t.alias("content_type"),

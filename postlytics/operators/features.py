@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlytics.functions.columns import rint_round, safe_div, strip_number_text, to_double_guarded
+from postlytics.functions.columns import ntz_text, rint_round, safe_div, strip_number_text, to_double_guarded
 from postlytics.operators.roles import Roles, resolve_roles
 
 ER = "engagement_rate_pct"
@@ -188,8 +188,8 @@ def meta_summary(pre: Prepared) -> DataFrame:
     ]
     if pre.roles.date:
         d = F.col(pre.roles.date)
-        aggs += [F.date_format(F.min(d), "yyyy-MM-dd").alias("date_range_start"),
-                 F.date_format(F.max(d), "yyyy-MM-dd").alias("date_range_end")]
+        aggs += [ntz_text(F.min(d), "date").alias("date_range_start"),
+                 ntz_text(F.max(d), "date").alias("date_range_end")]
     else:
         aggs += [F.lit(None).cast("string").alias("date_range_start"),
                  F.lit(None).cast("string").alias("date_range_end")]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlytics.functions.columns import to_double_guarded
+from postlytics.functions.columns import ntz_text, to_double_guarded
 from postlytics.operators.roles import (
     DATE_NAME_KEYWORDS,
     HEADER_KEYWORDS,
@@ -195,8 +195,17 @@ def smart_numeric(df: DataFrame, ratio: float = 0.6, exclude: list[str] | None =
     return df.withColumns(conv) if conv else df
 
 
+def _parse_ntz(c: Column, pattern: str) -> Column:
+    """Wall-clock parse, independent of the session time zone (no DST-gap shifts).
+
+    ``try_to_timestamp`` screens the text (null instead of an ANSI error); the
+    value itself comes from ``to_timestamp_ntz``.
+    """
+    return F.when(F.try_to_timestamp(c, F.lit(pattern)).isNotNull(), F.to_timestamp_ntz(c, F.lit(pattern)))
+
+
 def _family_expr(c: Column, patterns: list[str]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in patterns])
+    return F.coalesce(*[_parse_ntz(c, p) for p in patterns])
 
 
 def parse_dates_column(df: DataFrame, name: str) -> Column:
@@ -220,7 +229,7 @@ def _date_exprs(df: DataFrame, names: list[str]) -> dict[str, Column]:
         counts = [row[f"c{i}_{j}"] for j in range(len(fams))]
         best = max(range(len(fams)), key=lambda j: (counts[j], -j))
         c = F.trim(F.col(n))
-        out[n] = F.coalesce(_family_expr(c, ISO_PATTERNS), _family_expr(c, fams[best][1])).cast("timestamp_ntz")
+        out[n] = F.coalesce(_family_expr(c, ISO_PATTERNS), _family_expr(c, fams[best][1]))
     return out
 
 
@@ -297,7 +306,7 @@ def write_messy_export(posts: DataFrame, path: str, num_files: int | None = None
         .otherwise(F.col("views").cast("string"))
     out = p.select(
         F.concat(F.col("post_id").cast("string"), F.lit(".0")).alias("Post ID"),
-        F.date_format("publish_time", "dd/MM/yyyy HH:mm:ss").alias("Publish time"),
+        ntz_text("publish_time", "dmy").alias("Publish time"),
         F.col("post_type").alias("Post type"),
         F.col("duration_sec").cast("string").alias("Duration (sec)"),
         F.format_number(F.col("reach"), 0).alias("Reach"),

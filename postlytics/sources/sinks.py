@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlytics.functions.columns import rint_round
+from postlytics.functions.columns import ntz_text, rint_round
 
 
 def json_safe(df: DataFrame, ndigits: int = 4) -> DataFrame:
@@ -21,7 +21,7 @@ def json_safe(df: DataFrame, ndigits: int = 4) -> DataFrame:
             bad = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
             out[f.name] = F.when(bad, F.lit(None).cast("double")).otherwise(rint_round(c.cast("double"), ndigits))
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            out[f.name] = F.date_format(c, "yyyy-MM-dd")
+            out[f.name] = ntz_text(c, "date")
     return df.withColumns(out) if out else df
 
 
@@ -29,7 +29,7 @@ def preview(df: DataFrame, n: int = 5, order_by: str | None = None) -> DataFrame
     """The first n rows in file order, timestamps as text."""
     key = order_by or ("_row_id" if "_row_id" in df.columns else ("post_id" if "post_id" in df.columns else None))
     base = df.orderBy(key) if key else df
-    conv = {f.name: F.date_format(F.col(f.name), "yyyy-MM-dd HH:mm:ss")
+    conv = {f.name: ntz_text(f.name, "iso")
             for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))}
     return base.limit(n).withColumns(conv) if conv else base.limit(n)
 

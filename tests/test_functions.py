@@ -40,3 +40,22 @@ def test_norm_ppf_symmetry(spark):
     assert row[0] == pytest.approx(-row[1], rel=1e-7)  # 1 - 1e-10 is itself rounded
     assert row[2] == 0.0
     assert math.isclose(row[0], -6.361340902, rel_tol=1e-8)
+
+
+def test_wall_clock_text_ignores_session_zone(spark):
+    import datetime as dt
+
+    from postlytics.functions.columns import ntz_text
+    from postlytics.sources.csv_export import _parse_ntz
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("10/03/2024 02:05:45",)], "s string")  # inside the DST gap
+        row = df.select(_parse_ntz(F.col("s"), "dd/MM/yyyy HH:mm:ss").alias("t")).select(
+            "t", ntz_text("t", "dmy").alias("dmy"), ntz_text("t", "iso").alias("iso"),
+            ntz_text("t", "date").alias("d")).first()
+        assert row["t"] == dt.datetime(2024, 3, 10, 2, 5, 45)
+        assert (row["dmy"], row["iso"], row["d"]) == ("10/03/2024 02:05:45", "2024-03-10 02:05:45", "2024-03-10")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
