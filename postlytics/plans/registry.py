@@ -216,6 +216,7 @@ ML_QUERIES: dict[str, Query] = {
     "forest_model": _metrics("Random Forest"),
     "boosted_model": _metrics("Gradient Boosting"),
     "cross_validate": _on_pre(lambda p: ml.cross_validate(p, "Linear Regression")),
+    "cross_validate_ridge": _on_pre(lambda p: ml.cross_validate(p, "Ridge Regression")),
     "compare_models": _compare,
     "feature_importance": lambda s, d: ml.feature_importance(trained(s, d, "Gradient Boosting")),
     "residual_summary": lambda s, d: ml.residual_summary(trained(s, d, "Gradient Boosting")),
