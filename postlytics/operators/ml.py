@@ -219,15 +219,22 @@ def model_metrics(pre: Prepared, name: str, variant: str = "api", test_size: flo
     return evaluate(t.model.transform(t.test), digits).select(F.lit(name).alias("model"), "*")
 
 
-def cross_validate(pre: Prepared, name: str, variant: str = "api", k: int = 5) -> DataFrame:
-    """K-fold R^2 over all complete rows: mean and population std."""
+def cross_validate(pre: Prepared, name: str, variant: str = "api", k: int = 5, parallelism: int = 5) -> DataFrame:
+    """K-fold R^2 over all complete rows: mean and population std.
+
+    Folds are fitted concurrently (Spark runs the jobs side by side, as
+    ``CrossValidator(parallelism=...)`` does).
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     fs, rows, _train, _test = prepare_model_data(pre, variant)
-    scores = []
-    for f in range(k):
-        tr = rows.where(F.col("fold") != f)
-        te = rows.where(F.col("fold") == f)
-        m = _fit(name, fs, tr, variant)
-        scores.append(evaluate(m.transform(te), digits=12).select(F.lit(f).alias("fold"), "r2"))
+
+    def fold_score(f: int) -> DataFrame:
+        m = _fit(name, fs, rows.where(F.col("fold") != f), variant)
+        return evaluate(m.transform(rows.where(F.col("fold") == f)), digits=12).select(F.lit(f).alias("fold"), "r2")
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
+        scores = list(pool.map(fold_score, range(k)))
     allf = scores[0]
     for s in scores[1:]:
         allf = allf.unionByName(s)
