@@ -173,6 +173,13 @@ def _fit(name: str, fs: FeatureSet, train: DataFrame, variant: str, alpha: float
     st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("sy")).first()
     n, sy = st["n"], st["sy"] or 0.0
     model = make_model(name, variant, gbt_subsample)
+    if name == "Gradient Boosting":
+        # 300 sequential rounds of small jobs: on small inputs the task count per
+        # job, not the data, is the cost; about one partition per 50k rows
+        cores = train.sparkSession.sparkContext.defaultParallelism
+        target = max(2, min(cores, math.ceil(n / 50_000)))
+        if train.rdd.getNumPartitions() > target:
+            train = train.coalesce(target)
     if name == "Ridge Regression":
         # sklearn's alpha on the unscaled squared loss == Spark's regParam * n / std(y)
         model.setRegParam(alpha * sy / n if n else 0.0)
