@@ -104,29 +104,35 @@ def sample_head(spark: SparkSession, file: str) -> tuple[str, list[str]]:
     return enc, records[find_header_row(records)]
 
 
-def _read_group(spark: SparkSession, files: list[str], encoding: str, header: list[str]) -> DataFrame:
+def _read_group(spark: SparkSession, files: list[str], encoding: str, header: list[str],
+                multi_line: bool = True) -> DataFrame:
     """One CSV read for all files sharing (encoding, header).
 
-    ``multiLine`` files are never split, so inside a task the ids follow each
-    file's record order; every file's header row is found by content and only
-    records after it are kept.
+    Every file's header row is found by content.  Records before it can only
+    sit in the same task as the header (the file's first split), after it in
+    record order; records in any other task of that file are data.  With
+    ``multi_line`` (captions with line breaks) a file is one task; without it
+    large files are split over many tasks.
     """
     width = len(header)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
                           + [T.StructField("_overflow", T.StringType())])
     df = (spark.read.schema(schema)
-          .option("header", False).option("multiLine", True).option("escape", '"')
+          .option("header", False).option("multiLine", multi_line).option("escape", '"')
           .option("encoding", encoding).option("mode", "PERMISSIVE")
           .csv(files))
-    df = df.withColumn("_file", F.input_file_name()).withColumn("_row_id", F.monotonically_increasing_id())
+    df = df.withColumn("_file", F.input_file_name()).withColumn("_row_id", F.monotonically_increasing_id()) \
+        .withColumn("_task", F.spark_partition_id())
     df = df.where(F.col("_overflow").isNull())  # S5: too many fields -> dropped; too few -> null-padded
     df = df.withColumn("_c0", F.regexp_replace(F.col("_c0"), "^\ufeff", ""))
     is_header = F.lit(True)
     for i, name in enumerate(header):
         is_header = is_header & (F.coalesce(F.col(f"_c{i}"), F.lit("")) == F.lit(name))
     # (files) rows: Spark broadcasts it when small, shuffles otherwise
-    starts = df.where(is_header).groupBy("_file").agg(F.min("_row_id").alias("__h"))
-    return df.join(starts, "_file").where(F.col("_row_id") > F.col("__h")).drop("__h", "_overflow", "_file")
+    starts = df.where(is_header).groupBy("_file").agg(F.min_by("_task", "_row_id").alias("__t"),
+                                                       F.min("_row_id").alias("__h"))
+    keep = (F.col("_task") != F.col("__t")) | (F.col("_row_id") > F.col("__h"))
+    return df.join(starts, "_file").where(keep).drop("__h", "__t", "_task", "_overflow", "_file")
 
 
 def null_tokens(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -248,12 +254,14 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 
 
 def read_export(spark: SparkSession, path: str, min_numeric_ratio: float = 0.6, glob: str = "*.csv",
-                max_parallel_samples: int = 16) -> DataFrame:
+                max_parallel_samples: int = 16, multi_line: bool = True) -> DataFrame:
     """One or many exports -> one typed table with ``_row_id`` (record order).
 
     Heads are sampled concurrently (a few lines per file); files sharing an
     encoding and header are read by one CSV scan; groups with different
-    headers are stacked by column name.
+    headers are stacked by column name.  ``multi_line=False`` splits large
+    files over many tasks; use it only for exports without line breaks inside
+    quoted fields.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -267,7 +275,7 @@ def read_export(spark: SparkSession, path: str, min_numeric_ratio: float = 0.6,
         groups.setdefault((enc, tuple(header)), []).append(f)
     parts = []
     for (enc, header), members in groups.items():
-        named = _name_columns(_read_group(spark, members, enc, list(header)), list(header))
+        named = _name_columns(_read_group(spark, members, enc, list(header), multi_line), list(header))
         raw = null_tokens(named, [c for c in named.columns if c != "_row_id"])
         # types are decided per header group, as the reference decides per file
         typed = parse_dates(smart_numeric(clean_ids(raw), min_numeric_ratio))

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from csv_cases import write_cases
@@ -84,3 +86,21 @@ def test_many_files_mixed_headers(spark, tmp_path):
     got = sorted((r["post_id"], r["reach"], r["likes"], r["saves"]) for r in df.collect())
     assert got == [("1", 100.0, 5.0, None), ("2", 200.0, 6.0, None), ("3", 300.0, 7.0, None),
                    ("4", 400.0, None, 1.0)]
+
+
+def test_split_files_keep_every_row(spark, tmp_path):
+    """Without multiLine, a large file is read by many tasks; preamble and header
+    are dropped only in the first one, every data row survives once."""
+    d = tmp_path / "big"
+    d.mkdir()
+    lines = ["Report,,", "Post ID,Reach,Likes"] + [f"{i},{i * 10},{i % 7}" for i in range(200000)]
+    (d / "big.csv").write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "262144")
+    try:
+        df = read_export(spark, str(d), multi_line=False)
+        assert df.rdd.getNumPartitions() > 1
+        agg = df.agg(F.count("*"), F.countDistinct("post_id"), F.sum("reach")).first()
+        assert agg[0] == agg[1] == 200000 and agg[2] == sum(i * 10 for i in range(200000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
