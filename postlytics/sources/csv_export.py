@@ -131,8 +131,9 @@ def _read_group(spark: SparkSession, files: list[str], encoding: str, header: li
     # (files) rows: Spark broadcasts it when small, shuffles otherwise
     starts = df.where(is_header).groupBy("_file").agg(F.min_by("_task", "_row_id").alias("__t"),
                                                        F.min("_row_id").alias("__h"))
-    keep = (F.col("_task") != F.col("__t")) | (F.col("_row_id") > F.col("__h"))
-    return df.join(starts, "_file").where(keep).drop("__h", "__t", "_task", "_overflow", "_file")
+    keep = F.col("__h").isNull() | (F.col("_task") != F.col("__t")) | (F.col("_row_id") > F.col("__h"))
+    # left join: a file whose header text is not found again loses no rows
+    return df.join(starts, "_file", "left").where(keep).drop("__h", "__t", "_task", "_overflow", "_file")
 
 
 def null_tokens(df: DataFrame, columns: list[str]) -> DataFrame:
