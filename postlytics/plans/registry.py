@@ -219,6 +219,8 @@ ML_QUERIES: dict[str, Query] = {
     "cross_validate_ridge": _on_pre(lambda p: ml.cross_validate(p, "Ridge Regression")),
     "compare_models": _compare,
     "feature_importance": lambda s, d: ml.feature_importance(trained(s, d, "Gradient Boosting")),
+    "feature_importance_forest": lambda s, d: ml.top_features(ml.feature_importance(trained(s, d, "Random Forest")), 10),
+    "compare_models_library": _on_pre(lambda p: ml.compare_models(p, "library", with_cv=False)),
     "residual_summary": lambda s, d: ml.residual_summary(trained(s, d, "Gradient Boosting")),
     "predict_posts": _predict,
     "prediction_label": lambda s, d: ml.prediction_label(prepared(s, d), _predict(s, d)),
