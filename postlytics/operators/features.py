@@ -88,6 +88,18 @@ def _choose_denominator(counts: dict[str, int], roles: Roles, threshold: float)
     return "unknown"
 
 
+def denominator_choice(df: DataFrame, roles: Roles, threshold: float = DENOMINATOR_THRESHOLD) -> DataFrame:
+    """P10 as a lazy one-row frame: the first of reach, impressions, views with
+    more than 25 % non-null cells, else ``unknown``."""
+    n = F.count(F.lit(1))
+    choice = F.lit("unknown")
+    for name in reversed(("reach", "impressions", "views")):
+        c = getattr(roles, name)
+        if c:
+            choice = F.when(F.count(F.col(c)) > n * F.lit(threshold), F.lit(name)).otherwise(choice)
+    return df.agg(choice.alias("denominator"))
+
+
 def pick_denominator(df: DataFrame, roles: Roles, threshold: float = DENOMINATOR_THRESHOLD) -> str:
     """P10: first of reach, impressions, views with > 25 % non-null cells."""
     return _choose_denominator(_column_counts(df, roles, None), roles, threshold)

@@ -16,8 +16,9 @@ from postlytics.plans import reports
 from postlytics.operators.roles import resolve_roles, role_report
 from postlytics.sources import csv_export, sinks
 from postlytics.sources.exports import export_from_tables, materialized_posts
-from postlytics.operators.features import ER, TOTAL, Prepared, hour_label, meta_summary, preprocess
-from postlytics.sources.fixtures import posts_from_events
+from postlytics.operators.features import (
+    ER, TOTAL, Prepared, denominator_choice, hour_label, meta_summary, preprocess,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +38,7 @@ def _on_pre(fn: Callable[[Prepared], DataFrame]) -> Query:
 
 
 def _pick_denominator(pre: Prepared) -> DataFrame:
-    return pre.df.sparkSession.createDataFrame([(pre.denominator,)], "denominator string")
+    return denominator_choice(pre.df, pre.roles)
 
 
 EDA_QUERIES: dict[str, Query] = {
