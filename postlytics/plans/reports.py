@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.functions.columns import rint_round
 from postlytics.operators import eda
 from postlytics.operators.features import ER, Prepared, meta_summary
 
