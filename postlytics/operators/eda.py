@@ -39,9 +39,14 @@ def er_quartiles(pre: Prepared) -> DataFrame:
 
 
 def numeric_columns(pre: Prepared) -> list[str]:
-    """Numeric columns as pandas' ``select_dtypes('number')`` sees them (no booleans)."""
+    """Numeric columns as pandas' ``select_dtypes('number')`` sees them (no booleans).
+
+    Id columns are left out: the reference always keeps ids as text.
+    """
+    from postlytics.sources.csv_export import is_id_column
+
     return [f.name for f in pre.df.schema.fields
-            if isinstance(f.dataType, T.NumericType)]
+            if isinstance(f.dataType, T.NumericType) and not is_id_column(f.name) and f.name != "_row_id"]
 
 
 # --------------------------------------------------------------------- A2-A5

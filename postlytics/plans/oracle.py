@@ -70,7 +70,8 @@ PRE_COLUMNS = [
     "post_type", "duration_sec", "post_id", "profile_visits", "profile_to_follow_conversion_pct",
     "is_weekend",
 ]
-NUMERIC_COLUMNS = [c for c in PRE_COLUMNS if c not in ("publish_time", "weekday", "month", "post_type", "is_weekend")]
+NUMERIC_COLUMNS = [c for c in PRE_COLUMNS
+                   if c not in ("publish_time", "weekday", "month", "post_type", "is_weekend", "post_id")]
 
 ER = "engagement_rate_pct"
 
