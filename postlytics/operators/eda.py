@@ -471,8 +471,9 @@ def trend_line_ci(pre: Prepared, x: str | None = None, points: int = 100, level:
     g = g.withColumn("gx", gx)
     fit = F.col("a") + F.col("b") * F.col("gx")
     se = F.sqrt(F.col("s2") * (F.lit(1.0) / F.col("n") + F.pow(F.col("gx") - F.col("mx"), 2) / F.col("sxx")))
-    return g.select(F.col("id").cast("int").alias("point"), F.col("gx").alias("x"), fit.alias("fit"),
-                    (fit - F.col("tq") * se).alias("ci_low"), (fit + F.col("tq") * se).alias("ci_high"))
+    return g.select(F.col("id").cast("int").alias("point"), rint_round(F.col("gx"), 6).alias("x"),
+                    rint_round(fit, 6).alias("fit"), rint_round(fit - F.col("tq") * se, 6).alias("ci_low"),
+                    rint_round(fit + F.col("tq") * se, 6).alias("ci_high"))
 
 
 # --------------------------------------------------------------------- A23-A26

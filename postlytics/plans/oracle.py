@@ -690,7 +690,8 @@ def shapiro_sql() -> dict[str, str]:
 , sd AS (SELECT CAST(post_type AS VARCHAR) AS grp, {ER} AS x FROM pre WHERE post_type IS NOT NULL AND {ER} IS NOT NULL)
 """ + shapiro_sql_body("sd")
     return {"shapiro_wilk": qr(body + f"SELECT grp, n, {r('w', 4)} AS W, {r('p', 4)} AS p_value, p > 0.05 AS normal FROM sw"),
-            "duration_test": duration_test_sql(), "test_summary": test_summary_sql()}
+            "duration_test": duration_test_sql(), "test_summary": test_summary_sql(),
+            "trend_line_ci": trend_band_sql()}
 
 
 def _anova_ctes(g: str, prefix: str) -> str:
@@ -807,3 +808,94 @@ SELECT *, CASE WHEN reject_h0 THEN 'reject H0' ELSE 'do not reject H0' END AS de
             ELSE 'No action on ' || test_name || ': the difference may be chance.' END AS action
 FROM ({rows})
 """
+
+
+def lgamma_sql(z: str) -> str:
+    """Lanczos log-gamma with the Spark expression's coefficients and order of operations."""
+    import math as _m
+
+    from postlytics.functions import distributions as dd
+
+    zz = f"(({z}) - 1.0)"
+    acc = repr(dd._LANCZOS[0])
+    for i, coef in enumerate(dd._LANCZOS[1:], start=1):
+        acc = f"({acc} + {coef!r} / ({zz} + {float(i)!r}))"
+    t = f"({zz} + {dd._LANCZOS_G + 0.5!r})"
+    return f"({0.5 * _m.log(2 * _m.pi)!r} + ({zz} + 0.5) * ln({t}) - {t} + ln({acc}))"
+
+
+def t_ppf_ctes(src: str, out: str, prob: float = 0.975, iters: int = 80, half_steps: int = 600) -> str:
+    """``src(id, df)`` -> ``out(id, tq)``: the Spark bisection (80 halvings of
+    [0, 1000] on the two-sided p) with the continued fraction run inside the same
+    recursive CTE (``half_steps`` + 1 rows per halving)."""
+    J = half_steps
+
+    def mid_terms(lo: str, hi: str, pre: str) -> str:
+        mid = f"(({lo} + {hi}) / 2.0)"
+        x = f"(df / (df + {mid} * {mid}))"
+        a, b = "(df / 2.0)", "0.5"
+        sw = f"({x} >= ({a} + 1.0) / ({a} + {b} + 2.0))"
+        return (f"{mid} AS {pre}mid, {x} AS {pre}x, {sw} AS {pre}sw, "
+                f"CASE WHEN {sw} THEN {b} ELSE {a} END AS {pre}aa, "
+                f"CASE WHEN {sw} THEN {a} ELSE {b} END AS {pre}bb, "
+                f"CASE WHEN {sw} THEN 1.0 - {x} ELSE {x} END AS {pre}xx")
+
+    def d0(pre: str) -> str:
+        return f"(1.0 / {_fx(f'1.0 - ({pre}aa + {pre}bb) * {pre}xx / ({pre}aa + 1.0)')})"
+
+    m = "((j + 2) // 2)"
+    odd = f"({m} * (bb - {m}) * xx / ((aa - 1.0 + 2 * {m}) * (aa + 2 * {m})))"
+    even = f"(-(aa + {m}) * (aa + bb + {m}) * xx / ((aa + 2 * {m}) * (aa + 1.0 + 2 * {m})))"
+    coef = f"(CASE WHEN (j + 1) % 2 = 1 THEN {odd} ELSE {even} END)"
+    d_new = f"(1.0 / {_fx(f'1.0 + {coef} * d')})"
+    c_new = _fx(f"1.0 + {coef} / c")
+    front = (f"exp({lgamma_sql('aa + bb')} - {lgamma_sql('aa')} - {lgamma_sql('bb')} "
+             f"+ aa * ln(xx) + bb * ln(1.0 - xx))")
+    ibeta = (f"(CASE WHEN x <= 0 THEN 0.0 WHEN x >= 1 THEN 1.0 "
+             f"WHEN sw THEN 1.0 - {front} * h / aa ELSE {front} * h / aa END)")
+    target = repr((1.0 - prob) * 2.0)
+    return f"""
+, {out}_rec(id, step, lo, hi, c, d, h, done) AS (
+  SELECT id, 0, 0.0::DOUBLE, 1000.0::DOUBLE, 1.0::DOUBLE, {d0('n_')}, {d0('n_')}, false
+  FROM (SELECT id, df, {mid_terms('0.0', '1000.0', 'n_')} FROM {src})
+  UNION ALL
+  SELECT id, step + 1, nlo, nhi,
+         CASE WHEN j < {J} THEN (CASE WHEN done THEN c ELSE {c_new} END) ELSE 1.0 END,
+         CASE WHEN j < {J} THEN (CASE WHEN done THEN d ELSE {d_new} END) ELSE {d0('n_')} END,
+         CASE WHEN j < {J} THEN (CASE WHEN done THEN h ELSE h * {d_new} * {c_new} END) ELSE {d0('n_')} END,
+         CASE WHEN j < {J} THEN (done OR ((j + 1) % 2 = 0 AND abs({d_new} * {c_new} - 1.0) < 1e-15)) ELSE false END
+  FROM (
+    SELECT q2.*, {mid_terms('nlo', 'nhi', 'n_')}
+    FROM (
+      SELECT q1.*,
+             CASE WHEN j = {J} AND {ibeta} > {target} THEN mid ELSE lo END AS nlo,
+             CASE WHEN j = {J} AND NOT ({ibeta} > {target}) THEN mid ELSE hi END AS nhi
+      FROM (
+        SELECT r.id, r.step, r.lo, r.hi, r.c, r.d, r.h, r.done, r.step % ({J} + 1) AS j, s.df,
+               {mid_terms('r.lo', 'r.hi', '')}
+        FROM {out}_rec r JOIN {src} s ON s.id = r.id
+        WHERE r.step < {iters} * ({J} + 1)
+      ) q1
+    ) q2
+  ) q3
+),
+{out} AS (SELECT id, (lo + hi) / 2.0 AS tq FROM {out}_rec WHERE step = {iters} * ({J} + 1))
+"""
+
+
+def trend_band_sql(points: int = 100, level: float = 0.95) -> str:
+    prob = 1 - (1 - level) / 2
+    gx = f"(x_lo + g.id * (x_hi - x_lo) / {float(points - 1)!r})"
+    fit = f"(a + b * {gx})"
+    se = f"sqrt(s2 * (1.0 / n + pow({gx} - mx, 2) / sxx))"
+    return qr(f"""
+, pairs AS (SELECT CAST(reach AS DOUBLE) AS xc, {ER} AS y FROM pre WHERE reach IS NOT NULL AND {ER} IS NOT NULL),
+st0 AS (SELECT count(*) AS n, avg(xc) AS mx, avg(y) AS my, var_pop(xc) AS vx, regr_slope(y, xc) AS b,
+               regr_intercept(y, xc) AS a, min(xc) AS x_lo, max(xc) AS x_hi, sum(y * y) AS syy,
+               sum(xc * y) AS sxy, sum(y) AS sy FROM pairs),
+st AS (SELECT *, greatest(syy - a * sy - b * sxy, 0.0) / (n - 2) AS s2, vx * n AS sxx FROM st0),
+tsrc AS (SELECT 1 AS id, CAST(n - 2 AS DOUBLE) AS df FROM st)
+{t_ppf_ctes('tsrc', 'tt', prob)}
+SELECT CAST(g.id AS INTEGER) AS point, {r(gx, 6)} AS x, {r(fit, 6)} AS fit,
+       {r(f'{fit} - tq * {se}', 6)} AS ci_low, {r(f'{fit} + tq * {se}', 6)} AS ci_high
+FROM (SELECT range AS id FROM range({points})) g CROSS JOIN st CROSS JOIN tt""")
