@@ -59,3 +59,15 @@ def test_wall_clock_text_ignores_session_zone(spark):
         assert (row["dmy"], row["iso"], row["d"]) == ("10/03/2024 02:05:45", "2024-03-10 02:05:45", "2024-03-10")
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_json_safe_nulls_non_finite(spark):
+    import datetime as dt
+
+    from postlytics.sources.sinks import json_safe
+
+    df = spark.createDataFrame([(float("nan"), 1.23456789, dt.datetime(2024, 3, 10, 2, 5)),
+                                (float("inf"), -float("inf"), None)], "a double, b double, t timestamp_ntz")
+    rows = json_safe(df).collect()
+    assert rows[0]["a"] is None and rows[0]["b"] == 1.2346 and rows[0]["t"] == "2024-03-10"
+    assert rows[1]["a"] is None and rows[1]["b"] is None and rows[1]["t"] is None

@@ -104,3 +104,11 @@ def test_split_files_keep_every_row(spark, tmp_path):
         assert agg[0] == agg[1] == 200000 and agg[2] == sum(i * 10 for i in range(200000))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_month_first_dates_when_they_parse_best(spark, tmp_path):
+    d = tmp_path / "mdy"
+    d.mkdir()
+    (d / "mdy.csv").write_bytes(b"post_id,date\n1,07/15/2024\n2,12/31/2024\n3,01/02/2024\n")
+    got = [r["date"] for r in read_export(spark, str(d)).orderBy("_row_id").collect()]
+    assert got == [dt.datetime(2024, 7, 15), dt.datetime(2024, 12, 31), dt.datetime(2024, 1, 2)]
