@@ -55,6 +55,8 @@ def list_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame
 def latest_file(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """Newest export by modification time (one row); error when none."""
     files = list_files(spark, path, glob)
+    if not files.limit(1).take(1):  # a file listing, no content is read
+        raise FileNotFoundError(f"no {glob} files under {path}")
     return files.agg(F.max_by("path", "modificationTime").alias("path"),
                      F.max("modificationTime").alias("modificationTime")).where(F.col("path").isNotNull())
 

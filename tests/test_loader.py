@@ -112,3 +112,21 @@ def test_month_first_dates_when_they_parse_best(spark, tmp_path):
     (d / "mdy.csv").write_bytes(b"post_id,date\n1,07/15/2024\n2,12/31/2024\n3,01/02/2024\n")
     got = [r["date"] for r in read_export(spark, str(d)).orderBy("_row_id").collect()]
     assert got == [dt.datetime(2024, 7, 15), dt.datetime(2024, 12, 31), dt.datetime(2024, 1, 2)]
+
+
+def test_latest_file(spark, tmp_path):
+    import os
+    import time
+
+    from postlytics.sources.csv_export import latest_file
+
+    d = tmp_path / "many"
+    d.mkdir()
+    (d / "old.csv").write_bytes(b"a\n1\n")
+    (d / "new.csv").write_bytes(b"a\n2\n")
+    os.utime(d / "old.csv", (time.time() - 1000, time.time() - 1000))
+    assert latest_file(spark, str(d)).first()["path"].endswith("new.csv")
+    empty = tmp_path / "none"
+    empty.mkdir()
+    with pytest.raises(FileNotFoundError):
+        latest_file(spark, str(empty))
