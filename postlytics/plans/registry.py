@@ -198,6 +198,17 @@ def _stage_output(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     return t.model.transform(t.test).select("row_key", vector_to_array(F.col(column)).alias(column.strip("_")))
 
 
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best model of the comparison with its own 5-fold CV, and the top driver."""
+    pre = prepared(spark, sf_dir)
+    compare = _compare(spark, sf_dir)
+    best = compare.where(F.col("is_best")).select("model").first()["model"]  # one row
+    cv = ml.cross_validate(pre, best).drop("model").withColumn("model", F.lit(best))
+    rows_used = ml.model_rows(pre, ml.select_features(pre, "api")).count()
+    return ml.ml_summary(compare.join(cv, "model", "left"),
+                         ml.feature_importance(trained(spark, sf_dir, "Gradient Boosting")), rows_used)
+
+
 def _type_mean_predictor(pre: Prepared) -> DataFrame:
     t = pre.roles.type
     means = pre.df.groupBy(t).agg(F.avg(ER).alias("prediction"))
@@ -227,8 +238,7 @@ ML_QUERIES: dict[str, Query] = {
     "prediction_label": lambda s, d: ml.prediction_label(prepared(s, d), _predict(s, d)),
     "scaled_features": lambda s, d: _stage_output(s, d, "__num"),
     "one_hot": lambda s, d: _stage_output(s, d, "features"),
-    "ml_summary": lambda s, d: ml.ml_summary(_compare(s, d), ml.feature_importance(
-        trained(s, d, "Gradient Boosting")), prepared(s, d).df.count()),
+    "ml_summary": lambda s, d: _summary(s, d),
 }
 
 
