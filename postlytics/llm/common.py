@@ -146,3 +146,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if members is None:
         return spark.createDataFrame([], "node long, root long")
     return members
+
+
+def by_size(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts with about ``limit`` characters in all (one longer text is a range of its own)."""
+    lo, n = 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and n + len(t) > limit:
+            yield lo, i
+            lo, n = i, 0
+        n += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def lower(text: str) -> str:
+    """Lower case of the same length, so that positions stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)

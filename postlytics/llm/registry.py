@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import simhash
+from postlytics.llm import bpe, langid, secret_scan, simhash
+from postlytics.llm.common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,13 +17,37 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    kind = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    base = F.filter(spans, lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    return secret_scan.scan(_documents(spark, sf_dir)).select(
+        "doc_id", *[kind(k).alias(f"n_{k}") for k in secret_scan.BASE_KINDS],
+        F.sha2(secret_scan.digest(base), 256).alias("base_sha256"), secret_scan.digest(spans).alias("spans"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                      public_tokenizers.PATTERN, with_ids=False)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = langid.fit(docs.where(crc_mod("doc_id", 3) != 1))
+    held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return langid.predict(docs, model, spans=False).select("doc_id", held, "lang_pred", "score")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(_documents(spark, sf_dir), shingle=3, max_bits=3)
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_simhash": op10_simhash}
+    return {"op1_secret_scan": op1_secret_scan, "op5_byte_bpe": op5_byte_bpe, "op8_language": op8_language,
+            "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
