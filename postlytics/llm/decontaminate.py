@@ -2,9 +2,10 @@
 
 The benchmark is the stated query set's index: items are cut into shards of
 bounded size, and each shard's inverted index goes to the tasks that scan the
-training texts.  A posting holds the BM25 weight of a term in an item divided
-by the weight the item gives itself, so one threshold fits all items: an item
-is retrieved by a passage that holds at least ``threshold`` of its weight.
+training texts.  A posting holds the BM25 weight of a term in an item (document
+frequencies are those of the whole training corpus) divided by the weight the
+item gives itself, so one threshold fits all items: an item is retrieved by a
+passage that holds at least ``threshold`` of its weight.
 Items lie in blocks of ``BLOCK``; the block's best weight of each term bounds
 what a passage can reach in it, and only blocks that can reach the threshold
 are opened.  Inside, WAND moves the term cursors to the first item whose bounds
@@ -44,14 +45,16 @@ def words_of(text: str) -> list[str]:
 class Shard:
     """Index of some items: postings, block maxima, and the terms an item can't be retrieved without."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]], df: Counter, n_items: int, mean_len: float,
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], df: dict[str, int], n_texts: int, mean_len: float,
                  threshold: float):
+        """``df``: in how many of the ``n_texts`` training texts a term occurs."""
         self.items, self.threshold = items, threshold
         weights = []
         for _, q, a in items:
             tf = Counter(q + a)
             norm = K1 * (1 - B + B * max(1, sum(tf.values())) / mean_len)
-            w = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in tf.items()}
+            w = {t: math.log(1 + (n_texts - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) * n * (K1 + 1) / (n + norm)
+                 for t, n in tf.items()}
             whole = sum(w.values()) or 1.0
             weights.append({t: x / whole for t, x in w.items()})
         terms = sorted({t for w in weights for t in w})
@@ -66,7 +69,7 @@ class Shard:
                 self.block_max[i, o // BLOCK] = max(self.block_max[i, o // BLOCK], x)
             # commonest terms first, as long as they can't reach the threshold by themselves
             rest = 0.0
-            for t in sorted(w, key=lambda t: (-df[t], len(t), t)):
+            for t in sorted(w, key=lambda t: (-df.get(t, 0), t)):
                 rest += w[t]
                 if rest >= threshold - 1e-6:
                     essential[self.term[t]] = True
@@ -142,7 +145,24 @@ def ordered_overlap(answer: list[str], passage: list[str]) -> float:
     return best / len(answer)
 
 
-def shards(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None, threshold: float):
+def _frequencies(source: DataFrame, terms: frozenset[str]) -> dict[str, int]:
+    """How many texts hold each of the index's terms, and under "" how many there are (all texts; as large as the index)."""
+    arrow = pa.schema([("term", pa.string()), ("n", pa.int64())])
+
+    def count(batches):
+        sums: Counter = Counter()
+        for batch in batches:
+            sums[""] += batch.num_rows
+            for t in batch.column(0).to_pylist():
+                sums.update(terms.intersection(words_of(t)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())],
+                                         schema=arrow)
+
+    rows = source.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in rows.toLocalIterator()}
+
+
+def shards(source: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None, threshold: float):
     """Index shards of the whole benchmark, and its longest item in words.
 
     Items without any word can't leak and are left out; items of the same id
@@ -150,7 +170,7 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | N
     """
     cols = [F.col(f"`{id_col}`").cast("long").alias("item_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("q"),
             (F.col(f"`{answer_col}`").cast("string") if answer_col else F.lit(None).cast("string")).alias("a")]
-    items, df, total = [], Counter(), 0
+    items, terms, total = [], set(), 0
     for row in benchmark.select(*cols).orderBy("item_id", "q").toLocalIterator():
         q, a = words_of(row["q"]), words_of(row["a"] or "")
         if answer_col is None and len(q) > 1:
@@ -158,7 +178,7 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | N
             q, a = q[:cut], q[cut:]
         if q or a:
             items.append((row["item_id"], q, a))
-            df.update(set(q + a))
+            terms.update(q, a)
             total += len(q) + len(a)
     longest = max((len(q) + len(a) for _, q, a in items), default=0)
     out, part, n = [], [], 0
@@ -170,7 +190,11 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | N
             part, n = [], 0
     if part:
         out.append(part)
-    return [Shard(p, df, len(items), total / len(items), threshold) for p in out], longest
+    if not out:
+        return [], longest
+    df = _frequencies(source, frozenset(terms))
+    n_texts = df.pop("", 0)
+    return [Shard(p, df, n_texts, total / len(items), threshold) for p in out], longest
 
 
 def scan_text(words: list[str], shard: Shard, stride: int, need: float) -> list[tuple[int, float, float, float, int]]:
@@ -200,15 +224,15 @@ HITS = "doc_id long, item_id long, score double, question_overlap double, answer
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_id_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
-          threshold: float = 0.6, need: float = 0.8) -> DataFrame:
+          threshold: float = 0.5, need: float = 0.8) -> DataFrame:
     """(doc_id, item_id, score, overlaps, passage_word): one row per text and item it leaks, from its best passage.
 
     Null and empty texts and an empty benchmark leak nothing; repeated rows
     give repeated rows.
     """
-    parts, longest = shards(benchmark, item_id_col, item_text_col, answer_col, threshold)
-    stride = max(64, longest)
     source = documents(docs, id_col, text_col)
+    parts, longest = shards(source, benchmark, item_id_col, item_text_col, answer_col, threshold)
+    stride = max(64, longest)
     out = None
     for shard in parts:
         def run(batch: pa.RecordBatch, shard=shard) -> dict:
@@ -222,11 +246,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
-                      item_text_col: str = "text", answer_col: str | None = None, threshold: float = 0.6,
+                      item_text_col: str = "text", answer_col: str | None = None, threshold: float = 0.5,
                       need: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that leak no item, columns as given; the decision is made row by row, without a join."""
     ship(docs.sparkSession)
-    parts, longest = shards(benchmark, item_id_col, item_text_col, answer_col, threshold)
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    parts, longest = shards(texts, benchmark, item_id_col, item_text_col, answer_col, threshold)
     stride = max(64, longest)
     at = docs.columns.index(text_col)
     for shard in parts:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import bpe, langid, secret_scan, simhash
+from postlytics.llm import bpe, decontaminate, langid, secret_scan, simhash
 from postlytics.llm.common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.digest(base), 256).alias("base_sha256"), secret_scan.digest(spans).alias("spans"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,7 +50,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_secret_scan": op1_secret_scan, "op5_byte_bpe": op5_byte_bpe, "op8_language": op8_language,
+    return {"op1_secret_scan": op1_secret_scan, "op4_decontaminate": op4_decontaminate,
+            "op5_byte_bpe": op5_byte_bpe, "op8_language": op8_language,
             "op10_simhash": op10_simhash}
 
 
