@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import bpe, decontaminate, langid, secret_scan, simhash
+from postlytics.llm import bpe, decontaminate, langid, quality, secret_scan, simhash, toxicity
 from postlytics.llm.common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.digest(base), 256).alias("base_sha256"), secret_scan.digest(spans).alias("spans"))
 
 
+def _held_out(mod: int, rest: int):
+    return F.coalesce(crc_mod("doc_id", mod) == rest, F.lit(False)).alias("held_out")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels.where(crc_mod("doc_id", 5) != 0), max_rows=12_000)
+    return quality.score(docs, model, attention=False).select(
+        "doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -40,8 +51,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = langid.fit(docs.where(crc_mod("doc_id", 3) != 1))
-    held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")
-    return langid.predict(docs, model, spans=False).select("doc_id", held, "lang_pred", "score")
+    return langid.predict(docs, model, spans=False).select("doc_id", _held_out(3, 1), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(crc_mod("doc_id", 5) != 0), max_rows=20_000)
+    return toxicity.score(docs, model, evidence=False).select(
+        "doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +67,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_secret_scan": op1_secret_scan, "op4_decontaminate": op4_decontaminate,
-            "op5_byte_bpe": op5_byte_bpe, "op8_language": op8_language,
-            "op10_simhash": op10_simhash}
+    found = (op1_secret_scan, op3_quality, op4_decontaminate, op5_byte_bpe, op8_language, op9_toxicity, op10_simhash)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
