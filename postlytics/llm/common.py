@@ -168,3 +168,37 @@ def lower(text: str) -> str:
     """Lower case of the same length, so that positions stay."""
     low = text.lower()
     return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
+_ALNUM: np.ndarray | None = None
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word (run of letters and digits, lower case) of all texts in order, and words per text."""
+    global _ALNUM
+    if _ALNUM is None:
+        _ALNUM = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+    codes = code_points("\n".join(lower(t) for t in texts) + "\n")
+    solid = _ALNUM[codes]
+    edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
+    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    per = np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(texts))
+    base = 0x9E3779B97F4A7C15
+    with np.errstate(over="ignore"):
+        power = np.full(len(codes) + 1, base, np.uint64)
+        power[0] = 1
+        power = np.cumprod(power)
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:-1])])
+        del power
+        back = np.full(len(codes) + 1, pow(base, -1, 1 << 64), np.uint64)
+        back[0] = 1
+        back = np.cumprod(back)
+        return mix64((run[stops] - run[starts]) * back[starts]), per
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))

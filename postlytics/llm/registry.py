@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import bpe, decontaminate, imatch, langid, quality, secret_scan, simhash, toxicity
+from postlytics.llm import bpe, chaining, decontaminate, imatch, langid, quality, secret_scan, simhash, toxicity
 from postlytics.llm.common import crc_mod, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       public_tokenizers.PATTERN, with_ids=False)
 
 
+def op6_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(_documents(spark, sf_dir))
+
+
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return imatch.edited_likeness(docs, imatch.lexicon(documents(docs)))
@@ -72,7 +76,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_secret_scan, op3_quality, op4_decontaminate, op5_byte_bpe, op7_imatch, op8_language, op9_toxicity, op10_simhash)
+    found = (op1_secret_scan, op3_quality, op4_decontaminate, op5_byte_bpe, op6_chaining,
+             op7_imatch, op8_language, op9_toxicity, op10_simhash)
     return {f.__name__: f for f in found}
 
 
