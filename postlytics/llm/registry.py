@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import bpe, chaining, decontaminate, imatch, langid, quality, secret_scan, simhash, toxicity
+from postlytics.llm import bpe, bwt_dedup, chaining, decontaminate, imatch, langid, quality, secret_scan, simhash, toxicity
 from postlytics.llm.common import crc_mod, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.digest(base), 256).alias("base_sha256"), secret_scan.digest(spans).alias("spans"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.dedup(_documents(spark, sf_dir), size=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def _held_out(mod: int, rest: int):
     return F.coalesce(crc_mod("doc_id", mod) == rest, F.lit(False)).alias("held_out")
 
@@ -76,7 +80,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_secret_scan, op3_quality, op4_decontaminate, op5_byte_bpe, op6_chaining,
+    found = (op1_secret_scan, op2_suffix_dedup, op3_quality, op4_decontaminate, op5_byte_bpe, op6_chaining,
              op7_imatch, op8_language, op9_toxicity, op10_simhash)
     return {f.__name__: f for f in found}
 
