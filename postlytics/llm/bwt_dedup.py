@@ -18,8 +18,9 @@ strings are judged, but few need their bytes compared:
    merged by refining their interleave: round h moves the interleave, sorted
    by h - 1 symbols, by the symbols of the transforms, and marks where prefixes
    first differ.  The marks are the common prefix lengths; stretches without a
-   mark after ``size`` rounds are the repeated intervals.  Suffixes are never
-   sorted again.
+   mark after the last round are the repeated intervals.  Suffixes are never
+   sorted again.  A symbol is a block of 25 bytes (suffixes still start at
+   every byte), so 100 bytes take four rounds.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from postlytics.llm.common import cut_lineage, documents, mix64, slices, spark_s
 
 GRAM = 16
 CHUNK = 1 << 21
-SHARD, MERGE = 1 << 16, 1 << 19
+SHARD, MERGE = 60_000, 1 << 19
 _LOW = np.uint64(0xFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
@@ -204,119 +205,175 @@ GROUPED = "grp long, doc long, start long, count int, bytes binary"
 def _cut(size: int):
     """Texts with the contexts to compare: cut by each string's greatest gram."""
     schema = _arrow(GROUPED)
+    width = size - GRAM + 1
+
+    def one(docs: list, raws: list[bytes], items: list[list]) -> list:
+        data = b"".join(raws)
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        ends = np.cumsum(sizes)
+        per = np.fromiter(map(len, items), np.int64, len(items))
+        of = np.repeat(np.arange(len(raws)), per)
+        flat = [t for todo in items for t in todo]
+        key = np.fromiter((t["key"] for t in flat), np.int64, len(flat)).view(np.uint64)
+        loc = np.fromiter((t["loc"] for t in flat), np.int64, len(flat))
+        start, count, lead = (loc >> 16) + (ends - sizes)[of], loc >> 8 & 255, loc & 255
+        fits = start + count + size - 1 <= ends[of]  # else another row of the same id
+        key, of, start, count, lead = key[fits], of[fits], start[fits], count[fits], lead[fits]
+        if not len(start):
+            return [[], [], [], [], []]
+        h = _grams(np.frombuffer(data, np.uint8))
+        top = _least(~h, width)
+        item = np.repeat(np.arange(len(start)), count)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + start[item]
+        t = top[at]
+        head = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (item[1:] != item[:-1])]))
+        n = np.diff(np.append(head, len(t)))
+        item, at, t = item[head], at[head], t[head]
+        with np.errstate(over="ignore"):
+            ahead = (t - (start + lead)[item]).astype(np.uint64)  # from the one gram to the other
+            grp = mix64(key[item] * np.uint64(3) + h[t] + ahead * np.uint64(_BASE))
+        owner = of[item]
+        return [grp.view(np.int64), np.array(docs, np.int64)[owner], at - (ends - sizes)[owner], n.astype(np.int32),
+                [data[x:y] for x, y in zip(at.tolist(), (at + n + size - 1).tolist())]]
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, 500):
-                out: list[list] = [[] for _ in range(5)]
-                docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for batch in slices(whole, 1000):
+                docs = batch.column(0).to_pylist()
+                raws = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
                 items = batch.column(2).to_pylist()
-                for doc, text, todo in zip(docs, texts, items):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    todo.sort(key=lambda t: t["loc"])
-                    for t in todo:
-                        loc = t["loc"]
-                        start, count, lead = loc >> 16, loc >> 8 & 255, loc & 255
-                        part = raw[start:start + count + size - 1]
-                        if len(part) < count + size - 1:
-                            continue  # another row of the same id
-                        h = _grams(np.frombuffer(part, np.uint8))
-                        top = _least(~h, size - GRAM + 1)
-                        cut = [0, *(np.flatnonzero(top[1:] != top[:-1]) + 1).tolist(), len(top)]
-                        for lo, hi in zip(cut, cut[1:]):
-                            at = int(top[lo])
-                            g = (t["key"] * 3 + int(h[at]) + (at - lead) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
-                            for o, v in zip(out, (g - (1 << 64) if g >> 63 else g, doc, start + lo, hi - lo,
-                                                  part[lo:hi + size - 1])):
-                                o.append(v)
-                yield _batch(out, schema)
+                lo = n = 0
+                for i in range(len(docs) + 1):
+                    if i == len(docs) or n > CHUNK:
+                        if i > lo:
+                            yield _batch(one(docs[lo:i], raws[lo:i], items[lo:i]), schema)
+                        lo, n = i, 0
+                    if i < len(docs):
+                        n += len(raws[i])
 
     return run
 
 
-def transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's transform: (symbols, string, offset) in order of the suffixes' first ``depth`` symbols.
+def _stable(ids: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative integers, 16 bits at a time (each pass is a radix sort)."""
+    order = np.argsort((ids & 0xFFFF).astype(np.uint16), kind="stable")
+    high = int(ids.max(initial=0)) >> 16
+    shift = 16
+    while high:
+        order = order[np.argsort((ids[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+        high >>= 16
+        shift += 16
+    return order
+
+
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Dense ranks of 64-bit hashes."""
+    order = _stable(values)
+    v = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], v[1:] != v[:-1]]))
+    return out
+
+
+def block_size(size: int) -> int:
+    """Bytes that make one symbol: the greatest divisor of ``size`` up to 25."""
+    return max(d for d in range(1, 26) if size % d == 0)
+
 
-    Symbol 0 ends every string; bytes are 1 to 256.
+def transform(strings: list[bytes], depth: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's transform over an alphabet of ``step``-byte blocks: (symbols, string, offset).
+
+    Suffixes start at every byte and are read block by block, round and round
+    within their string (an end mark fills it up to whole blocks); symbols are
+    the blocks' hashes and give the order.  Suffixes are in order of their
+    first ``depth`` bytes; the symbol of each is the block before it.
     """
-    sizes = np.fromiter((len(s) + 1 for s in strings), np.int64, len(strings))
-    text = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.int64) + 1
+    sizes = np.fromiter((-(-(len(s) + 1) // step) * step for s in strings), np.int64, len(strings))
+    text = np.zeros(int(sizes.sum()), np.uint64)
     ends = np.cumsum(sizes)
-    text[ends - 1] = 0
     n = len(text)
     owner = np.repeat(np.arange(len(strings)), sizes)
-    begin = (ends - sizes)[owner]
+    begin, length = (ends - sizes)[owner], sizes[owner]
     pos = np.arange(n)
-    rank, done, nxt = text, 1, np.where(pos + 1 < ends[owner], pos + 1, begin)
-    while done < depth:  # cyclic within each string, as the merge reads it
-        key = rank * (n + 257) + rank[nxt]
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        new = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+    inside = pos - begin < np.fromiter(map(len, strings), np.int64, len(strings))[owner]
+    text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64) + np.uint64(1)
+    along = lambda k: begin + (pos - begin + k) % length
+    with np.errstate(over="ignore"):
+        block = np.zeros(n, np.uint64)
+        for k in range(step):
+            block = block * np.uint64(_BASE) + text[along(k)] if k else text.copy()
+        block = mix64(block)
+    rank, done = _ranks(block), step
+    order = None
+    while done < depth:
+        nxt = rank[along(done)]
+        order = _stable(nxt)
+        order = order[_stable(rank[order])]
+        a, b = rank[order], nxt[order]
+        new = np.cumsum(np.concatenate([[False], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         rank = np.empty(n, np.int64)
         rank[order] = new
-        nxt = nxt[nxt]
         done *= 2
         if new[-1] == n - 1:
             break
-    order = np.argsort(rank, kind="stable")
-    before = np.where(pos > begin, pos - 1, ends[owner] - 1)
-    return text[before[order]].astype(np.uint16), owner[order], (pos - begin)[order]
+    if order is None:
+        order = _stable(rank)
+    return block[along(-step)][order], owner[order], (pos - begin)[order]
 
 
-def merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int):
-    """Interleaves transforms until suffixes are in order of ``depth`` symbols.
+def merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int, step: int):
+    """Interleaves transforms until suffixes are in order of ``depth`` bytes.
 
     Gives the order (positions in the joined transforms) and for each place the
-    common prefix length with the place before, or ``depth`` where it is longer.
+    bytes in whole blocks it shares with the place before, ``depth`` at most.
     """
-    symbols = np.concatenate([p[0] for p in parts])
+    symbols = _ranks(np.concatenate([p[0] for p in parts]))
     n = len(symbols)
-    shard = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(p[0]) for p in parts])
-    z = shard
+    z = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(p[0]) for p in parts])
     mark = np.zeros(n, np.int32)
     mark[0] = 1
     order = np.arange(n)
-    for rnd in range(1, depth + 1):
+    for rnd in range(1, depth // step + 1):
         c = symbols[order]
         block = np.cumsum(mark > 0, dtype=np.int32)
-        move = np.argsort(c, kind="stable")
+        move = _stable(c)
         c, block, z = c[move], block[move], z[move]
-        new = np.concatenate([[True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])])
-        fresh = new & (mark == 0)
-        place = np.empty(n, np.int64)
-        place[np.argsort(z, kind="stable")] = np.arange(n)
-        order = place
+        fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])]) & (mark == 0)
+        order = np.empty(n, np.int64)
+        order[np.argsort(z, kind="stable")] = np.arange(n)
         if not fresh.any() and rnd > 1:
             break
         mark[fresh] = rnd
-    return order, np.where(mark > 0, mark - 1, depth)
+    return order, np.where(mark > 0, (mark - 1) * step, depth)
 
 
-def repeated(strings: list[bytes], counts: list[int], order_key: np.ndarray, size: int) -> list[np.ndarray]:
-    """For each context: which of its first ``counts`` strings occur earlier (by ``order_key``, then offset)."""
+def repeated(strings: list[bytes], counts: list[int], order_key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset) of each of the contexts' first ``counts`` strings that occurs earlier (by ``order_key``, then offset)."""
+    step = block_size(size)
     shards, part, n = [], [], 0
     bounds = [0]
     for i, s in enumerate(strings):
         part.append(s)
-        n += len(s) + 1
+        n += len(s) + step
         if n >= SHARD or i == len(strings) - 1:
-            shards.append(transform(part, size))
+            shards.append(transform(part, size, step))
             bounds.append(i + 1)
             part, n = [], 0
-    order, lcp = merge(shards, size)
+    order, lcp = merge(shards, size, step)
     owner = np.concatenate([s[1] + b for s, b in zip(shards, bounds)])[order]
     offset = np.concatenate([s[2] for s in shards])[order]
     interval = np.cumsum(lcp < size)
     is_start = offset < np.asarray(counts)[owner]
     interval, owner, offset = interval[is_start], owner[is_start], offset[is_start]
-    by = np.lexsort((offset, order_key[owner], interval))
+    by = _stable(offset)
+    by = by[_stable(order_key[owner[by]])]
+    by = by[_stable(interval[by])]
     interval, owner, offset = interval[by], owner[by], offset[by]
     later = np.concatenate([[False], interval[1:] == interval[:-1]])
-    out = [np.zeros(c, bool) for c in counts]
-    for o, f in zip(owner[later].tolist(), offset[later].tolist()):
-        out[o][f] = True
-    return out
+    owner, offset = owner[later], offset[later]
+    by = _stable(offset)
+    by = by[_stable(owner[by])]
+    return owner[by], offset[by]
 
 
 SPANS = "doc long, start long, stop long"
@@ -326,49 +383,59 @@ def _compare(size: int):
     """Rows sorted by (grp, doc, start): finds the repeated strings of each group by merged transforms."""
     schema = _arrow(SPANS)
 
-    def close(group, spans, ready):
+    def close(group: list, spans: list, ready: list) -> int:
         """Equal contexts are settled at once; what is left of groups of two or more waits for a merge."""
-        if len(group) > 1:
-            seen: dict[bytes, int] = {}
-            left = []
-            for doc, start, count, raw in group:
-                if raw in seen:
-                    spans.append((doc, start, start + count - 1 + size))
-                else:
-                    seen[raw] = 1
-                    left.append((doc, start, count, raw))
-            if len(left) > 1:
-                ready += left
-        group.clear()
-
-    def settle(ready, spans):
-        if ready:
-            key = np.empty(len(ready), np.int64)
-            key[sorted(range(len(ready)), key=lambda i: ready[i][:2])] = np.arange(len(ready))
-            for (doc, start, _, _), hit in zip(ready, repeated([r[3] for r in ready], [r[2] for r in ready], key, size)):
-                at = np.flatnonzero(hit)
-                if len(at):
-                    cut = np.flatnonzero(np.diff(at) > 1) + 1
-                    for run in np.split(at, cut):
-                        spans.append((doc, start + int(run[0]), start + int(run[-1]) + size))
-            ready.clear()
+        seen: set[bytes] = set()
+        left = []
+        for row in group:
+            if row[3] in seen:
+                spans.append((row[0], row[1], row[1] + row[2] - 1 + size))
+            else:
+                seen.add(row[3])
+                left.append(row)
+        if len(left) > 1:
+            ready += left
+            return sum(len(r[3]) for r in left)
+        return 0
+
+    def settle(ready: list, spans: list) -> None:
+        key = np.empty(len(ready), np.int64)
+        key[np.lexsort(([r[1] for r in ready], [r[0] for r in ready]))] = np.arange(len(ready))
+        owner, offset = repeated([r[3] for r in ready], [r[2] for r in ready], key, size)
+        if len(owner):
+            head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)]))
+            tail = np.append(head[1:], len(owner)) - 1
+            for o, x, y in zip(owner[head].tolist(), offset[head].tolist(), offset[tail].tolist()):
+                spans.append((ready[o][0], ready[o][1] + x, ready[o][1] + y + size))
 
     def run(batches):
         now, group, ready, spans, n = None, [], [], [], 0
         for batch in batches:
-            for g, doc, start, count, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if g != now:
-                    close(group, spans, ready)
-                    now = g
-                    if n > MERGE:
-                        settle(ready, spans)
-                        n = 0
-                group.append((doc, start, count, raw))
-                n += len(raw)
+            grp = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = batch.slice(0)
+            cuts = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if grp[lo] != now:
+                    if len(group) > 1:
+                        n += close(group, spans, ready)
+                        if n > MERGE:
+                            settle(ready, spans)
+                            ready, n = [], 0
+                    group, now = [], grp[lo]
+                if hi - lo > 1 or group or hi == len(grp):
+                    group += zip(*(rows.column(i).slice(lo, hi - lo).to_pylist() for i in (1, 2, 3, 4)))
+                elif lo:
+                    group = []  # a group of one has nothing to compare
+                else:
+                    group += zip(*(rows.column(i).slice(lo, 1).to_pylist() for i in (1, 2, 3, 4)))
             yield _batch([[s[i] for s in spans] for i in range(3)], schema)
             spans = []
-        close(group, spans, ready)
-        settle(ready, spans)
+        if len(group) > 1:
+            close(group, spans, ready)
+        if ready:
+            settle(ready, spans)
         yield _batch([[s[i] for s in spans] for i in range(3)], schema)
 
     return run

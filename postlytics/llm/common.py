@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from postlytics.session import cut_lineage
 
-__all__ = ["documents", "ship", "map_batches", "slices", "cut_lineage", "connected_components", "keep_ids", "spark_schema",
+__all__ = ["documents", "ship", "map_batches", "slices", "cut_lineage", "connected_components", "fresh", "spark_schema",
            "crc_mod"]
 
 
@@ -72,9 +72,12 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict]
     return df.mapInArrow(run, schema)
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids`` (column ``keep_id``); the columns stay as they are."""
-    return docs.join(ids, F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id")), "left_semi")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _forest(batches):

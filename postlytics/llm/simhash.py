@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import connected_components, documents, map_batches
+from postlytics.llm.common import connected_components, documents, fresh, map_batches
 
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
@@ -215,5 +215,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     together; groups whose rows all lack an id stay whole.
     """
     near = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    gone = near.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("gone_id"), "left_anti")
+    name = fresh(docs, "gone_id")
+    gone = near.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
