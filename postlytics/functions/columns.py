@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlytics.session import cut_lineage
+
 # A plain decimal number: what pandas' to_numeric accepts after the
 # thousands separators and unit signs are gone.  Spark's own cast also takes
 # suffixes such as ``1.0d`` or ``1f``, so every text cast is guarded by it.
@@ -54,3 +56,15 @@ def ntz_text(c: Column | str, style: str = "iso") -> Column:
         y, mo, d, h, mi, s = parts
         return F.format_string("%02d/%02d/%04d %02d:%02d:%02d", d, mo, y, h, mi, s)
     raise ValueError(style)
+
+
+#: Groups a per-group table may have to be sent to all tasks; each is a key and a few numbers.
+MAX_BROADCAST_GROUPS = 100_000
+
+
+def broadcast_groups(groups: DataFrame) -> DataFrame:
+    """A per-group table, broadcast after its rows are counted, so that raw rows
+    need no shuffle on a key of a few values.  Beyond the bound no value is hot
+    by its number alone and the join is left to Spark (with AQE's skew splits)."""
+    rows = cut_lineage(groups)
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_GROUPS else rows

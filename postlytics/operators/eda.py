@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlytics.functions.columns import ntz_text, rint_round
+from postlytics.functions.columns import broadcast_groups, ntz_text, rint_round
 from postlytics.functions.ranking import group_quantiles
 from postlytics.operators.features import ER, TOTAL, Prepared
 
@@ -347,7 +347,7 @@ def box_stats(pre: Prepared, group: str | None = None, k: float = 1.5, value: st
     q = q.withColumn("lo_f", F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_f", F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1")))
     inside = (v >= F.col("lo_f")) & (v <= F.col("hi_f"))
-    agg = df.select("__g", value).join(q, "__g").groupBy("__g", "q1", "median", "q3").agg(
+    agg = df.select("__g", value).join(broadcast_groups(q), "__g").groupBy("__g", "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),

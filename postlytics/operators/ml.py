@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from postlytics.functions.columns import rint_round
 from postlytics.operators.features import ER, Prepared
-from postlytics.session import checkpoint_dir, ensure_parallelism
+from postlytics.session import checkpoint_dir
 
 SEED = 42
 LABEL = "label"
@@ -115,8 +115,8 @@ def split(rows: DataFrame, test_size: float = 0.2) -> tuple[DataFrame, DataFrame
     return rows.where(F.col("bucket") >= cut), rows.where(F.col("bucket") < cut)
 
 
-def build_pipeline(fs: FeatureSet, train: DataFrame, n_train: int, model) -> PipelineModel:
-    """M4-M6 + model: scaler with population std, one-hot without the first level.
+def fit_encoder(fs: FeatureSet, train: DataFrame, n_train: int) -> PipelineModel:
+    """M4-M6: scaler with population std, one-hot without the first level.
 
     ``StringIndexer(alphabetDesc, keep)`` puts the alphabetically first level
     last (index n-1) and unknown levels at n; clamping to n-1 and
@@ -146,7 +146,40 @@ def build_pipeline(fs: FeatureSet, train: DataFrame, n_train: int, model) -> Pip
         ]
     parts = (["__num"] if fs.numeric else []) + [f"__ohe_{c}" for c in cats]
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    return Pipeline(stages=stages + [model]).fit(train)
+    return Pipeline(stages=stages).fit(train)
+
+
+#: Rows of encoded training data a partition holds.  Tree models sample by
+#: partition, so the layout is part of the model: it follows from the rows
+#: alone (hash of the row key, sorted), never from the number of cores.
+ROWS_PER_PARTITION = 5_000
+
+
+@dataclass
+class Encoded:
+    """One training split, encoded once: only features and label, cached until ``release``."""
+
+    encoder: PipelineModel
+    train: DataFrame
+    n: int
+    label_std: float
+
+    def release(self) -> None:
+        self.train.unpersist()
+
+
+def encode_split(fs: FeatureSet, train: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> Encoded:
+    st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("sy")).first()
+    enc = fit_encoder(fs, train, st["n"])
+    data = (enc.transform(train).select("features", LABEL, "row_key")
+            .repartition(max(1, math.ceil(st["n"] / rows_per_partition)), "row_key").sortWithinPartitions("row_key")
+            .select("features", LABEL).persist(StorageLevel.MEMORY_AND_DISK))
+    return Encoded(enc, data, st["n"], st["sy"] or 0.0)
+
+
+#: Memory for the histograms of the tree nodes grown in one pass over the data (the default of 256 MB takes several
+#: passes a level for 400 trees of depth 10).  A task needs that much beside the cached rows.
+TREE_MEMORY_MB = 1024
 
 
 def make_model(name: str, variant: str = "api", gbt_subsample: float = 0.8):
@@ -160,30 +193,30 @@ def make_model(name: str, variant: str = "api", gbt_subsample: float = 0.8):
         trees, depth, leaf = (500, 12, 2) if variant == "library" else (400, 10, 3)
         return RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=trees, maxDepth=depth,
                                      minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=SEED,
-                                     checkpointInterval=10, cacheNodeIds=True)
+                                     checkpointInterval=10, maxMemoryInMB=TREE_MEMORY_MB)
     if name == "Gradient Boosting":
         return GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=300, maxDepth=5, stepSize=0.05,
                             subsamplingRate=gbt_subsample, seed=SEED, checkpointInterval=10)
     raise ValueError(name)
 
 
-def _fit(name: str, fs: FeatureSet, train: DataFrame, variant: str, alpha: float = 1.0,
-         gbt_subsample: float = 0.8) -> PipelineModel:
-    checkpoint_dir(train.sparkSession)  # tree models checkpoint every 10 iterations
-    st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("sy")).first()
-    n, sy = st["n"], st["sy"] or 0.0
+def fit_model(name: str, data: Encoded, variant: str = "api", alpha: float = 1.0,
+              gbt_subsample: float = 0.8) -> PipelineModel:
+    """The bare estimator on an encoded split; the result takes raw rows."""
+    checkpoint_dir(data.train.sparkSession)  # tree models checkpoint every 10 iterations
     model = make_model(name, variant, gbt_subsample)
-    if name == "Gradient Boosting":
-        # 300 sequential rounds of small jobs: on small inputs the task count per
-        # job, not the data, is the cost; about one partition per 50k rows
-        cores = train.sparkSession.sparkContext.defaultParallelism
-        target = max(2, min(cores, math.ceil(n / 50_000)))
-        if train.rdd.getNumPartitions() > target:
-            train = train.coalesce(target)
     if name == "Ridge Regression":
         # sklearn's alpha on the unscaled squared loss == Spark's regParam * n / std(y)
-        model.setRegParam(alpha * sy / n if n else 0.0)
-    return build_pipeline(fs, train, n, model)
+        model.setRegParam(alpha * data.label_std / data.n if data.n else 0.0)
+    return PipelineModel(data.encoder.stages + [model.fit(data.train)])
+
+
+def _fit(name: str, fs: FeatureSet, train: DataFrame, variant: str, gbt_subsample: float = 0.8) -> PipelineModel:
+    data = encode_split(fs, train)
+    try:
+        return fit_model(name, data, variant, gbt_subsample=gbt_subsample)
+    finally:
+        data.release()
 
 
 def evaluate(pred: DataFrame, digits: int = 4, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
@@ -207,7 +240,7 @@ class Trained:
 def prepare_model_data(pre: Prepared, variant: str = "api", test_size: float | None = None, seed: int = SEED):
     test_size = test_size if test_size is not None else TEST_SIZE.get(variant, 0.2)
     fs = select_features(pre, variant)
-    rows = ensure_parallelism(model_rows(pre, fs, seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = model_rows(pre, fs, seed)
     check_rows(rows, MIN_ROWS.get(variant, 30))
     train, test = split(rows, test_size)
     return fs, rows, train, test
@@ -226,44 +259,82 @@ def model_metrics(pre: Prepared, name: str, variant: str = "api", test_size: flo
     return evaluate(t.model.transform(t.test), digits).select(F.lit(name).alias("model"), "*")
 
 
-def cross_validate(pre: Prepared, name: str, variant: str = "api", k: int = 5, parallelism: int = 5) -> DataFrame:
-    """K-fold R^2 over all complete rows: mean and population std.
+@dataclass
+class Zoo:
+    """Metrics of every fit, (model, fold or None for the test split) -> (r2, mae, rmse), and the test-split models."""
+
+    scores: dict[tuple[str, int | None], tuple[float, float, float]]
+    trained: dict[str, Trained]
+    rows: int
+
 
-    Folds are fitted concurrently (Spark runs the jobs side by side, as
-    ``CrossValidator(parallelism=...)`` does).
+def fit_zoo(pre: Prepared, names: list[str], variant: str = "api", k: int = 5, with_test: bool = True,
+            parallelism: int = 6) -> Zoo:
+    """Fits every model on the training split and (``k`` > 0) on every fold's complement.
+
+    Each split is encoded once and cached only while its models are fitted;
+    splits run side by side in a bounded pool, so the small jobs of one model's
+    rounds fill the gaps of another's.  Only metrics come to the driver.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    fs, rows, _train, _test = prepare_model_data(pre, variant)
+    fs, rows, train, test = prepare_model_data(pre, variant)
+    splits = ([(None, train, test)] if with_test else []) + [(f, rows.where(F.col("fold") != f), rows.where(F.col("fold") == f))
+                                                            for f in range(k)]
+
+    def one(split):
+        fold, part, held = split
+        data = encode_split(fs, part)
+        held = data.encoder.transform(held).select("features", LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            out = []
+            for name in reversed(names):  # the slowest first
+                m = fit_model(name, data, variant)
+                r = evaluate(m.stages[-1].transform(held), digits=12).first()
+                out.append((name, fold, (r["r2"], r["mae"], r["rmse"]), m))
+            return out
+        finally:
+            held.unpersist()
+            data.release()
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(splits)))) as pool:
+        done = [x for part in pool.map(one, splits) for x in part]
+    trained = {n: Trained(n, m, fs, test) for n, fold, _, m in done if fold is None}
+    return Zoo({(n, fold): s for n, fold, s, _ in done}, trained, rows.count())
 
-    def fold_score(f: int) -> DataFrame:
-        m = _fit(name, fs, rows.where(F.col("fold") != f), variant)
-        return evaluate(m.transform(rows.where(F.col("fold") == f)), digits=12).select(F.lit(f).alias("fold"), "r2")
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
-        scores = list(pool.map(fold_score, range(k)))
-    allf = scores[0]
-    for s in scores[1:]:
-        allf = allf.unionByName(s)
-    return allf.agg(rint_round(F.avg("r2"), 4).alias("cv_r2_mean"),
-                    rint_round(F.stddev_pop("r2"), 4).alias("cv_r2_std")).select(F.lit(name).alias("model"), "*")
+def _cv_row(zoo: Zoo, name: str, k: int) -> tuple[float, float]:
+    r2 = [zoo.scores[name, f][0] for f in range(k)]
+    mean = sum(r2) / k
+    return mean, math.sqrt(sum((x - mean) ** 2 for x in r2) / k)
+
+
+def cross_validate(pre: Prepared, name: str, variant: str = "api", k: int = 5) -> DataFrame:
+    """K-fold R^2 over all complete rows: mean and population std."""
+    zoo = fit_zoo(pre, [name], variant, k, with_test=False)
+    df = pre.df.sparkSession.createDataFrame([(name, *_cv_row(zoo, name, k))], "model string, m double, s double")
+    return df.select("model", rint_round(F.col("m"), 4).alias("cv_r2_mean"), rint_round(F.col("s"), 4).alias("cv_r2_std"))
 
 
 def compare_models(pre: Prepared, variant: str = "api", names: list[str] | None = None,
-                   with_cv: bool = True) -> DataFrame:
+                   with_cv: bool = True, zoo: Zoo | None = None, k: int = 5) -> DataFrame:
     """One row per model with test metrics (and CV); ``is_best`` = highest R^2."""
     names = names or (["Linear Regression", "Random Forest"] if variant == "library" else MODEL_ORDER)
-    rows = []
-    for i, n in enumerate(names):
-        r = model_metrics(pre, n, variant).withColumn("model_order", F.lit(i))
-        if with_cv:
-            r = r.join(cross_validate(pre, n, variant), "model")
-        rows.append(r)
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    best = out.agg(F.min_by("model", F.struct(-F.col("r2"), F.col("model_order"))).alias("__best"))
-    return out.crossJoin(best).withColumn("is_best", F.col("model") == F.col("__best")).drop("__best")
+    zoo = zoo or fit_zoo(pre, names, variant, k if with_cv else 0)
+    digits = 3 if variant == "library" else 4
+    best = best_model(zoo, names, digits)
+    rows = [(n, *(float(x) for x in zoo.scores[n, None]), i, *(_cv_row(zoo, n, k) if with_cv else (None, None)), n == best)
+            for i, n in enumerate(names)]
+    df = pre.df.sparkSession.createDataFrame(rows, "model string, r2 double, mae double, rmse double, model_order int, "
+                                                   "cv_r2_mean double, cv_r2_std double, is_best boolean")
+    rounded = [rint_round(F.col(c), digits).alias(c) for c in ("r2", "mae", "rmse")]
+    cv = [rint_round(F.col(c), 4).alias(c) for c in ("cv_r2_mean", "cv_r2_std")] if with_cv else []
+    return df.select("model", *rounded, "model_order", *cv, "is_best")
+
+
+def best_model(zoo: Zoo, names: list[str], digits: int = 4) -> str:
+    """Highest test R^2 as reported (rounded); the earlier model wins a tie."""
+    return min(names, key=lambda n: (-round(zoo.scores[n, None][0], digits), names.index(n)))
 
 
 def feature_importance(t: Trained, digits: int = 4) -> DataFrame:
@@ -289,16 +360,22 @@ def top_features(importance: DataFrame, n: int = 10) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def residual_summary(t: Trained) -> DataFrame:
-    """Residual mean / population std, largest over- and under-estimate, axis limits."""
-    p = t.model.transform(t.test).withColumn("res", F.col(LABEL) - F.col("prediction"))
+def actual_vs_predicted(t: Trained) -> DataFrame:
+    """One row per held-out post: actual, predicted and the residual."""
+    return t.model.transform(t.test).select("row_key", F.col(LABEL).alias("actual"), F.col("prediction").alias("predicted"),
+                                            (F.col(LABEL) - F.col("prediction")).alias("residual"))
+
+
+def residual_summary(t: Trained, pad: float = 0.5) -> DataFrame:
+    """Residual mean / population std, largest over- and under-estimate, axis limits with a margin."""
+    p = actual_vs_predicted(t)
     return p.agg(
-        rint_round(F.avg("res"), 4).alias("residual_mean"),
-        rint_round(F.stddev_pop("res"), 4).alias("residual_std"),
-        rint_round(-F.min("res"), 4).alias("max_overestimate"),
-        rint_round(F.max("res"), 4).alias("max_underestimate"),
-        rint_round(F.least(F.min(LABEL), F.min("prediction")), 4).alias("axis_min"),
-        rint_round(F.greatest(F.max(LABEL), F.max("prediction")), 4).alias("axis_max"),
+        rint_round(F.avg("residual"), 4).alias("residual_mean"),
+        rint_round(F.stddev_pop("residual"), 4).alias("residual_std"),
+        rint_round(-F.min("residual"), 4).alias("max_overestimate"),
+        rint_round(F.max("residual"), 4).alias("max_underestimate"),
+        rint_round(F.least(F.min("actual"), F.min("predicted")) - pad, 4).alias("axis_min"),
+        rint_round(F.greatest(F.max("actual"), F.max("predicted")) + pad, 4).alias("axis_max"),
         F.count(F.lit(1)).alias("n_test"),
     )
 
@@ -330,7 +407,7 @@ def fill_planned(pre: Prepared, planned: DataFrame, fs: FeatureSet,
 def predict_posts(pre: Prepared, planned: DataFrame, clip: bool = True, variant: str = "predict") -> DataFrame:
     """Train gradient boosting on all complete rows, score a table of planned posts."""
     fs = select_features(pre, "api")
-    rows = ensure_parallelism(model_rows(pre, fs)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = model_rows(pre, fs)
     check_rows(rows, MIN_ROWS[variant])
     model = _fit("Gradient Boosting", fs, rows, "api", gbt_subsample=1.0)
     scored = model.transform(fill_planned(pre, planned, fs))

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.functions.columns import rint_round
+from postlytics.functions.columns import broadcast_groups, rint_round
 from postlytics.functions.distributions import f_sf, norm_cdf, norm_ppf, t_two_sided_p
 from postlytics.functions.ranking import group_quantiles, ranks_within_groups
 from postlytics.operators.features import ER, Prepared
@@ -155,7 +155,7 @@ def levene(df: DataFrame, group: str, value: str = ER, min_n: int = 1) -> DataFr
         .select(F.col(group).cast("string").alias("grp"), F.col(value).alias("v"))
     counts = d.groupBy("grp").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_n)
     med = group_quantiles(d, "grp", "v", [0.5]).select("grp", F.col("q")[0].alias("med"))
-    keep = counts.join(med, "grp").select("grp", "med")
+    keep = broadcast_groups(counts.join(med, "grp").select("grp", "med"))
     z = d.join(keep, "grp").select("grp", F.abs(F.col("v") - F.col("med")).alias("z"))
     a = anova_from_moments(group_moments(z, "grp", "z"))
     return a.select(F.col("F").alias("W"), F.col("p"), "df_between", "df_within", "k", "n_total")

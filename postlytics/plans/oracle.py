@@ -132,10 +132,10 @@ FROM (SELECT range AS bin FROM range({bins})) s CROSS JOIN rg LEFT JOIN c ON c.b
 """)
 
 
-def _box(group: str | None) -> str:
+def _box(group: str | None, src: str = "pre", ctes: str = "") -> str:
     g = "'all'" if group is None else f"CAST({group} AS VARCHAR)"
-    return q(f"""
-, d AS (SELECT {g} AS grp, engagement_rate_pct AS v FROM pre WHERE engagement_rate_pct IS NOT NULL AND {g} IS NOT NULL),
+    return q(ctes + f"""
+, d AS (SELECT {g} AS grp, engagement_rate_pct AS v FROM {src} WHERE engagement_rate_pct IS NOT NULL AND {g} IS NOT NULL),
 qq AS (SELECT grp, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM d GROUP BY grp),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM qq)
 SELECT f.grp, {r('q1', 4)} AS q1, {r('median', 4)} AS median, {r('q3', 4)} AS q3, {r('q3 - q1', 4)} AS iqr,
@@ -398,13 +398,17 @@ def stats_sql() -> dict[str, str]:
     return out
 
 
-def _terciles_sql(where: str) -> str:
-    return q(f"""
-, reels AS (SELECT CAST(duration_sec AS DOUBLE) AS d, {ER} AS v FROM pre WHERE {where}),
-qq AS (SELECT quantile_cont(d, 1.0 / 3.0) AS q1, quantile_cont(d, 2.0 / 3.0) AS q2, min(d) AS dmin, max(d) AS dmax FROM reels),
+def _tercile_ctes(where: str) -> str:
+    return f"""
+, reels AS (SELECT CAST(duration_sec AS DOUBLE) AS d, {ER} AS v, {ER} FROM pre WHERE {where}),
+qt AS (SELECT quantile_cont(d, 1.0 / 3.0) AS q1, quantile_cont(d, 2.0 / 3.0) AS q2, min(d) AS dmin, max(d) AS dmax FROM reels),
 lab AS (SELECT reels.*, CASE WHEN NOT (dmin < q1 AND q1 < q2 AND q2 < dmax) THEN NULL
                              WHEN d <= q1 THEN 'Short' WHEN d <= q2 THEN 'Medium' ELSE 'Long' END AS duration_group
-        FROM reels CROSS JOIN qq)
+        FROM reels CROSS JOIN qt)"""
+
+
+def _terciles_sql(where: str) -> str:
+    return q(_tercile_ctes(where) + f"""
 SELECT duration_group, CASE duration_group WHEN 'Short' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END AS group_order,
        count(*) AS reels, {r('avg(v)', 2)} AS mean_er, min(d) AS min_duration, max(d) AS max_duration
 FROM lab WHERE duration_group IS NOT NULL GROUP BY duration_group""")
@@ -417,6 +421,7 @@ _REELS_NOTEBOOK = (f"regexp_matches(CAST(post_type AS VARCHAR), 'reel|video', 'i
 
 def stats_sql_base() -> dict[str, str]:
     return {
+        "box_stats_by_duration": _box("duration_group", "lab", _tercile_ctes(_REELS)),
         "duration_terciles_notebook": _terciles_sql(_REELS_NOTEBOOK),
         "anova_content_type": qr(_moments("post_type") + _anova_tail("g") + f"""
 , best AS (SELECT grp AS best FROM g ORDER BY mean DESC, grp LIMIT 1)
@@ -480,6 +485,7 @@ FROM pre WHERE {_REELS}"""),
        count(*) FILTER (WHERE reach IS NOT NULL AND views IS NOT NULL AND likes IS NOT NULL AND comments IS NOT NULL
                         AND saves IS NOT NULL AND shares IS NOT NULL AND follows IS NOT NULL AND post_type IS NOT NULL
                         AND weekday IS NOT NULL AND hour IS NOT NULL AND {ER} IS NOT NULL) AS rows_after FROM pre"""),
+        "box_stats_by_period": _box("CASE WHEN is_weekend THEN 'Weekend' ELSE 'Weekday' END"),
         "period_label": q("SELECT post_id, CASE WHEN is_weekend THEN 'Weekend' ELSE 'Weekday' END AS period FROM pre"),
         "json_safe": q(f"SELECT {_json_safe_cols()} FROM pre"),
         "preview": q(f"SELECT {_preview_cols()} FROM pre ORDER BY post_id LIMIT 5"),
@@ -524,7 +530,8 @@ def loader_sql() -> dict[str, str]:
 def ml_sql() -> dict[str, str]:
     rows = f"""
 , mr AS (
-  SELECT CAST(post_id AS VARCHAR) AS row_key,
+  SELECT CAST(post_id AS VARCHAR) AS row_key, reach, views, likes, comments, saves, shares, follows,
+         CAST(post_type AS VARCHAR) AS post_type, CAST(weekday AS VARCHAR) AS weekday, lpad(CAST(hour AS VARCHAR), 2, '0') AS hour,
          CAST(('0x' || substr(md5('42|' || CAST(post_id AS VARCHAR)), 1, 8))::BIGINT % 100 AS INTEGER) AS bucket
   FROM pre
   WHERE reach IS NOT NULL AND views IS NOT NULL AND likes IS NOT NULL AND comments IS NOT NULL AND saves IS NOT NULL
@@ -532,7 +539,34 @@ def ml_sql() -> dict[str, str]:
     AND hour IS NOT NULL AND {ER} IS NOT NULL
 )
 """
+    numbers = ["reach", "views", "likes", "comments", "saves", "shares", "follows"]
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in numbers)
+    shown = ", ".join(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE round((CAST({c} AS DOUBLE) - m_{c}) / s_{c}, 6) END AS scaled_{c}"
+                      for c in numbers)
+    scaled = f", st AS (SELECT {stats} FROM mr WHERE bucket >= 20) SELECT row_key, {shown} FROM mr CROSS JOIN st"
+    cats = ["post_type", "weekday", "hour"]
+    levels = ", ".join(f"lv_{c} AS (SELECT DISTINCT {c} AS lv FROM mr WHERE bucket >= 20 "
+                       f"AND {c} > (SELECT min({c}) FROM mr WHERE bucket >= 20))" for c in cats)
+    digits = ", ".join(f"(SELECT string_agg(CASE WHEN lv = mr.{c} THEN '1' ELSE '0' END, '' ORDER BY lv DESC) "
+                       f"FROM lv_{c}) AS one_hot_{c}" for c in cats)
+    one_hot = f", {levels} SELECT row_key, {digits} FROM mr"
+
+    def labels(label: str) -> str:
+        return f"""
+, sc AS (SELECT row_key, (CAST(views AS DOUBLE) % 400) / 10.0 AS p FROM mr),
+av AS (SELECT avg({ER}) AS avg_er, max({ER}) AS best FROM pre)
+SELECT row_key, p AS predicted_er, {r('p', 2)} AS predicted_er_2dp, {r('avg_er', 2)} AS your_avg_er, p >= avg_er AS above_avg,
+       p >= 5.0 AS above_benchmark, {label} AS recommendation, {r('p - avg_er', 1)} AS delta_vs_avg,
+       {r('p - 5.0', 1)} AS delta_vs_benchmark, {r('best', 1)} AS best_post_er
+FROM sc CROSS JOIN av"""
+
     return {
+        "scaled_features": q(rows + scaled),
+        "one_hot": q(rows + one_hot),
+        "prediction_label": q(rows + labels("CASE WHEN p >= avg_er THEN 'Strong post: consider boosting to maximize reach!' "
+                                            "ELSE 'Consider adjusting content type or posting time.' END")),
+        "prediction_label_dashboard": q(rows + labels("CASE WHEN p >= avg_er * 1.1 THEN 'ABOVE YOUR AVERAGE' "
+                                                      "WHEN p >= 5.0 THEN 'ABOVE BENCHMARK' ELSE 'BELOW BENCHMARK' END")),
         "model_rows": q(rows + "SELECT row_key, bucket, bucket % 5 AS fold FROM mr"),
         "split": q(rows + "SELECT CASE WHEN bucket < 20 THEN 'test' ELSE 'train' END AS part, count(*) AS rows "
                    "FROM mr GROUP BY 1"),
@@ -690,7 +724,8 @@ def shapiro_sql() -> dict[str, str]:
 , sd AS (SELECT CAST(post_type AS VARCHAR) AS grp, {ER} AS x FROM pre WHERE post_type IS NOT NULL AND {ER} IS NOT NULL)
 """ + shapiro_sql_body("sd")
     return {"shapiro_wilk": qr(body + f"SELECT grp, n, {r('w', 4)} AS W, {r('p', 4)} AS p_value, p > 0.05 AS normal FROM sw"),
-            "duration_test": duration_test_sql(), "test_summary": test_summary_sql(),
+            "duration_test": duration_test_sql(),
+            "duration_test_notebook": duration_test_sql(_REELS_NOTEBOOK, "pooled"), "test_summary": test_summary_sql(),
             "trend_line_ci": trend_band_sql()}
 
 
@@ -707,14 +742,15 @@ def _anova_ctes(g: str, prefix: str) -> str:
 """
 
 
-def duration_test_sql() -> str:
+def duration_test_sql(where: str = _REELS, t_test: str = "levene") -> str:
+    pooled = "levene_p > 0.05" if t_test == "levene" else "TRUE"
     n1, n2 = "CAST(n1 AS DOUBLE)", "CAST(n2 AS DOUBLE)"
     se_w = f"sqrt(v1 / {n1} + v2 / {n2})"
     df_w = f"(pow(v1 / {n1} + v2 / {n2}, 2) / (pow(v1 / {n1}, 2) / ({n1} - 1) + pow(v2 / {n2}, 2) / ({n2} - 1)))"
     sp2 = f"((({n1} - 1) * v1 + ({n2} - 1) * v2) / ({n1} + {n2} - 2))"
     se_p = f"sqrt({sp2} * (1.0 / {n1} + 1.0 / {n2}))"
     body = f"""
-, reels AS (SELECT CAST(duration_sec AS DOUBLE) AS d, {ER} AS v FROM pre WHERE {_REELS}),
+, reels AS (SELECT CAST(duration_sec AS DOUBLE) AS d, {ER} AS v FROM pre WHERE {where}),
 qq AS (SELECT quantile_cont(d, 1.0 / 3.0) AS q1, quantile_cont(d, 2.0 / 3.0) AS q2, min(d) AS dmin, max(d) AS dmax FROM reels),
 lab AS (SELECT reels.*, CASE WHEN NOT (dmin < q1 AND q1 < q2 AND q2 < dmax) THEN NULL
                              WHEN d <= q1 THEN 'Short' WHEN d <= q2 THEN 'Medium' ELSE 'Long' END AS grp
@@ -757,8 +793,8 @@ src AS (
   FROM an2 CROSS JOIN tt
 ),
 fin AS (
-  SELECT *, CASE WHEN k = 2 THEN (CASE WHEN levene_p > 0.05 THEN tp ELSE tw END) ELSE f END AS stat,
-            CASE WHEN k = 2 THEN (CASE WHEN levene_p > 0.05 THEN p_pooled ELSE p_welch END) ELSE p_anova END AS pval
+  SELECT *, CASE WHEN k = 2 THEN (CASE WHEN {pooled} THEN tp ELSE tw END) ELSE f END AS stat,
+            CASE WHEN k = 2 THEN (CASE WHEN {pooled} THEN p_pooled ELSE p_welch END) ELSE p_anova END AS pval
   FROM res
 )
 SELECT CASE WHEN valid_reels < 15 THEN printf('Only %d valid Reels: not enough for a reliable test (need >= %d).', valid_reels, 15)

@@ -7,15 +7,16 @@ over all of it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlytics.functions.columns import broadcast_groups
 from postlytics.operators import eda, filters, ml, stats
 from postlytics.plans import reports
-from postlytics.operators.roles import resolve_roles, role_report
 from postlytics.sources import csv_export, sinks
-from postlytics.sources.exports import export_from_tables, materialized_posts
+from postlytics.sources.exports import export_from_tables, materialized_posts, table_version
 from postlytics.operators.features import (
     ER, TOTAL, Prepared, denominator_choice, hour_label, meta_summary, preprocess,
 )
@@ -71,6 +72,9 @@ EDA_QUERIES: dict[str, Query] = {
     "er_histogram": _on_pre(eda.er_histogram),
     "box_stats": _on_pre(eda.box_stats),
     "box_stats_by_type": _on_pre(lambda p: eda.box_stats(p, p.roles.type)),
+    "box_stats_by_period": _on_pre(lambda p: eda.box_stats(replace(p, df=p.df.withColumn("period", filters.period())), "period")),
+    "box_stats_by_duration": _on_pre(lambda p: eda.box_stats(
+        replace(p, df=stats.with_terciles(stats.duration_rows(p), p.roles.duration)), "duration_group")),
     "column_defaults": _on_pre(eda.column_defaults),
     "distinct_types": _on_pre(eda.distinct_types),
     "top_posts": _on_pre(eda.top_posts),
@@ -80,7 +84,6 @@ EDA_QUERIES: dict[str, Query] = {
     "benchmark_check": _on_pre(eda.benchmark_check),
     "benchmark_status": _on_pre(eda.benchmark_status),
     "benchmark_check_notebook": _on_pre(lambda p: eda.benchmark_check(p, 3.5)),
-    # rows-only (no exact SQL twin)
     "er_density": _on_pre(eda.er_density),
     "mean_ci": _on_pre(eda.mean_ci),
     "trend_line_ci": _on_pre(eda.trend_line_ci),
@@ -96,9 +99,9 @@ STATS_QUERIES: dict[str, Query] = {
     "p_values": _on_pre(stats.p_values),
     "duration_terciles": _on_pre(stats.duration_terciles),
     "duration_terciles_notebook": _on_pre(lambda p: stats.duration_terciles(p, 3.0, 180.0, lo_inclusive=True)),
-    # rows-only
     "shapiro_wilk": _on_pre(stats.shapiro_by),
     "duration_test": _on_pre(stats.duration_test),
+    "duration_test_notebook": _on_pre(lambda p: stats.duration_test(p, lo=3.0, hi=180.0, lo_inclusive=True, t_test="pooled")),
     "test_summary": _on_pre(stats.test_summary),
 }
 
@@ -112,7 +115,6 @@ MISC_QUERIES: dict[str, Query] = {
     "json_safe": _on_pre(lambda p: sinks.json_safe(p.df)),
     "preview": _on_pre(lambda p: sinks.preview(p.df, 5)),
     "overview": _on_pre(reports.overview),
-    # rows-only
     "eda_report": _on_pre(reports.eda_report),
 }
 
@@ -133,26 +135,24 @@ LOADER_QUERIES: dict[str, Query] = {
     "read_export": lambda s, d: _loaded(s, d).select(*EXPORT_COLUMNS),
     "read_export_er_by_type": lambda s, d: eda.er_by_type(_loaded_pre(s, d)),
     "read_export_monthly_trend": lambda s, d: eda.monthly_trend(_loaded_pre(s, d)),
-    # rows-only
-    "latest_file": lambda s, d: csv_export.latest_file(s, export_from_tables(s, d)).select("path"),
-    "detect_content_type": lambda s, d: s.createDataFrame(
-        [(csv_export.content_type_of(_loaded(s, d)),)], "content_type string"),
-    "role_report": lambda s, d: role_report(s, resolve_roles(_loaded(s, d).columns)),
-    "column_types": lambda s, d: eda.column_types(_loaded_pre(s, d)),
 }
 
 
-_MODELS: dict[tuple, ml.Trained] = {}
+#: Fits of this session, by version of the table they come from: later queries reuse them.
+_MODELS: dict[tuple, object] = {}
 
 
-def trained(spark: SparkSession, sf_dir: str, name: str, variant: str = "api") -> ml.Trained:
-    """Fitted model per (session, data, model): later queries reuse it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name, variant)
+def _once(spark: SparkSession, sf_dir: str, what: tuple, make: Callable[[], object]):
+    key = (*table_version(spark, sf_dir), *what)
     if key not in _MODELS:
-        _MODELS[key] = ml.train_model(prepared(spark, sf_dir), name, variant)
+        _MODELS[key] = make()
     return _MODELS[key]
 
 
+def trained(spark: SparkSession, sf_dir: str, name: str, variant: str = "api") -> ml.Trained:
+    return _once(spark, sf_dir, (name, variant), lambda: ml.train_model(prepared(spark, sf_dir), name, variant))
+
+
 def _metrics(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = trained(spark, sf_dir, name)
@@ -161,26 +161,31 @@ def _metrics(name: str) -> Query:
 
 
 def _cv(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """5-fold CV of one model, memoised per session (folds fitted concurrently)."""
-    key = (spark.sparkContext.applicationId, sf_dir, "cv", name)
-    if key not in _MODELS:
-        _MODELS[key] = ml.cross_validate(prepared(spark, sf_dir), name)
-    return _MODELS[key]
+    """5-fold CV of one model (folds fitted concurrently)."""
+    return _once(spark, sf_dir, ("cv", name), lambda: ml.cross_validate(prepared(spark, sf_dir), name))
+
+
+def _zoo(spark: SparkSession, sf_dir: str) -> ml.Zoo:
+    """All four models on the test split and on the five folds."""
+    return _once(spark, sf_dir, ("zoo",), lambda: ml.fit_zoo(prepared(spark, sf_dir), ml.MODEL_ORDER))
 
 
 def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M13 as the API reports it: test metrics and 5-fold CV for each model."""
-    rows = [_metrics(n)(spark, sf_dir).join(_cv(spark, sf_dir, n), "model").withColumn("model_order", F.lit(i))
-            for i, n in enumerate(ml.MODEL_ORDER)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    best = out.agg(F.min_by("model", F.struct(-F.col("r2"), F.col("model_order"))).alias("__best"))
-    return out.crossJoin(best).withColumn("is_best", F.col("model") == F.col("__best")).drop("__best")
+    return ml.compare_models(prepared(spark, sf_dir), zoo=_zoo(spark, sf_dir))
+
+
+def _best(spark: SparkSession, sf_dir: str) -> ml.Trained:
+    """The model of the highest test R^2 (each fitted on the training split only)."""
+    def make() -> ml.Trained:
+        zoo = ml.fit_zoo(prepared(spark, sf_dir), ml.MODEL_ORDER, k=0)
+        return zoo.trained[ml.best_model(zoo, ml.MODEL_ORDER)]
+
+    return _once(spark, sf_dir, ("best",), make)
 
 
 def _planned(pre: Prepared) -> DataFrame:
-    """Planned posts derived from the table: the held-out rows, some fields left blank."""
+    """Planned posts derived from the whole table: some fields left blank."""
     fs = ml.select_features(pre, "api")
     rows = ml.model_rows(pre, fs)
     k = F.col("row_key").cast("long")
@@ -188,38 +193,59 @@ def _planned(pre: Prepared) -> DataFrame:
     blanks[pre.roles.type] = F.when(k % 4 == 0, F.lit(None)).otherwise(F.col(pre.roles.type))
     blanks["weekday"] = F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("weekday"))
     blanks["hour"] = F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("hour").cast("int"))
-    return rows.where(F.col("bucket") < 20).select("row_key", *fs.all).withColumns(blanks)
+    return rows.select("row_key", *fs.all).withColumns(blanks)
 
 
 def _predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     pre = prepared(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir, "predict")
-    if key not in _MODELS:
-        scored = ml.predict_posts(pre, _planned(pre))
-        _MODELS[key] = scored
-    return _MODELS[key].select("row_key", "predicted_er")
+    scored = _once(spark, sf_dir, ("predict",), lambda: ml.predict_posts(pre, _planned(pre)))
+    return scored.select("row_key", "predicted_er")
 
 
-def _stage_output(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
-    """M4 / M5: the fitted feature stages applied to the held-out rows (vector as array)."""
+def _labelled(spark: SparkSession, sf_dir: str, style: str) -> DataFrame:
+    """M17 / M18 on a fixed prediction column: a tenth of the views in hundreds, so every label occurs."""
+    pre = prepared(spark, sf_dir)
+    fs = ml.select_features(pre, "api")
+    scored = ml.model_rows(pre, fs).select("row_key", (F.col("views") % 400 / F.lit(10.0)).alias("predicted_er"))
+    return ml.prediction_label(pre, scored, style=style)
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> tuple[ml.FeatureSet, DataFrame]:
+    """All model rows through the feature stages fitted on the training split."""
+    def make():
+        fs, rows, train, _test = ml.prepare_model_data(prepared(spark, sf_dir))
+        return fs, ml.fit_encoder(fs, train, train.count()).transform(rows)
+
+    return _once(spark, sf_dir, ("encoded",), make)
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: the scaled numbers of every model row."""
+    from pyspark.ml.functions import vector_to_array
+
+    fs, rows = _encoded(spark, sf_dir)
+    v = vector_to_array("__num")
+    return rows.select("row_key", *[F.round(v[i], 6).alias(f"scaled_{c}") for i, c in enumerate(fs.numeric)])
+
+
+def _one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: the one-hot digits of every model row, one string a category."""
     from pyspark.ml.functions import vector_to_array
 
-    t = trained(spark, sf_dir, "Linear Regression")
-    return t.model.transform(t.test).select("row_key", vector_to_array(F.col(column)).alias(column.strip("_")))
+    fs, rows = _encoded(spark, sf_dir)
+    return rows.select("row_key", *[F.array_join(F.transform(vector_to_array(f"__ohe_{c}"), lambda x: x.cast("int").cast("string")), "")
+                                    .alias(f"one_hot_{c}") for c in fs.categorical])
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best model of the comparison (with its 5-fold CV) and the top driver."""
-    pre = prepared(spark, sf_dir)
-    compare = _compare(spark, sf_dir)
-    rows_used = ml.model_rows(pre, ml.select_features(pre, "api")).count()
-    return ml.ml_summary(compare,
-                         ml.feature_importance(trained(spark, sf_dir, "Gradient Boosting")), rows_used)
+    zoo = _zoo(spark, sf_dir)
+    return ml.ml_summary(_compare(spark, sf_dir), ml.feature_importance(zoo.trained["Gradient Boosting"]), zoo.rows)
 
 
 def _type_mean_predictor(pre: Prepared) -> DataFrame:
     t = pre.roles.type
-    means = pre.df.groupBy(t).agg(F.avg(ER).alias("prediction"))
+    means = broadcast_groups(pre.df.groupBy(t).agg(F.avg(ER).alias("prediction")))
     return pre.df.where(F.col(ER).isNotNull()).join(means, t).select(F.col(ER).alias("label"), "prediction")
 
 
@@ -230,7 +256,6 @@ ML_QUERIES: dict[str, Query] = {
                      .groupBy(F.when(F.col("bucket") < 20, "test").otherwise("train").alias("part"))
                      .agg(F.count(F.lit(1)).alias("rows"))),
     "evaluate": _on_pre(lambda p: ml.evaluate(_type_mean_predictor(p))),
-    # rows-only (models)
     "linear_model": _metrics("Linear Regression"),
     "ridge_model": _metrics("Ridge Regression"),
     "forest_model": _metrics("Random Forest"),
@@ -241,11 +266,13 @@ ML_QUERIES: dict[str, Query] = {
     "feature_importance": lambda s, d: ml.feature_importance(trained(s, d, "Gradient Boosting")),
     "feature_importance_forest": lambda s, d: ml.top_features(ml.feature_importance(trained(s, d, "Random Forest")), 10),
     "compare_models_library": _on_pre(lambda p: ml.compare_models(p, "library", with_cv=False)),
-    "residual_summary": lambda s, d: ml.residual_summary(trained(s, d, "Gradient Boosting")),
+    "residual_summary": lambda s, d: ml.residual_summary(_best(s, d)),
+    "actual_vs_predicted": lambda s, d: ml.actual_vs_predicted(_best(s, d)),
     "predict_posts": _predict,
-    "prediction_label": lambda s, d: ml.prediction_label(prepared(s, d), _predict(s, d)),
-    "scaled_features": lambda s, d: _stage_output(s, d, "__num"),
-    "one_hot": lambda s, d: _stage_output(s, d, "features"),
+    "prediction_label": lambda s, d: _labelled(s, d, "api"),
+    "prediction_label_dashboard": lambda s, d: _labelled(s, d, "dashboard"),
+    "scaled_features": _scaled,
+    "one_hot": _one_hot,
     "ml_summary": lambda s, d: _summary(s, d),
 }
 

@@ -7,6 +7,7 @@ Library code never creates a session of its own; it uses the one handed in.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,8 +37,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8) -> SparkSe
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` if set.
 
-    Only when the session names none (local tests) a fresh scratch folder is
-    created and registered.
+    Only when the session names none and runs in one process (local tests) a
+    fresh scratch folder is created and registered; on a cluster a folder of
+    the driver's machine would lose the executors' files, so that is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -47,6 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="postlytics-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -60,11 +64,3 @@ def cut_lineage(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def ensure_parallelism(df):
-    """Spread a small input over all cores (no-op when it already has enough
-    partitions, i.e. always at scale).  Iterative jobs - model training - run
-    one task per partition, so a single-file input would run on one core."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
