@@ -28,9 +28,19 @@ def safe_div(num: Column, den: Column) -> Column:
     return num / F.nullif(den, F.lit(0.0))
 
 
+#: Unicode white space, as text functions of most languages strip it.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+                                0x205F, 0x3000]))
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind (tabs, no-break spaces) at either end."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
 def strip_number_text(c: Column) -> Column:
-    """Remove ``, % $`` and surrounding blanks; blank text becomes null."""
-    s = F.trim(F.regexp_replace(c, r"[,%$]", ""))
+    """Remove ``, % $`` and surrounding white space; blank text becomes null."""
+    s = strip(F.regexp_replace(c, r"[,%$]", ""))
     return F.when(s == "", None).otherwise(s)
 
 

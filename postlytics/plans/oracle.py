@@ -522,6 +522,13 @@ def loader_sql() -> dict[str, str]:
     e = eda_sql()
     return {
         "read_export": q(export + "SELECT * FROM export"),
+        "read_export_messy": q(export + "SELECT *, CASE WHEN CAST(post_id AS BIGINT) % 4 = 1 THEN CASE WHEN CAST(post_id AS BIGINT) % 41 = 0 "
+                               "THEN 'caf\u00e9, au lait' ELSE 'plain words' END END AS caption FROM export"),
+        "smart_numeric": q("SELECT post_id, CASE WHEN post_id % 5 = 2 AND views % 100 = 0 THEN CAST(printf('%.1f', views / 1000.0) AS DOUBLE) * 1000.0 "
+                           "ELSE CAST(views AS DOUBLE) END AS views FROM posts"),
+        "parse_dates": q("SELECT post_id, date_trunc('second', publish_time) AS publish_time FROM posts"),
+        "null_tokens": q("SELECT post_id, CASE WHEN post_id % 7 <> 0 THEN post_type END AS post_type FROM posts"),
+        "drop_empty_rows": q("SELECT post_id AS _row_id, CAST(likes AS VARCHAR) AS likes FROM posts WHERE post_id % 7 <> 0"),
         "read_export_er_by_type": e["er_by_type"],
         "read_export_monthly_trend": e["monthly_trend"],
     }

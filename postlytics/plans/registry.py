@@ -12,11 +12,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.functions.columns import broadcast_groups
+from postlytics.functions.columns import broadcast_groups, ntz_text
 from postlytics.operators import eda, filters, ml, stats
 from postlytics.plans import reports
 from postlytics.sources import csv_export, sinks
-from postlytics.sources.exports import export_from_tables, materialized_posts, table_version
+from postlytics.sources.exports import export_from_tables, materialized_posts, mixed_exports_from_tables, table_version
 from postlytics.operators.features import (
     ER, TOTAL, Prepared, denominator_choice, hour_label, meta_summary, preprocess,
 )
@@ -131,7 +131,30 @@ def _loaded_pre(spark: SparkSession, sf_dir: str) -> Prepared:
     return preprocess(_loaded(spark, sf_dir))
 
 
+def _text_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts as text cells: missing-value words, dates in five layouts, numbers with units."""
+    p = materialized_posts(spark, sf_dir)
+    k = F.pmod("post_id", F.lit(5))
+    iso = ntz_text("publish_time", "iso")
+    date = (F.when(k == 0, F.concat(F.replace(iso, F.lit(" "), F.lit("T")), F.lit("Z"))).when(k == 1, F.concat(iso, F.lit(".000")))
+            .when(k == 2, F.concat(F.lit("\t"), iso)).when(k == 3, F.concat(iso, F.lit("+00:00"))).otherwise(ntz_text("publish_time", "dmy")))
+    views = F.when(k == 0, F.format_number("views", 0)).when(k == 1, F.concat(F.lit("$"), F.col("views").cast("string"))) \
+        .when((k == 2) & (F.col("views") % 100 == 0), F.concat(F.format_string("%.1f", F.col("views") / F.lit(1000.0)), F.lit("k"))) \
+        .otherwise(F.concat(F.lit(" "), F.col("views").cast("string"), F.lit("\u00a0")))
+    words = F.element_at(F.array(*[F.lit(w) for w in csv_export.NA_TOKENS]),
+                         (F.pmod("post_id", F.lit(len(csv_export.NA_TOKENS))) + 1).cast("int"))
+    gap = F.pmod("post_id", F.lit(7)) == 0
+    return p.select("post_id", date.alias("publish_time"), views.alias("views"),
+                    F.when(gap, words).otherwise(F.col("post_type")).alias("post_type"),
+                    F.when(~gap, F.col("likes").cast("string")).alias("likes"))
+
+
 LOADER_QUERIES: dict[str, Query] = {
+    "read_export_messy": lambda s, d: csv_export.read_export(s, mixed_exports_from_tables(s, d), glob="part-*").select(*EXPORT_COLUMNS, "caption"),
+    "smart_numeric": lambda s, d: csv_export.smart_numeric(_text_posts(s, d).select("post_id", "views")),
+    "parse_dates": lambda s, d: csv_export.parse_dates(_text_posts(s, d).select("post_id", "publish_time")),
+    "null_tokens": lambda s, d: csv_export.null_tokens(_text_posts(s, d), ["post_type"]).select("post_id", "post_type"),
+    "drop_empty_rows": lambda s, d: csv_export.drop_empty_rows(_text_posts(s, d).select(F.col("post_id").alias("_row_id"), "likes")),
     "read_export": lambda s, d: _loaded(s, d).select(*EXPORT_COLUMNS),
     "read_export_er_by_type": lambda s, d: eda.er_by_type(_loaded_pre(s, d)),
     "read_export_monthly_trend": lambda s, d: eda.monthly_trend(_loaded_pre(s, d)),

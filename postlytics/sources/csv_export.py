@@ -1,23 +1,27 @@
 """Messy CSV exports -> typed DataFrame.
 
-Per file, only a bounded head sample (10 records) reaches the driver: it
-decides the encoding, the header row and the field count.  The file itself
-is parsed by Spark's CSV reader (``multiLine`` because captions may hold line
-breaks), with one spare ``_overflow`` column to recognise over-long rows.
-Type decisions (numeric or not, which date format) are one aggregate job
-over all columns at once; the conversion is then a single ``select``.
+1. One job over the text of all files finds, for every file, whether all of
+   it is valid UTF-8 and its first records; one small row a file reaches the
+   driver, as it does in Spark's own file index.
+2. Files of one encoding and header are parsed by one CSV scan (``multiLine``
+   because captions may hold line breaks) and all of them are staged as one
+   Parquet table in the shared folder, which also gives every record its id.
+3. Each header group's types (number or not, which date format) come from one
+   aggregate over its staged columns; the conversion is a single ``select``.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlytics.functions.columns import ntz_text, to_double_guarded
+from postlytics.functions.columns import ntz_text, strip, to_double_guarded
 from postlytics.operators.roles import (
     DATE_NAME_KEYWORDS,
     HEADER_KEYWORDS,
@@ -25,6 +29,7 @@ from postlytics.operators.roles import (
     dedupe_names,
     detect_content_type,
 )
+from postlytics.session import checkpoint_dir
 
 # The text cells pandas reads as missing by default.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -33,16 +38,17 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 SAMPLE_RECORDS = 10
 HEADER_CANDIDATES = 5
 
-# Timestamp patterns.  ISO is always year-month-day; the others are tried as
-# one family per column (day first wins ties).
-ISO_PATTERNS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm",
-                "yyyy-MM-dd"]
-FAMILIES = {
-    "dmy_slash": ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy"],
-    "dmy_dash": ["d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy"],
-    "dmy_dot": ["d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy"],
-    "mdy_slash": ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy"],
-}
+#: Lines of a file from which its header is found.
+SAMPLE_LINES = 40
+
+# Timestamp patterns.  Year first and month names are read alike in every
+# column; the others are tried as one family per column (day first wins ties).
+# The layouts platform exports use.
+_CLOCKS = ["", " H:mm[:ss]", " h:mm[:ss] a"]
+PLAIN_PATTERNS = [f"{d}{t}" for d in ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy") for t in _CLOCKS]
+FAMILIES = {name: [day + t for t in _CLOCKS] for name, day in
+            (("dmy_slash", "d/M/yyyy"), ("dmy_dash", "d-M-yyyy"), ("dmy_dot", "d.M.yyyy"), ("mdy_slash", "M/d/yyyy"))}
+ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)\s*(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 
 
 # ------------------------------------------------------------------ S2 / S3 / S4
@@ -61,98 +67,99 @@ def latest_file(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFram
                      F.max("modificationTime").alias("modificationTime")).where(F.col("path").isNotNull())
 
 
-def pick_encoding(spark: SparkSession, file: str) -> str:
-    """S3: UTF-8 (BOM cut later) when the head decodes cleanly, else Latin-1.
+@dataclass(frozen=True)
+class FileHead:
+    """What the first job learns about a file."""
 
-    Latin-1 decodes any byte, so cp1252 is never reached (as in the reference).
-    """
-    head = spark.read.text(file).limit(SAMPLE_RECORDS * 4)
-    bad = head.where(~F.is_valid_utf8(F.col("value"))).limit(1).count()
-    return "UTF-8" if bad == 0 else "ISO-8859-1"
-
-
-def _head_records(spark: SparkSession, file: str, encoding: str) -> list[list[str]]:
-    """First records of a file as parsed CSV fields (bounded sample)."""
-    if encoding == "UTF-8":
-        lines = spark.read.text(file)
-    else:  # the text source is UTF-8 only; a one-field CSV read without quoting decodes lines
-        lines = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(file)
-    raw = [r[0] if r[0] is not None else "" for r in lines.limit(SAMPLE_RECORDS * 4).collect()]
-    text = "\n".join(raw)
-    if text.startswith("\ufeff"):
-        text = text[1:]
-    rows = [r for r in csv.reader(io.StringIO(text)) if any(x.strip() for x in r)]
-    return rows[:SAMPLE_RECORDS]
-
-
-def find_header_row(records: list[list[str]]) -> int:
-    """Among the first 5 sampled records, the one containing most keywords."""
-    best, best_score = 0, 0
-    for i, rec in enumerate(records[:HEADER_CANDIDATES]):
-        joined = " ".join(str(x) for x in rec).lower()
-        score = sum(1 for kw in HEADER_KEYWORDS if kw in joined)
-        if score > best_score:
-            best, best_score = i, score
-    return best
+    path: str
+    encoding: str
+    header: tuple[str, ...]
 
 
-# ------------------------------------------------------------------ S1 / S5 / S6
-def _records_from_lines(raw: list[str]) -> list[list[str]]:
-    text = "\n".join(raw)
-    if text.startswith("\ufeff"):
-        text = text[1:]
-    rows = [r for r in csv.reader(io.StringIO(text)) if any(x.strip() for x in r)]
-    return rows[:SAMPLE_RECORDS]
+def find_header_row(records: list[list[str]], candidates: int = HEADER_CANDIDATES) -> int:
+    """Of the first records the one that mentions most keywords; the first of several, or if none does."""
+    def mentions(i: int) -> int:
+        text = "\n".join(records[i]).lower()
+        return sum(k in text for k in HEADER_KEYWORDS)
 
+    return max(range(min(candidates, len(records))), key=lambda i: (mentions(i), -i))
 
-def sample_head(spark: SparkSession, file: str) -> tuple[str, list[str]]:
-    """(encoding, header fields) of one file from a bounded head sample.
 
-    One small job reads the first lines and checks them for valid UTF-8;
-    only a non-UTF-8 file is read a second time, as Latin-1.
-    """
-    head = spark.read.text(file).limit(SAMPLE_RECORDS * 4).select(
-        "value", F.is_valid_utf8("value").alias("ok")).collect()
-    if all(r["ok"] for r in head if r["value"] is not None):
-        enc, records = "UTF-8", _records_from_lines([r["value"] or "" for r in head])
-    else:
-        enc = "ISO-8859-1"
-        records = _head_records(spark, file, enc)
-    if not records:
-        raise ValueError(f"empty export: {file}")
-    return enc, records[find_header_row(records)]
-
-
-def _read_group(spark: SparkSession, files: list[str], encoding: str, header: list[str],
-                multi_line: bool = True) -> DataFrame:
-    """One CSV read for all files sharing (encoding, header).
+def _records(lines: list[bytes], encoding: str) -> list[list[str]]:
+    text = b"\n".join(lines).decode(encoding, "replace").removeprefix("\ufeff")
+    return [r for r in csv.reader(io.StringIO(text)) if any(x.strip() for x in r)][:SAMPLE_RECORDS]
+
+
+def _head_rows(batches):
+    """One row for each stretch of a file in this task: its place, whether all lines are UTF-8, the first lines if it begins the file."""
+    import pyarrow as pa
 
-    Every file's header row is found by content.  Records before it can only
-    sit in the same task as the header (the file's first split), after it in
-    record order; records in any other task of that file are data.  With
-    ``multi_line`` (captions with line breaks) a file is one task; without it
-    large files are split over many tasks.
+    schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("bad", pa.int32()), ("lines", pa.list_(pa.binary()))])
+    seen: dict[tuple, list] = {}
+    for batch in batches:
+        for path, start, ok, line in zip(*(c.to_pylist() for c in batch.columns)):
+            at = seen.setdefault((path, start), [0, []])
+            at[0] |= int(not ok)
+            if start == 0 and len(at[1]) < SAMPLE_LINES:
+                at[1].append(line)
+    yield pa.RecordBatch.from_pylist([{"path": p, "start": s, "bad": bad, "lines": lines} for (p, s), (bad, lines) in seen.items()],
+                                     schema=schema)
+
+
+def scan_heads(spark: SparkSession, path: str, glob: str = "*.csv") -> list[FileHead]:
+    """S3 + S4 for all files in one job over their whole content, in order of their paths.
+
+    UTF-8 (a byte order mark is cut) if every line of the file is, else
+    Latin-1, which decodes any byte.  A file without any record is left out.
     """
-    width = len(header)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
-                          + [T.StructField("_overflow", T.StringType())])
-    df = (spark.read.schema(schema)
-          .option("header", False).option("multiLine", multi_line).option("escape", '"')
-          .option("encoding", encoding).option("mode", "PERMISSIVE")
-          .csv(files))
-    df = df.withColumn("_file", F.input_file_name()).withColumn("_row_id", F.monotonically_increasing_id()) \
-        .withColumn("_task", F.spark_partition_id())
-    df = df.where(F.col("_overflow").isNull())  # S5: too many fields -> dropped; too few -> null-padded
+    text = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                       F.is_valid_utf8("value").alias("ok"), F.col("value").cast("binary").alias("line"))
+    heads = (rows.mapInArrow(_head_rows, "path string, start long, bad int, lines array<binary>")
+             .groupBy("path").agg(F.max("bad").alias("bad"), F.max_by("lines", -F.col("start")).alias("lines")))
+    out = []
+    for r in heads.orderBy("path").collect():  # a row a file
+        encoding = "ISO-8859-1" if r["bad"] else "UTF-8"
+        records = _records([bytes(x) for x in r["lines"]], encoding)
+        if records:
+            out.append(FileHead(r["path"], encoding, tuple(records[find_header_row(records)])))
+    return out
+
+
+# ------------------------------------------------------------------ S1 / S5 / S6
+def _too_long(raw: Column, width: int) -> Column:
+    """Does a raw record have more fields than the header?  An empty field counts."""
+    bare = F.regexp_replace(raw, '"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= width
+
+
+def _parsed(spark: SparkSession, files: list[str], encoding: str, header: tuple[str, ...], multi_line: bool) -> DataFrame:
+    """S1 + S5: the records of all files of one encoding and header, as text, over-long ones dropped, short ones filled
+    with nulls; records before the header are still there."""
+    names = [f"_c{i}" for i in range(len(header))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_raw"]])
+    df = (spark.read.schema(schema).option("header", False).option("multiLine", multi_line).option("escape", '"')
+          .option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw")
+          .csv(files).withColumn("_file", F.col("_metadata.file_path")))
+    df = df.where(F.col("_raw").isNull() | ~_too_long(F.col("_raw"), len(header))).drop("_raw")
     df = df.withColumn("_c0", F.regexp_replace(F.col("_c0"), "^\ufeff", ""))
     is_header = F.lit(True)
-    for i, name in enumerate(header):
-        is_header = is_header & (F.coalesce(F.col(f"_c{i}"), F.lit("")) == F.lit(name))
-    # (files) rows: Spark broadcasts it when small, shuffles otherwise
-    starts = df.where(is_header).groupBy("_file").agg(F.min_by("_task", "_row_id").alias("__t"),
-                                                       F.min("_row_id").alias("__h"))
+    for c, text in zip(names, header):
+        is_header = is_header & (F.coalesce(F.col(c), F.lit("")) == F.lit(text))
+    return df.withColumn("_is_header", is_header)
+
+
+def _after_header(df: DataFrame, files: int) -> DataFrame:
+    """The records after each file's header.  What comes before it can only be in the header's task (a file's first
+    part); a file whose header isn't found again keeps all its records."""
+    starts = df.where("_is_header").groupBy("_file").agg(F.min_by("_task", "_row_id").alias("__t"), F.min("_row_id").alias("__h"))
+    if files <= MAX_BROADCAST_FILES:  # one row a file at most
+        starts = F.broadcast(starts)
     keep = F.col("__h").isNull() | (F.col("_task") != F.col("__t")) | (F.col("_row_id") > F.col("__h"))
-    # left join: a file whose header text is not found again loses no rows
-    return df.join(starts, "_file", "left").where(keep).drop("__h", "__t", "_task", "_overflow", "_file")
+    return df.join(starts, "_file", "left").where(keep).drop("__h", "__t", "_task", "_is_header", "_file")
+
+
+MAX_BROADCAST_FILES = 100_000
 
 
 def null_tokens(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -180,9 +187,10 @@ def clean_ids(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def _smart_parse(c: Column) -> tuple[Column, Column, Column]:
     """(plain parse, parse after unit clean-up, has-unit-character flag) for one text column."""
-    s = F.trim(c)
+    s = strip(c)
     plain = to_double_guarded(s)
     s2 = F.regexp_replace(s, r"[,%$]", "")
+    # The unit suffixes, lower case only.
     k = F.regexp_extract(s2, r"^(\d+\.?\d*)k$", 1)
     m = F.regexp_extract(s2, r"^(\d+\.?\d*)m$", 1)
     unit = (F.when(s2.rlike(r"^\d+\.?\d*k$"), k.cast("double") * F.lit(1000.0))
@@ -192,35 +200,55 @@ def _smart_parse(c: Column) -> tuple[Column, Column, Column]:
     return plain, unit, flag
 
 
-def smart_numeric(df: DataFrame, ratio: float = 0.6, exclude: list[str] | None = None) -> DataFrame:
-    """Convert a text column to double when >= ratio of *all* rows parse.
+def _text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
-    If any cell of the column holds one of ``% , $ k K m M`` the unit clean-up
-    (drop ``, % $``, expand lower-case ``k``/``m``) applies to the whole column.
-    One aggregate decides every column; one select converts.
+
+def _is_date_name(name: str) -> bool:
+    return any(k in name.lower() for k in DATE_NAME_KEYWORDS)
+
+
+def type_columns(df: DataFrame, ratio: float = 0.6, numbers: list[str] | None = None, dates: list[str] | None = None) -> DataFrame:
+    """P2 + P3: one aggregate decides every column, one select converts.
+
+    A column becomes double when at least ``ratio`` of *all* rows parse; if any
+    cell holds one of ``% , $ k K m M`` the unit clean-up (drop ``, % $``,
+    expand ``k`` / ``m``) applies to the whole column.  A date column that
+    stays text is parsed by the family of formats that reads most of its cells.
     """
-    exclude = set(exclude or [])
-    cols = [f.name for f in df.schema.fields
-            if isinstance(f.dataType, T.StringType) and f.name not in exclude and not is_id_column(f.name)]
-    if not cols:
-        return df
+    numbers = [c for c in _text_columns(df) if not is_id_column(c)] if numbers is None else numbers
+    dates = [c for c in _text_columns(df) if _is_date_name(c)] if dates is None else dates
     aggs = []
-    for i, c in enumerate(cols):
+    for i, c in enumerate(numbers):
         plain, unit, flag = _smart_parse(F.col(c))
-        aggs += [F.max(flag.cast("int")).alias(f"f{i}"),
-                 F.avg(plain.isNotNull().cast("double")).alias(f"p{i}"),
+        aggs += [F.max(flag.cast("int")).alias(f"f{i}"), F.avg(plain.isNotNull().cast("double")).alias(f"p{i}"),
                  F.avg(unit.isNotNull().cast("double")).alias(f"u{i}")]
+    for i, c in enumerate(dates):
+        aggs += [F.count(_first_parse(strip(F.col(c)), pats)).alias(f"d{i}_{j}") for j, pats in enumerate(FAMILIES.values())]
+    if not aggs:
+        return df
     row = df.agg(*aggs).first()
     conv = {}
-    for i, c in enumerate(cols):
+    for i, c in enumerate(numbers):
         has_unit = bool(row[f"f{i}"])
         share = row[f"u{i}"] if has_unit else row[f"p{i}"]
         if share is not None and share >= ratio:
             plain, unit, _ = _smart_parse(F.col(c))
             conv[c] = unit if has_unit else plain
+    families = list(FAMILIES.values())
+    for i, c in enumerate(dates):
+        if c not in conv:
+            best = max(range(len(families)), key=lambda j: (row[f"d{i}_{j}"], -j))
+            conv[c] = _date_of(F.col(c), families[best])
     return df.withColumns(conv) if conv else df
 
 
+def smart_numeric(df: DataFrame, ratio: float = 0.6, exclude: list[str] | None = None) -> DataFrame:
+    """P2 alone."""
+    cols = [c for c in _text_columns(df) if not is_id_column(c) and c not in (exclude or [])]
+    return type_columns(df, ratio, cols, [])
+
+
 def _parse_ntz(c: Column, pattern: str) -> Column:
     """Wall-clock parse, independent of the session time zone (no DST-gap shifts).
 
@@ -230,41 +258,37 @@ def _parse_ntz(c: Column, pattern: str) -> Column:
     return F.when(F.try_to_timestamp(c, F.lit(pattern)).isNotNull(), F.to_timestamp_ntz(c, F.lit(pattern)))
 
 
-def _family_expr(c: Column, patterns: list[str]) -> Column:
+def _first_parse(c: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[_parse_ntz(c, p) for p in patterns])
 
 
-def parse_dates_column(df: DataFrame, name: str) -> Column:
-    """P3 for one column (used by ``preprocess`` on text dates): ISO first, then the
-    family that parses most cells, day first on ties.  Decided by one aggregate."""
-    return _date_exprs(df, [name])[name]
+def _iso(c: Column) -> Column:
+    """Year-month-day with an optional time, fraction and offset; a time with an offset is given in UTC."""
+    time = F.regexp_extract(c, ISO, 2)
+    base = F.concat(F.regexp_extract(c, ISO, 1), F.when(time != "", F.concat(F.lit(" "), time)).otherwise(F.lit(" 00:00")))
+    offset = F.regexp_replace(F.regexp_extract(c, ISO, 3), ":", "")
+    minutes = F.when(offset.rlike("^[+-]"), F.concat(F.substring(offset, 1, 1), F.lit("1")).cast("int")
+                     * (F.substring(offset, 2, 2).cast("int") * 60 + F.coalesce(F.nullif(F.substring(offset, 4, 2), F.lit("")).cast("int"), F.lit(0))))
+    parsed = _parse_ntz(base, "yyyy-MM-dd HH:mm[:ss][.SSSSSSSSS]")
+    return F.when(c.rlike(ISO), parsed - F.make_dt_interval(mins=F.coalesce(minutes, F.lit(0))))
 
 
-def _date_exprs(df: DataFrame, names: list[str]) -> dict[str, Column]:
-    if not names:
-        return {}
-    fams = list(FAMILIES.items())
-    aggs = []
-    for i, n in enumerate(names):
-        c = F.trim(F.col(n))
-        for j, (_fam, pats) in enumerate(fams):
-            aggs.append(F.count(_family_expr(c, pats)).alias(f"c{i}_{j}"))
-    row = df.agg(*aggs).first()
-    out = {}
-    for i, n in enumerate(names):
-        counts = [row[f"c{i}_{j}"] for j in range(len(fams))]
-        best = max(range(len(fams)), key=lambda j: (counts[j], -j))
-        c = F.trim(F.col(n))
-        out[n] = F.coalesce(_family_expr(c, ISO_PATTERNS), _family_expr(c, fams[best][1]))
-    return out
+def _date_of(c: Column, family: list[str]) -> Column:
+    c = strip(c)
+    return F.coalesce(_iso(c), _first_parse(c, PLAIN_PATTERNS), _first_parse(c, family))
+
+
+def parse_dates_column(df: DataFrame, name: str) -> Column:
+    """P3 for one column (used by ``preprocess`` on text dates); one aggregate chooses the family, day first on ties."""
+    c = strip(F.col(name))
+    families = list(FAMILIES.values())
+    row = df.agg(*[F.count(_first_parse(c, pats)).alias(f"d{j}") for j, pats in enumerate(families)]).first()
+    return _date_of(F.col(name), families[max(range(len(families)), key=lambda j: (row[f"d{j}"], -j))])
 
 
 def parse_dates(df: DataFrame) -> DataFrame:
-    """Every *text* column whose name mentions a date keyword."""
-    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)
-             and any(k in f.name.lower() for k in DATE_NAME_KEYWORDS)]
-    exprs = _date_exprs(df, names)
-    return df.withColumns(exprs) if exprs else df
+    """P3 alone: every *text* column whose name mentions a date keyword."""
+    return type_columns(df, numbers=[])
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
@@ -274,32 +298,35 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 
 
 def read_export(spark: SparkSession, path: str, min_numeric_ratio: float = 0.6, glob: str = "*.csv",
-                max_parallel_samples: int = 16, multi_line: bool = True) -> DataFrame:
-    """One or many exports -> one typed table with ``_row_id`` (record order).
-
-    Heads are sampled concurrently (a few lines per file); files sharing an
-    encoding and header are read by one CSV scan; groups with different
-    headers are stacked by column name.  ``multi_line=False`` splits large
-    files over many tasks; use it only for exports without line breaks inside
-    quoted fields.
-    """
-    from concurrent.futures import ThreadPoolExecutor
+                multi_line: bool = True) -> DataFrame:
+    """One or many exports -> one typed table with ``_row_id`` (unique; record order within a file).
 
-    files = [r["path"] for r in list_files(spark, path, glob).orderBy("path").select("path").collect()]
-    if not files:
-        raise FileNotFoundError(f"no {glob} files under {path}")
-    with ThreadPoolExecutor(max_workers=max(1, min(max_parallel_samples, len(files)))) as pool:
-        heads = list(pool.map(lambda f: sample_head(spark, f), files))
-    groups: dict[tuple, list[str]] = {}
-    for f, (enc, header) in zip(files, heads):
-        groups.setdefault((enc, tuple(header)), []).append(f)
+    Types are decided per header group; groups are stacked by column name.
+    ``multi_line=False`` splits large files over many tasks; use it only for
+    exports without line breaks inside quoted fields.  A row of a file's head
+    is all the driver holds of it.
+    """
+    heads = scan_heads(spark, path, glob)
+    if not heads:
+        raise FileNotFoundError(f"no {glob} files with records under {path}")
+    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for h in heads:
+        groups.setdefault((h.encoding, h.header), []).append(h.path)
+    staged = None
+    for i, ((encoding, header), files) in enumerate(groups.items()):
+        part = _parsed(spark, files, encoding, header, multi_line).withColumn("_group", F.lit(i))
+        staged = part if staged is None else staged.unionByName(part, allowMissingColumns=True)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/staged/{uuid.uuid4().hex}"
+    (staged.withColumn("_row_id", F.monotonically_increasing_id()).withColumn("_task", F.spark_partition_id())
+     .write.partitionBy("_group").parquet(base))
+    table = spark.read.parquet(base)
     parts = []
-    for (enc, header), members in groups.items():
-        named = _name_columns(_read_group(spark, members, enc, list(header), multi_line), list(header))
+    for i, ((_, header), files) in enumerate(groups.items()):
+        own = [f"_c{k}" for k in range(len(header))]
+        rows = _after_header(table.where(F.col("_group") == i).select(*own, "_file", "_task", "_is_header", "_row_id"), len(files))
+        named = _name_columns(rows, list(header))
         raw = null_tokens(named, [c for c in named.columns if c != "_row_id"])
-        # types are decided per header group, as the reference decides per file
-        typed = parse_dates(smart_numeric(clean_ids(raw), min_numeric_ratio))
-        parts.append(drop_empty_rows(typed))
+        parts.append(drop_empty_rows(type_columns(clean_ids(raw), min_numeric_ratio)))
     return _stack(parts)
 
 
@@ -324,31 +351,71 @@ def content_type_of(df: DataFrame) -> str:
 
 
 # ------------------------------------------------------------------ a messy export from posts
-def write_messy_export(posts: DataFrame, path: str, num_files: int | None = None) -> str:
-    """Write the posts table the way a platform export looks (for tests and the
-    round-trip query): display headers, ``1,234`` thousands, ``12.5k`` views,
-    ``dd/MM/yyyy HH:mm:ss`` dates, ids as ``123.0``.  Every part file gets a header."""
-    p = posts
+def _shown(style: str) -> list[Column]:
+    """The posts' columns as an export shows them: ``1,234`` thousands, ``12.5k`` views, ids as ``123.0``, dates by style."""
     views = F.when(F.col("views") % 100 == 0,
                    F.concat(F.format_string("%.1f", F.col("views") / F.lit(1000.0)), F.lit("k"))) \
         .otherwise(F.col("views").cast("string"))
-    out = p.select(
-        F.concat(F.col("post_id").cast("string"), F.lit(".0")).alias("Post ID"),
-        ntz_text("publish_time", "dmy").alias("Publish time"),
-        F.col("post_type").alias("Post type"),
-        F.col("duration_sec").cast("string").alias("Duration (sec)"),
-        F.format_number(F.col("reach"), 0).alias("Reach"),
-        F.col("impressions").cast("string").alias("Impressions"),
-        views.alias("Views"),
-        F.col("likes").cast("string").alias("Likes"),
-        F.col("comments").cast("string").alias("Comments"),
-        F.col("saves").cast("string").alias("Saves"),
-        F.col("shares").cast("string").alias("Shares"),
-        F.col("follows").cast("string").alias("Follows"),
-        F.col("profile_visits").cast("string").alias("Profile visits"),
-    )
-    if num_files:
-        out = out.repartition(num_files)
-    out.write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
+    when = F.col("publish_time")
+    date = {"day_first": ntz_text("publish_time", "dmy"),
+            "offset": F.concat(F.replace(ntz_text("publish_time", "iso"), F.lit(" "), F.lit("T")), F.lit("+0000")),
+            "am_pm": F.format_string("%02d/%02d/%04d %d:%02d:%02d %s", F.dayofmonth(when), F.month(when), F.year(when),
+                                     (F.hour(when) + 11) % 12 + 1, F.minute(when), F.second(when).cast("int"),
+                                     F.when(F.hour(when) < 12, "AM").otherwise("PM"))}[style]
+    return [F.concat(F.col("post_id").cast("string"), F.lit(".0")).alias("Post ID"), date.alias("Publish time"),
+            F.col("post_type").alias("Post type"), F.col("duration_sec").cast("string").alias("Duration (sec)"),
+            F.format_number(F.col("reach"), 0).alias("Reach"), F.col("impressions").cast("string").alias("Impressions"),
+            views.alias("Views"),
+            *[F.col(c).cast("string").alias(c.capitalize().replace("_", " ")) for c in
+              ("likes", "comments", "saves", "shares", "follows", "profile_visits")]]
+
+
+def write_messy_export(posts: DataFrame, path: str) -> str:
+    """Write the posts table the way a platform export looks (for tests and the
+    round-trip query); as many part files as the table has partitions, each with a header."""
+    posts.select(*_shown("day_first")).write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
     return path
 
+
+def _ragged_lines(header: list[str]):
+    """CSV lines with what exports put around them: a preamble, the header, lines of too many fields, empty lines."""
+    import pyarrow as pa
+
+    schema = pa.schema([("value", pa.string())])
+
+    def run(batches):
+        yield pa.RecordBatch.from_pydict({"value": ["Account report", "", ",".join(header)]}, schema=schema)
+        for batch in batches:
+            lines = []
+            for r in batch.to_pylist():
+                fields = ["" if v is None else f'"{v}"' if "," in v else v for v in r.values()]
+                lines.append(",".join(fields))
+                if int(float(fields[0])) % 5 == 0:
+                    lines += [",".join([*fields, ""]), "," * (len(header) - 1)]
+            yield pa.RecordBatch.from_pydict({"value": lines}, schema=schema)
+
+    return run
+
+
+def write_mixed_exports(posts: DataFrame, path: str) -> str:
+    """The posts table as four exports of different making, a quarter of the posts each.
+
+    ``0``: as ``write_messy_export``.  ``1``: Latin-1, with a caption of which only
+    few have an accent.  ``2``: other column order, dates with an offset, tabs
+    and no-break spaces around numbers, missing-value words.  ``3``: AM / PM
+    dates, a preamble, lines with an empty field too many (copies that must
+    not be read) and lines of empty fields.
+    """
+    part = lambda i: posts.where(F.pmod("post_id", F.lit(4)) == i)
+    write_messy_export(part(0), f"{path}/0")
+    accent = F.when(F.col("post_id") % 41 == 0, "caf\u00e9, au lait").otherwise("plain words").alias("Caption")
+    part(1).select(*_shown("day_first"), accent).write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/1")
+    shown = _shown("offset")
+    padded = part(2).select(*shown).select(*reversed([
+        F.concat(F.lit("\t"), F.col(c), F.lit("\u00a0")).alias(c) if c == "Likes"
+        else F.coalesce(F.col(c), F.lit("N/A")).alias(c) if c in ("Saves", "Reach") else F.col(f"`{c}`") for c in
+        posts.sparkSession.createDataFrame([], posts.schema).select(*shown).columns]))
+    padded.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/2")
+    rows = part(3).select(*_shown("am_pm"))
+    rows.mapInArrow(_ragged_lines(rows.columns), "value string").write.text(f"{path}/3")
+    return path

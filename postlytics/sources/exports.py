@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from postlytics.session import checkpoint_dir
-from postlytics.sources.csv_export import write_messy_export
+from postlytics.sources.csv_export import write_messy_export, write_mixed_exports
 from postlytics.sources.fixtures import posts_from_events
 
 _WRITTEN: dict[tuple, str] = {}
@@ -36,6 +36,16 @@ def export_from_tables(spark: SparkSession, sf_dir: str) -> str:
     return _WRITTEN[key]
 
 
+def mixed_exports_from_tables(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of exports of different making derived from ``events`` (written once per session)."""
+    key = (*table_version(spark, sf_dir), "mixed")
+    if key not in _WRITTEN:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/exports/{uuid.uuid4().hex}"
+        write_mixed_exports(posts_from_events(spark, sf_dir), path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
 _POSTS: dict[tuple, str] = {}
 
 

@@ -25,6 +25,12 @@ CASES: dict[str, bytes] = {
     "posts.csv": b"reach,impressions,likes\n1,2,3\n",
     "unknown.csv": b"likes,comments\n1,2\n",
     "empty_rows.csv": b"name,value\na,1\n,\n,\nb,2\n",
+    "late_latin1.csv": b"post_id,caption\n" + b"".join(f"{i},plain\n".encode() for i in range(300)) + "300,caf\xe9\n".encode("latin-1"),
+    "late_utf8.csv": b"post_id,caption\n" + b"".join(f"{i},plain\n".encode() for i in range(300)) + "300,caf\xe9\n".encode("utf-8"),
+    "empty_extra.csv": b"post_id,reach,likes\n1,100,5\n2,200,6,\n3,300,\n4,\n5,500,\"a,b\",\n6,600,\"7,7\"\n",
+    "spaces.csv": "post_id,v\n1,\t100\n2,200\xa0\n3, 300\n4,400\t\n".encode("utf-8"),
+    "all_dates.csv": b"post_id,date\n1,2024-07-05T10:30:00+0000\n2,2024-07-05T10:30:00Z\n3,2024-07-05 10:30:00.123\n"
+                     b"4,15/07/2024 10:30 PM\n5,\"Jul 5, 2024\"\n6,2024-07-05T10:30:00+02:00\n7,2024-07-05T10:30\n8,5 July 2024 7:05\n9,99/99/2024\n",
     "multiline.csv": b"post_id,caption,likes\n1,\"line one\nline two\",5\n2,plain,6\n",
 }
 

@@ -130,3 +130,58 @@ def test_latest_file(spark, tmp_path):
     empty.mkdir()
     with pytest.raises(FileNotFoundError):
         latest_file(spark, str(empty))
+
+
+def test_encoding_is_decided_by_the_whole_file(spark, cases):
+    for name in ("late_latin1.csv", "late_utf8.csv"):
+        got = {r["post_id"]: r["caption"] for r in read_export(spark, cases[name]).collect()}
+        assert len(got) == 301 and got["300"] == "caf\xe9" and got["0"] == "plain"
+
+
+def test_an_empty_extra_field_makes_a_row_too_long(spark, cases):
+    got = read_export(spark, cases["empty_extra.csv"])
+    assert sorted(r["post_id"] for r in got.collect()) == ["1", "3", "4", "6"]
+
+
+def test_any_white_space_is_stripped(spark, cases):
+    assert [r[1] for r in rows(read_export(spark, cases["spaces.csv"]))] == [100.0, 200.0, 300.0, 400.0]
+
+
+def test_date_layouts_of_exports(spark, cases):
+    got = {r["post_id"]: r["date"] for r in read_export(spark, cases["all_dates.csv"]).collect()}
+    day = dt.datetime(2024, 7, 5, 10, 30)
+    assert got["1"] == got["2"] == got["7"] == day
+    assert got["3"] == day.replace(microsecond=123000) and got["6"] == day.replace(hour=8)
+    assert got["4"] == dt.datetime(2024, 7, 15, 22, 30) and got["5"] == dt.datetime(2024, 7, 5)
+    assert got["8"] == dt.datetime(2024, 7, 5, 7, 5) and got["9"] is None
+
+
+def test_row_ids_are_unique_over_mixed_headers(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"a{i}.csv").write_text("post_id,reach\n" + "".join(f"a{i}{k},{k}\n" for k in range(7)))
+        (tmp_path / f"b{i}.csv").write_text("Report\nreach,post_id,likes\n" + "".join(f"{k},b{i}{k},1\n" for k in range(7)))
+    got = read_export(spark, str(tmp_path))
+    assert got.count() == 70 == got.select("_row_id").distinct().count() == got.select("post_id").distinct().count()
+    assert sorted(got.columns) == ["_row_id", "likes", "post_id", "reach"]
+
+
+def test_no_job_for_each_file(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"a{i}.csv").write_text("post_id,reach\n" + "".join(f"a{i}{k},{k}\n" for k in range(3)))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("loader", "loader")
+    try:
+        assert read_export(spark, str(tmp_path)).columns
+        assert len(tracker.getJobIdsForGroup("loader")) < 12
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_missing_value_words_and_empty_rows(spark):
+    from postlytics.sources.csv_export import NA_TOKENS, drop_empty_rows, null_tokens
+
+    words = [*NA_TOKENS, "NONE", "0", "none", " "]
+    df = spark.createDataFrame([(i, w, None) for i, w in enumerate(words)], "_row_id long, a string, b string")
+    got = null_tokens(df, ["a", "b"])
+    assert [r["a"] for r in got.orderBy("_row_id").collect()] == [None] * len(NA_TOKENS) + ["NONE", "0", "none", " "]
+    assert drop_empty_rows(got).count() == 4
