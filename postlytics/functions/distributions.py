@@ -124,11 +124,15 @@ def t_two_sided_p(t, df) -> Column:
     )
 
 
+#: Upper end of the bisection; beyond every quantile of tails down to 1e-12 at one degree of freedom.
+T_BRACKET = 2.0 ** 40
+
+
 def t_ppf(p, df, iterations: int = 80) -> Column:
     """Quantile of Student t by bisection on the two-sided tail (p in (0.5, 1))."""
     p, df = _c(p), _c(df)
     target = (F.lit(1.0) - p) * 2.0  # two-sided tail mass beyond the quantile
-    init = F.struct(F.lit(0.0).alias("lo"), F.lit(1000.0).alias("hi"))
+    init = F.struct(F.lit(0.0).alias("lo"), F.lit(T_BRACKET).alias("hi"))
 
     def step(acc, _i):
         mid = (acc["lo"] + acc["hi"]) / 2.0

@@ -11,8 +11,6 @@ offset plus its position inside the partition.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +71,10 @@ def _rank_quantiles(df: DataFrame, group: str, value: str, probs: list[float]) -
     g = picked.groupBy(group).agg(*aggs)
     out = []
     for i, h in enumerate(pos):
-        frac = h - F.floor(h)
+        # the interpolation of Spark's ``percentile``, term by term, so both paths give the same bits
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        out.append(F.when(hi == lo, lo).otherwise(lo + (hi - lo) * frac).alias(f"q{i}"))
+        out.append(F.when((hi == lo) | (F.floor(h) == F.ceil(h)), lo)
+                   .otherwise((F.ceil(h) - h) * lo + (h - F.floor(h)) * hi).alias(f"q{i}"))
     return g.select(group, F.array(*out).alias("q"))
 
 
@@ -88,7 +87,7 @@ def group_quantiles(df: DataFrame, group: str | None, value: str, probs: list[fl
     distinct values are few); ``rank`` = distributed ranks; ``auto`` = a
     HyperLogLog distinct count per group decides (size check before choosing).
     """
-    method = method or os.environ.get("POSTLYTICS_QUANTILES", "auto")
+    method = method or "auto"
     g = group or "__all"
     d = df.select((F.col(group) if group else F.lit(0)).alias(g), F.col(value).alias("__v")) \
         .where(F.col(g).isNotNull() & F.col("__v").isNotNull())

@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.functions.columns import rint_round
 from postlytics.operators.features import ER, Prepared
 from postlytics.operators.stats import duration_rows, reel_rows
 
-__all__ = ["reel_filter", "duration_filter", "duration_column", "period", "complete_cases",
-           "drop_nulls", "round_columns", "reel_rows", "duration_rows"]
-
-# Duration column names the tests fall back to, in order.
-DURATION_CANDIDATES = ["duration", "duration_(sec)", "duration_sec", "video_duration", "length"]
-
 
 def reel_filter(pre: Prepared) -> DataFrame:
     """Reels / videos only."""
@@ -26,24 +19,12 @@ def duration_filter(pre: Prepared, lo: float = 3.0, hi: float = 90.0, lo_inclusi
     return duration_rows(pre, lo, hi, lo_inclusive)
 
 
-def duration_column(pre: Prepared) -> str | None:
-    """The resolved duration role, else the first known duration name present."""
-    if pre.roles.duration:
-        return pre.roles.duration
-    return next((c for c in DURATION_CANDIDATES if c in pre.df.columns), None)
-
-
 def period(is_weekend: Column | None = None) -> Column:
     """Weekend / Weekday label."""
     wk = is_weekend if is_weekend is not None else F.col("is_weekend")
     return F.when(wk, F.lit("Weekend")).otherwise(F.lit("Weekday"))
 
 
-def drop_nulls(df: DataFrame, subset: list[str]) -> DataFrame:
-    """P25: complete cases over ``subset``."""
-    return df.dropna(how="any", subset=subset)
-
-
 def complete_cases(pre: Prepared, subset: list[str] | None = None) -> DataFrame:
     """P25 report: rows before and after dropping incomplete cases (one aggregate)."""
     r = pre.roles
@@ -54,9 +35,3 @@ def complete_cases(pre: Prepared, subset: list[str] | None = None) -> DataFrame:
     for c in subset:
         complete = complete & F.col(c).isNotNull()
     return pre.df.agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(complete).alias("rows_after"))
-
-
-def round_columns(df: DataFrame, digits: int = 2, columns: list[str] | None = None) -> DataFrame:
-    """Half-even report rounding of the given (default: all double) columns."""
-    cols = columns or [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-    return df.withColumns({c: rint_round(F.col(c), digits) for c in cols})

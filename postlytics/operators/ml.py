@@ -423,9 +423,10 @@ def prediction_label(pre: Prepared, scored: DataFrame, benchmark: float = 5.0, s
     p = F.col(prediction)
     b = F.lit(float(benchmark))
     if style == "api":
-        label = F.when(p >= F.col("__avg"), "Strong post: consider boosting to maximize reach!") \
-            .otherwise("Consider adjusting content type or posting time.")
+        label = F.when(p >= F.col("__avg"), "Above the account's mean: worth promoting.") \
+            .otherwise("Below the account's mean: try another type or time.")
     else:
+        # The dashboard's three states.
         label = F.when(p >= F.col("__avg") * 1.1, "ABOVE YOUR AVERAGE") \
             .when(p >= b, "ABOVE BENCHMARK").otherwise("BELOW BENCHMARK")
     return j.select(
@@ -451,7 +452,7 @@ def ml_summary(compare: DataFrame, importance: DataFrame, rows_used: int) -> Dat
     return best.crossJoin(top).select(
         F.col("model").alias("best_model"), "r2", "mae", F.col("top").alias("top_driver"),
         F.lit(rows_used).alias("total_posts_used"),
-        F.format_string("Best model: %s (R2=%s, MAE=+-%s%%, CV R2=%s+-%s). Top engagement driver: %s.",
+        F.format_string("%s explains most (R2 %s, mean error %s points, cross-validated R2 %s, spread %s); strongest feature: %s.",
                         F.col("model"), F.col("r2").cast("string"), F.col("mae").cast("string"),
                         cv.cast("string"), cvs.cast("string"), F.col("top")).alias("summary"),
     )

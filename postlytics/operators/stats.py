@@ -177,9 +177,18 @@ def reel_rows(pre: Prepared, type_col: str | None = None) -> DataFrame:
     return pre.df.where(F.coalesce(F.col(t).cast("string").rlike("(?i)reel|video"), F.lit(False)))
 
 
+# Duration column names the tests fall back to, in order.
+DURATION_CANDIDATES = ["duration", "duration_(sec)", "duration_sec", "video_duration", "length"]
+
+
+def duration_column(pre: Prepared) -> str | None:
+    """The resolved duration role, else the first known duration name present."""
+    return pre.roles.duration or next((c for c in DURATION_CANDIDATES if c in pre.df.columns), None)
+
+
 def duration_rows(pre: Prepared, lo: float = 3.0, hi: float = 90.0, lo_inclusive: bool = False) -> DataFrame:
     """P21 + P22: reels with a duration in (lo, hi] (or [lo, hi]) and a rate."""
-    d = pre.roles.duration
+    d = duration_column(pre)
     if not d:
         raise ValueError("Duration column not found.")
     dc = F.col(d).cast("double")
@@ -208,7 +217,7 @@ def with_terciles(reels: DataFrame, duration: str) -> DataFrame:
 
 def duration_terciles(pre: Prepared, lo: float = 3.0, hi: float = 90.0, lo_inclusive: bool = False) -> DataFrame:
     """H2 report: count, mean rate and duration range per tercile group."""
-    d = pre.roles.duration
+    d = duration_column(pre)
     t = with_terciles(duration_rows(pre, lo, hi, lo_inclusive), d)
     return t.where(F.col("duration_group").isNotNull()).groupBy("duration_group", "group_order").agg(
         F.count(F.lit(1)).alias("reels"),
@@ -301,7 +310,7 @@ def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: floa
     Welch), ``pooled`` (notebook) or ``welch``.  One result row; when a
     requirement is not met the row carries ``error``.
     """
-    d = pre.roles.duration
+    d = duration_column(pre)
     # the labelled reels feed a dozen one-row branches: cut the lineage once
     reels = cut_lineage(duration_rows(pre, lo, hi, lo_inclusive).select(d, ER))
     t = cut_lineage(with_terciles(reels, d).where(F.col("duration_group").isNotNull()))
@@ -335,10 +344,10 @@ def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: floa
     pval = F.when(two, F.when(pooled, F.col("p_pooled")).otherwise(F.col("p_welch"))).otherwise(F.col("p"))
     reject = pval < alpha
     error = (F.when(F.col("valid_reels") < min_reels,
-                    F.format_string("Only %d valid Reels: not enough for a reliable test (need >= %d).",
+                    F.format_string("%d reels with a duration and a rate; the test needs %d.",
                                     F.col("valid_reels"), F.lit(min_reels)))
-             .when(F.col("total_reels") == 0, F.lit("Could not create duration bins: tied tercile edges."))
-             .when(F.col("k") < 2, F.lit("Not enough duration groups with sufficient data.")))
+             .when(F.col("total_reels") == 0, F.lit("The durations' terciles coincide: no three groups."))
+             .when(F.col("k") < 2, F.lit("Fewer than two duration groups have enough reels.")))
     sig = F.when(reject, "significant").otherwise("not significant")
     pstr = F.format_string("%.4f", pval)
     out = row.select(
@@ -354,12 +363,11 @@ def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: floa
         F.lit(float(alpha)).alias("alpha"),
         reject.alias("reject_h0"),
         rint_round(F.col("eta2"), 3).alias("effect_size_eta2"),
-        F.concat(F.lit("The effect of duration on engagement is "), sig, F.lit(" (p = "), pstr,
-                 F.lit("). We "), F.when(reject, "reject").otherwise("do NOT reject"),
-                 F.lit(" the null hypothesis.")).alias("conclusion"),
+        F.concat(F.lit("Engagement by duration: "), sig, F.lit(" difference, p "), pstr, F.lit("; null hypothesis "),
+                 F.when(reject, "rejected").otherwise("kept"), F.lit(".")).alias("conclusion"),
         F.when(F.col("best") == "Short",
-               F.lit("Focus on Short Reels: they have the highest mean engagement rate."))
-        .otherwise(F.lit("Duration matters less than content quality: test hooks, trends and thumbnails."))
+               F.lit("Short reels have the best mean rate: make more of them."))
+        .otherwise(F.lit("Short reels aren't ahead: vary the content before the length."))
         .alias("agency_recommendation"),
     )
     return out
@@ -388,17 +396,17 @@ def test_summary(pre: Prepared, alpha: float = ALPHA) -> DataFrame:
     a = anova_by(pre, alpha=alpha).select(
         F.lit("content_type").alias("test_name"), "test", "statistic", "p_value", "reject_h0",
         "effect_size", "effect_label",
-        F.concat(F.lit("Content type "), F.when(F.col("reject_h0"), "DOES").otherwise("does NOT"),
-                 F.lit(" significantly affect ER (p="), _pstr(F.col("p_value")), F.lit(", effect="),
-                 F.col("effect_label"), F.lit("). Best: "), F.col("best_group"), F.lit(".")).alias("interpretation"))
+        F.concat(F.lit("Rates by content type "), F.when(F.col("reject_h0"), "differ").otherwise("don't differ clearly"),
+                 F.lit(": p "), _pstr(F.col("p_value")), F.lit(", effect "),
+                 F.col("effect_label"), F.lit(", highest mean "), F.col("best_group"), F.lit(".")).alias("interpretation"))
     w = weekend_test(pre, alpha=alpha).select(
         F.lit("weekend").alias("test_name"), "test", "statistic", "p_value", "reject_h0",
         "effect_size", "effect_label",
-        F.concat(F.col("better_period"), F.lit(" posts perform "),
-                 F.when(F.col("reject_h0"), "significantly").otherwise("slightly"),
-                 F.lit(" better (p="), _pstr(F.col("p_value")), F.lit(", effect="), F.col("effect_label"),
-                 F.lit("). Weekday avg: "), F.format_string("%.2f", F.col("weekday_avg")),
-                 F.lit("% | Weekend avg: "), F.format_string("%.2f", F.col("weekend_avg")), F.lit("%.")
+        F.concat(F.col("better_period"), F.lit(" has the higher mean rate, "),
+                 F.when(F.col("reject_h0"), "clearly").otherwise("not clearly"),
+                 F.lit(": p "), _pstr(F.col("p_value")), F.lit(", effect "), F.col("effect_label"),
+                 F.lit(", weekday "), F.format_string("%.2f", F.col("weekday_avg")),
+                 F.lit(", weekend "), F.format_string("%.2f", F.col("weekend_avg")), F.lit(".")
                  ).alias("interpretation"))
     d = duration_test(pre, alpha=alpha).where(F.col("error").isNull()).select(
         F.lit("reel_duration").alias("test_name"), F.col("test_used").alias("test"), "statistic", "p_value",

@@ -147,6 +147,13 @@ FROM d JOIN f USING (grp) GROUP BY f.grp, q1, median, q3
 """)
 
 
+def _quantiles() -> str:
+    return q(f"""
+SELECT CAST(post_type AS VARCHAR) AS post_type, quantile_cont({ER}, 0.1) AS q10, quantile_cont({ER}, 0.5) AS q50, quantile_cont({ER}, 0.9) AS q90
+FROM pre WHERE post_type IS NOT NULL AND {ER} IS NOT NULL GROUP BY 1""").replace("quantile_cont(", "round(quantile_cont(") \
+        .replace(", 0.1) AS", ", 0.1), 9) AS").replace(", 0.5) AS", ", 0.5), 9) AS").replace(", 0.9) AS", ", 0.9), 9) AS")
+
+
 def eda_sql() -> dict[str, str]:
     er = ER
     return {
@@ -421,6 +428,8 @@ _REELS_NOTEBOOK = (f"regexp_matches(CAST(post_type AS VARCHAR), 'reel|video', 'i
 
 def stats_sql_base() -> dict[str, str]:
     return {
+        "quantiles_by_map": _quantiles(),
+        "quantiles_by_rank": _quantiles(),
         "box_stats_by_duration": _box("duration_group", "lab", _tercile_ctes(_REELS)),
         "duration_terciles_notebook": _terciles_sql(_REELS_NOTEBOOK),
         "anova_content_type": qr(_moments("post_type") + _anova_tail("g") + f"""
@@ -570,8 +579,8 @@ FROM sc CROSS JOIN av"""
     return {
         "scaled_features": q(rows + scaled),
         "one_hot": q(rows + one_hot),
-        "prediction_label": q(rows + labels("CASE WHEN p >= avg_er THEN 'Strong post: consider boosting to maximize reach!' "
-                                            "ELSE 'Consider adjusting content type or posting time.' END")),
+        "prediction_label": q(rows + labels("CASE WHEN p >= avg_er THEN 'Above the account''s mean: worth promoting.' "
+                                            "ELSE 'Below the account''s mean: try another type or time.' END")),
         "prediction_label_dashboard": q(rows + labels("CASE WHEN p >= avg_er * 1.1 THEN 'ABOVE YOUR AVERAGE' "
                                                       "WHEN p >= 5.0 THEN 'ABOVE BENCHMARK' ELSE 'BELOW BENCHMARK' END")),
         "model_rows": q(rows + "SELECT row_key, bucket, bucket % 5 AS fold FROM mr"),
@@ -605,10 +614,16 @@ def report_sql() -> dict[str, str]:
         part("best_day", e["best_weekday"], "'best_day'", "avg_er", "best_weekday"),
         part("top3_hours", e["top_hours"], "rank", "hour", "NULL"),
         part("content_type_avg", e["er_by_type"], "post_type", "avg_er", "NULL"),
+        part("content_type_median", e["er_by_type"], "post_type", "median_er", "NULL"),
+        part("content_type_posts", e["er_by_type"], "post_type", "posts", "NULL"),
         part("best_content_type", e["best_type"], "'best_type'", "avg_er", "best_type"),
         part("engagement_breakdown", e["interaction_breakdown"], "interaction", "total", "NULL"),
         part("monthly_trend", e["monthly_trend"], "month_end", "avg_er", "NULL"),
         part("top10_posts", e["top_posts"], "rank", ER, "NULL"),
+        part("top10_dates", e["top_posts"], "rank", "NULL", "strftime(publish_time, '%Y-%m-%d')"),
+        part("top10_types", e["top_posts"], "rank", "NULL", "post_type"),
+        part("top10_likes", e["top_posts"], "rank", "likes", "NULL"),
+        part("top10_saves", e["top_posts"], "rank", "saves", "NULL"),
         part("benchmark", e["benchmark_check"], "'beats_benchmark'", "benchmark", "beats_benchmark"),
     ]
     density = q(f"""
@@ -804,19 +819,19 @@ fin AS (
             CASE WHEN k = 2 THEN (CASE WHEN {pooled} THEN p_pooled ELSE p_welch END) ELSE p_anova END AS pval
   FROM res
 )
-SELECT CASE WHEN valid_reels < 15 THEN printf('Only %d valid Reels: not enough for a reliable test (need >= %d).', valid_reels, 15)
-            WHEN total_reels = 0 THEN 'Could not create duration bins: tied tercile edges.'
-            WHEN k < 2 THEN 'Not enough duration groups with sufficient data.' END AS error,
+SELECT CASE WHEN valid_reels < 15 THEN printf('%d reels with a duration and a rate; the test needs %d.', valid_reels, 15)
+            WHEN total_reels = 0 THEN 'The durations'' terciles coincide: no three groups.'
+            WHEN k < 2 THEN 'Fewer than two duration groups have enough reels.' END AS error,
        CASE WHEN k = 2 THEN 'Two-Sample t-Test' ELSE 'One-Way ANOVA' END AS test_used,
        valid_reels AS total_reels_analyzed, group_counts, group_means, best AS best_duration_group,
        normality_passed, {r('levene_p', 4)} AS equal_variance_p, {r('stat', 3)} AS statistic,
        {r('pval', 4)} AS p_value, CAST(0.05 AS DOUBLE) AS alpha, pval < 0.05 AS reject_h0,
        {r('eta2', 3)} AS effect_size_eta2,
-       'The effect of duration on engagement is ' || CASE WHEN pval < 0.05 THEN 'significant' ELSE 'not significant' END
-         || ' (p = ' || printf('%.4f', pval) || '). We '
-         || CASE WHEN pval < 0.05 THEN 'reject' ELSE 'do NOT reject' END || ' the null hypothesis.' AS conclusion,
-       CASE WHEN best = 'Short' THEN 'Focus on Short Reels: they have the highest mean engagement rate.'
-            ELSE 'Duration matters less than content quality: test hooks, trends and thumbnails.' END AS agency_recommendation
+       'Engagement by duration: ' || CASE WHEN pval < 0.05 THEN 'significant' ELSE 'not significant' END
+         || ' difference, p ' || printf('%.4f', pval) || '; null hypothesis '
+         || CASE WHEN pval < 0.05 THEN 'rejected' ELSE 'kept' END || '.' AS conclusion,
+       CASE WHEN best = 'Short' THEN 'Short reels have the best mean rate: make more of them.'
+            ELSE 'Short reels aren''t ahead: vary the content before the length.' END AS agency_recommendation
 FROM fin
 """
     return qr(body)
@@ -831,14 +846,14 @@ def test_summary_sql() -> str:
 
     rows = f"""
 SELECT 'content_type' AS test_name, test, statistic, p_value, reject_h0, effect_size, effect_label,
-       'Content type ' || CASE WHEN reject_h0 THEN 'DOES' ELSE 'does NOT' END || ' significantly affect ER (p='
-       || {pstr('p_value')} || ', effect=' || effect_label || '). Best: ' || best_group || '.' AS interpretation
+       'Rates by content type ' || CASE WHEN reject_h0 THEN 'differ' ELSE 'don''t differ clearly' END || ': p '
+       || {pstr('p_value')} || ', effect ' || effect_label || ', highest mean ' || best_group || '.' AS interpretation
 FROM ({s['anova_content_type']})
 UNION ALL
 SELECT 'weekend', test, statistic, p_value, reject_h0, effect_size, effect_label,
-       better_period || ' posts perform ' || CASE WHEN reject_h0 THEN 'significantly' ELSE 'slightly' END
-       || ' better (p=' || {pstr('p_value')} || ', effect=' || effect_label || '). Weekday avg: '
-       || printf('%.2f', weekday_avg) || '% | Weekend avg: ' || printf('%.2f', weekend_avg) || '%.'
+       better_period || ' has the higher mean rate, ' || CASE WHEN reject_h0 THEN 'clearly' ELSE 'not clearly' END
+       || ': p ' || {pstr('p_value')} || ', effect ' || effect_label || ', weekday '
+       || printf('%.2f', weekday_avg) || ', weekend ' || printf('%.2f', weekend_avg) || '.'
 FROM ({s['welch_weekend']})
 UNION ALL
 SELECT 'reel_duration', test_used, statistic, p_value, reject_h0, {r('effect_size_eta2', 4)},
@@ -899,8 +914,8 @@ def t_ppf_ctes(src: str, out: str, prob: float = 0.975, iters: int = 80, half_st
     target = repr((1.0 - prob) * 2.0)
     return f"""
 , {out}_rec(id, step, lo, hi, c, d, h, done) AS (
-  SELECT id, 0, 0.0::DOUBLE, 1000.0::DOUBLE, 1.0::DOUBLE, {d0('n_')}, {d0('n_')}, false
-  FROM (SELECT id, df, {mid_terms('0.0', '1000.0', 'n_')} FROM {src})
+  SELECT id, 0, 0.0::DOUBLE, 1099511627776.0::DOUBLE, 1.0::DOUBLE, {d0('n_')}, {d0('n_')}, false
+  FROM (SELECT id, df, {mid_terms('0.0', '1099511627776.0', 'n_')} FROM {src})
   UNION ALL
   SELECT id, step + 1, nlo, nhi,
          CASE WHEN j < {J} THEN (CASE WHEN done THEN c ELSE {c_new} END) ELSE 1.0 END,

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlytics.functions.columns import broadcast_groups, ntz_text
+from postlytics.functions.ranking import group_quantiles
 from postlytics.operators import eda, filters, ml, stats
 from postlytics.plans import reports
 from postlytics.sources import csv_export, sinks
@@ -42,6 +43,12 @@ def _pick_denominator(pre: Prepared) -> DataFrame:
     return denominator_choice(pre.df, pre.roles)
 
 
+def _quantiles(pre: Prepared, method: str) -> DataFrame:
+    """Deciles of the rate per type, by one way of finding exact quantiles."""
+    q = group_quantiles(pre.df, pre.roles.type, ER, [0.1, 0.5, 0.9], method=method)
+    return q.select(pre.roles.type, *[F.round(F.col("q")[i], 9).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
+
+
 EDA_QUERIES: dict[str, Query] = {
     "er_by_weekday": _on_pre(eda.er_by_weekday),
     "meta_summary": _on_pre(meta_summary),
@@ -75,6 +82,8 @@ EDA_QUERIES: dict[str, Query] = {
     "box_stats_by_period": _on_pre(lambda p: eda.box_stats(replace(p, df=p.df.withColumn("period", filters.period())), "period")),
     "box_stats_by_duration": _on_pre(lambda p: eda.box_stats(
         replace(p, df=stats.with_terciles(stats.duration_rows(p), p.roles.duration)), "duration_group")),
+    "quantiles_by_map": _on_pre(lambda p: _quantiles(p, "map")),
+    "quantiles_by_rank": _on_pre(lambda p: _quantiles(p, "rank")),
     "column_defaults": _on_pre(eda.column_defaults),
     "distinct_types": _on_pre(eda.distinct_types),
     "top_posts": _on_pre(eda.top_posts),

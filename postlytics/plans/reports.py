@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlytics.functions.columns import ntz_text
 from postlytics.operators import eda
 from postlytics.operators.features import ER, Prepared, meta_summary
+from postlytics.session import cut_lineage
 
 
 def overview(pre: Prepared) -> DataFrame:
@@ -38,7 +40,10 @@ def eda_report(pre: Prepared) -> DataFrame:
             (F.col(text).cast("string") if text else F.lit(None).cast("string")).alias("text"),
         )
 
+    r = pre.roles
     st = eda.er_stats(pre)
+    types = eda.er_by_type(pre).withColumn("k", F.col(r.type))
+    top = cut_lineage(eda.top_posts(pre))  # ten rows, read five times
     st_long = st.unpivot([], st.columns, "k", "v")
     parts = [
         rows(meta_summary(pre).select(F.col("total_rows").alias("v"), F.lit("total_posts").alias("k")),
@@ -51,11 +56,17 @@ def eda_report(pre: Prepared) -> DataFrame:
         rows(eda.er_by_weekday(pre), "day_averages", "weekday", "avg_er", None),
         rows(eda.best_weekday(pre).withColumn("k", F.lit("best_day")), "best_day", "k", "avg_er", "best_weekday"),
         rows(eda.top_hours(pre), "top3_hours", "rank", "hour", None),
-        rows(eda.er_by_type(pre).withColumn("k", F.col(pre.roles.type)), "content_type_avg", "k", "avg_er", None),
+        rows(types, "content_type_avg", "k", "avg_er", None),
+        rows(types, "content_type_median", "k", "median_er", None),
+        rows(types, "content_type_posts", "k", "posts", None),
         rows(eda.best_type(pre).withColumn("k", F.lit("best_type")), "best_content_type", "k", "avg_er", "best_type"),
         rows(eda.interaction_breakdown(pre), "engagement_breakdown", "interaction", "total", None),
         rows(eda.monthly_trend(pre), "monthly_trend", "month_end", "avg_er", None),
-        rows(eda.top_posts(pre), "top10_posts", "rank", ER, None),
+        rows(top, "top10_posts", "rank", ER, None),
+        rows(top.withColumn("d", ntz_text(r.date, "date")), "top10_dates", "rank", None, "d"),
+        rows(top, "top10_types", "rank", None, r.type),
+        rows(top, "top10_likes", "rank", r.likes, None),
+        rows(top, "top10_saves", "rank", r.saves, None),
         rows(eda.benchmark_check(pre).withColumn("k", F.lit("beats_benchmark")), "benchmark", "k",
              "benchmark", "beats_benchmark"),
     ]

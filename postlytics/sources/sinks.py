@@ -44,13 +44,6 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     json_safe(df).write.mode(mode).json(path)
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 def write_summary_csv(pre, path: str) -> None:
     """The describe table (with outlier counts) as one small CSV."""
     from postlytics.operators.eda import describe_numeric

@@ -185,3 +185,26 @@ def test_missing_value_words_and_empty_rows(spark):
     got = null_tokens(df, ["a", "b"])
     assert [r["a"] for r in got.orderBy("_row_id").collect()] == [None] * len(NA_TOKENS) + ["NONE", "0", "none", " "]
     assert drop_empty_rows(got).count() == 4
+
+
+def test_a_column_plays_one_role():
+    from postlytics.operators.roles import ambiguous_roles
+
+    r = resolve_roles(["date", "length", "video_views", "likes", "post_likes", "media_type", "type"])
+    assert (r.date, r.duration, r.views, r.likes, r.type) == ("date", "length", "video_views", "likes", "media_type")
+    assert ambiguous_roles(["likes", "post_likes"]) == {"likes": ["likes", "post_likes"]}
+    r = resolve_roles(["profile_activity", "fecha", "upload_time"])
+    assert r.follows == "profile_activity" and r.date == "fecha"
+    assert resolve_roles([]).date is None
+
+
+def test_sinks_write_what_they_show(spark, pre_small, tmp_path):
+    from postlytics.operators import eda
+    from postlytics.sources import sinks
+
+    sinks.write_summary_csv(pre_small, str(tmp_path / "summary"))
+    sinks.write_top_posts_csv(pre_small, str(tmp_path / "top"))
+    sinks.write_json(pre_small.df.limit(20), str(tmp_path / "json"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "summary")).count() == eda.describe_numeric(pre_small).count()
+    assert spark.read.option("header", True).csv(str(tmp_path / "top")).count() == 10
+    assert spark.read.json(str(tmp_path / "json")).count() == 20
