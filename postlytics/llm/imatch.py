@@ -179,8 +179,8 @@ def in_order(source: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or max(2, 2 * source.rdd.getNumPartitions())
     keyed = source.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     ids = keyed.select("doc_id")
-    bounds = np.array(sorted({int(x) for x in ids.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets)}),
-                      dtype=np.int64)
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = np.array(sorted({int(x) for x in (ids.approxQuantile("doc_id", shares, 0.1 / buckets) if shares else [])}), dtype=np.int64)
 
     @F.pandas_udf("int")
     def bucket(x):
@@ -194,7 +194,7 @@ def in_order(source: DataFrame, buckets: int | None = None) -> DataFrame:
     home = keyed.select(bucket("doc_id").alias("dest"), F.lit(False).alias("tail"), "doc_id", "text")
     tails = (keyed.join(F.broadcast(before), F.col("doc_id") == F.col("first_id"))
              .select(F.col("before").alias("dest"), F.lit(True).alias("tail"), "doc_id", "text"))
-    return (home.unionByName(tails).repartition(max(1, len(used)), "dest")
+    return (home.unionByName(tails).repartitionById(max(1, used[-1] + 1 if used else 1), "dest")
             .sortWithinPartitions("dest", "tail", "doc_id", "text"))
 
 

@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model({}, [], np.zeros(0), np.zeros(0), [], share, share, k)
     p0, p1, p = F.col("clean") / n0, F.col("toxic") / n1, (F.col("clean") + F.col("toxic")) / (n0 + n1)
     odds = ((F.col("toxic") + 0.5) / (n1 - F.col("toxic") + 0.5)) / ((F.col("clean") + 0.5) / (n0 - F.col("clean") + 0.5))
-    z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
+    z = (p1 - p0) / F.nullif(F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)), F.lit(0.0))  # a term of every row tells nothing
     lexicon = (counts.where("term <> ''").select("term", (F.col("clean") + F.col("toxic")).alias("df"), z.alias("z"), odds.alias("odds"))
                .where("abs(z) >= 6 and (odds >= 4 or odds <= 0.25)")
                .orderBy(F.abs("z").desc(), "term").limit(max_terms).collect())
