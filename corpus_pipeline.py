@@ -42,7 +42,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each kept text, checked by decoding them again."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    # small tables: the stage's workers share their executor's memory with what the stages before keep
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
+                      transitions=60_000, pieces=100_000)
 
 
 STAGES = [("language_id", language_id), ("simhash_near_dedup", near_dedup), ("decontamination", decontamination),

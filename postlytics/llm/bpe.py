@@ -48,8 +48,9 @@ def read_ranks(path: str) -> list[bytes]:
 class Transducer:
     """Lazily determinised encoder of single pieces for one vocabulary."""
 
-    def __init__(self, tokens: list[bytes]):
+    def __init__(self, tokens: list[bytes], transitions: int | None = None):
         self.tokens = tokens
+        self.most = transitions or MAX_TRANSITIONS
         self.rank = {t: i for i, t in enumerate(tokens)}
         if any(bytes([b]) not in self.rank for b in range(256)):
             raise ValueError("a byte-level vocabulary holds every single byte")
@@ -179,13 +180,13 @@ class Transducer:
         return made
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.steps) > MAX_TRANSITIONS:
+        if len(self.steps) > self.most:
             self._clear()
         state, out, steps = self.start, [], self.steps
         for b in piece:
             nxt = steps.get(state << 8 | b)
             if nxt is None:
-                if len(steps) > 2 * MAX_TRANSITIONS:  # a single very long piece
+                if len(steps) > 2 * self.most:  # a single very long piece
                     guesses = self.states[state]
                     self._clear()
                     steps, state = self.steps, self._state(guesses)
@@ -316,8 +317,9 @@ class _Pieces(dict):
 class Codec:
     """Splits texts by a pattern, encodes each piece, and decodes; pieces met lately are remembered."""
 
-    def __init__(self, path: str, pattern: str):
-        self.transducer = Transducer(read_ranks(path))
+    def __init__(self, path: str, pattern: str, transitions: int | None = None, pieces: int | None = None):
+        self.transducer = Transducer(read_ranks(path), transitions)
+        self.most = pieces or MAX_PIECES
         self.tokens = self.transducer.tokens
         self.stream = Utf8Stream(self.tokens)
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")
@@ -329,7 +331,7 @@ class Codec:
     def ids(self, text: str) -> np.ndarray:
         pieces = (self.fast if self.fast and not _OTHER.search(text) else self.pieces).findall(text)
         memo = self.memo
-        if len(memo) > MAX_PIECES:
+        if len(memo) > self.most:
             memo.clear()
         return np.frombuffer(b"".join([memo[p] for p in pieces]), "<u4")
 
@@ -340,28 +342,32 @@ class Codec:
         return "".join(parts) + self.stream.finish()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple, Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, transitions: int | None = None, pieces: int | None = None) -> Codec:
     """One codec for each worker process and vocabulary."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    key = (path, pattern, transitions, pieces)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(*key)
+    return _CODECS[key]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           with_ids: bool = True) -> DataFrame:
+           with_ids: bool = True, transitions: int | None = None, pieces: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256), one row per input row; a null text has no tokens.
 
     ``path`` is a rank file every worker can read.  ``decoded_sha256`` is of
     the UTF-8 bytes decoded back from the ids.  ``with_ids=False`` leaves the
-    ids out of the rows.
+    ids out of the rows.  ``transitions`` and ``pieces`` bound the tables a
+    worker keeps (about 0.5 and 0.2 KB an entry); they trade memory for time
+    and never change a result.
     """
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batch: pa.RecordBatch) -> dict:
-        c = codec(path, pattern)
+        c = codec(path, pattern, transitions, pieces)
         n, a, b, every = [], [], [], []
         for text in batch.column(1).to_pylist():
             ids = c.ids(text)

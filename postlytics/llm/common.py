@@ -151,7 +151,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return members
 
 
-def by_size(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def by_size(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts with about ``limit`` characters in all (one longer text is a range of its own)."""
     lo, n = 0, 0
     for i, t in enumerate(texts):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import documents, lower, map_batches, ship
+from postlytics.llm.common import documents, lower, map_batches, ship, slices
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK = 16
@@ -256,7 +256,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     at = docs.columns.index(text_col)
     for shard in parts:
         def run(batches, shard=shard):
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, 1000)):
                 clean = [not scan_text(words_of(t or ""), shard, stride, need) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import by_size, code_points, documents, lower, map_batches, ship
+from postlytics.llm.common import by_size, code_points, documents, lower, map_batches, ship, slices
 
 BUCKETS = 1 << 14
 SEGMENT = 256
@@ -95,7 +95,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", penalty
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1000)):
             by_lang: dict[str, list[str]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by_lang.setdefault(lang, []).append(text)
@@ -239,8 +239,9 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least_scor
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            pred, score, _ = _label([t or "" for t in batch.column(at).to_pylist()], model, False)
-            yield batch.filter(pa.array([p != UND and s >= least_score for p, s in zip(pred, score)]))
+        for whole in batches:
+            for batch in slices(whole, 1000):
+                pred, score, _ = _label([t or "" for t in batch.column(at).to_pylist()], model, False)
+                yield batch.filter(pa.array([p != UND and s >= least_score for p, s in zip(pred, score)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import documents, map_batches, ship
+from postlytics.llm.common import documents, map_batches, ship, slices
 
 # Fixed values (the public formats of these secrets).
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -162,7 +162,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     arrow = to_arrow_schema(docs.schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1000)):
             cols = list(batch.columns)
             old = cols[at].to_pylist()
             new = [None if t is None else redact_text(t) for t in old]
