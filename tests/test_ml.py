@@ -42,3 +42,75 @@ def test_evaluate_perfect_prediction(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (4.0, 4.0)], "label double, prediction double")
     r = ml.evaluate(df).first()
     assert (r["r2"], r["mae"], r["rmse"]) == (1.0, 0.0, 0.0)
+
+
+def test_layout_follows_from_the_rows_alone(spark, pre_small):
+    """Tree models sample by partition: same rows, however they come in, same partitions in the same order."""
+    fs = ml.select_features(pre_small)
+    rows = ml.model_rows(pre_small, fs)
+    seen = []
+    for given in (rows.repartition(7), rows.coalesce(1), rows.repartition(3, "fold")):
+        data = ml.encode_split(fs, given, rows_per_partition=40)
+        got = data.train.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), "label").collect()
+        seen.append(sorted((r["p"], r["i"], r["label"]) for r in got))
+        data.release()
+    assert seen[0] == seen[1] == seen[2] and len({p for p, _, _ in seen[0]}) > 3
+
+
+def test_models_do_not_depend_on_input_partitions(spark, pre_small, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+
+    monkeypatch.setattr(ml, "make_model", lambda name, variant, sub: GBTRegressor(
+        featuresCol="features", labelCol="label", maxIter=5, maxDepth=3, subsamplingRate=0.8, seed=42))
+    fs = ml.select_features(pre_small)
+    rows = ml.model_rows(pre_small, fs)
+    out = []
+    for given in (rows.repartition(6), rows.coalesce(1)):
+        data = ml.encode_split(fs, given, rows_per_partition=50)
+        m = ml.fit_model("Gradient Boosting", data)
+        out.append([r["prediction"] for r in m.transform(rows).orderBy("row_key").select("prediction").collect()])
+        data.release()
+    assert np.allclose(out[0], out[1], rtol=1e-9)
+
+
+def test_forest_importances_name_features_and_sum_to_one(spark, pre_small):
+    t = ml.train_model(pre_small, "Random Forest")
+    imp = {r["feature"]: r["importance"] for r in ml.feature_importance(t, digits=9).collect()}
+    assert abs(sum(imp.values()) - 1) < 1e-6 and set(t.fs.numeric) <= set(imp)
+    assert len(imp) == t.model.stages[-1].numFeatures
+    rows = ml.actual_vs_predicted(t).collect()
+    s = ml.residual_summary(t).first()
+    assert s["n_test"] == len(rows) == t.test.count()
+    both = [x for r in rows for x in (r["actual"], r["predicted"])]
+    assert s["axis_min"] == pytest.approx(min(both) - 0.5, abs=1e-4) and s["axis_max"] == pytest.approx(max(both) + 0.5, abs=1e-4)
+    assert s["residual_mean"] == pytest.approx(np.mean([r["residual"] for r in rows]), abs=1e-4)
+
+
+def test_comparison_takes_the_best_reported_r2(spark, pre_small):
+    names = ["Linear Regression", "Ridge Regression", "Random Forest"]
+    scores = {(n, f): (r, 1.0, 2.0) for n, r in zip(names, (0.5, 0.71234, 0.71231)) for f in (None, 0, 1)}
+    scores["Ridge Regression", 1] = (0.5, 1.0, 2.0)
+    zoo = ml.Zoo(scores, {}, 10)
+    got = {r["model"]: r for r in ml.compare_models(pre_small, names=names, zoo=zoo, k=2).collect()}
+    assert got["Ridge Regression"]["is_best"] and not got["Random Forest"]["is_best"]  # equal as reported: the earlier one
+    assert got["Ridge Regression"]["cv_r2_mean"] == round((0.71234 + 0.5) / 2, 4)
+    assert got["Ridge Regression"]["cv_r2_std"] == round((0.71234 - 0.5) / 2, 4)
+
+
+def test_labels_change_at_their_thresholds(spark, pre_small):
+    avg = pre_small.df.agg(F.avg("engagement_rate_pct")).first()[0]
+    df = spark.createDataFrame([(avg * 1.1 + 0.01,), (avg,), (4.99,), (5.0,)], "predicted_er double")
+    got = {round(r["predicted_er"], 6): r for r in ml.prediction_label(pre_small, df, style="dashboard").collect()}
+    assert got[round(avg * 1.1 + 0.01, 6)]["recommendation"] == "ABOVE YOUR AVERAGE"
+    assert got[5.0]["recommendation"] == ("ABOVE BENCHMARK" if avg * 1.1 > 5 else "ABOVE YOUR AVERAGE")
+    assert got[4.99]["above_benchmark"] is False and got[round(avg, 6)]["above_avg"]
+
+
+def test_cross_validation_and_zoo_agree(spark, pre_small):
+    zoo = ml.fit_zoo(pre_small, ["Linear Regression"], k=2)
+    cv = ml.cross_validate(pre_small, "Linear Regression", k=2).first()
+    mean = (zoo.scores["Linear Regression", 0][0] + zoo.scores["Linear Regression", 1][0]) / 2
+    assert cv["cv_r2_mean"] == pytest.approx(mean, abs=1e-4)
+    t = ml.train_model(pre_small, "Linear Regression")
+    r = ml.evaluate(t.model.transform(t.test), 12).first()
+    assert zoo.scores["Linear Regression", None] == pytest.approx((r["r2"], r["mae"], r["rmse"]), abs=1e-6)

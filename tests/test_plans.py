@@ -36,3 +36,15 @@ def test_ranks_use_range_partitioning(spark):
     p = plan(range_ordered(df, "g", "x", 4))
     assert "rangepartitioning" in p
     assert "Window" not in p
+
+
+def test_raw_rows_are_not_shuffled_on_a_group(spark, pre_small):
+    """With Spark's own broadcast out of reach, per-group tables still go to the rows."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (eda.box_stats(pre_small, "post_type"), eda.box_stats(pre_small), stats.levene_by(pre_small)):
+            p = plan(df)
+            assert ("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p) and "SortMergeJoin" not in p
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
