@@ -363,87 +363,47 @@ def box_stats(pre: Prepared, group: str | None = None, k: float = 1.5, value: st
     )
 
 
-# Poisson cdf tables for counts 1..POISSON_TABLE_MAX, built from the pmf recurrence.
-POISSON_TABLE_MAX = 40
-
-
-def _poisson_cdf_table() -> list[list[float]]:
-    table = []
-    for lam in range(1, POISSON_TABLE_MAX + 1):
-        kmax = int(lam + 12 * math.sqrt(lam) + 12)
-        pmf, cdf, acc = math.exp(-lam), [], 0.0
-        for k in range(kmax + 1):
-            acc += pmf
-            cdf.append(min(acc, 1.0))
-            pmf *= lam / (k + 1)
-        table.append(cdf)
-    return table
-
-
-def _poisson_one(u: Column) -> Column:
-    cdf = _poisson_cdf_table()[0]
-    out = F.lit(float(len(cdf)))
-    for k in reversed(range(len(cdf))):
-        out = F.when(u < F.lit(cdf[k]), F.lit(float(k))).otherwise(out)
-    return out
-
-
-def _poisson_table(count: Column, u: Column) -> Column:
-    rows = ", ".join("array(" + ", ".join(f"{x!r}D" for x in row) + ")" for row in _poisson_cdf_table())
-    table = F.expr(f"array({rows})")  # parsed once on the JVM, folded to one literal
-    return F.size(F.filter(F.element_at(table, count.cast("int")), lambda x: x < u)).cast("double")
-
-
-def _poisson_normal(count: Column, u: Column) -> Column:
-    from postlytics.functions.distributions import norm_ppf
+# Poisson(1) by inverse cdf of a 16-bit draw: the weight is how many of these bounds the draw reaches.
+# From the rule floor(65536 * P(X <= k)), k = 0, 1, ...
+POISSON_BOUNDS = [int(65536 * sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+DRAWS = 8  # 16-bit draws in an md5
 
-    lam = count.cast("double")
-    return F.greatest(F.lit(0.0), F.floor(lam + F.sqrt(lam) * norm_ppf(u) + 0.5))
 
-
-def poisson_weight(count: Column, u: Column) -> Column:
-    """Poisson(count) draw from a uniform u: exact inverse cdf for counts up to 40
-    (CASE chain for 1, table lookup up to 40), normal approximation with
-    continuity correction above."""
-    return F.when(count == 1, _poisson_one(u)).when(count <= POISSON_TABLE_MAX, _poisson_table(count, u)) \
-        .otherwise(_poisson_normal(count, u))
-
-
-def with_poisson_weights(df: DataFrame, count: str, u: str, out: str = "w") -> DataFrame:
-    """``poisson_weight`` split by count range, so each branch is one small
-    expression that stays inside whole-stage codegen."""
-    c, uu = F.col(count), F.col(u)
-    one = df.where(c == 1).withColumn(out, _poisson_one(uu))
-    mid = df.where((c > 1) & (c <= POISSON_TABLE_MAX)).withColumn(out, _poisson_table(c, uu))
-    big = df.where(c > POISSON_TABLE_MAX).withColumn(out, _poisson_normal(c, uu))
-    return one.unionByName(mid).unionByName(big)
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) weight from a uniform integer of 0..65535."""
+    out = F.lit(0)
+    for bound in POISSON_BOUNDS:
+        out = out + (u >= bound).cast("int")
+    return out
 
 
 def mean_ci(pre: Prepared, group: str = "weekday", n_boot: int = 1000, level: float = 0.95,
             seed: int = 42) -> DataFrame:
     """Bootstrap interval of each group's mean (Poisson bootstrap).
 
-    Rows are first reduced to (group, value, count).  Resampling every post
-    with a Poisson(1) weight is the same as giving each distinct value a
-    Poisson(count) weight, so each replicate costs one draw per distinct value
-    instead of one per post.  Draws come from a hash of (group, value,
-    replicate, seed): repeatable under any partitioning or retry.  Replicate
-    sums are map-side partial aggregates; only groups x replicates rows shuffle.
+    Every post gets a Poisson(1) weight in every replicate, whatever the number
+    of posts.  Eight replicates' draws come from one md5 of (seed, post,
+    block): repeatable under any partitioning or retry, and in any engine.  A
+    post meets each block of replicates once and is added up at once, map-side,
+    to the block's sixteen sums; only groups x blocks rows are shuffled.
     """
-    key = F.col(group)
-    vals = pre.df.where(key.isNotNull() & _er().isNotNull()).groupBy(key.cast("string").alias("grp"), _er().alias("v")) \
-        .agg(F.count(F.lit(1)).alias("c"))
-    reps = vals.sparkSession.range(n_boot).select(F.col("id").alias("rep"))
-    h = F.xxhash64(F.col("grp"), F.col("v"), F.col("rep"), F.lit(seed))
-    u = (h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + 0.5) / float(1 << 53)
-    w = with_poisson_weights(vals.crossJoin(F.broadcast(reps)).withColumn("u", u), "c", "u")
-    rep_means = w.groupBy("grp", "rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    from postlytics.operators.ml import row_key
+
+    rows = pre.df.where(F.col(group).isNotNull() & _er().isNotNull()) \
+        .select(F.col(group).cast("string").alias("grp"), _er().alias("v"), row_key(pre).alias("key"))
+    blocks = -(-n_boot // DRAWS)
+    drawn = rows.select("grp", "v", "key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")) \
+        .select("grp", "v", "block", F.md5(F.concat_ws("|", F.lit(str(seed)), "key", "block").cast("binary")).alias("h"))
+    weights = [poisson_weight(F.conv(F.substring("h", 4 * j + 1, 4), 16, 10).cast("int")) for j in range(DRAWS)]
+    sums = drawn.groupBy("grp", "block").agg(*[F.sum(w * F.col("v")).alias(f"s{j}") for j, w in enumerate(weights)],
+                                             *[F.sum(w).alias(f"w{j}") for j, w in enumerate(weights)])
+    means = sums.select("grp", F.posexplode(F.array(*[F.col(f"s{j}") / F.nullif(F.col(f"w{j}"), F.lit(0)) for j in range(DRAWS)]))
+                        .alias("j", "m"), "block").where((F.col("block") * DRAWS + F.col("j") < n_boot) & F.col("m").isNotNull())
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    means = vals.groupBy("grp").agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"),
-                                    F.sum("c").alias("n"))
     # n_boot replicate means per group: a bounded percentile state
-    ci = rep_means.groupBy("grp").agg(F.percentile("m", F.array(F.lit(lo), F.lit(hi))).alias("p"))
-    return means.join(ci, "grp").select(
+    ci = means.groupBy("grp").agg(F.percentile("m", F.array(F.lit(lo), F.lit(hi))).alias("p"))
+    base = rows.groupBy("grp").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return base.join(ci, "grp").select(
         "grp", "n", rint_round(F.col("mean"), 4).alias("mean"),
         rint_round(F.col("p")[0], 4).alias("ci_low"), rint_round(F.col("p")[1], 4).alias("ci_high"))
 

@@ -147,6 +147,22 @@ FROM d JOIN f USING (grp) GROUP BY f.grp, q1, median, q3
 """)
 
 
+def _mean_ci(n_boot: int = 1000) -> str:
+    from postlytics.operators.eda import DRAWS, POISSON_BOUNDS
+
+    draw = lambda j: f"CAST(('0x' || substr(h, {4 * j + 1}, 4)) AS INTEGER)"
+    weight = lambda j: "(" + " + ".join(f"CAST({draw(j)} >= {b} AS INTEGER)" for b in POISSON_BOUNDS) + ")"
+    reps = " UNION ALL ".join(f"SELECT grp, block, {j} AS j, sum({weight(j)} * v) / nullif(sum({weight(j)}), 0) AS m FROM h GROUP BY grp, block"
+                              for j in range(DRAWS))
+    return q(f"""
+, x AS (SELECT CAST(weekday AS VARCHAR) AS grp, {ER} AS v, CAST(post_id AS VARCHAR) AS key FROM pre WHERE weekday IS NOT NULL AND {ER} IS NOT NULL),
+h AS (SELECT grp, v, range AS block, md5('42|' || key || '|' || CAST(range AS VARCHAR)) AS h FROM x CROSS JOIN range({-(-n_boot // DRAWS)})),
+m AS ({reps}),
+ci AS (SELECT grp, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m WHERE block * {DRAWS} + j < {n_boot} AND m IS NOT NULL GROUP BY grp),
+b AS (SELECT grp, avg(v) AS mean, count(*) AS n FROM x GROUP BY grp)
+SELECT grp, n, {r('mean', 4)} AS mean, {r('lo', 4)} AS ci_low, {r('hi', 4)} AS ci_high FROM b JOIN ci USING (grp)""")
+
+
 def _quantiles() -> str:
     return q(f"""
 SELECT CAST(post_type AS VARCHAR) AS post_type, quantile_cont({ER}, 0.1) AS q10, quantile_cont({ER}, 0.5) AS q50, quantile_cont({ER}, 0.9) AS q90
@@ -428,6 +444,7 @@ _REELS_NOTEBOOK = (f"regexp_matches(CAST(post_type AS VARCHAR), 'reel|video', 'i
 
 def stats_sql_base() -> dict[str, str]:
     return {
+        "mean_ci": _mean_ci(),
         "quantiles_by_map": _quantiles(),
         "quantiles_by_rank": _quantiles(),
         "box_stats_by_duration": _box("duration_group", "lab", _tercile_ctes(_REELS)),
