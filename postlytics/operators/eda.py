@@ -404,8 +404,8 @@ def mean_ci(pre: Prepared, group: str = "weekday", n_boot: int = 1000, level: fl
     ci = means.groupBy("grp").agg(F.percentile("m", F.array(F.lit(lo), F.lit(hi))).alias("p"))
     base = rows.groupBy("grp").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
     return base.join(ci, "grp").select(
-        "grp", "n", rint_round(F.col("mean"), 4).alias("mean"),
-        rint_round(F.col("p")[0], 4).alias("ci_low"), rint_round(F.col("p")[1], 4).alias("ci_high"))
+        "grp", "n", rint_round(F.col("mean"), 6).alias("mean"),
+        rint_round(F.col("p")[0], 6).alias("ci_low"), rint_round(F.col("p")[1], 6).alias("ci_high"))
 
 
 def trend_line_ci(pre: Prepared, x: str | None = None, points: int = 100, level: float = 0.95) -> DataFrame:

@@ -160,7 +160,7 @@ h AS (SELECT grp, v, range AS block, md5('42|' || key || '|' || CAST(range AS VA
 m AS ({reps}),
 ci AS (SELECT grp, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m WHERE block * {DRAWS} + j < {n_boot} AND m IS NOT NULL GROUP BY grp),
 b AS (SELECT grp, avg(v) AS mean, count(*) AS n FROM x GROUP BY grp)
-SELECT grp, n, {r('mean', 4)} AS mean, {r('lo', 4)} AS ci_low, {r('hi', 4)} AS ci_high FROM b JOIN ci USING (grp)""")
+SELECT grp, n, {r('mean', 6)} AS mean, {r('lo', 6)} AS ci_low, {r('hi', 6)} AS ci_high FROM b JOIN ci USING (grp)""")
 
 
 def _quantiles() -> str:
