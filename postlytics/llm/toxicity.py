@@ -1,16 +1,17 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Terms are words and word beginnings of 4 and 5 letters.  A lexicon keeps the
-terms that occur clearly more often in one class of the labelled rows (two
-proportions, z and odds ratio); TF-IDF vectors are over the lexicon.  Examples
-with equal vectors are one entry with its numbers of toxic and clean rows.
-
-For a text, entries are searched block by block in the order of the blocks'
-upper bounds (sum over the text's terms of query weight times the block's best
-weight); the search ends where no further block can beat the k-th similarity,
-so the k nearest are exact.  Votes weigh by distance and are drawn towards the
-labelled rows' overall share, which keeps the scores calibrated.  A text with
-no lexicon term gets the share among labelled rows without any.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
+
+Terms are words and word beginnings of 4 and 5 letters; every term of the
+labelled rows counts, but those of all rows (they tell nothing).  A term's weight is its IDF times a factor that grows with
+how clearly it tells the classes of the labelled rows apart (z of two
+proportions) and is never 0.  Examples with equal vectors are one entry with
+its numbers of toxic and clean rows.
+
+For a text, the postings of all but the COMMON most frequent terms are summed
+up; the common terms' part comes from a matrix product for QUERIES texts at a
+time.  All entries are scored, so the k nearest are exact.  Votes weigh by
+distance and are drawn towards the labelled rows' overall share, which keeps
+the scores calibrated.  A text with no term of any labelled row gets the share
+among labelled rows without any.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from postlytics.llm.common import documents, lower, map_batches, ship, spark_schema
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 32
+COMMON, QUERIES = 256, 64
 PREFIXES = (4, 5)
 
 
@@ -57,21 +58,60 @@ class Model:
     prior: float
     empty: float
     k: int = 15
-    postings: dict[str, list] = field(default_factory=dict)
+    #: term numbers and weights; entries' scales; postings of the other terms (entry ordinals, codes of ``levels``) by term;
+    #: codes of the common terms' weights by entry (small codes, as tasks get the whole model)
+    number: dict[str, int] = field(default_factory=dict)
+    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    entry_scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    common: int = 0
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    entry: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+    code: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+    levels: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    front: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.uint32))
 
     def __post_init__(self):
-        """Postings by term and block: (block, best weight, ordinals, weights)."""
-        for i, v in enumerate(self.vectors):
-            for t, x in v.items():
-                rows = self.postings.setdefault(t, [])
-                if not rows or rows[-1][0] != i // BLOCK:
-                    rows.append([i // BLOCK, 0.0, [], []])
-                rows[-1][1] = max(rows[-1][1], x)
-                rows[-1][2].append(i % BLOCK)
-                rows[-1][3].append(x)
-        for rows in self.postings.values():
-            for r in rows:
-                r[2], r[3] = np.array(r[2]), np.array(r[3])
+        self._dense = None
+        if self.vectors:
+            names = {t: i for i, t in enumerate(sorted({t for v in self.vectors for t in v}))}
+            per = np.fromiter(map(len, self.vectors), np.int64, len(self.vectors))
+            term = np.fromiter((names[t] for v in self.vectors for t in v), np.int32)
+            self.index(list(names), np.ones(len(names)), per, term, np.fromiter((x for v in self.vectors for x in v.values()), float),
+                       np.ones(len(per)))
+
+    def index(self, names: list[str], scale: np.ndarray, per: np.ndarray, term: np.ndarray, value: np.ndarray,
+              entry_scale: np.ndarray) -> None:
+        """Builds the postings from entries of ``per`` terms; a weight is the value times the scales of term and entry."""
+        self.vectors = []
+        n = len(per)
+        order = np.argsort(-np.bincount(term, minlength=len(names)), kind="stable")
+        new = np.empty(len(names), np.int32)
+        new[order] = np.arange(len(names), dtype=np.int32)
+        self.number, self.scale, self.entry_scale = dict(zip(names, new.tolist())), scale[order], entry_scale
+        self.common = min(COMMON, len(names))
+        levels, code = np.unique(value, return_inverse=True)
+        self.levels = np.concatenate([[0.0], levels])
+        code = (code + 1).astype(np.min_scalar_type(len(levels)))
+        term, entry = new[term], np.repeat(np.arange(n, dtype=np.min_scalar_type(n)), per)
+        often = term < self.common
+        self.front = np.zeros((n, self.common), code.dtype)
+        self.front[entry[often], term[often]] = code[often]
+        term, entry, code = term[~often], entry[~often], code[~often]
+        by = np.argsort(term, kind="stable")
+        self.entry, self.code = entry[by], code[by]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(names)))])
+
+    def __getstate__(self):
+        return self.__dict__ | {"_dense": None}
+
+    def dense(self) -> np.ndarray:
+        """Common terms' weights by entry."""
+        if self._dense is None:
+            weights = self.levels[self.front]
+            weights *= self.scale[:self.common]
+            weights *= self.entry_scale[:, None]
+            self._dense = weights
+        return self._dense
 
     def vector(self, counts: Counter) -> dict[str, float]:
         v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
@@ -80,30 +120,48 @@ class Model:
 
     def nearest(self, vector: dict[str, float]) -> list[tuple[float, int]]:
         """The k entries of highest cosine (more if several share the k-th), best first."""
-        bound: dict[int, float] = {}
-        parts: dict[int, list] = {}
-        for t, q in vector.items():
-            for block, top, at, w in self.postings.get(t, ()):
-                bound[block] = bound.get(block, 0.0) + q * top
-                parts.setdefault(block, []).append((q, at, w))
-        best: list[tuple[float, int]] = []
-        least = 0.0
-        for block in sorted(bound, key=lambda b: (-bound[b], b)):
-            if len(best) >= self.k and bound[block] < least - 1e-9:
-                break
-            sims = np.zeros(BLOCK)
-            for q, at, w in parts[block]:
-                sims[at] += q * w
-            best += [(float(sims[i]), block * BLOCK + i) for i in np.flatnonzero(sims > max(least - 1e-9, 0)).tolist()]
-            if len(best) > self.k:
-                best.sort(key=lambda x: (-x[0], x[1]))
-                least = best[self.k - 1][0]
-                best = [b for b in best if b[0] >= least - 1e-9]
-        best.sort(key=lambda x: (-x[0], x[1]))
-        return best
-
-    def score(self, text: str) -> tuple[float, list[dict]]:
-        near = self.nearest(self.vector(term_counts(text, self.idf)))
+        known = [(self.number[t], q) for t, q in vector.items() if t in self.number]
+        return next(self._nearest([(np.array([t for t, _ in known], np.int64), np.array([q for _, q in known], float))]))
+
+    def _nearest(self, queries: list[tuple[np.ndarray, np.ndarray]]):
+        """Lists as of ``nearest`` for (term numbers, weights) of each query."""
+        if not len(self.entry_scale):
+            yield from ([] for _ in queries)
+            return
+        fronts = np.zeros((len(queries), self.common))
+        for row, (term, query) in zip(fronts, queries):
+            often = term < self.common
+            row[term[often]] = query[often]
+        for sims, (term, query) in zip(fronts @ self.dense().T, queries):
+            often = term < self.common
+            term, query = term[~often], query[~often]
+            if len(term):
+                lo, hi = self.bounds[term], self.bounds[term + 1]
+                parts = list(zip(lo.tolist(), hi.tolist()))
+                at = np.concatenate([self.entry[x:y] for x, y in parts])
+                w = self.levels[np.concatenate([self.code[x:y] for x, y in parts])]
+                w *= np.repeat(query * self.scale[term], hi - lo)
+                sims = sims + np.bincount(at, w, minlength=len(sims)) * self.entry_scale
+            keep = np.flatnonzero((sims > 0) & (sims >= self._kth(sims) - 1e-9))
+            keep = keep[np.lexsort((keep, -sims[keep]))]
+            yield list(zip(sims[keep].tolist(), keep.tolist()))
+
+    def _kth(self, sims: np.ndarray) -> float:
+        return float(np.partition(sims, len(sims) - self.k)[len(sims) - self.k]) if len(sims) > self.k else 0.0
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[dict]]]:
+        out = []
+        for lo in range(0, len(texts), QUERIES):
+            queries = []
+            for text in texts[lo:lo + QUERIES]:
+                counts = term_counts(text, self.number)
+                term = np.fromiter(map(self.number.__getitem__, counts), np.int64, len(counts))
+                query = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.scale[term]
+                queries.append((term, query / math.sqrt(float(query @ query)) if len(query) else query))
+            out += [self._vote(near) for near in self._nearest(queries)]
+        return out
+
+    def _vote(self, near: list[tuple[float, int]]) -> tuple[float, list[dict]]:
         if not near:
             return self.empty, []
         sims = np.minimum(1.0, np.array([s for s, _ in near]))
@@ -126,7 +184,7 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str, limit: int)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
-        label_col: str = "toxic", max_rows: int = 20_000, max_terms: int = 4096, k: int = 15) -> Model:
+        label_col: str = "toxic", max_rows: int = 20_000, k: int = 15) -> Model:
     """Examples from at most ``max_rows`` labelled rows (the documented bound of the classifier's sample).
 
     Without labelled rows every score is 0.
@@ -159,8 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[i] for v in sums.values()], pa.int64())
                                                                                for i in (0, 1))], schema=arrow)
 
-    counts = (rows.mapInArrow(count, fields).groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-              .where("clean + toxic >= 5"))
+    counts = (rows.mapInArrow(count, fields).groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     from postlytics.llm.common import cut_lineage
 
     counts = cut_lineage(counts)
@@ -170,47 +227,53 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         share = float(bool(n1))
         return Model({}, [], np.zeros(0), np.zeros(0), [], share, share, k)
     p0, p1, p = F.col("clean") / n0, F.col("toxic") / n1, (F.col("clean") + F.col("toxic")) / (n0 + n1)
-    odds = ((F.col("toxic") + 0.5) / (n1 - F.col("toxic") + 0.5)) / ((F.col("clean") + 0.5) / (n0 - F.col("clean") + 0.5))
-    z = (p1 - p0) / F.nullif(F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)), F.lit(0.0))  # a term of every row tells nothing
-    lexicon = (counts.where("term <> ''").select("term", (F.col("clean") + F.col("toxic")).alias("df"), z.alias("z"), odds.alias("odds"))
-               .where("abs(z) >= 6 and (odds >= 4 or odds <= 0.25)")
-               .orderBy(F.abs("z").desc(), "term").limit(max_terms).collect())
-    idf = {r["term"]: math.log(1 + (n0 + n1) / r["df"]) for r in lexicon}
-    known = frozenset(idf)
+    z2 = (p1 - p0) * (p1 - p0) / (p * (1 - p) * (1 / n0 + 1 / n1))
+    weights = (F.log(1 + (n0 + n1) / (F.col("clean") + F.col("toxic"))) * (1 + z2) / (36 + z2)).alias("weight")
+    terms = counts.where("term <> ''").where(F.col("clean") + F.col("toxic") < n0 + n1).select("term", weights).toArrow().sort_by("term")
+    names, scale = terms.column("term").to_pylist(), terms.column("weight").to_numpy()
+    number = {t: i for i, t in enumerate(names)}
+    del terms
 
     def vectors(batch: pa.RecordBatch) -> dict:
-        found = [term_counts(t, known) for t in batch.column(1).to_pylist()]
+        found = [sorted((number[t], n) for t, n in term_counts(t, number).items()) for t in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), "label": batch.column(2),
-                "terms": [[{"term": t, "n": n} for t, n in sorted(c.items())] for c in found]}
+                "terms": [np.array([t for t, _ in v], np.int32).tobytes() for v in found],
+                "counts": [np.array([n for _, n in v], np.int32).tobytes() for v in found]}
 
-    model = Model(idf, [], np.zeros(0), np.zeros(0), [], n1 / (n0 + n1), 0.0, k)
     entries: dict[tuple, list] = {}
     empty = [1.0, 1.0]
-    got = map_batches(rows, "doc_id long, label int, terms array<struct<term:string,n:int>>", vectors)
-    for r in got.orderBy("doc_id").toLocalIterator():
+    # equal counts make equal vectors
+    for r in map_batches(rows, "doc_id long, label int, terms binary, counts binary", vectors).toLocalIterator():
         y = int(r["label"] > 0)
-        v = model.vector(Counter({t["term"]: t["n"] for t in r["terms"]}))
-        if not v:
+        if not r["terms"]:
             empty[y] += 1
             continue
-        e = entries.setdefault(tuple((t, round(x, 6)) for t, x in v.items()), [v, [0, 0], r["doc_id"]])
-        e[1][y] += 1
-    # similar vectors side by side make tight block bounds
-    order = sorted(entries.values(), key=lambda e: (max(e[0], key=e[0].get), e[2]))
-    return Model(idf, [e[0] for e in order], np.array([e[1][1] for e in order], float), np.array([e[1][0] for e in order], float),
-                 [e[2] for e in order], n1 / (n0 + n1), empty[1] / sum(empty), k)
+        e = entries.setdefault((bytes(r["terms"]), bytes(r["counts"])), [[0, 0], r["doc_id"]])
+        e[0][y] += 1
+        e[1] = min(e[1], r["doc_id"])
+    found = sorted(entries.items(), key=lambda e: e[1][1])
+    entries.clear()
+    model = Model(dict(zip(names, scale.tolist())), [], np.array([e[0][1] for _, e in found], float),
+                  np.array([e[0][0] for _, e in found], float), [e[1] for _, e in found], n1 / (n0 + n1), empty[1] / sum(empty), k)
+    if found:
+        per = np.fromiter((len(t) // 4 for (t, _), _ in found), np.int64, len(found))
+        term = np.frombuffer(b"".join(t for (t, _), _ in found), np.int32)
+        value = 1 + np.log(np.frombuffer(b"".join(n for (_, n), _ in found), np.int32))
+        norm = np.sqrt(np.add.reduceat((value * scale[term]) ** 2, np.cumsum(per) - per))
+        model.index(names, scale, per, term, value, 1 / norm)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", evidence: bool = True) -> DataFrame:
     """(doc_id, score, evidence), one row per input row; evidence: the nearest examples.
 
-    Null and empty texts have no lexicon term: they get the share among
-    labelled rows without one; equal texts get equal scores.
+    Null and empty texts have no term: they get the share among labelled rows
+    without one; equal texts get equal scores.
     """
     fields = "doc_id long, score double" + ", evidence array<struct<doc_id:long,similarity:double,toxic:boolean>>" * evidence
 
     def run(batch: pa.RecordBatch) -> dict:
-        got = [model.score(t) for t in batch.column(1).to_pylist()]
+        got = model.scores(batch.column(1).to_pylist())
         out = {"doc_id": batch.column(0), "score": [s for s, _ in got]}
         return out | {"evidence": [e for _, e in got]} if evidence else out
 

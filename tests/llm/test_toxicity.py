@@ -51,6 +51,21 @@ def test_evidence_names_examples(spark):
     assert all(e["toxic"] and e["doc_id"] % 3 == 0 for e in got[0]["evidence"]) and got[0]["evidence"]
 
 
+def test_every_text_is_searched(spark):
+    """Few labelled rows, and a toxic example whose words occur nowhere else."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("bcdfghklmnprstaeiou", k=rng.randint(4, 9)))
+    for n in (8, 300):
+        rows = [(i, " ".join(word() for _ in range(12))) for i in range(n)]
+        labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(n)], "doc_id long, toxic int")
+        near = [(1000 + i, t + " again") for i, t in rows]
+        docs = spark.createDataFrame(rows + near, "doc_id long, text string")
+        got = {r["doc_id"]: r for r in X.score(docs, X.fit(docs, labels)).collect()}
+        for i in range(n):
+            assert got[1000 + i]["evidence"][0]["doc_id"] == i
+            assert (got[1000 + i]["score"] >= 0.5) == (i % 4 == 0)
+
+
 def test_awkward_rows(spark):
     rows = awkward(spark)
     labels = spark.createDataFrame([(1, 1), (5, 0), (6, 0), (7, None), (None, 1)], "doc_id long, toxic int")
