@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import bpe, bwt_dedup, chaining, decontaminate, imatch, langid, quality, secret_scan, simhash, toxicity
+from postlytics.llm import (bpe, bwt_dedup, chaining, decontaminate, filter_audit, imatch, langid, lexical, oracle, quality,
+                            secret_scan, simhash, token_table, toxicity)
 from postlytics.llm.common import crc_mod, documents
+from postlytics.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,11 +82,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.mask_counts(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return filter_audit.audit(counts)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_table.write(_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_table.summary(token_table.tokens(spark, path))
+
+
 def queries() -> dict[str, Query]:
     found = (op1_secret_scan, op2_suffix_dedup, op3_quality, op4_decontaminate, op5_byte_bpe, op6_chaining,
-             op7_imatch, op8_language, op9_toxicity, op10_simhash)
+             op7_imatch, op8_language, op9_toxicity, op10_simhash, op11_filter_audit, op12_lexical_search, op13_token_table)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_filter_audit": oracle.OP11, "op12_lexical_search": oracle.OP12}
