@@ -14,6 +14,7 @@ features, so a high R^2 is target leakage, not insight.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -28,7 +29,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlytics.functions.columns import rint_round
@@ -97,7 +98,9 @@ def model_rows(pre: Prepared, fs: FeatureSet, seed: int = SEED) -> DataFrame:
     conv = {c: F.col(c).cast("double") for c in fs.numeric}
     conv.update({c: F.lpad(F.col(c).cast("string"), 2, "0") if c == "hour" else F.col(c).cast("string")
                  for c in fs.categorical})
-    b = hash_bucket(F.col("row_key"), seed)
+    # a row without a key goes by its values, so that it is in a part as well
+    key = F.coalesce(F.col("row_key"), F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols])))
+    b = hash_bucket(key, seed)
     return base.withColumns(conv).withColumn(LABEL, F.col(ER)).withColumn("bucket", b) \
         .withColumn("fold", F.col("bucket") % 5)
 
@@ -153,6 +156,8 @@ def fit_encoder(fs: FeatureSet, train: DataFrame, n_train: int) -> PipelineModel
 #: partition, so the layout is part of the model: it follows from the rows
 #: alone (hash of the row key, sorted), never from the number of cores.
 ROWS_PER_PARTITION = 5_000
+#: Beyond this many partitions they grow instead, so that a round of a boosted model stays a bounded number of tasks.
+MOST_PARTITIONS = 1_024
 
 
 @dataclass
@@ -172,17 +177,30 @@ def encode_split(fs: FeatureSet, train: DataFrame, rows_per_partition: int = ROW
     st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("sy")).first()
     enc = fit_encoder(fs, train, st["n"])
     data = (enc.transform(train).select("features", LABEL, "row_key")
-            .repartition(max(1, math.ceil(st["n"] / rows_per_partition)), "row_key").sortWithinPartitions("row_key")
+            .repartition(min(MOST_PARTITIONS, max(1, math.ceil(st["n"] / rows_per_partition))), "row_key").sortWithinPartitions("row_key")
             .select("features", LABEL).persist(StorageLevel.MEMORY_AND_DISK))
     return Encoded(enc, data, st["n"], st["sy"] or 0.0)
 
 
-#: Memory for the histograms of the tree nodes grown in one pass over the data (the default of 256 MB takes several
-#: passes a level for 400 trees of depth 10).  A task needs that much beside the cached rows.
-TREE_MEMORY_MB = 1024
+def tree_memory_mb(spark: SparkSession, share: float = 0.25, least: int = 64, most: int = 1024) -> int:
+    """Memory a task may use for the histograms of the tree nodes it grows in one pass over the data.
+
+    A quarter of the heap by the tasks that run in it side by side; the rest is for cached rows and shuffles.
+    """
+    conf = spark.sparkContext.getConf()
+    master = spark.sparkContext.master
+    if re.fullmatch(r"local(\[[^]]*\])?", master):
+        heap = spark._jvm.java.lang.Runtime.getRuntime().maxMemory() / 2**20
+        slots = spark.sparkContext.defaultParallelism
+    else:
+        heap = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsMb(conf.get("spark.executor.memory", "1g"))
+        cluster = re.fullmatch(r"local-cluster\[\d+,(\d+),\d+\]", master.replace(" ", ""))
+        cores = int(cluster[1]) if cluster else int(conf.get("spark.executor.cores", "0")) or 8  # standalone gives all cores of a machine
+        slots = cores // int(conf.get("spark.task.cpus", "1"))
+    return int(max(least, min(most, heap * share / max(1, slots))))
 
 
-def make_model(name: str, variant: str = "api", gbt_subsample: float = 0.8):
+def make_model(name: str, variant: str = "api", gbt_subsample: float = 0.8, memory_mb: int = 256):
     """M7-M10 with the reference's hyper-parameters."""
     if name == "Linear Regression":
         return LinearRegression(featuresCol="features", labelCol=LABEL, regParam=0.0, solver="normal")
@@ -193,7 +211,7 @@ def make_model(name: str, variant: str = "api", gbt_subsample: float = 0.8):
         trees, depth, leaf = (500, 12, 2) if variant == "library" else (400, 10, 3)
         return RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=trees, maxDepth=depth,
                                      minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=SEED,
-                                     checkpointInterval=10, maxMemoryInMB=TREE_MEMORY_MB)
+                                     checkpointInterval=10, maxMemoryInMB=memory_mb)
     if name == "Gradient Boosting":
         return GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=300, maxDepth=5, stepSize=0.05,
                             subsamplingRate=gbt_subsample, seed=SEED, checkpointInterval=10)
@@ -203,8 +221,9 @@ def make_model(name: str, variant: str = "api", gbt_subsample: float = 0.8):
 def fit_model(name: str, data: Encoded, variant: str = "api", alpha: float = 1.0,
               gbt_subsample: float = 0.8) -> PipelineModel:
     """The bare estimator on an encoded split; the result takes raw rows."""
-    checkpoint_dir(data.train.sparkSession)  # tree models checkpoint every 10 iterations
-    model = make_model(name, variant, gbt_subsample)
+    spark = data.train.sparkSession
+    checkpoint_dir(spark)  # tree models checkpoint every 10 iterations
+    model = make_model(name, variant, gbt_subsample, tree_memory_mb(spark))
     if name == "Ridge Regression":
         # sklearn's alpha on the unscaled squared loss == Spark's regParam * n / std(y)
         model.setRegParam(alpha * data.label_std / data.n if data.n else 0.0)
@@ -251,14 +270,6 @@ def train_model(pre: Prepared, name: str, variant: str = "api", test_size: float
     return Trained(name, _fit(name, fs, train, variant), fs, test)
 
 
-def model_metrics(pre: Prepared, name: str, variant: str = "api", test_size: float | None = None) -> DataFrame:
-    """M7-M11 for one model: fit on the train split, metrics on the test split
-    (3 digits for the library variant, 4 otherwise)."""
-    t = train_model(pre, name, variant, test_size)
-    digits = 3 if variant == "library" else 4
-    return evaluate(t.model.transform(t.test), digits).select(F.lit(name).alias("model"), "*")
-
-
 @dataclass
 class Zoo:
     """Metrics of every fit, (model, fold or None for the test split) -> (r2, mae, rmse), and the test-split models."""

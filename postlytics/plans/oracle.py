@@ -565,7 +565,7 @@ def ml_sql() -> dict[str, str]:
 , mr AS (
   SELECT CAST(post_id AS VARCHAR) AS row_key, reach, views, likes, comments, saves, shares, follows,
          CAST(post_type AS VARCHAR) AS post_type, CAST(weekday AS VARCHAR) AS weekday, lpad(CAST(hour AS VARCHAR), 2, '0') AS hour,
-         CAST(('0x' || substr(md5('42|' || CAST(post_id AS VARCHAR)), 1, 8))::BIGINT % 100 AS INTEGER) AS bucket
+         CAST(('0x' || substr(md5('42|' || CAST(post_id AS VARCHAR)), 1, 8))::BIGINT % 100 AS INTEGER) AS bucket, {ER} AS label
   FROM pre
   WHERE reach IS NOT NULL AND views IS NOT NULL AND likes IS NOT NULL AND comments IS NOT NULL AND saves IS NOT NULL
     AND shares IS NOT NULL AND follows IS NOT NULL AND post_type IS NOT NULL AND weekday IS NOT NULL
@@ -593,7 +593,51 @@ SELECT row_key, p AS predicted_er, {r('p', 2)} AS predicted_er_2dp, {r('avg_er',
        {r('p - 5.0', 1)} AS delta_vs_benchmark, {r('best', 1)} AS best_post_er
 FROM sc CROSS JOIN av"""
 
+    def linear(model: str, alpha: float, folds: bool) -> str:
+        """Normal equations in long form, solved by Gauss-Jordan steps over a flat matrix; part -1 is the test split."""
+        parts = "(VALUES (0), (1), (2), (3), (4)) p(part)" if folds else "(VALUES (-1)) p(part)"
+        held = "(CASE WHEN part < 0 THEN bucket < 20 ELSE bucket % 5 = part END)"
+        num = " UNION ALL ".join(f"SELECT part, row_key, held, label, 'n_{c}' AS f, (CAST({c} AS DOUBLE) - m_{c}) / s_{c} AS v "
+                                 f"FROM al JOIN ms USING (part) WHERE s_{c} > 0" for c in numbers)
+        cat = " UNION ALL ".join(f"SELECT a.part, row_key, held, label, 'c_{c}_' || {c} AS f, 1.0 AS v FROM al a JOIN "
+                                 f"(SELECT part, min({c}) AS lo FROM al WHERE NOT held GROUP BY part) l ON l.part = a.part WHERE {c} > lo "
+                                 f"AND EXISTS (SELECT 1 FROM al t WHERE t.part = a.part AND NOT t.held AND t.{c} = a.{c})" for c in cats)
+        solved = f"""
+, al AS (SELECT part, {held} AS held, mr.* FROM mr, {parts}),
+ms AS (SELECT part, {stats} FROM al WHERE NOT held GROUP BY part),
+fx AS ({num} UNION ALL {cat} UNION ALL SELECT part, row_key, held, label, '0' AS f, 1.0 AS v FROM al),
+ix AS (SELECT part, f, row_number() OVER (PARTITION BY part ORDER BY f) - 1 AS i, count(*) OVER (PARTITION BY part) AS p
+       FROM (SELECT DISTINCT part, f FROM fx WHERE NOT held)),
+gr AS (SELECT a.part, a.f AS f1, b.f AS f2, sum(a.v * b.v) AS g FROM fx a JOIN fx b ON a.part = b.part AND a.row_key = b.row_key
+       WHERE NOT a.held GROUP BY a.part, a.f, b.f
+       UNION ALL SELECT part, f, 'y', sum(v * label) FROM fx WHERE NOT held GROUP BY part, f),
+en AS (SELECT x.part, x.p, x.i * (x.p + 1) + j.i AS place,
+              coalesce(g, 0.0) + CASE WHEN x.f = j.f AND x.f <> '0' THEN {alpha} ELSE 0.0 END AS g
+       FROM ix x JOIN (SELECT part, f, i FROM ix UNION ALL SELECT DISTINCT part, 'y', p FROM ix) j ON x.part = j.part
+       LEFT JOIN gr ON gr.part = x.part AND gr.f1 = x.f AND gr.f2 = j.f),
+m0 AS (SELECT part, p, list(g ORDER BY place) AS a FROM en GROUP BY part, p),
+gj AS (SELECT part, p, 0 AS k, a FROM m0
+       UNION ALL
+       SELECT part, p, k + 1, list_transform(range(p * (p + 1)), lambda x:
+         CASE WHEN x // (p + 1) = k THEN a[x + 1] / a[k * (p + 1) + k + 1]
+              ELSE a[x + 1] - a[(x // (p + 1)) * (p + 1) + k + 1] * a[k * (p + 1) + x % (p + 1) + 1] / a[k * (p + 1) + k + 1] END)
+       FROM gj WHERE k < p),
+co AS (SELECT ix.part, f, a[i * (ix.p + 1) + ix.p + 1] AS w FROM gj JOIN ix ON ix.part = gj.part WHERE k = gj.p),
+pr AS (SELECT fx.part, row_key, any_value(label) AS label, sum(v * w) AS prediction FROM fx JOIN co ON co.part = fx.part AND co.f = fx.f
+       WHERE held GROUP BY fx.part, row_key),
+sc AS (SELECT part, 1.0 - sum(pow(label - prediction, 2)) / (var_pop(label) * count(*)) AS r2,
+              avg(abs(label - prediction)) AS mae, sqrt(avg(pow(label - prediction, 2))) AS rmse FROM pr GROUP BY part)
+"""
+        shown = (f"SELECT '{model}' AS model, {r('avg(r2)', 4)} AS cv_r2_mean, {r('stddev_pop(r2)', 4)} AS cv_r2_std FROM sc" if folds else
+                 f"SELECT '{model}' AS model, {r('r2', 4)} AS r2, {r('mae', 4)} AS mae, {r('rmse', 4)} AS rmse FROM sc")
+        out = q(rows + solved + shown)
+        return out if "WITH RECURSIVE" in out else out.replace("WITH", "WITH RECURSIVE", 1)
+
     return {
+        "linear_model": linear("Linear Regression", 0.0, False),
+        "ridge_model": linear("Ridge Regression", 1.0, False),
+        "cross_validate": linear("Linear Regression", 0.0, True),
+        "cross_validate_ridge": linear("Ridge Regression", 1.0, True),
         "scaled_features": q(rows + scaled),
         "one_hot": q(rows + one_hot),
         "prediction_label": q(rows + labels("CASE WHEN p >= avg_er THEN 'Above the account''s mean: worth promoting.' "

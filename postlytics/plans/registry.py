@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from postlytics.functions.columns import broadcast_groups, ntz_text
 from postlytics.functions.ranking import group_quantiles
-from postlytics.operators import eda, filters, ml, stats
+from postlytics.operators import eda, filters, linear, ml, stats
 from postlytics.plans import reports
 from postlytics.sources import csv_export, sinks
 from postlytics.sources.exports import export_from_tables, materialized_posts, mixed_exports_from_tables, table_version
@@ -192,11 +192,6 @@ def _metrics(name: str) -> Query:
     return run
 
 
-def _cv(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """5-fold CV of one model (folds fitted concurrently)."""
-    return _once(spark, sf_dir, ("cv", name), lambda: ml.cross_validate(prepared(spark, sf_dir), name))
-
-
 def _zoo(spark: SparkSession, sf_dir: str) -> ml.Zoo:
     """All four models on the test split and on the five folds."""
     return _once(spark, sf_dir, ("zoo",), lambda: ml.fit_zoo(prepared(spark, sf_dir), ml.MODEL_ORDER))
@@ -288,12 +283,12 @@ ML_QUERIES: dict[str, Query] = {
                      .groupBy(F.when(F.col("bucket") < 20, "test").otherwise("train").alias("part"))
                      .agg(F.count(F.lit(1)).alias("rows"))),
     "evaluate": _on_pre(lambda p: ml.evaluate(_type_mean_predictor(p))),
-    "linear_model": _metrics("Linear Regression"),
-    "ridge_model": _metrics("Ridge Regression"),
+    "linear_model": _on_pre(lambda p: linear.metrics(p, "Linear Regression")),
+    "ridge_model": _on_pre(lambda p: linear.metrics(p, "Ridge Regression")),
     "forest_model": _metrics("Random Forest"),
     "boosted_model": _metrics("Gradient Boosting"),
-    "cross_validate": lambda s, d: _cv(s, d, "Linear Regression"),
-    "cross_validate_ridge": lambda s, d: _cv(s, d, "Ridge Regression"),
+    "cross_validate": _on_pre(lambda p: linear.cross_validate(p, "Linear Regression")),
+    "cross_validate_ridge": _on_pre(lambda p: linear.cross_validate(p, "Ridge Regression")),
     "compare_models": _compare,
     "feature_importance": lambda s, d: ml.feature_importance(trained(s, d, "Gradient Boosting")),
     "feature_importance_forest": lambda s, d: ml.top_features(ml.feature_importance(trained(s, d, "Random Forest")), 10),

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postlytics.operators import ml
+from postlytics.operators import linear, ml
 
 
 def test_ridge_equals_closed_form(spark, pre_small):
@@ -60,7 +60,7 @@ def test_layout_follows_from_the_rows_alone(spark, pre_small):
 def test_models_do_not_depend_on_input_partitions(spark, pre_small, monkeypatch):
     from pyspark.ml.regression import GBTRegressor
 
-    monkeypatch.setattr(ml, "make_model", lambda name, variant, sub: GBTRegressor(
+    monkeypatch.setattr(ml, "make_model", lambda name, variant, sub, memory: GBTRegressor(
         featuresCol="features", labelCol="label", maxIter=5, maxDepth=3, subsamplingRate=0.8, seed=42))
     fs = ml.select_features(pre_small)
     rows = ml.model_rows(pre_small, fs)
@@ -114,3 +114,48 @@ def test_cross_validation_and_zoo_agree(spark, pre_small):
     t = ml.train_model(pre_small, "Linear Regression")
     r = ml.evaluate(t.model.transform(t.test), 12).first()
     assert zoo.scores["Linear Regression", None] == pytest.approx((r["r2"], r["mae"], r["rmse"]), abs=1e-6)
+
+
+def test_linear_models_from_sums_equal_the_fitted_ones(spark, pre_small):
+    for name in ("Linear Regression", "Ridge Regression"):
+        t = ml.train_model(pre_small, name)
+        fit, test = linear.fit(pre_small, name)
+        both = t.model.transform(test).withColumn("own", fit.predict()).select("prediction", "own").collect()
+        assert np.allclose([r["prediction"] for r in both], [r["own"] for r in both], rtol=1e-6, atol=1e-6)
+
+
+def test_fold_scores_from_sums_equal_scored_rows(spark, pre_small):
+    fs, rows = linear._rows(pre_small, "api")
+    sums = linear.gram_sums(rows, fs, F.col("fold"))
+    for k, g in sums.gram.items():
+        fit = linear.solve(sums, sums.total - g, 1.0)
+        scored = rows.where(F.col("fold") == k).withColumn("prediction", fit.predict())
+        assert linear.r_squared(fit, g) == pytest.approx(ml.evaluate(scored, 12).first()["r2"], abs=1e-9)
+
+
+def test_dependent_columns_and_unseen_levels(spark):
+    """A copied number, a constant one, a level that only the held-out part has, a first level missing in training."""
+    rng = np.random.default_rng(3)
+    data = [(int(i % 3 == 0), float(x), float(2 * x), 7.0, ("b", "c")[i % 2] if i % 3 else ("a", "d")[i % 2], float(3 * x + (i % 2) * 5 + 1))
+            for i, x in enumerate(rng.normal(1e6, 10, 60))]
+    rows = spark.createDataFrame(data, "part int, x double, xx double, one double, kind string, label double")
+    fs = ml.FeatureSet(["x", "xx", "one"], ["kind"])
+    sums = linear.gram_sums(rows, fs, F.col("part"))
+    fit = linear.solve(sums, sums.gram[0])
+    assert set(fit.levels) == {("kind", "c")} and "one" not in fit.numbers
+    assert fit.numbers["x"] == pytest.approx(2 * fit.numbers["xx"] / 4, rel=1e-6) or fit.numbers["x"] + 2 * fit.numbers["xx"] == pytest.approx(3)
+    got = rows.where("part = 0").withColumn("p", fit.predict()).select("label", "p").collect()
+    assert np.allclose([r["label"] for r in got], [r["p"] for r in got], rtol=1e-9)
+
+
+def test_rows_without_a_key_are_in_a_part(spark, pre_small):
+    from dataclasses import replace
+
+    pre = replace(pre_small, df=pre_small.df.withColumn("post_id", F.when(F.col("post_id") % 2 == 0, F.col("post_id"))))
+    rows = ml.model_rows(pre, ml.select_features(pre))
+    assert rows.where("bucket is null or fold is null").count() == 0 and rows.select("bucket").distinct().count() > 50
+
+
+def test_tree_memory_fits_the_heap(spark):
+    slots = spark.sparkContext.defaultParallelism
+    assert 64 <= ml.tree_memory_mb(spark) <= max(64, 0.25 * 8192 / slots + 1)
