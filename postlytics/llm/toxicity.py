@@ -1,24 +1,20 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
-
-Terms are words and word beginnings of 4 and 5 letters; every term of the
-labelled rows counts, but those of all rows (they tell nothing).  A term's weight is its IDF times a factor that grows with
-how clearly it tells the classes of the labelled rows apart (z of two
-proportions) and is never 0.  Examples with equal vectors are one entry with
-its numbers of toxic and clean rows.
-
-For a text, the postings of all but the COMMON most frequent terms are summed
-up; the common terms' part comes from a matrix product for QUERIES texts at a
-time.  All entries are scored, so the k nearest are exact.  Votes weigh by
-distance and are drawn towards the labelled rows' overall share, which keeps
-the scores calibrated.  A text with no term of any labelled row gets the share
-among labelled rows without any.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+Terms are words (runs of letters and digits, lower case).  Every term of the labelled rows counts; its weight is its IDF
+times a factor that grows with how clearly it tells the classes of the labelled rows apart (z of two proportions)
+and is never 0.  Examples with equal vectors are one entry with its numbers of toxic and clean rows.
+
+Entries lie in blocks of BLOCK, like ones side by side, and the index holds for each term the blocks that have it and its
+greatest weight there.  For a text these maxima add up to a bound on the cosine of any entry of a block.  Blocks
+are scored in rounds from the highest bound down; the k-th best cosine so far is the bar, and a block whose bound
+is below it is never opened, so the k nearest are exact.  Votes weigh by distance and are drawn towards the labelled
+rows' overall share, which keeps the scores calibrated.  A text with no term of any labelled row gets the share among
+labelled rows without any.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,154 +22,150 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import documents, lower, map_batches, ship, spark_schema
-
-WORD = re.compile(r"[^\W\d_]+")
-COMMON, QUERIES = 256, 64
-PREFIXES = (4, 5)
+from postlytics.llm.common import by_size, documents, map_batches, ship, word_hashes
+
+BLOCK = 32
+ROUNDS = (4, 16, 64)  # blocks opened before the bar alone decides
+EPS = 1e-9
+
+
+def term_counts(texts: list[str], known: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, counts) of each text, terms ascending: hashes of words, or places in the sorted hashes ``known``."""
+    out = []
+    for lo, hi in by_size(texts):
+        words, per = word_hashes(texts[lo:hi])
+        row = np.repeat(np.arange(hi - lo), per)
+        if known is not None:
+            at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+            has = known[at] == words if len(known) else np.zeros(len(words), bool)
+            words, row = at[has].astype(np.uint64), row[has]
+        order = np.lexsort((words, row))
+        words, row = words[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (row[1:] != row[:-1])])) if len(words) else np.zeros(0, int)
+        n = np.diff(np.append(first, len(words)))
+        ends = np.searchsorted(row[first], np.arange(1, hi - lo))
+        out += zip(np.split(words[first], ends), np.split(n, ends))
+    return out
 
 
-def term_counts(text: str, known=None) -> Counter:
-    """Terms with their numbers; ``known``: only those."""
-    out: Counter = Counter()
-    for w, n in Counter(WORD.findall(lower(text))).items():
-        if known is None or w in known:
-            out[w] += n
-        for size in PREFIXES:
-            if len(w) >= size:
-                p = w[:size] + "*"
-                if known is None or p in known:
-                    out[p] += n
-    return out
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, and the number of each range."""
+    size = hi - lo
+    return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum()), size
 
 
 @dataclass
 class Model:
-    idf: dict[str, float]
-    #: entries: sparse unit vectors, weights of toxic and clean rows, and one example id each
-    vectors: list[dict[str, float]]
-    toxic: np.ndarray
-    clean: np.ndarray
-    example: list[int]
-    prior: float
-    empty: float
+    #: sorted term hashes, their weights
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: entries: weights of toxic and clean rows, one example id each
+    toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    clean: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    prior: float = 0.0
+    empty: float = 0.0
     k: int = 15
-    #: term numbers and weights; entries' scales; postings of the other terms (entry ordinals, codes of ``levels``) by term;
-    #: codes of the common terms' weights by entry (small codes, as tasks get the whole model)
-    number: dict[str, int] = field(default_factory=dict)
-    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    entry_scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    common: int = 0
-    bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    entry: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
-    code: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
-    levels: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    front: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.uint32))
-
-    def __post_init__(self):
-        self._dense = None
-        if self.vectors:
-            names = {t: i for i, t in enumerate(sorted({t for v in self.vectors for t in v}))}
-            per = np.fromiter(map(len, self.vectors), np.int64, len(self.vectors))
-            term = np.fromiter((names[t] for v in self.vectors for t in v), np.int32)
-            self.index(list(names), np.ones(len(names)), per, term, np.fromiter((x for v in self.vectors for x in v.values()), float),
-                       np.ones(len(per)))
-
-    def index(self, names: list[str], scale: np.ndarray, per: np.ndarray, term: np.ndarray, value: np.ndarray,
-              entry_scale: np.ndarray) -> None:
-        """Builds the postings from entries of ``per`` terms; a weight is the value times the scales of term and entry."""
-        self.vectors = []
-        n = len(per)
-        order = np.argsort(-np.bincount(term, minlength=len(names)), kind="stable")
-        new = np.empty(len(names), np.int32)
-        new[order] = np.arange(len(names), dtype=np.int32)
-        self.number, self.scale, self.entry_scale = dict(zip(names, new.tolist())), scale[order], entry_scale
-        self.common = min(COMMON, len(names))
-        levels, code = np.unique(value, return_inverse=True)
-        self.levels = np.concatenate([[0.0], levels])
-        code = (code + 1).astype(np.min_scalar_type(len(levels)))
-        term, entry = new[term], np.repeat(np.arange(n, dtype=np.min_scalar_type(n)), per)
-        often = term < self.common
-        self.front = np.zeros((n, self.common), code.dtype)
-        self.front[entry[often], term[often]] = code[often]
-        term, entry, code = term[~often], entry[~often], code[~often]
-        by = np.argsort(term, kind="stable")
-        self.entry, self.code = entry[by], code[by]
-        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(names)))])
-
-    def __getstate__(self):
-        return self.__dict__ | {"_dense": None}
-
-    def dense(self) -> np.ndarray:
-        """Common terms' weights by entry."""
-        if self._dense is None:
-            weights = self.levels[self.front]
-            weights *= self.scale[:self.common]
-            weights *= self.entry_scale[:, None]
-            self._dense = weights
-        return self._dense
-
-    def vector(self, counts: Counter) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in sorted(v.items())} if norm else {}
-
-    def nearest(self, vector: dict[str, float]) -> list[tuple[float, int]]:
-        """The k entries of highest cosine (more if several share the k-th), best first."""
-        known = [(self.number[t], q) for t, q in vector.items() if t in self.number]
-        return next(self._nearest([(np.array([t for t, _ in known], np.int64), np.array([q for _, q in known], float))]))
-
-    def _nearest(self, queries: list[tuple[np.ndarray, np.ndarray]]):
-        """Lists as of ``nearest`` for (term numbers, weights) of each query."""
-        if not len(self.entry_scale):
-            yield from ([] for _ in queries)
-            return
-        fronts = np.zeros((len(queries), self.common))
-        for row, (term, query) in zip(fronts, queries):
-            often = term < self.common
-            row[term[often]] = query[often]
-        for sims, (term, query) in zip(fronts @ self.dense().T, queries):
-            often = term < self.common
-            term, query = term[~often], query[~often]
-            if len(term):
-                lo, hi = self.bounds[term], self.bounds[term + 1]
-                parts = list(zip(lo.tolist(), hi.tolist()))
-                at = np.concatenate([self.entry[x:y] for x, y in parts])
-                w = self.levels[np.concatenate([self.code[x:y] for x, y in parts])]
-                w *= np.repeat(query * self.scale[term], hi - lo)
-                sims = sims + np.bincount(at, w, minlength=len(sims)) * self.entry_scale
-            keep = np.flatnonzero((sims > 0) & (sims >= self._kth(sims) - 1e-9))
-            keep = keep[np.lexsort((keep, -sims[keep]))]
-            yield list(zip(sims[keep].tolist(), keep.tolist()))
-
-    def _kth(self, sims: np.ndarray) -> float:
-        return float(np.partition(sims, len(sims) - self.k)[len(sims) - self.k]) if len(sims) > self.k else 0.0
+    #: the index: a term's blocks are blocks[at[t]:at[t + 1]], with the greatest weight and the place of the first posting each
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    entry: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    opened: int = 0  # blocks opened so far, for tests
+
+    @classmethod
+    def build(cls, rows: list[tuple[int, int, np.ndarray, np.ndarray]], k: int) -> "Model":
+        """Index of labelled rows (id, label 0 / 1, term hashes, counts)."""
+        n1 = sum(y for _, y, _, _ in rows)
+        n0 = len(rows) - n1
+        if not n0 or not n1:
+            return cls(prior=float(bool(n1)), empty=float(bool(n1)), k=k)
+        per = np.array([len(t) for _, _, t, _ in rows])
+        terms, number = np.unique(np.concatenate([t for _, _, t, _ in rows]), return_inverse=True)
+        label = np.repeat([y for _, y, _, _ in rows], per)
+        c1 = np.bincount(number[label == 1], minlength=len(terms))
+        c0 = np.bincount(number[label == 0], minlength=len(terms))
+        p = (c0 + c1) / len(rows)
+        z2 = (c1 / n1 - c0 / n0) ** 2 / np.maximum(p * (1 - p) * (1 / n0 + 1 / n1), 1e-12)
+        weight = np.log(1 + len(rows) / np.maximum(c0 + c1, 1)) * (1 + z2) / (36 + z2)
+        # equal counts make equal vectors
+        entries: dict[tuple, list] = {}
+        empty = [1.0, 1.0]
+        for (i, y, _, n), t in zip(rows, np.split(number, np.cumsum(per)[:-1])):
+            if not len(t):
+                empty[y] += 1
+                continue
+            e = entries.setdefault((t.tobytes(), n.tobytes()), [[0, 0], i, t, (1 + np.log(n)) * weight[t]])
+            e[0][y] += 1
+            e[1] = min(e[1], i)
+        # entries of one class and heaviest term share blocks
+        found = sorted(entries.values(), key=lambda e: (e[0][1] >= e[0][0], int(e[2][e[3].argmax()]), e[1]))
+        model = cls(terms, weight, np.array([e[0][1] for e in found], float), np.array([e[0][0] for e in found], float),
+                    np.array([e[1] for e in found], np.int64), n1 / len(rows), empty[1] / sum(empty), k)
+        if found:
+            size = np.array([len(e[2]) for e in found])
+            entry = np.repeat(np.arange(len(found), dtype=np.int32), size)
+            term = np.concatenate([e[2] for e in found])
+            value = np.concatenate([e[3] / math.sqrt(float(e[3] @ e[3])) for e in found])
+            order = np.lexsort((entry, term))
+            term, entry, value = term[order], entry[order], value[order]
+            block = entry // BLOCK
+            cut = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+            model.entry, model.value = entry, value
+            model.blocks, model.most, model.first = block[cut], np.maximum.reduceat(value, cut), np.append(cut, len(term))
+            model.at = np.searchsorted(term[cut], np.arange(len(terms) + 1))
+        return model
+
+    def nearest(self, term: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, entries) of the k nearest (more if several share the k-th), best first; the query is a unit vector."""
+        if not len(term) or not len(self.example):
+            return np.zeros(0), np.zeros(0, int)
+        place, size = _ranges(self.at[term], self.at[term + 1])
+        block, by = self.blocks[place], np.repeat(query, size)
+        n_blocks = -(-len(self.example) // BLOCK)
+        bound = np.bincount(block, self.most[place] * by, minlength=n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        sims, bar, done = np.zeros(len(self.example)), 0.0, 0
+        for step in (*ROUNDS, n_blocks):
+            # bounds fall along the order: those that may reach the bar come first
+            todo = order[done:min(done + step, int(np.searchsorted(-bound[order], EPS - bar, side="right")))]
+            todo = todo[bound[todo] > 0]
+            if not len(todo):
+                break
+            open_ = np.zeros(n_blocks, bool)
+            open_[todo] = True
+            here = open_[block]
+            at, n = _ranges(self.first[place[here]], self.first[place[here] + 1])
+            sims += np.bincount(self.entry[at], self.value[at] * np.repeat(by[here], n), minlength=len(sims))
+            done += len(todo)
+            self.opened += len(todo)
+            if len(sims) > self.k:
+                bar = float(np.partition(sims, len(sims) - self.k)[len(sims) - self.k])
+        keep = np.flatnonzero((sims > 0) & (sims >= bar - EPS))
+        keep = keep[np.lexsort((self.example[keep], -sims[keep]))]
+        return sims[keep], keep
 
     def scores(self, texts: list[str]) -> list[tuple[float, list[dict]]]:
         out = []
-        for lo in range(0, len(texts), QUERIES):
-            queries = []
-            for text in texts[lo:lo + QUERIES]:
-                counts = term_counts(text, self.number)
-                term = np.fromiter(map(self.number.__getitem__, counts), np.int64, len(counts))
-                query = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.scale[term]
-                queries.append((term, query / math.sqrt(float(query @ query)) if len(query) else query))
-            out += [self._vote(near) for near in self._nearest(queries)]
+        for term, n in term_counts(texts, self.terms):
+            term = term.astype(np.int64)
+            query = (1 + np.log(n)) * self.weight[term]
+            out.append(self._vote(*self.nearest(term, query / math.sqrt(float(query @ query)) if len(query) else query)))
         return out
 
-    def _vote(self, near: list[tuple[float, int]]) -> tuple[float, list[dict]]:
-        if not near:
+    def _vote(self, sims: np.ndarray, at: np.ndarray) -> tuple[float, list[dict]]:
+        if not len(at):
             return self.empty, []
-        sims = np.minimum(1.0, np.array([s for s, _ in near]))
-        at = np.array([i for _, i in near])
+        sims = np.minimum(1.0, sims)
         # entries weigh by the logarithm of their rows, so that copies of one text don't outvote the rest
         rows = self.toxic[at] + self.clean[at]
         weight = (1 + np.log(rows)) / (1.05 - sims)
-        votes = weight * self.toxic[at] / rows
-        score = (votes.sum() + self.prior) / (weight.sum() + 1.0)
-        evidence = [{"doc_id": self.example[i], "similarity": float(s), "toxic": bool(self.toxic[i] >= self.clean[i])}
-                    for s, i in near[:3]]
-        return float(min(1.0, max(0.0, score))), evidence
+        score = float(((weight * self.toxic[at] / rows).sum() + self.prior) / (weight.sum() + 1.0))
+        evidence = [{"doc_id": int(self.example[i]), "similarity": float(s), "toxic": bool(self.toxic[i] >= self.clean[i])}
+                    for s, i in zip(sims[:3], at[:3])]
+        return min(1.0, max(0.0, score)), evidence
 
 
 def labelled_sample(labels: DataFrame, label_col: str, id_col: str, limit: int) -> DataFrame:
@@ -184,84 +176,25 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str, limit: int)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
-        label_col: str = "toxic", max_rows: int = 20_000, k: int = 15) -> Model:
+        label_col: str = "toxic", max_rows: int = 4_000, k: int = 15) -> Model:
     """Examples from at most ``max_rows`` labelled rows (the documented bound of the classifier's sample).
 
-    Without labelled rows every score is 0.
+    The rows' words are counted in tasks; the index, bounded by these rows, is put together from their counts.  Of rows
+    that share an id the one with the least text hash is the example.  Without labelled rows every score is 0.
     """
     ship(docs.sparkSession)
-    sample = labelled_sample(labels, label_col, label_id_col, max_rows)
-    spark = docs.sparkSession
-    bounded = spark.createDataFrame([(r["sample_id"], r["label"]) for r in sample.toLocalIterator()], "sample_id long, label int")
-    rows = (documents(docs, id_col, text_col).join(F.broadcast(bounded), F.col("doc_id") == F.col("sample_id"))
-            .select("doc_id", "text", "label"))
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    fields = "term string, clean long, toxic long"
-    arrow = to_arrow_schema(spark_schema(fields))
-
-    def count(batches):
-        sums: dict[str, list[int]] = {}
-        for batch in batches:
-            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                y = int(label > 0)
-                for t in [*term_counts(text), ""]:
-                    sums.setdefault(t, [0, 0])[y] += 1
-            if len(sums) > 500_000:
-                yield out(sums)
-                sums = {}
-        yield out(sums)
-
-    def out(sums):
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[i] for v in sums.values()], pa.int64())
-                                                                               for i in (0, 1))], schema=arrow)
-
-    counts = (rows.mapInArrow(count, fields).groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    from postlytics.llm.common import cut_lineage
-
-    counts = cut_lineage(counts)
-    whole = counts.where("term = ''").first()
-    n0, n1 = (whole["clean"], whole["toxic"]) if whole else (0, 0)
-    if not n0 or not n1:
-        share = float(bool(n1))
-        return Model({}, [], np.zeros(0), np.zeros(0), [], share, share, k)
-    p0, p1, p = F.col("clean") / n0, F.col("toxic") / n1, (F.col("clean") + F.col("toxic")) / (n0 + n1)
-    z2 = (p1 - p0) * (p1 - p0) / (p * (1 - p) * (1 / n0 + 1 / n1))
-    weights = (F.log(1 + (n0 + n1) / (F.col("clean") + F.col("toxic"))) * (1 + z2) / (36 + z2)).alias("weight")
-    terms = counts.where("term <> ''").where(F.col("clean") + F.col("toxic") < n0 + n1).select("term", weights).toArrow().sort_by("term")
-    names, scale = terms.column("term").to_pylist(), terms.column("weight").to_numpy()
-    number = {t: i for i, t in enumerate(names)}
-    del terms
+    sample = F.broadcast(labelled_sample(labels, label_col, label_id_col, max_rows))
+    rows = documents(docs, id_col, text_col).join(sample, F.col("doc_id") == F.col("sample_id"))
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
 
-    def vectors(batch: pa.RecordBatch) -> dict:
-        found = [sorted((number[t], n) for t, n in term_counts(t, number).items()) for t in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "label": batch.column(2),
-                "terms": [np.array([t for t, _ in v], np.int32).tobytes() for v in found],
-                "counts": [np.array([n for _, n in v], np.int32).tobytes() for v in found]}
+    def count(batch: pa.RecordBatch) -> dict:
+        found = term_counts(batch.column("text").to_pylist())
+        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"),
+                "terms": [t.astype("<u8").tobytes() for t, _ in found], "counts": [n.astype("<i4").tobytes() for _, n in found]}
 
-    entries: dict[tuple, list] = {}
-    empty = [1.0, 1.0]
-    # equal counts make equal vectors
-    for r in map_batches(rows, "doc_id long, label int, terms binary, counts binary", vectors).toLocalIterator():
-        y = int(r["label"] > 0)
-        if not r["terms"]:
-            empty[y] += 1
-            continue
-        e = entries.setdefault((bytes(r["terms"]), bytes(r["counts"])), [[0, 0], r["doc_id"]])
-        e[0][y] += 1
-        e[1] = min(e[1], r["doc_id"])
-    found = sorted(entries.items(), key=lambda e: e[1][1])
-    entries.clear()
-    model = Model(dict(zip(names, scale.tolist())), [], np.array([e[0][1] for _, e in found], float),
-                  np.array([e[0][0] for _, e in found], float), [e[1] for _, e in found], n1 / (n0 + n1), empty[1] / sum(empty), k)
-    if found:
-        per = np.fromiter((len(t) // 4 for (t, _), _ in found), np.int64, len(found))
-        term = np.frombuffer(b"".join(t for (t, _), _ in found), np.int32)
-        value = 1 + np.log(np.frombuffer(b"".join(n for (_, n), _ in found), np.int32))
-        norm = np.sqrt(np.add.reduceat((value * scale[term]) ** 2, np.cumsum(per) - per))
-        model.index(names, scale, per, term, value, 1 / norm)
-    return model
+    counted = map_batches(rows, "doc_id long, label int, terms binary, counts binary", count).toLocalIterator()
+    return Model.build(sorted(((r["doc_id"], int(r["label"] > 0), np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["counts"], "<i4"))
+                               for r in counted), key=lambda r: r[0]), k)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", evidence: bool = True) -> DataFrame:
@@ -271,9 +204,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     without one; equal texts get equal scores.
     """
     fields = "doc_id long, score double" + ", evidence array<struct<doc_id:long,similarity:double,toxic:boolean>>" * evidence
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # as large as the sample's distinct words
 
     def run(batch: pa.RecordBatch) -> dict:
-        got = model.scores(batch.column(1).to_pylist())
+        got = sent.value.scores(batch.column(1).to_pylist())
         out = {"doc_id": batch.column(0), "score": [s for s, _ in got]}
         return out | {"evidence": [e for _, e in got]} if evidence else out
 

@@ -4,28 +4,107 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from llm_cases import SF_MID, awkward, clashing, empty, same_rows
+from llm_cases import SF_MID, SF_SMALL, awkward, clashing, empty, same_rows
 
 from postlytics.llm import registry
 from postlytics.llm import toxicity as X
+from postlytics.llm.common import lower
 
 
-def test_search_equals_all_cosines():
+def words(text):
+    return Counter(w for w in "".join(c if c.isalnum() else " " for c in lower(text)).split())
+
+
+def plain(rows, k=15):
+    """Entries and a function that scores a text against every one of them, from (id, label, text)."""
+    n, n1 = len(rows), sum(y for _, y, _ in rows)
+    df = [Counter(w for _, y, t in rows if y == c for w in words(t)) for c in (0, 1)]
+
+    def weight(w):
+        p = (df[0][w] + df[1][w]) / n
+        z2 = (df[1][w] / n1 - df[0][w] / (n - n1)) ** 2 / max(p * (1 - p) * (1 / n1 + 1 / (n - n1)), 1e-12)
+        return math.log(1 + n / (df[0][w] + df[1][w])) * (1 + z2) / (36 + z2)
+
+    of = {w: weight(w) for w in {*df[0], *df[1]}}
+
+    def unit(text):
+        v = {w: (1 + math.log(c)) * of[w] for w, c in words(text).items() if w in of}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    entries, empty = {}, [1, 1]
+    for i, y, t in rows:
+        if not words(t):
+            empty[y] += 1
+            continue
+        e = entries.setdefault(frozenset(words(t).items()), [unit(t), [0, 0], i])
+        e[1][y] += 1
+        e[2] = min(e[2], i)
+
+    def score(text):
+        q = unit(text)
+        sims = sorted(((sum(x * v.get(w, 0) for w, x in q.items()), c) for v, c, _ in entries.values()), key=lambda s: -s[0])
+        sims = [(s, c) for s, c in sims if s > 0 and (len(sims) <= k or s >= sims[k - 1][0] - 1e-9)]
+        if not sims:
+            return empty[1] / sum(empty)
+        weights = [(1 + math.log(sum(c))) / (1.05 - min(1, s)) for s, c in sims]
+        return (sum(w * c[1] / sum(c) for w, (_, c) in zip(weights, sims)) + n1 / n) / (sum(weights) + 1)
+
+    return score
+
+
+def test_query_equals_all_cosines(spark):
+    """The registered query against every example for every text."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet").collect()}
+    score = plain([(i, y, texts[i]) for i, y in labels.items() if i in texts and zlib.crc32(str(i).encode()) % 5])
+    got = {r["doc_id"]: r["score"] for r in registry.op9_toxicity(spark, SF_SMALL).collect()}
+    assert got.keys() == texts.keys()
+    assert all(math.isclose(got[i], score(t), abs_tol=1e-6) for i, t in texts.items())
+
+
+def test_blocks_are_skipped_and_none_is_missed():
     rng = random.Random(3)
-    terms = [f"t{i}" for i in range(60)]
-    idf = {t: 0.5 + rng.random() * 5 for t in terms}
-    seed = X.Model(idf, [], np.zeros(0), np.zeros(0), [], 0.1, 0.0)
-    vectors = [seed.vector(Counter(rng.choices(terms, k=rng.randint(1, 12)))) for _ in range(500)]
-    m = X.Model(idf, vectors, np.ones(500), np.zeros(500), list(range(500)), 0.1, 0.0, k=15)
-    for _ in range(200):
-        q = m.vector(Counter(rng.choices(terms, k=rng.randint(1, 10))))
-        sims = sorted(((sum(q[t] * v.get(t, 0) for t in q), i) for i, v in enumerate(vectors)), key=lambda s: (-s[0], s[1]))
-        least = sims[14][0]
-        want = {i for s, i in sims if s >= least - 1e-9 and s > 0}
-        got = m.nearest(q)
-        assert {i for _, i in got} >= {i for s, i in sims[:15] if s > least + 1e-9}
-        assert {i for _, i in got} <= want and len(got) >= min(15, len(want))
-        assert all(math.isclose(s, dict((i, s) for s, i in sims)[i], abs_tol=1e-9) for s, i in got)
+    topics = [[f"t{j}x{i}" for i in range(30)] for j in range(40)]
+    rows = []
+    for i in range(3000):
+        text = " ".join(rng.choices(topics[i % 40], k=rng.randint(3, 12)) + rng.choices(["the", "of", "and"], k=3))
+        rows.append((i, int(i % 40 < 4), *X.term_counts([text])[0]))
+    m = X.Model.build(rows, 15)
+    blocks = -(-len(m.example) // X.BLOCK)
+    for j in range(60):
+        text = " ".join(rng.choices(topics[j % 40], k=8) + ["the"])
+        term, n = X.term_counts([text], m.terms)[0]
+        q = (1 + np.log(n)) * m.weight[term.astype(int)]
+        q /= np.sqrt(q @ q)
+        every = np.zeros(len(m.example))
+        for t, x in zip(term.astype(int), q):
+            for b in range(m.at[t], m.at[t + 1]):
+                at = slice(m.first[b], m.first[b + 1])
+                assert m.most[b] == m.value[at].max() and (m.entry[at] // X.BLOCK == m.blocks[b]).all()
+                every[m.entry[at]] += x * m.value[at]
+        sims, at = m.nearest(term.astype(int), q)
+        bar = np.sort(every)[-15]
+        assert set(at) == set(np.flatnonzero(every >= bar - 1e-9)) and np.allclose(sims, every[at])
+    assert m.opened < 0.5 * 60 * blocks
+
+
+def test_scores_are_calibrated(spark):
+    """Of held-out texts scored about p, about the share p is toxic."""
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF_MID}/labels.parquet").collect()}
+    got = [(r["score"], toxic[r["doc_id"]]) for r in registry.op9_toxicity(spark, SF_MID).collect() if r["held_out"] and r["doc_id"] in toxic]
+    assert np.mean([(s - y) ** 2 for s, y in got]) < 0.5 * np.var([y for _, y in got])
+    assert abs(np.mean([s for s, _ in got]) - np.mean([y for _, y in got])) < 0.1
+
+
+def test_copies_of_examples_find_them(spark):
+    """All terms of the examples are in every labelled row or in one of them only."""
+    docs = spark.createDataFrame([(1, "bad word"), (2, "bad word nice"), (3, "bad word"), (4, "bad word nice"), (5, "bad word")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in X.score(docs, X.fit(docs, labels)).collect()}
+    assert [got[i]["evidence"][0]["doc_id"] for i in (1, 2, 3, 4, 5)] == [1, 2, 1, 2, 1]
+    assert got[3]["evidence"][0]["similarity"] > 0.999 and got[3]["score"] > got[4]["score"]
 
 
 def test_held_out(spark):
