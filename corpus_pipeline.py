@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from postlytics.llm import bpe, decontaminate, langid, secret_scan, simhash
 from postlytics.llm.common import crc_mod
@@ -19,7 +18,7 @@ from postlytics.session import checkpoint_dir
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: learns from the labelled documents and drops texts without a language of their own."""
-    model = langid.fit(docs.where(F.coalesce(crc_mod("doc_id", 3), F.lit(0)) != 1))
+    model = langid.fit(docs.where(crc_mod("doc_id", 3) != 1))
     return langid.keep_known(docs, model)
 
 
@@ -58,7 +57,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:  # the stage's input has served
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{base}/{name}"
     return docs
