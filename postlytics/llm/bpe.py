@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from postlytics.llm.common import documents, map_batches
+from postlytics.llm.common import documents, kept, map_batches
 
 ROOT = 0
 #: Bounds of the tables a worker keeps; emptying them costs time, never changes a result.
@@ -342,7 +342,7 @@ class Codec:
         return "".join(parts) + self.stream.finish()
 
 
-_CODECS: dict[tuple, Codec] = {}
+_CODECS: dict[tuple, Codec] = kept("bpe")
 
 
 def codec(path: str, pattern: str, transitions: int | None = None, pieces: int | None = None) -> Codec:
@@ -379,4 +379,4 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         out = {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
         return out | {"ids": every} if with_ids else out
 
-    return map_batches(documents(docs, id_col, text_col), fields, run, rows=500)
+    return map_batches(documents(docs, id_col, text_col), fields, run, rows=500, keep="bpe")

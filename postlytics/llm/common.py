@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from postlytics.session import cut_lineage
 
 __all__ = ["documents", "ship", "map_batches", "slices", "cut_lineage", "connected_components", "fresh", "spark_schema",
-           "crc_mod"]
+           "crc_mod", "kept", "trimmed"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,10 +56,52 @@ def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict], rows: int = 1000) -> DataFrame:
+#: What workers keep from task to task (tables, automata), by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """A dict that a worker keeps until a task of another operator runs in it."""
+    return _KEPT.setdefault(name, {})
+
+
+def trimmed(task, keep: str = ""):
+    """A ``mapInArrow`` function that starts without other operators' tables and leaves no freed memory behind.
+
+    Workers serve one stage after another; without this each holds the most that any stage ever took.
+    """
+    def run(batches):
+        drop_tables(keep)
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def drop_tables(keep: str) -> None:
+    """Of this worker's tables those of ``keep`` stay."""
+    for name, tables in _KEPT.items():
+        if name != keep:
+            tables.clear()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict], rows: int = 1000, keep: str = "") -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows; ``fn`` gives a dict of columns.
 
-    Small slices bound a worker's memory whatever the batch size is.
+    Small slices bound a worker's memory whatever the batch size is; ``keep``
+    names the operator whose tables stay in the worker.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -69,7 +113,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(fn(part).values(), arrow)],
                                                  schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run, keep), schema)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -127,7 +171,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ship(spark)
     current = cut_lineage(edges.select(F.col(edges.columns[0]).cast("long").alias("a"),
                                        F.col(edges.columns[1]).cast("long").alias("b"))
-                          .mapInArrow(_forest, "a long, b long").where("a <> b").distinct())
+                          .mapInArrow(trimmed(_forest), "a long, b long").where("a <> b").distinct())
     members = None
     rnd = 0
     while current.limit(1).count():

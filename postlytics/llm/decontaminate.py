@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import documents, lower, map_batches, ship, slices
+from postlytics.llm.common import documents, lower, map_batches, ship, slices, trimmed
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK = 16
@@ -158,7 +158,7 @@ def _frequencies(source: DataFrame, terms: frozenset[str]) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())],
                                          schema=arrow)
 
-    rows = source.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = source.select("text").mapInArrow(trimmed(count), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {r["term"]: r["n"] for r in rows.toLocalIterator()}
 
 
@@ -260,5 +260,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 clean = [not scan_text(words_of(t or ""), shard, stride, need) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import by_size, code_points, documents, lower, map_batches, ship, slices
+from postlytics.llm.common import by_size, code_points, documents, lower, map_batches, ship, slices, trimmed
 
 BUCKETS = 1 << 14
 SEGMENT = 256
@@ -111,7 +111,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", penalty
                                               pa.array(acc[slot], pa.int64())], schema=arrow)
 
     known = rows.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    counts = (known.where("text is not null and lang is not null").mapInArrow(count, schema)
+    counts = (known.where("text is not null and lang is not null").mapInArrow(trimmed(count), schema)
               .groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas())
     langs = sorted(counts["lang"].unique())
     sums = np.zeros((len(langs), width))
@@ -123,12 +123,44 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", penalty
     return Model(langs, table, np.where(candidate, 0, -1e4).astype(np.float32), penalty)
 
 
+#: Up to so many languages segments of a text run side by side, for every language they may be entered in.
+SIDE_BY_SIDE = 16
+
+
+def _viterbi_by_text(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
+    """``viterbi`` with one state a language: memory is the words times the languages."""
+    labels = np.zeros(len(scores), np.int64)
+    sizes = np.diff(starts)
+    order = np.argsort(-sizes, kind="stable")
+    first, length = starts[:-1][order], sizes[order]
+    langs = np.arange(scores.shape[1], dtype=np.min_scalar_type(scores.shape[1]))
+    active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
+    v = scores[first].astype(np.float32)
+    back = []
+    for t, k in enumerate(active.tolist()):
+        if not t:
+            continue
+        cur = v[:k] - v[:k].max(axis=1, keepdims=True)
+        stay = cur >= -penalty
+        back.append(np.where(stay, langs, cur.argmax(axis=1).astype(langs.dtype)[:, None]))
+        v[:k] = np.where(stay, cur, np.float32(-penalty)) + scores[first[:k] + t]
+    now = v.argmax(axis=1)
+    for t in range(len(active) - 1, -1, -1):
+        k = active[t]
+        labels[first[:k] + t] = now[:k]
+        if t:
+            now[:k] = back[t - 1][np.arange(k), now[:k]]
+    return labels
+
+
 def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
     """Best labels of the words of many texts at once; ``starts`` are the texts' first words, ends included."""
     n, langs = scores.shape
     labels = np.zeros(n, np.int64)
     if not n or langs < 2:
         return labels
+    if langs > SIDE_BY_SIDE:
+        return _viterbi_by_text(scores, starts, penalty)
     sizes = np.diff(starts)
     per = -(-sizes // SEGMENT)
     text = np.repeat(np.arange(len(sizes)), per)
@@ -233,15 +265,28 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_batches(documents(docs, id_col, text_col), fields, run)
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.4) -> DataFrame:
-    """Rows of ``docs`` whose text has a language; rejected: ``und`` and texts where no language has ``least_score`` of the letters."""
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.4, least_span: int = 100) -> DataFrame:
+    """Rows of ``docs`` whose text has languages of its own.
+
+    Rejected: ``und``, and texts of which no language has ``least_score`` of the letters, unless as much lies in spans of
+    ``least_span`` characters (a text in several languages, each for a stretch, stays).
+    """
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
+    def known(pred: str, score: float, text: str, spans: list[dict]) -> bool:
+        long = sum(s["end"] - s["start"] for s in spans if s["end"] - s["start"] >= least_span)
+        return pred != UND and (score >= least_score or long >= least_score * len(text))
+
     def run(batches):
         for whole in batches:
             for batch in slices(whole, 1000):
-                pred, score, _ = _label([t or "" for t in batch.column(at).to_pylist()], model, False)
-                yield batch.filter(pa.array([p != UND and s >= least_score for p, s in zip(pred, score)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                pred, score, _ = _label(texts, model, False)
+                keep = [p != UND and s >= least_score for p, s in zip(pred, score)]
+                rest = [i for i, (k, p) in enumerate(zip(keep, pred)) if not k and p != UND]
+                for i, p, s, spans in zip(rest, *_label([texts[i] for i in rest], model, True)):
+                    keep[i] = known(p, s, texts[i], spans)
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import documents, map_batches, ship, slices
+from postlytics.llm.common import documents, kept, map_batches, ship, slices, trimmed
 
 # Fixed values (the public formats of these secrets).
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -70,13 +70,12 @@ RULES = (
     (XPRV, lambda m: base58_check(m[0])),
 )
 
-_AUTOMATON = None
+_AUTOMATON = kept("secrets")
 
 
 def _automaton():
     """Keywords with (length, kind). Four hex digits in a row start or continue every run of 16."""
-    global _AUTOMATON
-    if _AUTOMATON is None:
+    if "all" not in _AUTOMATON:
         a = ahocorasick.Automaton()
         for gram in itertools.product("0123456789abcdef", repeat=4):
             a.add_word("".join(gram), (4, 2))
@@ -86,8 +85,8 @@ def _automaton():
             for k in keys:
                 a.add_word(k, (len(k), kind))
         a.make_automaton()
-        _AUTOMATON = a
-    return _AUTOMATON
+        _AUTOMATON["all"] = a
+    return _AUTOMATON["all"]
 
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -129,7 +128,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                  for t in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), "spans": spans}
 
-    return map_batches(documents(docs, id_col, text_col), f"doc_id long, spans {SPANS}", run)
+    return map_batches(documents(docs, id_col, text_col), f"doc_id long, spans {SPANS}", run, keep="secrets")
 
 
 def digest(spans: Column) -> Column:
@@ -172,4 +171,4 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
                 cols[n_at] = pa.array(sizes, type=arrow.field(n_at).type)
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run, keep="secrets"), docs.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.llm.common import connected_components, documents, fresh, map_batches
+from postlytics.llm.common import connected_components, documents, fresh, map_batches, trimmed
 
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
@@ -185,7 +185,7 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     budgets = np.array([(s + 1) * max_bits // SEGMENTS for s in range(SEGMENTS)])
     keyed = map_batches(fps.select("fp").distinct(), "key long, probe byte, fp long", _keys(max_bits), rows=2000)
     return (keyed.repartition("key").sortWithinPartitions("key", "probe")
-            .mapInArrow(_links(budgets, max_bits), "a long, b long"))
+            .mapInArrow(trimmed(_links(budgets, max_bits)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,

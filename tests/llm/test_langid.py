@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -80,3 +81,31 @@ def test_awkward_rows(spark, model):
     kept = L.keep_known(clashing(rows), model)
     assert kept.columns == clashing(rows).columns
     assert not {2, 3, 4, 7} & {r["doc_id"] for r in kept.select("doc_id").collect()}
+
+
+def test_many_languages():
+    """Labels past 255, and the two ways of search agree."""
+    rng = np.random.default_rng(5)
+    scores = rng.normal(0, 1, (40, 300)).astype(np.float32)
+    scores[:, 290] += 50
+    starts = np.array([0, 1, 25, 40])
+    assert (L.viterbi(scores, starts, 12.0) == 290).all()
+    few = rng.normal(0, 8, (3000, 5)).astype(np.float32)
+    starts = np.array([0, 7, 8, 2500, 3000])
+    assert (L._viterbi_by_text(few, starts, 12.0) == L.viterbi(few, starts, 12.0)).all()
+
+
+def test_texts_in_several_languages_stay(spark):
+    """A notice in three languages stays, a salad of their words goes."""
+    rng = random.Random(9)
+    rows = [r for r in spark.read.parquet(f"{SF_MID}/documents.parquet").where("lang is not null").select("text", "lang").collect()]
+    model = L.fit(spark.read.parquet(f"{SF_MID}/documents.parquet"))
+    by = {}
+    for r in rows:
+        if r["text"] and len(r["text"]) > 800:
+            by.setdefault(r["lang"], []).append(r["text"].replace("\n", " "))
+    langs = sorted(by)[:3]
+    assert len(langs) == 3
+    notice = " ".join(rng.choice(by[x])[:n] for x, n in zip(langs, (350, 350, 300)))
+    docs = spark.createDataFrame([(1, notice), (2, by[langs[0]][0]), (3, "12 !!"), (4, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in L.keep_known(docs, model).collect()) == [1, 2]
