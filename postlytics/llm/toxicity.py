@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from postlytics.llm.common import by_size, documents, map_batches, ship, word_hashes
 
-BLOCK = 32
-ROUNDS = (4, 16, 64)  # blocks opened before the bar alone decides
+BLOCK = 128
+ROUNDS = (4,)  # blocks opened before the bar alone decides
 EPS = 1e-9
 
 
@@ -100,8 +100,9 @@ class Model:
             e = entries.setdefault((t.tobytes(), n.tobytes()), [[0, 0], i, t, (1 + np.log(n)) * weight[t]])
             e[0][y] += 1
             e[1] = min(e[1], i)
-        # entries of one class and heaviest term share blocks
-        found = sorted(entries.values(), key=lambda e: (e[0][1] >= e[0][0], int(e[2][e[3].argmax()]), e[1]))
+        # entries of one class and one commonest word (mostly one language) share blocks, so that bounds are close
+        common = c0 + c1
+        found = sorted(entries.values(), key=lambda e: (e[0][1] >= e[0][0], int(e[2][common[e[2]].argmax()]), int(e[2][e[3].argmax()]), e[1]))
         model = cls(terms, weight, np.array([e[0][1] for e in found], float), np.array([e[0][0] for e in found], float),
                     np.array([e[1] for e in found], np.int64), n1 / len(rows), empty[1] / sum(empty), k)
         if found:

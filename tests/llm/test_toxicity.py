@@ -63,7 +63,8 @@ def test_query_equals_all_cosines(spark):
     assert all(math.isclose(got[i], score(t), abs_tol=1e-6) for i, t in texts.items())
 
 
-def test_blocks_are_skipped_and_none_is_missed():
+def test_blocks_are_skipped_and_none_is_missed(monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 32)
     rng = random.Random(3)
     topics = [[f"t{j}x{i}" for i in range(30)] for j in range(40)]
     rows = []
