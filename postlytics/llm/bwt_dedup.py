@@ -441,11 +441,28 @@ def _compare(size: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
-    """(doc, start, stop): byte stretches that ``size``-byte strings starting earlier cover; they may overlap."""
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, doc_id, text): ``doc`` orders the documents, a null id first, and is the id where every id has one text.
+
+    Else it numbers the different (id, text), those of one id by their text's hash, over range partitions.
+    """
+    rows = documents(docs, id_col, text_col)
+    h = F.xxhash64("text").alias("h")
+    many = cut_lineage(rows.select("doc_id", h).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi"))
+    if many.isEmpty():
+        return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "doc_id", "text")
+    order = cut_lineage(rows.select("doc_id", h).distinct().repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+                        .withColumn("doc", F.monotonically_increasing_id()))
+    order = order.withColumnsRenamed({"doc_id": "of", "h": "oh"})
+    return (rows.withColumn("h", h).join(order, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("oh")))
+            .select("doc", "doc_id", "text"))
+
+
+def repeated_spans(source: DataFrame, size: int = 100) -> DataFrame:
+    """(doc, start, stop): byte stretches of (doc, text) that ``size``-byte strings starting earlier cover; they may overlap."""
     if not 2 * GRAM <= size <= 255:
         raise ValueError(f"size must be between {2 * GRAM} and 255")
-    source = documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
+    source = source.select("doc", "text")
     named = source.mapInArrow(_context_rows(size), ROWS)
     # ready rows need no partner, so they are spread by place, not gathered under their key
     part = F.when(F.col("kind") == 1, F.xxhash64("doc", "loc")).otherwise(F.col("key"))
@@ -486,7 +503,7 @@ def _keep():
                         digest.update(raw[at:s])
                         at = e
                     digest.update(raw[at:])
-                    rows.append((None if doc == NO_ID else doc, len(raw), sum(e - s for s, e in merged), len(merged),
+                    rows.append((doc, len(raw), sum(e - s for s, e in merged), len(merged),
                                  digest.hexdigest(), [{"start": s, "stop": e} for s, e in merged]))
                 yield _batch([[r[i] for r in rows] for i in range(len(schema))], schema)
 
@@ -498,11 +515,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     Earlier means a smaller id (a null id comes first) or, in the same text, an
     earlier start.  A null text is empty; texts shorter than ``size`` lose
-    nothing.  Rows that share an id count as one text and get what was found
-    for that id, cut to their length.
+    nothing.  Equal rows (same id, same text) are one document and get the same
+    result; different texts of one id, or of none, are documents of their own,
+    in the order of their hash.
     """
-    spans = (repeated_spans(docs, id_col, text_col, size).groupBy(F.col("doc").alias("of"))
-             .agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    source = documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    return (source.join(spans, F.col("doc") == F.col("of"), "left").select("doc", "text", "spans")
+    source = numbered(docs, id_col, text_col)
+    spans = repeated_spans(source, size).groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return (source.join(spans, F.col("doc") == F.col("of"), "left").select("doc_id", "text", "spans")
             .mapInArrow(_keep(), KEPT))

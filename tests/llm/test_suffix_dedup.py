@@ -99,6 +99,17 @@ def test_long_text_in_pieces(spark, monkeypatch):
     assert len(seen) == sum(len(r) - 99 for part in parts for _, _, r in part)
 
 
+def test_texts_of_one_id_are_judged_on_their_own(spark):
+    """Different texts of one id, or of none, are documents of their own; equal rows are one."""
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    copied, own, loose = word(300), word(430), word(250)
+    rows = [(1, copied), (7, word(50) + copied), (7, own), (9, own), (None, loose), (None, word(200)), (8, loose), (8, loose)]
+    got = B.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=100).collect()
+    lost = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in got)
+    assert lost == sorted([(0, 250, 0), (0, 200, 0), (1, 300, 0), (7, 350, 300), (7, 430, 0), (8, 250, 250), (8, 250, 250), (9, 430, 430)])
+
+
 def test_awkward_rows(spark):
     rows = awkward(spark)
     got = B.dedup(rows)
