@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlytics.functions.columns import broadcast_groups, ntz_text, rint_round
-from postlytics.functions.ranking import group_quantiles
+from postlytics.functions.ranking import MAP_QUANTILE_MAX_DISTINCT, group_quantiles
 from postlytics.operators.features import ER, TOTAL, Prepared
 
 # Calendar order used by the reports.
@@ -53,38 +53,38 @@ def numeric_columns(pre: Prepared) -> list[str]:
 def describe_numeric(pre: Prepared, k: float = 1.5, digits: int = 2) -> DataFrame:
     """A2: per numeric column count, mean, std, min, quartiles, max, IQR, bounds, outliers.
 
-    One unpivot to (column, value), one grouped aggregate for the moments and
-    quartiles, then a second pass against the (tiny, per-column) bounds for the
-    outlier counts.
+    One wide aggregate for the moments and quartiles of all columns, a second
+    one against its single row for the outlier counts; only that row is turned
+    into one row a column.  Columns of too many distinct values for a value
+    map get their quartiles from distributed ranks.
     """
     cols = numeric_columns(pre)
-    long = pre.df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "column_name", "value")
-    moments = long.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    stats = moments.join(group_quantiles(long, "column_name", "value", QUARTILES), "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min",
-        F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max",
-    ).withColumn("iqr", F.col("p75") - F.col("p25")) \
-     .withColumn("lower_bound", F.col("p25") - F.lit(k) * F.col("iqr")) \
-     .withColumn("upper_bound", F.col("p75") + F.lit(k) * F.col("iqr"))
-    # one row per numeric column: bounded by the schema, so broadcast
-    outl = long.join(F.broadcast(stats.select("column_name", "lower_bound", "upper_bound")), "column_name") \
-        .groupBy("column_name").agg(
-            F.count_if((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")))
-            .alias("outliers_count"))
-    out = stats.join(outl, "column_name", "left")
-    num = ["mean", "std", "min", "p25", "p50", "p75", "max", "iqr", "lower_bound", "upper_bound"]
-    return out.select(
-        "column_name", F.col("count").cast("double").alias("count"),
-        *[rint_round(F.col(c), digits).alias(c) for c in num],
-        F.coalesce(F.col("outliers_count"), F.lit(0)).cast("bigint").alias("outliers_count"),
-    )
+    wide = pre.df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    names = wide.columns
+    distinct = wide.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in names]).first() if cols else ()
+    small = [c for c, n in zip(names, distinct) if n <= MAP_QUANTILE_MAX_DISTINCT]
+    probs = F.array(*[F.lit(p) for p in QUARTILES])
+    row = wide.agg(*[F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
+                              F.max(c).alias("max")).alias(c) for c in names],
+                   *[F.percentile(c, probs).alias(f"{c}_q") for c in small])
+    for c in names:
+        if c not in small:
+            row = row.crossJoin(F.broadcast(group_quantiles(wide, None, c, QUARTILES, "rank").withColumnRenamed("q", f"{c}_q")))
+    bounds = []
+    for c in names:
+        q = F.col(f"{c}_q")
+        bounds += [(q[0] - F.lit(k) * (q[2] - q[0])).alias(f"{c}_lo"), (q[2] + F.lit(k) * (q[2] - q[0])).alias(f"{c}_hi")]
+    row = row.select("*", *bounds)
+    out = wide.crossJoin(F.broadcast(row.select(*[f"{c}_{e}" for c in names for e in ("lo", "hi")]))).agg(
+        *[F.count_if((F.col(c) < F.col(f"{c}_lo")) | (F.col(c) > F.col(f"{c}_hi"))).alias(f"{c}_out") for c in names])
+    one = lambda i, c: F.struct(
+        F.lit(cols[i]).alias("column_name"), F.col(c)["count"].cast("double").alias("count"),
+        *[rint_round(v, digits).alias(n) for n, v in (
+            ("mean", F.col(c)["mean"]), ("std", F.col(c)["std"]), ("min", F.col(c)["min"]), ("p25", F.col(f"{c}_q")[0]),
+            ("p50", F.col(f"{c}_q")[1]), ("p75", F.col(f"{c}_q")[2]), ("max", F.col(c)["max"]),
+            ("iqr", F.col(f"{c}_q")[2] - F.col(f"{c}_q")[0]), ("lower_bound", F.col(f"{c}_lo")), ("upper_bound", F.col(f"{c}_hi")))],
+        F.coalesce(F.col(f"{c}_out"), F.lit(0)).cast("bigint").alias("outliers_count"))
+    return row.crossJoin(out).select(F.inline(F.array(*[one(i, c) for i, c in enumerate(names)])))
 
 
 def er_stats(pre: Prepared, digits: int = 2) -> DataFrame:
@@ -419,9 +419,9 @@ def trend_line_ci(pre: Prepared, x: str | None = None, points: int = 100, level:
         F.count(F.lit(1)).alias("n"), F.avg(xc).alias("mx"), F.avg(y).alias("my"),
         F.var_pop(xc).alias("vx"), F.regr_slope(y, xc).alias("b"), F.regr_intercept(y, xc).alias("a"),
         F.min(xc).alias("x_lo"), F.max(xc).alias("x_hi"),
-        F.sum(y * y).alias("syy"), F.sum(xc * y).alias("sxy"), F.sum(y).alias("sy"),
+        F.regr_syy(y, xc).alias("syy"), F.regr_sxy(y, xc).alias("sxy"),
     )
-    sse = F.col("syy") - F.col("a") * F.col("sy") - F.col("b") * F.col("sxy")
+    sse = F.col("syy") - F.col("b") * F.col("sxy")  # centred sums: nothing cancels at large n
     st = st.withColumn("s2", F.greatest(sse, F.lit(0.0)) / (F.col("n") - 2)) \
         .withColumn("sxx", F.col("vx") * F.col("n")) \
         .withColumn("tq", t_ppf(F.lit(1 - (1 - level) / 2), F.col("n") - 2))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlytics.functions.columns import broadcast_groups, rint_round
@@ -301,6 +301,14 @@ def shapiro_by(pre: Prepared, group: str | None = None, alpha: float = ALPHA) ->
         "grp", "n", rint_round(F.col("W"), 4).alias("W"), rint_round(F.col("p"), 4).alias("p_value"), "normal")
 
 
+def _not_run(spark: SparkSession, why: str, alpha: float) -> DataFrame:
+    """The row of ``duration_test`` where its columns are missing."""
+    schema = ("error string, test_used string, total_reels_analyzed bigint, group_counts string, group_means string, best_duration_group string, "
+              "normality_passed boolean, equal_variance_p double, statistic double, p_value double, alpha double, reject_h0 boolean, "
+              "effect_size_eta2 double, conclusion string, agency_recommendation string")
+    return spark.createDataFrame([(why, None, 0, *[None] * 7, float(alpha), *[None] * 4)], schema)
+
+
 def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: float = 90.0,
                   lo_inclusive: bool = False, min_reels: int = 15, min_group: int = 3,
                   t_test: str = "levene") -> DataFrame:
@@ -311,6 +319,10 @@ def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: floa
     requirement is not met the row carries ``error``.
     """
     d = duration_column(pre)
+    missing = [what for what, col in (("duration", d), ("content type", pre.roles.type), ("engagement rate", ER if ER in pre.df.columns else None))
+               if not col]
+    if missing:
+        return _not_run(pre.df.sparkSession, f"No {' and no '.join(missing)} column: the test can't be run.", alpha)
     # the labelled reels feed a dozen one-row branches: cut the lineage once
     reels = cut_lineage(duration_rows(pre, lo, hi, lo_inclusive).select(d, ER))
     t = cut_lineage(with_terciles(reels, d).where(F.col("duration_group").isNotNull()))
@@ -392,14 +404,17 @@ def _pstr(p: Column) -> Column:
 
 
 def test_summary(pre: Prepared, alpha: float = ALPHA) -> DataFrame:
-    """H12 + H10: every test as one row with its own decision (D7) and a sentence."""
-    a = anova_by(pre, alpha=alpha).select(
+    """H12 + H10: every test as one row with its own decision (D7) and a sentence.
+
+    H3: a test whose requirements aren't met has its row as well, with the reason as its sentence and no decision.
+    """
+    a = None if not pre.roles.type else anova_by(pre, alpha=alpha).select(
         F.lit("content_type").alias("test_name"), "test", "statistic", "p_value", "reject_h0",
         "effect_size", "effect_label",
         F.concat(F.lit("Rates by content type "), F.when(F.col("reject_h0"), "differ").otherwise("don't differ clearly"),
                  F.lit(": p "), _pstr(F.col("p_value")), F.lit(", effect "),
                  F.col("effect_label"), F.lit(", highest mean "), F.col("best_group"), F.lit(".")).alias("interpretation"))
-    w = weekend_test(pre, alpha=alpha).select(
+    w = None if not pre.has_calendar else weekend_test(pre, alpha=alpha).select(
         F.lit("weekend").alias("test_name"), "test", "statistic", "p_value", "reject_h0",
         "effect_size", "effect_label",
         F.concat(F.col("better_period"), F.lit(" has the higher mean rate, "),
@@ -408,13 +423,27 @@ def test_summary(pre: Prepared, alpha: float = ALPHA) -> DataFrame:
                  F.lit(", weekday "), F.format_string("%.2f", F.col("weekday_avg")),
                  F.lit(", weekend "), F.format_string("%.2f", F.col("weekend_avg")), F.lit(".")
                  ).alias("interpretation"))
-    d = duration_test(pre, alpha=alpha).where(F.col("error").isNull()).select(
-        F.lit("reel_duration").alias("test_name"), F.col("test_used").alias("test"), "statistic", "p_value",
-        "reject_h0", rint_round(F.col("effect_size_eta2"), 4).alias("effect_size"),
-        effect_label(F.col("effect_size_eta2")).alias("effect_label"), F.col("conclusion").alias("interpretation"))
-    rows = a.unionByName(w).unionByName(d)
-    return rows.withColumn("decision", F.when(F.col("reject_h0"), "reject H0").otherwise("do not reject H0")) \
-        .withColumn("action", F.when(F.col("reject_h0"),
+    ran = F.col("error").isNull()
+    shown = lambda c: F.when(ran, c)
+    d = duration_test(pre, alpha=alpha).select(
+        F.lit("reel_duration").alias("test_name"), shown(F.col("test_used")).alias("test"),
+        *[shown(F.col(c)).alias(c) for c in ("statistic", "p_value", "reject_h0")],
+        shown(rint_round(F.col("effect_size_eta2"), 4)).alias("effect_size"),
+        shown(effect_label(F.col("effect_size_eta2"))).alias("effect_label"),
+        F.coalesce("error", "conclusion").alias("interpretation"))
+    tests = [("content_type", a, "No two content types with enough rated posts: the test can't be run."),
+             ("weekend", w, "Weekend or weekday has too few rated posts: the test can't be run."), ("reel_duration", d, "")]
+    rows = None
+    for name, found, why in tests:
+        slot = pre.df.sparkSession.createDataFrame([(name, why)], "test_name string, why string")
+        found = d.where("false") if found is None else found
+        one = slot.join(found.withColumn("found", F.lit(True)), "test_name", "left").withColumn(
+            "interpretation", F.when(F.col("found"), F.col("interpretation")).otherwise(F.col("why"))).drop("found", "why")
+        rows = one if rows is None else rows.unionByName(one)
+    none = F.col("reject_h0").isNull()
+    return rows.withColumn("decision", F.when(none, "not run").when(F.col("reject_h0"), "reject H0").otherwise("do not reject H0")) \
+        .withColumn("action", F.when(none, F.concat(F.lit("No answer on "), F.col("test_name"), F.lit(": more data is needed.")))
+                    .when(F.col("reject_h0"),
                                      F.concat(F.lit("Act on "), F.col("test_name"), F.lit(": the difference is real.")))
                     .otherwise(F.concat(F.lit("No action on "), F.col("test_name"),
                                         F.lit(": the difference may be chance."))))

@@ -177,6 +177,8 @@ _MODELS: dict[tuple, object] = {}
 def _once(spark: SparkSession, sf_dir: str, what: tuple, make: Callable[[], object]):
     key = (*table_version(spark, sf_dir), *what)
     if key not in _MODELS:
+        while len(_MODELS) >= 24:  # the oldest go: a long session over many tables keeps a bounded number
+            _MODELS.pop(next(iter(_MODELS)))
         _MODELS[key] = make()
     return _MODELS[key]
 
