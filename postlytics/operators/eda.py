@@ -61,8 +61,10 @@ def describe_numeric(pre: Prepared, k: float = 1.5, digits: int = 2) -> DataFram
     cols = numeric_columns(pre)
     wide = pre.df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     names = wide.columns
-    distinct = wide.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in names]).first() if cols else ()
-    small = [c for c, n in zip(names, distinct) if n <= MAP_QUANTILE_MAX_DISTINCT]
+    small = names  # no column has more distinct values than there are rows
+    if wide.count() > MAP_QUANTILE_MAX_DISTINCT:
+        distinct = wide.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in names]).first()
+        small = [c for c, n in zip(names, distinct) if n <= MAP_QUANTILE_MAX_DISTINCT]
     probs = F.array(*[F.lit(p) for p in QUARTILES])
     row = wide.agg(*[F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
                               F.max(c).alias("max")).alias(c) for c in names],
@@ -84,7 +86,7 @@ def describe_numeric(pre: Prepared, k: float = 1.5, digits: int = 2) -> DataFram
             ("p50", F.col(f"{c}_q")[1]), ("p75", F.col(f"{c}_q")[2]), ("max", F.col(c)["max"]),
             ("iqr", F.col(f"{c}_q")[2] - F.col(f"{c}_q")[0]), ("lower_bound", F.col(f"{c}_lo")), ("upper_bound", F.col(f"{c}_hi")))],
         F.coalesce(F.col(f"{c}_out"), F.lit(0)).cast("bigint").alias("outliers_count"))
-    return row.crossJoin(out).select(F.inline(F.array(*[one(i, c) for i, c in enumerate(names)])))
+    return row.crossJoin(F.broadcast(out)).select(F.inline(F.array(*[one(i, c) for i, c in enumerate(names)])))
 
 
 def er_stats(pre: Prepared, digits: int = 2) -> DataFrame:
