@@ -29,7 +29,7 @@ def _canon(cols, rows):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ["events"]:
+    for t in ["events", "documents", "labels", "benchmark"]:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return c
 
