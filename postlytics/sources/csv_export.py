@@ -1,11 +1,14 @@
 """Messy CSV exports -> typed DataFrame.
 
 1. One job over the text of all files finds, for every file, whether all of
-   it is valid UTF-8 and its first records; one small row a file reaches the
-   driver, as it does in Spark's own file index.
-2. Files of one encoding and header are parsed by one CSV scan (``multiLine``
-   because captions may hold line breaks) and all of them are staged as one
-   Parquet table in the shared folder, which also gives every record its id.
+   it is valid UTF-8 and its first records, and for every split of a file
+   whether it ends inside quotes, for either way of being entered; one small
+   row a file reaches the driver, as it does in Spark's own file index.
+2. An ordered prefix over the splits of a file gives each split's true entry
+   state.  Then every task joins the lines of its split to records (captions
+   may hold line breaks); the pieces of a record that crosses splits are put
+   together by its first split.  All records are staged as one Parquet table
+   in the shared folder, which also gives every record its id.
 3. Each header group's types (number or not, which date format) come from one
    aggregate over its staged columns; the conversion is a single ``select``.
 """
@@ -17,7 +20,7 @@ import io
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +32,7 @@ from postlytics.operators.roles import (
     dedupe_names,
     detect_content_type,
 )
-from postlytics.session import checkpoint_dir
+from postlytics.session import checkpoint_dir, cut_lineage
 
 # The text cells pandas reads as missing by default.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -74,6 +77,8 @@ class FileHead:
     path: str
     encoding: str
     header: tuple[str, ...]
+    cr_only: bool = False  # lines end in a lone carriage return: such a file can't be split
+    crossing: bool = False  # some record goes on behind its split
 
 
 def find_header_row(records: list[list[str]], candidates: int = HEADER_CANDIDATES) -> int:
@@ -90,20 +95,115 @@ def _records(lines: list[bytes], encoding: str) -> list[list[str]]:
     return [r for r in csv.reader(io.StringIO(text)) if any(x.strip() for x in r)][:SAMPLE_RECORDS]
 
 
-def _head_rows(batches):
-    """One row for each stretch of a file in this task: its place, whether all lines are UTF-8, the first lines if it begins the file."""
+# What a line does to the state "inside quotes", as the CSV parser sees it: a quote opens a field only where the field begins,
+# a doubled quote is text, and what follows a closing quote belongs to the field up to the comma.
+_QUOTED = r'(?:[^"]++|"")*+'
+_FIELDS = rf'(?:(?:"{_QUOTED}"[^,]*+|[^",][^,]*+|),)*+'
+OPENS = rf'\A{_FIELDS}"{_QUOTED}\z'
+STAYS = rf'\A{_QUOTED}(?:\z|"[^,]*+,{_FIELDS}"{_QUOTED}\z)'
+
+
+def line_flow(line: Column) -> tuple[Column, Column]:
+    """Is the end of a line inside quotes, if it is entered outside (first) or inside (second) of them?"""
+    quote = F.contains(line, F.lit('"'))
+    return quote & line.rlike(OPENS), ~quote | line.rlike(STAYS)
+
+
+def flow_states(opens, stays, entry: int):
+    """State after each of a run of lines, from the state before the first: the last line that decides the state whatever
+    it was before, turned by the lines since then that swap both states."""
+    import numpy as np
+
+    fixed, swaps = opens == stays, np.cumsum(opens & ~stays)
+    last = np.maximum.accumulate(np.where(fixed, np.arange(len(opens)), -1))
+    base = np.where(last >= 0, opens[last], entry)
+    return (base + swaps - np.where(last >= 0, swaps[last], 0)) & 1
+
+
+def _runs(*keys):
+    """(from, to) of the stretches of equal neighbours."""
+    import numpy as np
+
+    n = len(keys[0])
+    change = np.zeros(max(n - 1, 0), bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    cuts = [0, *(np.flatnonzero(change) + 1).tolist(), n]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def _lines(spark: SparkSession, files: str | list[str], glob: str | None = None) -> DataFrame:
+    """Every line of the files with its split and its flow; a carriage return before the line feed is still there."""
+    reader = spark.read.option("lineSep", "\n")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    opens, stays = line_flow(F.col("value"))
+    return reader.text(files).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_block_length").alias("length"), "value", opens.alias("opens"), stays.alias("stays"))
+
+
+def _split_rows(batches):
+    """One row for each split in this task: are all lines UTF-8, its exit states for both entry states, the first lines if it
+    begins the file, and whether those end in lone carriage returns."""
+    import numpy as np
     import pyarrow as pa
 
-    schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("bad", pa.int32()), ("lines", pa.list_(pa.binary()))])
+    schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("bad", pa.int32()),
+                        ("from_out", pa.int32()), ("from_in", pa.int32()), ("cr_only", pa.int32()), ("lines", pa.list_(pa.binary()))])
     seen: dict[tuple, list] = {}
     for batch in batches:
-        for path, start, ok, line in zip(*(c.to_pylist() for c in batch.columns)):
-            at = seen.setdefault((path, start), [0, []])
-            at[0] |= int(not ok)
-            if start == 0 and len(at[1]) < SAMPLE_LINES:
-                at[1].append(line)
-    yield pa.RecordBatch.from_pylist([{"path": p, "start": s, "bad": bad, "lines": lines} for (p, s), (bad, lines) in seen.items()],
-                                     schema=schema)
+        path, starts, lengths = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        ok, line = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4)
+        opens, stays = (batch.column(i).to_numpy(zero_copy_only=False) for i in (5, 6))
+        names = path.dictionary_encode().indices.to_numpy()
+        for a, b in _runs(names, starts):
+            key = (path[a].as_py(), int(starts[a]), int(lengths[a]))
+            at = seen.setdefault(key, [0, 0, 1, 0, []])
+            at[0] |= int(not np.all(ok[a:b]))
+            at[1], at[2] = (int(flow_states(opens[a:b], stays[a:b], e)[-1]) for e in at[1:3])
+            if key[1] == 0 and len(at[4]) < SAMPLE_LINES:
+                for text in line.slice(a, min(b - a, SAMPLE_LINES - len(at[4]))).to_pylist():
+                    parts = text.removesuffix(b"\r").split(b"\r")
+                    at[3] |= int(len(parts) > 1 and parts[0].count(b'"') % 2 == 0)
+                    at[4] += parts[:SAMPLE_LINES]
+    yield pa.RecordBatch.from_pylist(
+        [{"path": k[0], "start": k[1], "length": k[2], "bad": v[0], "from_out": v[1], "from_in": v[2], "cr_only": v[3],
+          "lines": v[4][:SAMPLE_LINES]} for k, v in seen.items()], schema=schema)
+
+
+def entry_states(splits: DataFrame) -> DataFrame:
+    """Adds ``inside``: is a split entered inside quotes?  A prefix over the splits of a file, by the rule of ``flow_states``."""
+    of_file = Window.partitionBy("path").orderBy("start")
+    before = of_file.rowsBetween(Window.unboundedPreceding, -1)
+    swap = ((F.col("from_out") == 1) & (F.col("from_in") == 0)).cast("long")
+    s = splits.withColumn("swaps", F.sum(swap).over(of_file.rowsBetween(Window.unboundedPreceding, 0)))
+    fixed = F.when(F.col("from_out") == F.col("from_in"), F.struct("from_out", "swaps"))
+    s = s.withColumn("last", F.last(fixed, ignorenulls=True).over(before)).withColumn("turns", F.last("swaps").over(before))
+    entry = (F.coalesce(F.col("last.from_out"), F.lit(0)) + F.coalesce("turns", F.lit(0)) - F.coalesce(F.col("last.swaps"), F.lit(0))) % 2
+    return s.withColumn("inside", entry == 1).drop("last", "turns", "swaps")
+
+
+def scan_splits(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """A row a split of all files, from one job over their whole content."""
+    lines = _lines(spark, path, glob)
+    first = F.when(F.col("start") == 0, F.col("value").cast("binary"))  # only a file's first split can hold its header
+    found = lines.select("path", "start", "length", F.is_valid_utf8("value"), first, "opens", "stays").mapInArrow(
+        _split_rows, "path string, start long, length long, bad int, from_out int, from_in int, cr_only int, lines array<binary>")
+    return cut_lineage(entry_states(found).withColumn("split", F.xxhash64("path", "start")))
+
+
+def _heads(splits: DataFrame) -> list[FileHead]:
+    """A row a file from its splits' rows."""
+    out = []
+    by_file = splits.groupBy("path").agg(F.max("bad").alias("bad"), F.max("cr_only").alias("cr_only"),
+                                         F.max("inside").alias("crossing"), F.max_by("lines", -F.col("start")).alias("lines"))
+    for r in sorted(by_file.collect(), key=lambda r: r["path"]):  # a row a file
+        encoding = "ISO-8859-1" if r["bad"] else "UTF-8"
+        records = _records([bytes(x) for x in r["lines"]], encoding)
+        if records:
+            out.append(FileHead(r["path"], encoding, tuple(records[find_header_row(records)]), bool(r["cr_only"]), r["crossing"]))
+    return out
 
 
 def scan_heads(spark: SparkSession, path: str, glob: str = "*.csv") -> list[FileHead]:
@@ -112,18 +212,7 @@ def scan_heads(spark: SparkSession, path: str, glob: str = "*.csv") -> list[File
     UTF-8 (a byte order mark is cut) if every line of the file is, else
     Latin-1, which decodes any byte.  A file without any record is left out.
     """
-    text = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
-    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-                       F.is_valid_utf8("value").alias("ok"), F.col("value").cast("binary").alias("line"))
-    heads = (rows.mapInArrow(_head_rows, "path string, start long, bad int, lines array<binary>")
-             .groupBy("path").agg(F.max("bad").alias("bad"), F.max_by("lines", -F.col("start")).alias("lines")))
-    out = []
-    for r in heads.orderBy("path").collect():  # a row a file
-        encoding = "ISO-8859-1" if r["bad"] else "UTF-8"
-        records = _records([bytes(x) for x in r["lines"]], encoding)
-        if records:
-            out.append(FileHead(r["path"], encoding, tuple(records[find_header_row(records)])))
-    return out
+    return _heads(scan_splits(spark, path, glob))
 
 
 # ------------------------------------------------------------------ S1 / S5 / S6
@@ -133,30 +222,112 @@ def _too_long(raw: Column, width: int) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= width
 
 
-def _parsed(spark: SparkSession, files: list[str], encoding: str, header: tuple[str, ...], multi_line: bool) -> DataFrame:
-    """S1 + S5: the records of all files of one encoding and header, as text, over-long ones dropped, short ones filled
-    with nulls; records before the header are still there."""
-    names = [f"_c{i}" for i in range(len(header))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_raw"]])
-    df = (spark.read.schema(schema).option("header", False).option("multiLine", multi_line).option("escape", '"')
-          .option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw")
-          .csv(files).withColumn("_file", F.col("_metadata.file_path")))
+def _join_lines(batches):
+    """Lines of a task's splits -> records (kind 0), a record that goes on behind the split (1), the rest of one begun before (2)."""
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("split", pa.int64()), ("kind", pa.int32()), ("line", pa.binary())])
+
+    def out(split, kinds, lines):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(lines), split), pa.int64()), pa.array(kinds, pa.int32()),
+                                           lines if isinstance(lines, pa.Array) else pa.array(lines, pa.binary())], schema=schema)
+
+    split, state, open_lines, began = None, 0, [], False
+    for batch in batches:
+        ids, inside, line = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+        opens, stays = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+        for a, b in _runs(ids):
+            if ids[a] != split:
+                if open_lines:
+                    yield out(split, [1 if began else 2], [b"\n".join(open_lines)])
+                split, state, open_lines, began = int(ids[a]), int(inside[a]), [], False
+            states = flow_states(opens[a:b], stays[a:b], state)
+            if state == 0 and not states.any():
+                yield out(split, np.zeros(b - a, np.int32), line.slice(a, b - a))
+                continue
+            kinds, lines = [], []
+            for text, after in zip(line.slice(a, b - a).to_pylist(), states.tolist()):
+                if not open_lines:
+                    began = state == 0
+                open_lines.append(text)
+                if not after:
+                    kinds.append(0 if began else 2)
+                    lines.append(b"\n".join(open_lines))
+                    open_lines = []
+                state = after
+            if lines:
+                yield out(split, kinds, lines)
+    if open_lines:
+        yield out(split, [1 if began else 2], [b"\n".join(open_lines)])
+
+
+#: How records are read, whichever way they are cut out of the files.
+_CSV = {"header": "false", "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"}
+
+
+def _fields(width: int) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*[f"_c{i}" for i in range(width)], "_raw"]])
+
+
+def _split_records(spark: SparkSession, files: list[str], encoding: str, splits: DataFrame) -> DataFrame:
+    """The records of files in splits, as text, with the pieces of those that cross splits (``_kind`` 1 and 2)."""
+    changed = F.raise_error(F.lit("the files' splits changed between two scans: set spark.sql.files.minPartitionNum")).cast("boolean")
+    # a row a split: a path, three numbers
+    lines = _lines(spark, files).join(F.broadcast(splits), ["path", "start", "length"], "left").select(
+        F.coalesce("split", F.lit(0)).alias("split"), F.coalesce("inside", changed).alias("inside"),
+        F.col("value").cast("binary").alias("line"), "opens", "stays")
+    records = lines.mapInArrow(_join_lines, "split long, kind int, line binary")
+    text = F.col("line").cast("string") if encoding == "UTF-8" else F.decode("line", encoding)
+    named = splits.select("split", F.col("path").alias("_file"), F.col("start").alias("_task"))
+    return records.join(F.broadcast(named), "split").select("_file", "_task", F.col("kind").alias("_kind"), text.alias("_text"))
+
+
+def _parse_text(records: DataFrame, header: tuple[str, ...]) -> DataFrame:
+    """Records in ``_text`` -> their fields; an empty line is no record."""
+    bare = F.when(F.coalesce(F.col("_kind") == 0, F.lit(True)), F.regexp_replace("_text", r"\r\z", "")).otherwise(F.col("_text"))
+    df = records.withColumn("_text", bare).where(F.col("_text") != "")
+    csv_ = F.from_csv(F.when(F.col("_kind") == 0, F.col("_text")), _fields(len(header)).simpleString()[7:-1].replace(":", " "),
+                      {**_CSV, "multiLine": "true"})
+    df = df.withColumn("_r", csv_).select("*", "_r.*").drop("_r").withColumn("_text", F.when(F.col("_kind") != 0, F.col("_text")))
+    return _checked(df, header)
+
+
+def _checked(df: DataFrame, header: tuple[str, ...]) -> DataFrame:
+    """S5 on parsed records: over-long ones go; marks the header."""
     df = df.where(F.col("_raw").isNull() | ~_too_long(F.col("_raw"), len(header))).drop("_raw")
     df = df.withColumn("_c0", F.regexp_replace(F.col("_c0"), "^\ufeff", ""))
     is_header = F.lit(True)
-    for c, text in zip(names, header):
-        is_header = is_header & (F.coalesce(F.col(c), F.lit("")) == F.lit(text))
+    for i, text in enumerate(header):
+        is_header = is_header & (F.coalesce(F.col(f"_c{i}"), F.lit("")) == F.lit(text))
     return df.withColumn("_is_header", is_header)
 
 
+def _parsed(spark: SparkSession, files: list[str], encoding: str, header: tuple[str, ...], multi_line: bool) -> DataFrame:
+    """S1 + S5: the records of all files of one encoding and header, as text, over-long ones dropped, short ones filled
+    with nulls; records before the header are still there."""
+    df = (spark.read.schema(_fields(len(header))).options(**_CSV).option("multiLine", multi_line).option("encoding", encoding)
+          .csv(files).withColumn("_file", F.col("_metadata.file_path")).withColumn("_task", F.col("_metadata.file_block_start")))
+    return _checked(df, header).withColumns({"_kind": F.lit(0), "_text": F.lit(None).cast("string")})
+
+
+def _put_together(pieces: DataFrame, header: tuple[str, ...]) -> DataFrame:
+    """Records that cross splits: the piece that begins one and the rests up to the next beginning, in order of their splits."""
+    order = Window.partitionBy("_file").orderBy("_task", F.desc("_kind"))
+    record = pieces.withColumn("__n", F.sum((F.col("_kind") == 1).cast("int")).over(order)).groupBy("_file", "__n").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_task", "_text"))), lambda x: x["_text"]), "\n").alias("_text"),
+        F.min_by("_row_id", "_task").alias("_row_id"), F.min("_task").alias("_task"), F.lit(0).alias("_kind"))
+    return _parse_text(record.drop("__n"), header)
+
+
 def _after_header(df: DataFrame, files: int) -> DataFrame:
-    """The records after each file's header.  What comes before it can only be in the header's task (a file's first
-    part); a file whose header isn't found again keeps all its records."""
-    starts = df.where("_is_header").groupBy("_file").agg(F.min_by("_task", "_row_id").alias("__t"), F.min("_row_id").alias("__h"))
+    """The records after each file's header, by split (``_task``) and place; a file whose header isn't found again keeps
+    all its records."""
+    starts = df.where("_is_header").groupBy("_file").agg(F.min(F.struct("_task", "_row_id")).alias("__h"))
     if files <= MAX_BROADCAST_FILES:  # one row a file at most
         starts = F.broadcast(starts)
-    keep = F.col("__h").isNull() | (F.col("_task") != F.col("__t")) | (F.col("_row_id") > F.col("__h"))
-    return df.join(starts, "_file", "left").where(keep).drop("__h", "__t", "_task", "_is_header", "_file")
+    keep = F.col("__h").isNull() | (F.struct("_task", "_row_id") > F.col("__h"))
+    return df.join(starts, "_file", "left").where(keep).drop("__h", "_task", "_is_header", "_file")
 
 
 MAX_BROADCAST_FILES = 100_000
@@ -298,33 +469,47 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 
 
 def read_export(spark: SparkSession, path: str, min_numeric_ratio: float = 0.6, glob: str = "*.csv",
-                multi_line: bool = True) -> DataFrame:
+                multi_line: bool | str = True) -> DataFrame:
     """One or many exports -> one typed table with ``_row_id`` (unique; record order within a file).
 
     Types are decided per header group; groups are stacked by column name.
-    ``multi_line=False`` splits large files over many tasks; use it only for
-    exports without line breaks inside quoted fields.  A row of a file's head
-    is all the driver holds of it.
+    Large files are read by many tasks, line breaks inside quoted fields or
+    not.  ``multi_line="file"`` reads each file in one task by Spark's own
+    multi-line parser (always done for files whose lines end in lone carriage
+    returns); ``multi_line=False`` takes every line as a record.  A row of a
+    file's head is all the driver holds of it.  A quote that opens a field and
+    is never closed makes the rest of its file one field, as in any CSV parser.
     """
-    heads = scan_heads(spark, path, glob)
+    splits = scan_splits(spark, path, glob)
+    heads = _heads(splits)
     if not heads:
         raise FileNotFoundError(f"no {glob} files with records under {path}")
-    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    groups: dict[tuple, list[str]] = {}
     for h in heads:
-        groups.setdefault((h.encoding, h.header), []).append(h.path)
+        groups.setdefault((h.encoding, h.header, multi_line is True and not h.cr_only), []).append(h.path)
+    crossing = any(h.crossing for h in heads)
+    entered = splits.select("path", "start", "length", "inside", "split")
     staged = None
-    for i, ((encoding, header), files) in enumerate(groups.items()):
-        part = _parsed(spark, files, encoding, header, multi_line).withColumn("_group", F.lit(i))
+    for i, ((encoding, header, by_split), files) in enumerate(groups.items()):
+        if by_split:
+            part = _parse_text(_split_records(spark, files, encoding, entered), header)
+        else:
+            part = _parsed(spark, files, encoding, header, bool(multi_line))
+        part = part.withColumn("_group", F.lit(i))
         staged = part if staged is None else staged.unionByName(part, allowMissingColumns=True)
     base = f"{checkpoint_dir(spark).rstrip('/')}/staged/{uuid.uuid4().hex}"
-    (staged.withColumn("_row_id", F.monotonically_increasing_id()).withColumn("_task", F.spark_partition_id())
-     .write.partitionBy("_group").parquet(base))
-    table = spark.read.parquet(base)
+    staged = staged.withColumn("_row_id", F.monotonically_increasing_id())
+    staged.write.partitionBy("_group", "_kind").parquet(base)
+    table = spark.read.schema(staged.schema).parquet(base)
     parts = []
-    for i, ((_, header), files) in enumerate(groups.items()):
-        own = [f"_c{k}" for k in range(len(header))]
-        rows = _after_header(table.where(F.col("_group") == i).select(*own, "_file", "_task", "_is_header", "_row_id"), len(files))
-        named = _name_columns(rows, list(header))
+    for i, ((_, header, by_split), files) in enumerate(groups.items()):
+        own = [*[f"_c{k}" for k in range(len(header))], "_file", "_task", "_is_header", "_row_id"]
+        mine = table.where(F.col("_group") == i)
+        records = mine.where(F.col("_kind") == 0).select(*own)
+        if by_split and crossing:
+            pieces = mine.where(F.col("_kind") != 0).select("_file", "_task", "_kind", "_text", "_row_id")
+            records = records.unionByName(_put_together(pieces, header).select(*own))
+        named = _name_columns(_after_header(records, len(files)), list(header))
         raw = null_tokens(named, [c for c in named.columns if c != "_row_id"])
         parts.append(drop_empty_rows(type_columns(clean_ids(raw), min_numeric_ratio)))
     return _stack(parts)

@@ -1,12 +1,16 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from csv_cases import write_cases
 from postlytics.operators.roles import dedupe_names, clean_names, resolve_roles
-from postlytics.sources.csv_export import content_type_of, read_export
+from postlytics.sources.csv_export import content_type_of, flow_states, read_export, scan_splits
 
 
 @pytest.fixture(scope="module")
@@ -208,3 +212,68 @@ def test_sinks_write_what_they_show(spark, pre_small, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "summary")).count() == eda.describe_numeric(pre_small).count()
     assert spark.read.option("header", True).csv(str(tmp_path / "top")).count() == 10
     assert spark.read.json(str(tmp_path / "json")).count() == 20
+
+
+# ------------------------------------------------------------------ records with line breaks over many splits
+@pytest.fixture
+def small_splits(spark):
+    conf = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def _wild_export(seed, rows, ends):
+    """Captions with line breaks, doubled quotes, commas, quotes inside plain fields and behind closing quotes, some over several splits."""
+    rng = random.Random(seed)
+    out = ["post_id,caption,likes"]
+    for i in range(rows):
+        kind = rng.randrange(9)
+        long = " ".join(rng.choice(["sun", "café", "\n", "a,b", '""', "sea\n\nside"]) for _ in range(rng.choice([2, 5, 60])))
+        caption = [f'"{long}"', "plain", 'the 5" lens', f'"{long}" after', "", '""', '"one\ntwo"', '"a ""b"" c"', '"x"y"z'][kind]
+        out.append(f"{i},{caption},{i % 7}" + (",extra" if rng.random() < 0.03 else ""))
+        if rng.random() < 0.05:
+            out.append("")
+    return ends.join(out) + rng.choice(["", ends])
+
+
+@pytest.mark.parametrize("seed,encoding,ends", [(1, "utf-8", "\n"), (2, "utf-8", "\r\n"), (3, "latin-1", "\n")])
+def test_many_splits_equal_one_task(spark, tmp_path, small_splits, seed, encoding, ends):
+    (tmp_path / "a.csv").write_bytes(_wild_export(seed, 120, ends).encode(encoding))
+    (tmp_path / "b.csv").write_bytes(_wild_export(seed + 50, 30, ends).encode(encoding))
+    entered = scan_splits(spark, str(tmp_path))
+    assert entered.count() > 30 and entered.where("inside").count() > 5
+    by_split = read_export(spark, str(tmp_path))
+    in_one = read_export(spark, str(tmp_path), multi_line="file")
+    assert by_split.dtypes == in_one.dtypes
+    assert sorted(map(repr, rows(by_split))) == sorted(map(repr, rows(in_one)))
+
+
+def test_split_ids_follow_the_file(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_bytes(b"post_id,caption\n" + b"".join(b'%d,"a\n%s"\n' % (i, b"b" * (i * 7 % 300)) for i in range(60)))
+    assert [int(r[0]) for r in rows(read_export(spark, str(tmp_path)))] == list(range(60))
+
+
+def test_splits_are_read_by_many_tasks(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_bytes(b"post_id,caption\n" + b"".join(b'%d,"a\nb"\n' % i for i in range(200)))
+    splits = scan_splits(spark, str(tmp_path))
+    assert splits.count() == splits.select("start").distinct().count() > 10
+
+
+def test_carriage_returns_alone(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'post_id,caption,likes\r1,"x, y",5\r2,z,6\r')
+    assert rows(read_export(spark, str(tmp_path))) == [("1", "x, y", 5.0), ("2", "z", 6.0)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.booleans()), min_size=1, max_size=12), st.booleans())
+def test_flow_states(flows, entry):
+    state, want = entry, []
+    for opens, stays in flows:
+        state = stays if state else opens
+        want.append(int(state))
+    got = flow_states(np.array([f[0] for f in flows]), np.array([f[1] for f in flows]), int(entry))
+    assert got.tolist() == want
