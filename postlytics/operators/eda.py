@@ -3,9 +3,8 @@
 Every operator takes a ``Prepared`` table and returns a lazy DataFrame.
 Group-bys are single-key hash aggregates with map-side partial aggregation,
 so a hot group (a third of all posts on one weekday or one type) is reduced
-to one partial row per task before the shuffle.  Exact quantiles use
-``percentile`` whose state is a value->count map, bounded by the number of
-*distinct* 4-digit rates, not by the row count.
+to one partial row per task before the shuffle.  Exact quantiles come from
+counts over narrowing ranges (``functions.ranking``).
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ QUARTILES = [0.25, 0.5, 0.75]
 
 
 def er_quartiles(pre: Prepared) -> DataFrame:
-    """One row: exact quartiles of the engagement rate (size-checked strategy)."""
+    """One row: exact quartiles of the engagement rate."""
     return group_quantiles(pre.df, None, ER, QUARTILES)
 
 
@@ -56,7 +55,7 @@ def describe_numeric(pre: Prepared, k: float = 1.5, digits: int = 2) -> DataFram
     One wide aggregate for the moments and quartiles of all columns, a second
     one against its single row for the outlier counts; only that row is turned
     into one row a column.  Columns of too many distinct values for a value
-    map get their quartiles from distributed ranks.
+    map get their quartiles by range refinement.
     """
     cols = numeric_columns(pre)
     wide = pre.df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
@@ -71,7 +70,7 @@ def describe_numeric(pre: Prepared, k: float = 1.5, digits: int = 2) -> DataFram
                    *[F.percentile(c, probs).alias(f"{c}_q") for c in small])
     for c in names:
         if c not in small:
-            row = row.crossJoin(F.broadcast(group_quantiles(wide, None, c, QUARTILES, "rank").withColumnRenamed("q", f"{c}_q")))
+            row = row.crossJoin(F.broadcast(group_quantiles(wide, None, c, QUARTILES).withColumnRenamed("q", f"{c}_q")))
     bounds = []
     for c in names:
         q = F.col(f"{c}_q")

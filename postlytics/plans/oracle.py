@@ -447,6 +447,7 @@ def stats_sql_base() -> dict[str, str]:
         "mean_ci": _mean_ci(),
         "quantiles_by_map": _quantiles(),
         "quantiles_by_rank": _quantiles(),
+        "quantiles_by_refining": _quantiles(),
         "box_stats_by_duration": _box("duration_group", "lab", _tercile_ctes(_REELS)),
         "duration_terciles_notebook": _terciles_sql(_REELS_NOTEBOOK),
         "anova_content_type": qr(_moments("post_type") + _anova_tail("g") + f"""

@@ -84,6 +84,7 @@ EDA_QUERIES: dict[str, Query] = {
         replace(p, df=stats.with_terciles(stats.duration_rows(p), p.roles.duration)), "duration_group")),
     "quantiles_by_map": _on_pre(lambda p: _quantiles(p, "map")),
     "quantiles_by_rank": _on_pre(lambda p: _quantiles(p, "rank")),
+    "quantiles_by_refining": _on_pre(lambda p: _quantiles(p, "refine")),
     "column_defaults": _on_pre(eda.column_defaults),
     "distinct_types": _on_pre(eda.distinct_types),
     "top_posts": _on_pre(eda.top_posts),

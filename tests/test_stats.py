@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -140,6 +141,39 @@ def test_rank_quantiles_equal_map_quantiles(spark):
     assert one == pytest.approx(float(np.quantile([v for _, v in data], 0.5)), abs=1e-9)
 
 
+def test_refined_quantiles_equal_map_quantiles(spark):
+    from postlytics.functions.ranking import group_quantiles
+
+    rng = random.Random(3)
+    data = [("edges", x) for x in (float("inf"), 1.0, -float("inf"))] + [("tiny", x) for x in (5e-324, 1e-323, 0.0)] + [("one", 7.0)]
+    for i in range(3000):
+        data += [("zeros", rng.choice([0.0, -0.0, 1.5, round(rng.gauss(0, 50), 4)])), ("wide", rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300)),
+                 ("neighbours", 1.0 + i * 2.0 ** -52), ("few", float(i % 3)), (None, 1.0), ("nulls", None if i % 2 else -float(i))]
+    df = spark.createDataFrame(data, "g string, v double").repartition(8)
+    probs = [0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]
+    a = {r["g"]: r["q"] for r in group_quantiles(df, "g", "v", probs, method="map").collect()}
+    assert a == {r["g"]: r["q"] for r in group_quantiles(df, "g", "v", probs).collect()}
+    assert group_quantiles(df.where("g = 'wide'"), None, "v", probs).first()["q"] == a["wide"]
+    assert group_quantiles(df.where("false"), None, "v", probs).first()["q"] is None
+    assert group_quantiles(df.where("false"), "g", "v", probs).count() == 0
+
+
+def test_refined_quantiles_shuffle_no_row(spark):
+    from postlytics.functions.ranking import group_quantiles
+
+    df = spark.range(1000).select(F.rand(1).alias("v"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quantiles", "quantiles")
+    try:
+        q = group_quantiles(df, None, "v", [0.5])
+        assert not tracker.getJobIdsForGroup("quantiles")  # nothing runs before the result is asked for
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    # the rows meet their pieces in broadcast joins and reach a shuffle only as partial counts
+    assert "SortMergeJoin LeftOuter" not in plan and plan.count("partial_count(1)") >= 3
+
+
 def test_ranks_split_a_run_of_ties(spark):
     # a third of all rows share one (group, value): the ranks must still be a permutation
     data = [("hot", 0.0)] * 3000 + [("hot", float(i)) for i in range(1, 3001)] + [("cold", float(i)) for i in range(3000)]
