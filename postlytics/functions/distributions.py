@@ -8,6 +8,9 @@ Algorithms (public literature):
 * log-gamma: Lanczos approximation, g = 7, nine coefficients.
 * regularised incomplete beta: modified Lentz continued fraction with the
   usual symmetry swap  (Numerical Recipes, 2nd ed., 6.4).
+* the same for very many degrees of freedom: the incomplete gamma function it
+  tends to, in the variable that leaves an error of second order (DiDonato and
+  Morris 1992), where differences of log-gammas would cancel.
 * normal quantile: Wichura 1988, algorithm AS 241 (PPND16).
 * normal cdf: regularised incomplete gamma Q(1/2, x^2/2) by series or
   continued fraction (Numerical Recipes 6.2).
@@ -106,21 +109,65 @@ def betainc(a, b, x, iterations: int = 3000) -> Column:
     )
 
 
+#: From this many times max(1, b) ** 1.5 on, a is large: the limit's error is b ** 3 / (24 a ** 2), the fraction's a / 2 ** 53.
+LARGE = 1e5
+
+
+def gamma_q(a, z, log_gamma, iterations: int = 3000) -> Column:
+    """Upper regularised incomplete gamma Q(a, z), z > 0: series below a + 1, continued fraction (Lentz) from there on."""
+    a, z, lg = _c(a), _c(z), _c(log_gamma)
+
+    def s_step(acc, n):
+        n = n.cast("double")
+        term = acc["term"] * z / (a + n)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    s0 = F.lit(1.0) / a
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)),
+                         F.struct(s0.alias("term"), s0.alias("sum")), s_step)["sum"]
+    p_series = series * F.exp(-z + a * F.log(z) - lg)
+
+    b0 = z + F.lit(1.0) - a
+    init = F.struct(F.lit(1.0 / _TINY).alias("c"), (F.lit(1.0) / b0).alias("d"),
+                    (F.lit(1.0) / b0).alias("h"), b0.alias("b"))
+
+    def c_step(acc, i):
+        i = i.cast("double")
+        an = -i * (i - a)
+        b = acc["b"] + 2.0
+        d = an * acc["d"] + b
+        d = F.when(F.abs(d) < _TINY, F.lit(_TINY)).otherwise(d)
+        c = b + an / acc["c"]
+        c = F.when(F.abs(c) < _TINY, F.lit(_TINY)).otherwise(c)
+        d = F.lit(1.0) / d
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"), b.alias("b"))
+
+    cf = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), init, c_step)["h"]
+    q_cf = F.exp(-z + a * F.log(z) - lg) * cf
+    return F.when(z < a + 1.0, F.lit(1.0) - p_series).otherwise(q_cf)
+
+
+def _beta_tail(a: Column, b: Column, ratio: Column) -> Column:
+    """I_x(a, b) at x = 1 / (1 + ratio), also where a is so large that x is next to 1."""
+    w = (a + (b - 1.0) / 2.0) * F.log1p(ratio)
+    limit = F.when(w > 0, gamma_q(b, w, lgamma(b))).otherwise(F.lit(1.0))
+    large = a > F.lit(LARGE) * F.pow(F.greatest(b, F.lit(1.0)), F.lit(1.5))
+    return F.when(large, limit).otherwise(betainc(a, b, F.lit(1.0) / (F.lit(1.0) + ratio)))
+
+
 def f_sf(f, d1, d2) -> Column:
     """Upper tail P(F(d1, d2) > f)."""
     f, d1, d2 = _c(f), _c(d1), _c(d2)
-    x = d2 / (d2 + d1 * f)
     return F.when(f.isNull() | F.isnan(f), F.lit(None).cast("double")).when(
         f <= 0.0, F.lit(1.0)
-    ).otherwise(betainc(d2 / 2.0, d1 / 2.0, x))
+    ).otherwise(_beta_tail(d2 / 2.0, d1 / 2.0, d1 * f / d2))
 
 
 def t_two_sided_p(t, df) -> Column:
     """Two-sided P(|T(df)| > |t|)."""
     t, df = _c(t), _c(df)
-    x = df / (df + t * t)
     return F.when(t.isNull() | F.isnan(t), F.lit(None).cast("double")).otherwise(
-        betainc(df / 2.0, F.lit(0.5), x)
+        _beta_tail(df / 2.0, F.lit(0.5), t * t / df)
     )
 
 
@@ -191,40 +238,6 @@ def norm_ppf(p) -> Column:
 def norm_cdf(x) -> Column:
     """Standard normal cdf: Phi(x) = 1 - Q(1/2, x^2/2) / 2 for x >= 0."""
     x = _c(x)
-    a = F.lit(0.5)
-    z = x * x / 2.0
-    lg = F.lit(math.lgamma(0.5))
-
-    # series for P(a, z)
-    def s_step(acc, n):
-        n = n.cast("double")
-        term = acc["term"] * z / (a + n)
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
-
-    s0 = F.lit(1.0) / a
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(400)),
-                         F.struct(s0.alias("term"), s0.alias("sum")), s_step)["sum"]
-    p_series = series * F.exp(-z + a * F.log(z) - lg)
-
-    # continued fraction for Q(a, z) (Lentz)
-    b0 = z + F.lit(1.0) - a
-    init = F.struct(F.lit(1.0 / _TINY).alias("c"), (F.lit(1.0) / b0).alias("d"),
-                    (F.lit(1.0) / b0).alias("h"), b0.alias("b"))
-
-    def c_step(acc, i):
-        i = i.cast("double")
-        an = -i * (i - a)
-        b = acc["b"] + 2.0
-        d = an * acc["d"] + b
-        d = F.when(F.abs(d) < _TINY, F.lit(_TINY)).otherwise(d)
-        c = b + an / acc["c"]
-        c = F.when(F.abs(c) < _TINY, F.lit(_TINY)).otherwise(c)
-        d = F.lit(1.0) / d
-        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"), b.alias("b"))
-
-    cf = F.aggregate(F.sequence(F.lit(1), F.lit(400)), init, c_step)["h"]
-    q_cf = F.exp(-z + a * F.log(z) - lg) * cf
-    upper_q = F.when(z < a + 1.0, F.lit(1.0) - p_series).otherwise(q_cf)
-    half_tail = upper_q * 0.5  # P(|Z| > |x|) / 2
+    half_tail = gamma_q(0.5, x * x / 2.0, math.lgamma(0.5), 400) * 0.5  # P(|Z| > |x|) / 2
     return F.when(x.isNull(), F.lit(None).cast("double")).when(x == 0, F.lit(0.5)).when(
         x > 0, F.lit(1.0) - half_tail).otherwise(half_tail)

@@ -30,6 +30,29 @@ def test_huge_degrees_of_freedom_tend_to_chi_square(spark):
     assert one(spark, f_sf(1.2, 3, 4e8))[0] == pytest.approx(0.30802, abs=1e-4)
 
 
+@pytest.mark.parametrize("d2", [1e3, 1.9e5, 2.1e5, 1e9, 1e13, 1e15])
+@pytest.mark.parametrize("f", [1e-6, 0.3, 1.0, 3.7, 40.0])
+def test_many_degrees_of_freedom_keep_their_digits(spark, d2, f):
+    # closed forms: two and four degrees of freedom above; y is 1 - x with all its digits
+    def tail(d1):
+        log_x = -math.log1p(d1 * f / d2) * d2 / 2
+        y = d1 * f / (d2 + d1 * f)
+        return math.exp(log_x) * (1 if d1 == 2 else 1 + d2 / 2 * y)
+
+    row = one(spark, f_sf(f, 2, d2), f_sf(f, 4, d2), t_two_sided_p(math.sqrt(f), d2), f_sf(f, 1, d2))
+    assert row[0] == pytest.approx(tail(2), rel=1e-8) and row[1] == pytest.approx(tail(4), rel=1e-8)
+    assert row[2] == pytest.approx(row[3], rel=1e-9)
+    if d2 >= 1e9:
+        assert row[2] == pytest.approx(math.erfc(math.sqrt(f / 2)), rel=1e-6)
+
+
+@pytest.mark.parametrize("d1", [1, 7, 40])
+def test_both_ways_meet_at_the_switch(spark, d1):
+    d2 = 2 * 1e5 * max(1, d1 / 2) ** 1.5
+    below, above = one(spark, f_sf(1.3, d1, d2 * (1 - 1e-9)), f_sf(1.3, d1, d2 * (1 + 1e-9)))
+    assert below == pytest.approx(above, rel=1e-7)
+
+
 def test_half_even_rounding(spark):
     row = one(spark, rint_round(F.lit(0.12345), 4), rint_round(F.lit(2.5), 0), rint_round(F.lit(3.5), 0))
     assert row[0] == 0.1234 and row[1] == 2.0 and row[2] == 4.0
