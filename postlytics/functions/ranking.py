@@ -146,15 +146,16 @@ def _refined_quantiles(d: DataFrame, group: str, value: str, probs: list[float],
 
 
 def group_quantiles(df: DataFrame, group: str | None, value: str, probs: list[float],
-                    method: str | None = None) -> DataFrame:
+                    method: str | None = None, few_groups: bool = False) -> DataFrame:
     """Exact quantiles (linear interpolation, as pandas / DuckDB ``quantile_cont``) per group.
 
     Returns (group, q array) - or a one-row (q array) frame when ``group`` is None.
     ``method``: ``refine`` (default) = counts over narrowing ranges, whatever
     the number of distinct values; ``map`` = Spark ``percentile`` (a
     value->count state, for few distinct values); ``rank`` = distributed ranks.
-    Without a group ``refine`` starts no job of its own; with one its tables of
-    pieces are counted before they are broadcast.
+    Without a group, or with ``few_groups`` (a fixed set of labels), ``refine``
+    starts no job of its own; else its tables of pieces are counted before they
+    are broadcast.
     """
     method = method or "refine"
     g = group or "__all"
@@ -165,7 +166,7 @@ def group_quantiles(df: DataFrame, group: str | None, value: str, probs: list[fl
     elif method == "rank":
         res = _rank_quantiles(d, g, "__v", probs)
     else:
-        res = _refined_quantiles(d, g, "__v", probs, broadcast_groups if group else F.broadcast)
+        res = _refined_quantiles(d, g, "__v", probs, broadcast_groups if group and not few_groups else F.broadcast)
     if group is None:
         return res.agg(F.first("q").alias("q"))  # always one row (null q when empty)
     return res.withColumnRenamed(g, group)

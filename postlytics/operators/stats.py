@@ -95,6 +95,23 @@ def anova_group_means(pre: Prepared, group: str | None = None, min_n: int = 5) -
     return m.select("grp", "n", rint_round(F.col("mean"), 2).alias("mean_er"))
 
 
+def _two_groups(a: list[Column], b: list[Column], equal_var: Column) -> tuple[Column, Column, Column]:
+    """(t, df, eta2) of two groups from their (n, mean, var)."""
+    n1, n2 = a[0].cast("double"), b[0].cast("double")
+    (m1, v1), (m2, v2) = a[1:], b[1:]
+    se_w = F.sqrt(v1 / n1 + v2 / n2)
+    none = lambda c: F.nullif(c, F.lit(0.0))  # noqa: E731 - no spread or one value: no statistic rather than an error
+    df_w = F.pow(v1 / n1 + v2 / n2, 2) / none(F.pow(v1 / n1, 2) / none(n1 - 1) + F.pow(v2 / n2, 2) / none(n2 - 1))
+    sp2 = ((n1 - 1) * v1 + (n2 - 1) * v2) / none(n1 + n2 - 2)
+    se_p = F.sqrt(sp2 * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
+    t = (m1 - m2) / none(F.when(equal_var, se_p).otherwise(se_w))
+    dfree = F.when(equal_var, n1 + n2 - 2).otherwise(df_w)
+    mm = (n1 * m1 + n2 * m2) / (n1 + n2)
+    ssb = n1 * F.pow(m1 - mm, 2) + n2 * F.pow(m2 - mm, 2)
+    ssw = (n1 - 1) * F.coalesce(v1, F.lit(0.0)) + (n2 - 1) * F.coalesce(v2, F.lit(0.0))
+    return t, dfree, F.when(ssb + ssw > 0, ssb / (ssb + ssw)).otherwise(F.lit(0.0))
+
+
 def two_group_test(m1: DataFrame, m2: DataFrame, equal_var: bool | Column = False) -> DataFrame:
     """H5/H6: t statistic, df and two-sided p from two one-row moment frames.
 
@@ -102,22 +119,9 @@ def two_group_test(m1: DataFrame, m2: DataFrame, equal_var: bool | Column = Fals
     """
     a = m1.select(F.col("n").alias("n1"), F.col("mean").alias("m1"), F.col("var").alias("v1"))
     b = m2.select(F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("var").alias("v2"))
-    j = a.crossJoin(b)
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    v1, v2 = F.col("v1"), F.col("v2")
-    se_w = F.sqrt(v1 / n1 + v2 / n2)
-    df_w = F.pow(v1 / n1 + v2 / n2, 2) / (F.pow(v1 / n1, 2) / (n1 - 1) + F.pow(v2 / n2, 2) / (n2 - 1))
-    sp2 = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
-    se_p = F.sqrt(sp2 * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
     ev = equal_var if isinstance(equal_var, Column) else F.lit(bool(equal_var))
-    t = (F.col("m1") - F.col("m2")) / F.when(ev, se_p).otherwise(se_w)
-    dfree = F.when(ev, n1 + n2 - 2).otherwise(df_w)
-    # eta^2 of the two groups from the same moments
-    mm = (n1 * F.col("m1") + n2 * F.col("m2")) / (n1 + n2)
-    ssb = n1 * F.pow(F.col("m1") - mm, 2) + n2 * F.pow(F.col("m2") - mm, 2)
-    ssw = (n1 - 1) * F.coalesce(v1, F.lit(0.0)) + (n2 - 1) * F.coalesce(v2, F.lit(0.0))
-    return j.select("*", t.alias("t"), dfree.alias("df"),
-                    F.when(ssb + ssw > 0, ssb / (ssb + ssw)).otherwise(F.lit(0.0)).alias("eta2")) \
+    t, dfree, eta2 = _two_groups([F.col(c) for c in ("n1", "m1", "v1")], [F.col(c) for c in ("n2", "m2", "v2")], ev)
+    return a.crossJoin(b).select("*", t.alias("t"), dfree.alias("df"), eta2.alias("eta2")) \
         .withColumn("p", t_two_sided_p(F.col("t"), F.col("df")))
 
 
@@ -149,13 +153,16 @@ def weekend_test(pre: Prepared, equal_var: bool = False, min_n: int = 5, alpha:
     )
 
 
-def levene(df: DataFrame, group: str, value: str = ER, min_n: int = 1) -> DataFrame:
-    """H7: Brown-Forsythe/Levene (median-centred) = ANOVA on |x - group median|."""
+def levene(df: DataFrame, group: str, value: str = ER, min_n: int = 1, few_groups: bool = False) -> DataFrame:
+    """H7: Brown-Forsythe/Levene (median-centred) = ANOVA on |x - group median|.
+
+    ``few_groups``: the group is one of a fixed set of labels, its table needs no count before it is broadcast.
+    """
     d = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()) \
         .select(F.col(group).cast("string").alias("grp"), F.col(value).alias("v"))
     counts = d.groupBy("grp").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_n)
-    med = group_quantiles(d, "grp", "v", [0.5]).select("grp", F.col("q")[0].alias("med"))
-    keep = broadcast_groups(counts.join(med, "grp").select("grp", "med"))
+    med = group_quantiles(d, "grp", "v", [0.5], few_groups=few_groups).select("grp", F.col("q")[0].alias("med"))
+    keep = (F.broadcast if few_groups else broadcast_groups)(counts.join(med, "grp").select("grp", "med"))
     z = d.join(keep, "grp").select("grp", F.abs(F.col("v") - F.col("med")).alias("z"))
     a = anova_from_moments(group_moments(z, "grp", "z"))
     return a.select(F.col("F").alias("W"), F.col("p"), "df_between", "df_within", "k", "n_total")
@@ -309,6 +316,43 @@ def _not_run(spark: SparkSession, why: str, alpha: float) -> DataFrame:
     return spark.createDataFrame([(why, None, 0, *[None] * 7, float(alpha), *[None] * 4)], schema)
 
 
+def _tercile_moments(t: DataFrame, min_group: int) -> DataFrame:
+    """One row from one grouped aggregate over the labelled reels: counts, the groups large enough, ANOVA, both t-tests."""
+    m = t.groupBy("duration_group", "group_order").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(ER).alias("mean"), F.var_samp(ER).alias("var"))
+    named = F.col("duration_group").isNotNull()
+    one = m.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("valid_reels"),
+        F.coalesce(F.sum(F.when(named, F.col("n"))), F.lit(0)).alias("total_reels"),
+        # at most 3 labels
+        F.array_sort(F.collect_list(F.when(named & (F.col("n") >= min_group), F.struct(
+            F.col("group_order").alias("ord"), F.col("duration_group").alias("grp"), "n", "mean", "var")))).alias("g"))
+
+    def total(f):
+        return F.aggregate("g", F.lit(0.0), lambda acc, x: acc + f(x))
+
+    one = one.withColumn("k", F.size("g").cast("bigint")).withColumn("n_total", total(lambda x: x["n"])) \
+        .withColumn("grand", total(lambda x: x["n"] * x["mean"]) / F.nullif(F.col("n_total"), F.lit(0.0)))
+    one = one.withColumn("ssb", total(lambda x: x["n"] * F.pow(x["mean"] - F.col("grand"), 2))) \
+        .withColumn("ssw", total(lambda x: (x["n"] - 1) * F.coalesce(x["var"], F.lit(0.0))))
+    d1, d2, sst = F.col("k") - F.lit(1.0), F.col("n_total") - F.col("k"), F.col("ssb") + F.col("ssw")
+    first, second = ([F.col("g")[at][c] for c in ("n", "mean", "var")] for at in (F.lit(0), F.size("g") - 1))
+    first, second = ([F.when(F.col("k") >= 2, c) for c in cols] for cols in (first, second))
+    one = one.withColumn("F", F.when((d1 > 0) & (d2 > 0) & (F.col("ssw") > 0), (F.col("ssb") / d1) / (F.col("ssw") / d2))) \
+        .withColumn("eta2", F.when(sst > 0, F.col("ssb") / sst).otherwise(F.lit(0.0)))
+    for name, equal in (("pooled", True), ("welch", False)):
+        tt, df, _ = _two_groups(first, second, F.lit(equal))
+        one = one.withColumn(f"t_{name}", tt).withColumn(f"df_{name}", df)
+    pairs = lambda f: F.to_json(F.map_from_entries(F.array_sort(F.transform("g", lambda x: F.struct(x["grp"], f(x))))))
+    return one.select(
+        "valid_reels", "total_reels", "g", "k", "F", "eta2", "t_pooled", "t_welch",
+        f_sf(F.col("F"), d1, d2).alias("p"),
+        *[t_two_sided_p(F.col(f"t_{n}"), F.col(f"df_{n}")).alias(f"p_{n}") for n in ("pooled", "welch")],
+        pairs(lambda x: x["n"]).alias("group_counts"),
+        pairs(lambda x: F.format_string("%.2f%%", x["mean"])).alias("group_means"),
+        F.array_min(F.transform("g", lambda x: F.struct((-x["mean"]).alias("m"), x["grp"].alias("grp"))))["grp"].alias("best"))
+
+
 def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: float = 90.0,
                   lo_inclusive: bool = False, min_reels: int = 15, min_group: int = 3,
                   t_test: str = "levene") -> DataFrame:
@@ -323,33 +367,15 @@ def duration_test(pre: Prepared, alpha: float = ALPHA, lo: float = 3.0, hi: floa
                if not col]
     if missing:
         return _not_run(pre.df.sparkSession, f"No {' and no '.join(missing)} column: the test can't be run.", alpha)
-    # the labelled reels feed a dozen one-row branches: cut the lineage once
+    # read by the moments, by Levene's and by Shapiro-Wilk's test: cut the lineage once
     reels = cut_lineage(duration_rows(pre, lo, hi, lo_inclusive).select(d, ER))
-    t = cut_lineage(with_terciles(reels, d).where(F.col("duration_group").isNotNull()))
-    m = group_moments(t, "duration_group", ER, min_group)
-    mo = m.withColumn("ord", F.when(F.col("grp") == "Short", 1).when(F.col("grp") == "Medium", 2).otherwise(3))
-    a = anova_from_moments(m)
-    # two groups: t-test in label order, pooled when Levene does not reject
-    kept = F.broadcast(m.select(F.col("grp").alias("duration_group")))  # at most 3 labels
-    lev = levene(t.join(kept, "duration_group"),
-                 "duration_group", ER).select(F.col("p").alias("levene_p"))
-    first = mo.agg(F.min_by(F.struct("n", "mean", "var"), F.col("ord")).alias("s")).select("s.*")
-    second = mo.agg(F.max_by(F.struct("n", "mean", "var"), F.col("ord")).alias("s")).select("s.*")
-    tt_p = two_group_test(first, second, equal_var=True).select(F.col("t").alias("t_pooled"), F.col("p").alias("p_pooled"))
-    tt_w = two_group_test(first, second, equal_var=False).select(F.col("t").alias("t_welch"), F.col("p").alias("p_welch"))
-    sw = shapiro_wilk(t.join(kept, "duration_group"),
-                      "duration_group", ER, alpha).agg(F.bool_and("normal").alias("normality_passed"))
-    counts = t.agg(F.count(F.lit(1)).alias("total_reels"))
-    all_reels = reels.agg(F.count(F.lit(1)).alias("valid_reels"))
-    summary = m.orderBy("grp").agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("grp", "n"))))).alias("group_counts"),
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct("grp", F.format_string("%.2f%%", F.col("mean"))))))).alias("group_means"),
-    )
-    best = best_group(m)
-    short_mean = mo.where(F.col("grp") == "Short").agg(F.max("mean").alias("short_mean"))
-    row = (all_reels.crossJoin(counts).crossJoin(a).crossJoin(lev).crossJoin(tt_p).crossJoin(tt_w)
-           .crossJoin(sw).crossJoin(summary).crossJoin(best).crossJoin(short_mean))
+    t = cut_lineage(with_terciles(reels, d).select("duration_group", "group_order", ER))
+    st = cut_lineage(_tercile_moments(t, min_group))
+    kept = F.broadcast(st.select(F.explode("g.grp").alias("duration_group")))  # at most 3 labels
+    tested = t.join(kept, "duration_group")
+    lev = levene(tested, "duration_group", few_groups=True).select(F.col("p").alias("levene_p"))
+    sw = shapiro_wilk(tested, "duration_group", ER, alpha).agg(F.bool_and("normal").alias("normality_passed"))
+    row = st.crossJoin(lev).crossJoin(sw)
     two = F.col("k") == 2
     pooled = {"levene": F.col("levene_p") > alpha, "pooled": F.lit(True), "welch": F.lit(False)}[t_test]
     stat = F.when(two, F.when(pooled, F.col("t_pooled")).otherwise(F.col("t_welch"))).otherwise(F.col("F"))
