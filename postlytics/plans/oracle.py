@@ -690,14 +690,16 @@ def report_sql() -> dict[str, str]:
     ]
     density = q(f"""
 , st AS (SELECT count({ER}) AS n, stddev_samp({ER}) AS sd, min({ER}) AS lo, max({ER}) AS hi FROM pre),
-st2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
-st3 AS (SELECT *, lo - 3.0 * bw AS g_lo, hi + 3.0 * bw AS g_hi FROM st2),
-grid AS (SELECT CAST(range AS INTEGER) AS point, g_lo + range * (g_hi - g_lo) / 199.0 AS x, n, bw
-         FROM range(200) CROSS JOIN st3),
-vals AS (SELECT {ER} AS v, count(*) AS c FROM pre WHERE {ER} IS NOT NULL GROUP BY 1),
-s AS (SELECT point, x, n, bw, sum(c * exp(-0.5 * (((x - v) / bw) * ((x - v) / bw)))) AS s
-      FROM grid CROSS JOIN vals GROUP BY point, x, n, bw)
-SELECT point, {r('x', 8)} AS x, {r('s / (n * bw * 2.5066282746310002)', 10)} AS density FROM s""")
+st2 AS (SELECT *, nullif(sd * pow(CAST(n AS DOUBLE), -0.2), 0) AS bw FROM st WHERE n > 0),
+st3 AS (SELECT *, lo - 3.0::DOUBLE * coalesce(bw, 0) AS g_lo, hi + 3.0::DOUBLE * coalesce(bw, 0) AS g_hi, bw / 32 AS cell FROM st2),
+st4 AS (SELECT *, (g_hi - g_lo) / 199.0::DOUBLE AS step FROM st3),
+placed AS (SELECT ({ER} - lo) / cell AS place FROM pre CROSS JOIN st4 WHERE {ER} IS NOT NULL AND cell IS NOT NULL),
+cells AS (SELECT CAST(floor(place) AS BIGINT) AS node, count(*) AS c, sum(place - floor(place)) AS over FROM placed GROUP BY 1),
+nodes AS (SELECT node, sum(w) AS w FROM (SELECT node, c - over AS w FROM cells UNION ALL SELECT node + 1, over FROM cells) GROUP BY node),
+grid AS (SELECT CAST(range AS INTEGER) AS point, g_lo + range * step AS x, n, bw FROM range(200) CROSS JOIN st4),
+s AS (SELECT point, sum(w * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) AS s
+      FROM (SELECT w, lo + node * cell AS v FROM nodes CROSS JOIN st4) JOIN grid ON abs(x - v) <= 8 * bw GROUP BY point)
+SELECT point, {r('x', 8)} AS x, {r('coalesce(s, 0) / (n * bw * 2.5066282746310002::DOUBLE)', 10)} AS density FROM grid LEFT JOIN s USING (point)""")
     return {"eda_report": " UNION ALL ".join(parts), "er_density": density}
 
 

@@ -48,3 +48,18 @@ def test_raw_rows_are_not_shuffled_on_a_group(spark, pre_small):
             assert ("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p) and "SortMergeJoin" not in p
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_bootstrap_adds_posts_to_accumulators(pre_small):
+    """No row per post and replicate: the only Generate lies above the merged accumulators."""
+    p = plan(eda.mean_ci(pre_small))
+    assert p.count("Generate explode") == 1
+    assert p.index("Generate explode") < p.index("ObjectHashAggregate") or p.index("Generate explode") < p.rindex("Exchange")
+    assert "Generate" not in p[p.rindex("Exchange hashpartitioning"):]
+
+
+def test_density_is_taken_from_cells(pre_small):
+    """Rows meet one statistics row and an aggregate, never the grid."""
+    p = plan(eda.er_density(pre_small))
+    assert "CartesianProduct" not in p
+    assert "Range (0, 200" not in p

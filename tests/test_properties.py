@@ -50,5 +50,45 @@ def test_bootstrap_ci_close_to_normal_interval(spark, pre_small):
 def test_poisson_weights_have_the_right_moments(spark):
     from postlytics.operators.eda import poisson_weight
 
-    m, v = spark.range(65536).select(poisson_weight(F.col("id")).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
+    m, v = spark.range(65536).select(poisson_weight(F.lpad(F.lower(F.hex("id")), 4, "0")).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
     assert abs(m - 1) < 1e-3 and abs(v - 1) < 2e-3
+
+
+def test_replicate_weights_by_plain_python(spark):
+    import hashlib
+
+    from postlytics.operators.eda import POISSON_BOUNDS, replicate_weights
+
+    got = spark.createDataFrame([("p1",), ("p2",)], "key string").select("key", replicate_weights(F.col("key"), 19, 7).alias("w")).collect()
+    for r in got:
+        draws = [int(hashlib.md5(f"7|{r['key']}|{b}".encode()).hexdigest()[4 * j:4 * j + 4], 16) for b in range(3) for j in range(8)]
+        assert r["w"] == [sum(u >= x for x in POISSON_BOUNDS) for u in draws[:19]]
+
+
+def _rates(spark, pre, values):
+    from postlytics.operators.features import Prepared
+
+    return Prepared(spark.createDataFrame([(v,) for v in values], "engagement_rate_pct double"), pre.roles, pre.denominator)
+
+
+def test_density_within_its_bound_of_the_exact_sum(spark, pre_small):
+    """Binned values against all kernels, with far outliers between which the grid has empty stretches."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for v in (rng.normal(5, 2, 400), np.concatenate([rng.gamma(2, 1, 300), [90.0, 400.0]]), np.array([1.0, 2.0])):
+        out = eda.er_density(_rates(spark, pre_small, v.tolist())).collect()
+        bw = v.std(ddof=1) * len(v) ** -0.2
+        x = np.linspace(v.min() - 3 * bw, v.max() + 3 * bw, 200)
+        want = np.exp(-0.5 * ((x[:, None] - v) / bw) ** 2).sum(axis=1) / (len(v) * bw * eda.SQRT_2PI)
+        assert [r["point"] for r in out] == list(range(200))
+        assert np.allclose([r["x"] for r in out], x, atol=1e-7)
+        assert np.abs(np.array([r["density"] for r in out]) - want).max() <= eda.density_error(bw) + 1e-10
+
+
+def test_density_without_spread_or_rows(spark, pre_small):
+    for same in ([4.0], [4.0] * 5):
+        out = eda.er_density(_rates(spark, pre_small, same)).collect()
+        assert len(out) == 200 and all(r["x"] == 4.0 and r["density"] is None for r in out)
+    assert eda.er_density(_rates(spark, pre_small, [])).count() == 0
+    assert eda.er_density(_rates(spark, pre_small, [None])).count() == 0
