@@ -10,6 +10,12 @@ written once under its own 32-bit key and its 16 neighbours, for each of four
 starts; the rows under one key are compared in blocks, the remaining chain
 budgets prune, and the full Hamming distance decides.
 
+Keys are counted first.  Where more than ``HOT_KEY`` fingerprints have one key
+(near copies of a template), the third chain budget (2) makes it longer: the
+third segment, equal or with as many bits turned as the budget has left.  Then
+three segments are fixed, so at most 2^16 fingerprints have the same key,
+whatever the number of documents.
+
 Equal fingerprints are one vertex from the start (copies never make pairs),
 and the rows of a key leave as a spanning forest of their links, never as all
 pairs.
@@ -23,11 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlytics.functions.columns import broadcast_groups
 from postlytics.llm.common import connected_components, documents, fresh, map_batches, trimmed
 
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
 SEGMENTS, BITS = 4, 16
+#: Fingerprints with one 32-bit key beyond which the key is made longer (changes no result).
+HOT_KEY = 4096
+#: Fingerprints compared at once, and pairs of a block.
+PROBES, BLOCK = 1 << 15, 1 << 20
 
 
 def shingle_hashes(text: str, size: int = 3) -> np.ndarray:
@@ -95,16 +106,56 @@ def _keys(max_bits: int):
     return run
 
 
-def _links(budgets: np.ndarray, max_bits: int, block: int = 512):
-    """Streams rows sorted by (key, probe); emits a spanning forest of the links under each key.
+def _own_keys(max_bits: int):
+    """Rows (key): the fingerprints' own keys, one for each start."""
+    keys = _keys(max_bits)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out = keys(batch)
+        return {"key": out["key"][out["probe"] == 0]}
+
+    return run
+
+
+def _longer(max_bits: int):
+    """Rows (key, third, probe, fp): a hot key's rows once for each third segment the budget allows, others once with -1.
+
+    Probe 0 stays for a fingerprint's own key and third segment alone.
+    """
+    budget = 3 * max_bits // SEGMENTS
+    one = np.array([1 << i for i in range(BITS)], np.int64)
+    two = np.array([1 << i | 1 << j for i in range(BITS) for j in range(i)], np.int64)
+    masks = [np.concatenate([np.zeros(1, np.int64), *(one, two)[:n]]) for n in range(3)]
+
+    def run(batch: pa.RecordBatch) -> dict:
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        probe = batch.column(1).to_numpy(zero_copy_only=False)
+        fp = batch.column(2).to_numpy(zero_copy_only=False)
+        hot = batch.column(3).to_numpy(zero_copy_only=False)
+        cols = [(key[~hot], np.full((~hot).sum(), -1, np.int64), probe[~hot], fp[~hot])]
+        for used in (0, 1):  # bits the second segment differs in
+            at = hot & (probe == used)
+            k, f, turned = key[at], fp[at], masks[budget - used]
+            third = np.choose(((k >> 32) + 2) % SEGMENTS, _segments(f.view(np.uint64)).astype(np.int64)) if len(k) else k
+            cols.append((np.repeat(k, len(turned)), (third[:, None] ^ turned[None, :]).ravel(),
+                         np.tile(((turned > 0) | (used > 0)).astype(np.int8), len(k)), np.repeat(f, len(turned))))
+        return dict(zip(("key", "third", "probe", "fp"), (np.concatenate(c) for c in zip(*cols))))
+
+    return run
+
+
+def _links(budgets: np.ndarray, max_bits: int):
+    """Streams rows sorted by (key, third, probe); emits a spanning forest of the links under each key.
 
-    Probe-0 rows of a key come first and are kept (8 bytes each); further rows
-    are compared with them block by block, so memory is the block plus one key.
+    Probe-0 rows of a key come first and are kept: ``HOT_KEY`` of a short key,
+    2^16 of a longer one, at most.  Further rows are compared with them as they
+    come, ``PROBES`` at a time, so a key's other rows may be any number.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(base: np.ndarray, start: int, rows: np.ndarray, own: bool, parent: dict, out: list) -> None:
         seg_b = _segments(base)
+        block = max(1, BLOCK // len(base))
         for at in range(0, len(rows), block):
             part = rows[at:at + block]
             x = part[:, None] ^ base[None, :]
@@ -124,45 +175,43 @@ def _links(budgets: np.ndarray, max_bits: int, block: int = 512):
                     out.append((u, v))
 
     def run(batches):
-        key, base, own, probes, n = None, [], None, [], 0
-
-        def close():
-            nonlocal base, probes, n
-            out: list = []
-            if base and (len(base) > 1 or probes):
-                b = np.unique(np.array(base, np.uint64))
-                parent: dict = {}
-                start = int(key) >> 32
-                if len(b) > 1:
-                    compare(b, start, b, True, parent, out)
-                if probes:
-                    compare(b, start, np.unique(np.array(probes, np.uint64)), False, parent, out)
-            base, probes, n = [], [], 0
-            return out
-
+        key, base, probes, held, own_done = None, [], [], 0, False
+        parent: dict = {}
         pending: list = []
+
+        def flush():
+            nonlocal base, probes, held, own_done
+            if not own_done and (probes or len(base) > 1):
+                base = np.array(base, np.uint64)
+                if len(base) > 1:
+                    compare(base, key[0] >> 32, base, True, parent, pending)
+                own_done = True
+            if probes:
+                compare(base, key[0] >> 32, np.concatenate(probes), False, parent, pending)
+            probes, held = [], 0
+
         for batch in batches:
-            ks = batch.column(0).to_numpy(zero_copy_only=False)
-            ps = batch.column(1).to_numpy(zero_copy_only=False)
-            fs = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            cuts = np.flatnonzero(np.diff(ks)) + 1
-            bounds = [0, *cuts.tolist(), len(ks)]
+            ks, ts, ps, fs = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            fs = fs.view(np.uint64)
+            bounds = [0, *(np.flatnonzero((np.diff(ks) != 0) | (np.diff(ts) != 0)) + 1).tolist(), len(ks)]
             for lo, hi in zip(bounds, bounds[1:]):
-                if ks[lo] != key:
-                    pending += close()
-                    key = ks[lo]
-                if hi - lo == 1:
-                    (probes if ps[lo] else base).append(int(fs[lo]))
+                if lo == hi:
                     continue
-                split = lo + int(np.count_nonzero(ps[lo:hi] == 0))
-                base += fs[lo:split].tolist()
-                probes += fs[split:hi].tolist()
-                if not base:
-                    probes = []  # no own row under this key
-            if len(pending) > 10_000:
-                yield _edges(pending, schema)
-                pending = []
-        pending += close()
+                if (int(ks[lo]), int(ts[lo])) != key:
+                    flush()
+                    key, base, own_done, parent = (int(ks[lo]), int(ts[lo])), [], False, {}
+                split = lo if ps[lo] else lo + int(np.count_nonzero(ps[lo:hi] == 0))
+                if split > lo:
+                    base += fs[lo:split].tolist()
+                if split < hi and len(base):  # without an own row nothing is compared under this key
+                    probes.append(fs[split:hi].copy())
+                    held += hi - split
+                    if held >= PROBES:
+                        flush()
+            while len(pending) > 10_000:
+                part, pending[:] = pending[:100_000], pending[100_000:]
+                yield _edges(part, schema)
+        flush()
         yield _edges(pending, schema)
 
     return run
@@ -180,11 +229,16 @@ def _edges(pairs: list, schema) -> pa.RecordBatch:
         [pa.array(np.array([p[i] for p in pairs], np.uint64).view(np.int64)) for i in (0, 1)], schema=schema)
 
 
-def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 3, hot_key: int = HOT_KEY) -> DataFrame:
     """Edges (a, b) between different fingerprints of column ``fp``: they connect exactly what distance links connect."""
     budgets = np.array([(s + 1) * max_bits // SEGMENTS for s in range(SEGMENTS)])
-    keyed = map_batches(fps.select("fp").distinct(), "key long, probe byte, fp long", _keys(max_bits), rows=2000)
-    return (keyed.repartition("key").sortWithinPartitions("key", "probe")
+    distinct = fps.select("fp").distinct()
+    hot = broadcast_groups(map_batches(distinct, "key long", _own_keys(max_bits), rows=2000)
+                           .groupBy("key").count().where(F.col("count") > hot_key).select("key", F.lit(True).alias("hot")))
+    keyed = map_batches(distinct, "key long, probe byte, fp long", _keys(max_bits), rows=2000) \
+        .join(hot, "key", "left").select("key", "probe", "fp", F.coalesce("hot", F.lit(False)).alias("hot"))
+    return (map_batches(keyed, "key long, third long, probe byte, fp long", _longer(max_bits), rows=2000)
+            .repartition("key", "third").sortWithinPartitions("key", "third", "probe")
             .mapInArrow(trimmed(_links(budgets, max_bits)), "a long, b long"))
 
 

@@ -52,7 +52,8 @@ def test_query_equals_all_pairs(spark):
         assert (got[d]["fingerprint"], got[d]["component_id"]) == (f"{fp:016x}", want[d])
 
 
-def test_dense_ball_of_fingerprints(spark):
+@pytest.mark.parametrize("hot_key", [S.HOT_KEY, 8])
+def test_dense_ball_of_fingerprints(spark, hot_key):
     """Thousands of fingerprints around few centres: keys are shared by many, links stay a forest."""
     rng = np.random.default_rng(4)
     centres = rng.integers(0, 1 << 62, 5).astype(np.uint64)
@@ -65,7 +66,7 @@ def test_dense_ball_of_fingerprints(spark):
             fps.add(x)
     fps = np.array(sorted(fps), np.uint64)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    edges = S.links(df).cache()
+    edges = S.links(df, hot_key=hot_key).cache()
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     want = components({int(i): int(x) for i, x in enumerate(fps)})
     groups = {}
@@ -74,7 +75,28 @@ def test_dense_ball_of_fingerprints(spark):
     assert all(len(g) == 1 for g in groups.values())
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
     assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 3 for a, b in edges.collect())
-    assert edges.count() <= 68 * len(fps)
+    if hot_key == S.HOT_KEY:
+        assert edges.count() <= 68 * len(fps)
+
+
+def test_longer_keys_bring_every_near_pair_together():
+    """A template's fingerprints under one key: all pairs within the budgets meet under some longer key, keys stay small."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    fps = np.unique((np.uint64(0x1234ABCD) | rng.integers(0, 1 << 32, 3000).astype(np.uint64) << np.uint64(32)))
+    fps = np.unique(np.concatenate([fps, fps[:300] ^ np.uint64(1 << 40), fps[:300] ^ np.uint64(3 << 35), fps[:300] ^ np.uint64(1 << 20 | 1 << 60)]))
+    keyed = S._keys(3)(pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], ["fp"]))
+    hot = np.ones(len(keyed["key"]), bool)
+    rows = S._longer(3)(pa.RecordBatch.from_arrays([pa.array(c) for c in (keyed["key"], keyed["probe"], keyed["fp"], hot)], list("kpfh")))
+    own, other = {}, {}
+    for k, t, p, f in zip(*(rows[c].tolist() for c in ("key", "third", "probe", "fp"))):
+        (other if p else own).setdefault((k, t), set()).add(f)
+    assert max(map(len, own.values())) < 100 < np.unique(keyed["key"][keyed["probe"] == 0], return_counts=True)[1].max()
+    met = {frozenset((a, b)) for key, base in own.items() for a in base for b in base | other.get(key, set()) if a != b}
+    near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, 1))
+    signed = fps.view(np.int64).tolist()
+    assert len(near) >= 900 and all(frozenset((signed[i], signed[j])) in met for i, j in near)
 
 
 def test_components_of_a_long_chain(spark):
