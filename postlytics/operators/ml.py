@@ -28,13 +28,13 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlytics.functions.columns import rint_round
 from postlytics.operators.features import ER, Prepared
-from postlytics.session import checkpoint_dir
+from postlytics.operators.trees import TreeRegressor
 
 SEED = 42
 LABEL = "label"
@@ -209,12 +209,9 @@ def make_model(name: str, variant: str = "api", gbt_subsample: float = 0.8, memo
                                 standardization=False, solver="normal")  # regParam set per fit (M8)
     if name == "Random Forest":
         trees, depth, leaf = (500, 12, 2) if variant == "library" else (400, 10, 3)
-        return RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=trees, maxDepth=depth,
-                                     minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=SEED,
-                                     checkpointInterval=10, maxMemoryInMB=memory_mb)
+        return TreeRegressor(LABEL, trees=trees, depth=depth, least=leaf, seed=SEED)
     if name == "Gradient Boosting":
-        return GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=300, maxDepth=5, stepSize=0.05,
-                            subsamplingRate=gbt_subsample, seed=SEED, checkpointInterval=10)
+        return TreeRegressor(LABEL, rounds=300, depth=5, step=0.05, share=gbt_subsample, seed=SEED)
     raise ValueError(name)
 
 
@@ -222,7 +219,6 @@ def fit_model(name: str, data: Encoded, variant: str = "api", alpha: float = 1.0
               gbt_subsample: float = 0.8) -> PipelineModel:
     """The bare estimator on an encoded split; the result takes raw rows."""
     spark = data.train.sparkSession
-    checkpoint_dir(spark)  # tree models checkpoint every 10 iterations
     model = make_model(name, variant, gbt_subsample, tree_memory_mb(spark))
     if name == "Ridge Regression":
         # sklearn's alpha on the unscaled squared loss == Spark's regParam * n / std(y)
@@ -230,6 +226,12 @@ def fit_model(name: str, data: Encoded, variant: str = "api", alpha: float = 1.0
     return PipelineModel(data.encoder.stages + [model.fit(data.train)])
 
 
+def fit_together(name: str, data: list[Encoded], variant: str = "api", gbt_subsample: float = 0.8) -> list[PipelineModel]:
+    """A tree model on each of several encoded splits, in shared jobs."""
+    models = make_model(name, variant, gbt_subsample).fit_all([d.train for d in data])
+    return [PipelineModel(d.encoder.stages + [m]) for d, m in zip(data, models)]
+
+
 def _fit(name: str, fs: FeatureSet, train: DataFrame, variant: str, gbt_subsample: float = 0.8) -> PipelineModel:
     data = encode_split(fs, train)
     try:
@@ -283,9 +285,9 @@ def fit_zoo(pre: Prepared, names: list[str], variant: str = "api", k: int = 5, w
             parallelism: int = 6) -> Zoo:
     """Fits every model on the training split and (``k`` > 0) on every fold's complement.
 
-    Each split is encoded once and cached only while its models are fitted;
-    splits run side by side in a bounded pool, so the small jobs of one model's
-    rounds fill the gaps of another's.  Only metrics come to the driver.
+    Each split is encoded once and cached only while the models are fitted;
+    splits run side by side in a bounded pool, boosted models of all splits in
+    the same jobs.  Only metrics and trees come to the driver.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -293,23 +295,29 @@ def fit_zoo(pre: Prepared, names: list[str], variant: str = "api", k: int = 5, w
     splits = ([(None, train, test)] if with_test else []) + [(f, rows.where(F.col("fold") != f), rows.where(F.col("fold") == f))
                                                             for f in range(k)]
 
-    def one(split):
-        fold, part, held = split
-        data = encode_split(fs, part)
-        held = data.encoder.transform(held).select("features", LABEL).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            out = []
-            for name in reversed(names):  # the slowest first
-                m = fit_model(name, data, variant)
-                r = evaluate(m.stages[-1].transform(held), digits=12).first()
-                out.append((name, fold, (r["r2"], r["mae"], r["rmse"]), m))
-            return out
-        finally:
-            held.unpersist()
-            data.release()
+    def prepare(split):
+        data = encode_split(fs, split[1])
+        return data, data.encoder.transform(split[2]).select("features", LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def score(fit):
+        name, fold, held, model = fit
+        r = evaluate(model.stages[-1].transform(held), digits=12).first()
+        return name, fold, (r["r2"], r["mae"], r["rmse"]), model
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(splits)))) as pool:
-        done = [x for part in pool.map(one, splits) for x in part]
+        ready = list(pool.map(prepare, splits))
+        try:
+            done = []
+            for name in names:
+                if name == "Gradient Boosting":  # its rounds are small jobs, shared by all splits
+                    models = fit_together(name, [d for d, _ in ready], variant)
+                else:
+                    models = list(pool.map(lambda r, name=name: fit_model(name, r[0], variant), ready))
+                done += pool.map(score, [(name, fold, held, m) for (fold, _, _), (_, held), m in zip(splits, ready, models)])
+        finally:
+            for data, held in ready:
+                held.unpersist()
+                data.release()
     trained = {n: Trained(n, m, fs, test) for n, fold, _, m in done if fold is None}
     return Zoo({(n, fold): s for n, fold, s, _ in done}, trained, rows.count())
 
