@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from postlytics.functions.columns import broadcast_groups, ntz_text, rint_round
 from postlytics.functions.ranking import MAP_QUANTILE_MAX_DISTINCT, group_quantiles
 from postlytics.operators.features import ER, TOTAL, Prepared
+from postlytics.session import ship
 
 # Calendar order used by the reports.
 WEEKDAY_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -417,6 +418,54 @@ def replicate_weights(key: Column, n_boot: int, seed: int) -> Column:
     return F.slice(F.transform(draws, poisson_weight), 1, n_boot)
 
 
+def _replicate_sums(n_boot: int, seed: int):
+    """Rows (grp, v, key) -> a row a group and task: posts, their sum, and each replicate's sum of weights, then of weighted values.
+
+    The weights are those of ``replicate_weights``, whose draws are the bytes of its md5s.
+    """
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("grp", pa.string()), ("n", pa.int64()), ("v", pa.float64()), ("s", pa.list_(pa.float64()))])
+    weight = np.searchsorted(POISSON_BOUNDS, np.arange(65536), side="right").astype(np.uint8)
+    ends = [b"|%d" % b for b in range(-(-n_boot // DRAWS))]
+
+    def draw(keys: list) -> np.ndarray:
+        begins = [str(seed).encode() if k is None else f"{seed}|{k}".encode() for k in keys]
+        raw = b"".join([hashlib.md5(b + e, usedforsecurity=False).digest() for b in begins for e in ends])
+        return weight[np.frombuffer(raw, ">u2").reshape(len(keys), -1)[:, :n_boot]].astype(float)
+
+    def run(batches):
+        held: dict = {}
+
+        def out():
+            got = pa.RecordBatch.from_pydict({"grp": list(held), "n": [h[0] for h in held.values()], "v": [h[1] for h in held.values()],
+                                              "s": [h[2] for h in held.values()]}, schema=schema)
+            held.clear()
+            return got
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                code, v, w = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(), draw(batch.column(2).to_pylist())
+                of = code.indices.to_numpy()
+                for i, grp in enumerate(code.dictionary.to_pylist()):
+                    mine = np.flatnonzero(of == i)
+                    h = held.setdefault(grp, [0, 0.0, np.zeros(2 * n_boot)])
+                    h[0] += len(mine)
+                    h[1] += v[mine].sum()
+                    h[2][:n_boot] += w[mine].sum(0)
+                    h[2][n_boot:] += v[mine] @ w[mine]
+                if len(held) > 1000:  # of any number of groups a task holds so many
+                    yield out()
+        if held:
+            yield out()
+
+    return run
+
+
 def mean_ci(pre: Prepared, group: str = "weekday", n_boot: int = 1000, level: float = 0.95,
             seed: int = 42) -> DataFrame:
     """Bootstrap interval of each group's mean (Poisson bootstrap).
@@ -432,12 +481,12 @@ def mean_ci(pre: Prepared, group: str = "weekday", n_boot: int = 1000, level: fl
 
     from postlytics.operators.ml import row_key
 
+    ship(pre.df.sparkSession)
     rows = pre.df.where(F.col(group).isNotNull() & _er().isNotNull()) \
-        .select(F.col(group).cast("string").alias("grp"), _er().alias("v"), row_key(pre).alias("key"))
-    drawn = rows.select("grp", "v", replicate_weights(F.col("key"), n_boot, seed).alias("w"))
-    both = F.concat("w", F.transform("w", lambda w: w * F.col("v")))
-    sums = drawn.select("grp", "v", array_to_vector(both).alias("both")).groupBy("grp").agg(
-        F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(F.col("both"))).alias("s"))
+        .select(F.col(group).cast("string").alias("grp"), _er().cast("double").alias("v"), row_key(pre).alias("key"))
+    parts = rows.mapInArrow(_replicate_sums(n_boot, seed), "grp string, n long, v double, s array<double>")
+    sums = parts.groupBy("grp").agg((F.sum("v") / F.sum("n")).alias("mean"), F.sum("n").alias("n"),
+                                    vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
     means = sums.select("grp", "mean", "n", F.explode(F.arrays_zip(
         F.slice("s", 1, n_boot).alias("w"), F.slice("s", n_boot + 1, n_boot).alias("wv"))).alias("r"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2

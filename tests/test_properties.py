@@ -65,6 +65,32 @@ def test_replicate_weights_by_plain_python(spark):
         assert r["w"] == [sum(u >= x for x in POISSON_BOUNDS) for u in draws[:19]]
 
 
+def test_bootstrap_sums_come_from_tasks_and_equal_the_drawn_weights(spark, pre_small):
+    """Weights are drawn from bytes in Arrow tasks, not by expressions on text; null keys and groups of one row count as well."""
+    import numpy as np
+
+    from postlytics.operators import eda
+    from postlytics.operators.features import Prepared
+
+    data = [("a" if i % 3 else "b", float(i % 7) + 0.5, None if i % 10 == 4 else str(i)) for i in range(1200)]
+    data += [("c", 2.0, "x"), ("c", None, "y"), (None, 1.0, "z")]
+    df = spark.createDataFrame(data, "weekday string, engagement_rate_pct double, post_id string").repartition(3)
+    pre = Prepared(df, pre_small.roles, pre_small.denominator)
+    got = eda.mean_ci(pre, n_boot=100, seed=7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "md5" not in plan
+    drawn = df.dropna(subset=["weekday", "engagement_rate_pct"]).select("*", eda.replicate_weights(F.col("post_id"), 100, 7).alias("w")).toPandas()
+    out = {r["grp"]: r for r in got.collect()}
+    assert set(out) == {"a", "b", "c"}
+    for grp, g in drawn.groupby("weekday"):
+        w, v = np.stack(g["w"].to_list()), g["engagement_rate_pct"].to_numpy()
+        ok = w.sum(0) > 0
+        lo, hi = np.quantile((v @ w)[ok] / w.sum(0)[ok], [0.025, 0.975])
+        r = out[grp]
+        assert r["n"] == len(g) and abs(r["mean"] - v.mean()) < 1e-6
+        assert abs(r["ci_low"] - lo) < 2e-6 and abs(r["ci_high"] - hi) < 2e-6
+
+
 def _rates(spark, pre, values):
     from postlytics.operators.features import Prepared
 
