@@ -434,7 +434,7 @@ def _replicate_sums(n_boot: int, seed: int):
 
     def draw(keys: list) -> np.ndarray:
         begins = [str(seed).encode() if k is None else f"{seed}|{k}".encode() for k in keys]
-        raw = b"".join([hashlib.md5(b + e, usedforsecurity=False).digest() for b in begins for e in ends])
+        raw = b"".join([hashlib.md5(b + e).digest() for b in begins for e in ends])
         return weight[np.frombuffer(raw, ">u2").reshape(len(keys), -1)[:, :n_boot]].astype(float)
 
     def run(batches):

@@ -138,7 +138,7 @@ def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _loaded_pre(spark: SparkSession, sf_dir: str) -> Prepared:
-    return preprocess(_loaded(spark, sf_dir))
+    return preprocess(csv_export.kept(_loaded(spark, sf_dir)))
 
 
 def _text_posts(spark: SparkSession, sf_dir: str) -> DataFrame:

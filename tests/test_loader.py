@@ -277,3 +277,39 @@ def test_flow_states(flows, entry):
         want.append(int(state))
     got = flow_states(np.array([f[0] for f in flows]), np.array([f[1] for f in flows]), int(entry))
     assert got.tolist() == want
+
+
+def test_cells_are_parsed_once(spark, tmp_path):
+    """What is asked of a kept table reads typed columns; no text is parsed again."""
+    (tmp_path / "a.csv").write_text("Post ID,Publish time,Likes\n1,14/03/2024 10:05,5\n2,15/03/2024 23:59,7\n")
+    from postlytics.sources.csv_export import kept
+
+    df = kept(read_export(spark, str(tmp_path)))
+    plan = df.select(F.hour("publish_time"), F.month("publish_time"), "likes")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower() and "gettimestamp" not in plan.lower()
+    assert [r[0] for r in df.select(F.hour("publish_time")).orderBy("publish_time").collect()] == [10, 23]
+
+
+def test_screened_parses_equal_plain_ones(spark):
+    """The screen before a parse turns no text away that the parser reads."""
+    from postlytics.sources.csv_export import FAMILIES, PLAIN_PATTERNS, _may_have
+
+    days = ["3/4/2024", "13/12/2024", "31-1-2024", "1.2.2024", "Jan 5, 2024", "SEPT 5, 2024", "may 05, 2024", "March 7, 2024", "7 mar 2024",
+            "07 September 2024", "7 juillet 2024", "5/6/24", "2024/05/06", "", "Mar. 7, 2024"]
+    clocks = ["", " 9:05", " 09:05:30", " 23:59", " 9:05 AM", " 11:05:30 pm", " 12:00 p.m.", " 9:05 a", ":", " 9.05", "  9:05", " 13:00 PM"]
+    texts = spark.createDataFrame([(d + c,) for d in days for c in clocks], "c string")
+    patterns = [*PLAIN_PATTERNS, *(p for f in FAMILIES.values() for p in f)]
+    c = F.col("c")
+    read = texts.select("c", *[F.try_to_timestamp(c, F.lit(p)).isNotNull().alias(f"r{i}") for i, p in enumerate(patterns)],
+                        *[_may_have(c, p).alias(f"m{i}") for i, p in enumerate(patterns)]).collect()
+    lost = [(r["c"], p) for r in read for i, p in enumerate(patterns) if r[f"r{i}"] and not r[f"m{i}"]]
+    assert not lost and sum(r[f"r{i}"] for r in read for i in range(len(patterns))) > 40
+    assert sum(r[f"m{i}"] for r in read for i in range(len(patterns))) < 0.5 * len(read) * len(patterns)
+
+
+def test_loaded_queries_ask_a_kept_table(spark):
+    from conftest import SF_SMALL
+    from postlytics.plans.registry import queries
+
+    plan = queries()["read_export_monthly_trend"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "gettimestamp" not in plan and "regexp_replace" not in plan
