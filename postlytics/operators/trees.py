@@ -5,7 +5,8 @@ thresholds, variance gain, counts with bootstrap multiplicity), but a row is one
 byte a column, columns that exclude each other (one-hot digits) share one byte,
 and nothing is kept per row and tree: bootstrap counts are drawn anew from (seed,
 tree, block).  A level of all trees of a forest is one job, as is a level of a
-boosted tree; tasks send sums per node and bin, never rows.
+boosted tree (splits of one block are boosted in one job); tasks send sums per
+node and bin, never rows.
 """
 
 from __future__ import annotations
@@ -326,6 +327,39 @@ def _boost(bases: list[RDD], layouts: list[Layout], n: int, rounds: int, depth:
     return models
 
 
+def _boost_blocks(bases: list[RDD], layouts: list[Layout], rounds: int, depth: int, step: float, share: float, seed: int) -> list[list[Tree]]:
+    """``_boost`` of splits of one block each (at most BOOST_ROWS rows): there is nothing to add up, so a split's task grows
+    its trees and all of it is one job instead of one a level."""
+    def grown(k: int, layout: Layout):
+        def run(block):
+            pieces, bins, y = block
+            p, trees = np.zeros(len(y)), []
+            for r in range(rounds):
+                target, tree = 2 * (y - p) if r else y, Tree.root()
+                w = _weights(pieces, len(y), r, share, seed)
+                for _ in range(depth):
+                    if not tree.open:
+                        break
+                    tree.grow(layout.best(*_node_sums(layout, tree.binned(layout), tree.first, tree.open, bins, w, target), 1))
+                p += (step if r else 1.0) * tree.value[route(tree.binned(layout), bins)]
+                trees.append(tree)
+            return k, trees
+        return run
+
+    jobs = [b.map(grown(k, layout)) for k, (b, layout) in enumerate(zip(bases, layouts))]
+    return [trees for _, trees in sorted(bases[0].context.union(jobs).collect(), key=lambda x: x[0])]
+
+
+def _weights(pieces: list, n: int, r: int, share: float, seed: int) -> np.ndarray:
+    return np.ones(n) if share >= 1 else _draw(pieces, (seed + r, 0), lambda g, n: g.random(n) < share).astype(float)
+
+
+def _node_sums(layout: Layout, binned: tuple, first: int, nodes: int, bins: np.ndarray, w: np.ndarray, target: np.ndarray):
+    node = route(binned, bins)
+    used = np.flatnonzero((node >= first) & (w > 0))
+    return layout.sums(bins[:, used], node[used] - np.int64(first), w[used], target[used], nodes)
+
+
 def _level(state: RDD, layouts: list[Layout], live: dict[int, tuple], r: int, share: float, seed: int) -> dict[int, tuple]:
     """Sums of the open nodes of one level, by split."""
     def sums(pair):
@@ -334,10 +368,8 @@ def _level(state: RDD, layouts: list[Layout], live: dict[int, tuple], r: int, sh
             return {}
         binned, first, nodes = live[k]
         target = 2 * (y - p) if r else y
-        w = np.ones(len(y)) if share >= 1 else _draw(pieces, (seed + r, 0), lambda g, n: g.random(n) < share).astype(float)
-        node = route(binned, bins)
-        used = np.flatnonzero((node >= first) & (w > 0))
-        return {k: layouts[k].sums(bins[:, used], node[used] - np.int64(first), w[used], target[used], nodes)}
+        w = _weights(pieces, len(y), r, share, seed)
+        return {k: _node_sums(layouts[k], binned, first, nodes, bins, w, target)}
 
     def add(a, b):
         return {k: (a[k][0] + b[k][0], a[k][1] + b[k][1]) if k in a and k in b else a.get(k) or b[k] for k in a.keys() | b.keys()}
@@ -379,7 +411,10 @@ class TreeRegressor:
                     out[i] = TreeModel([tree], [1.0], layout, False)
             if self.rounds and bases:
                 rdds, layouts, ns = zip(*bases.values())
-                done = _boost(rdds, layouts, sum(ns), self.rounds, self.depth, self.step, self.share, self.seed)
+                if max(ns) <= BOOST_ROWS:
+                    done = _boost_blocks(rdds, layouts, self.rounds, self.depth, self.step, self.share, self.seed)
+                else:
+                    done = _boost(rdds, layouts, sum(ns), self.rounds, self.depth, self.step, self.share, self.seed)
                 for i, layout, trees in zip(bases, layouts, done):
                     out[i] = TreeModel(trees, [1.0] + [self.step] * (len(trees) - 1), layout, False)
             elif bases:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
@@ -66,3 +67,29 @@ def test_nothing_to_split_on_gives_the_mean(spark, data):
     m = trees.TreeRegressor("label", trees=3).fit(df)
     mean = df.agg(F.avg("label")).first()[0]
     assert m.transform(df).agg(F.max(F.abs(F.col("prediction") - mean))).first()[0] < 1e-9 and m.numFeatures == 1
+
+
+def test_small_splits_are_boosted_in_one_job(spark, monkeypatch):
+    """A split of one block takes no job a level, and its trees are those of the jobs by level, with one block or several."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3))
+    data = [(Vectors.dense(r), float(r[0] * 3 + (r[1] > 0) * 2 + r[2])) for r in x]
+    dfs = [spark.createDataFrame(data[:n], ["features", "label"]).repartition(3).cache() for n in (600, 450)]
+    model = trees.TreeRegressor("label", rounds=30, depth=4, step=0.1, share=0.8, seed=5)
+    for df in dfs:
+        df.count()
+    spark.sparkContext.setJobGroup("boost", "boost")
+    try:
+        got = model.fit_all(dfs)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boost")) < 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    by_level = lambda bases, layouts, rounds, *rest: trees._boost(bases, layouts, 1050, rounds, *rest)
+    monkeypatch.setattr(trees, "_boost_blocks", by_level)
+    one = model.fit_all(dfs)
+    monkeypatch.setattr(trees, "BOOST_ROWS", 200)
+    several = model.fit_all(dfs)
+    for a, b, c in zip(got, one, several):
+        for s, t, u in zip(a.trees, b.trees, c.trees):
+            assert (s.split == t.split).all() and (s.value == t.value).all()
+            assert (s.split == u.split).all() and np.allclose(s.value, u.value)
