@@ -5,8 +5,8 @@ thresholds, variance gain, counts with bootstrap multiplicity), but a row is one
 byte a column, columns that exclude each other (one-hot digits) share one byte,
 and nothing is kept per row and tree: bootstrap counts are drawn anew from (seed,
 tree, block).  A level of all trees of a forest is one job, as is a level of a
-boosted tree (splits of one block are boosted in one job); tasks send sums per
-node and bin, never rows.
+boosted tree (splits of one block are boosted in one job, and a forest of one block is grown in
+one); tasks send sums per node and bin or trees, never rows.
 """
 
 from __future__ import annotations
@@ -254,6 +254,53 @@ def _draw(pieces: list, key: tuple[int, int], how: Callable) -> np.ndarray:
     return np.concatenate([how(np.random.default_rng((*key, p, i)), n) for p, i, n in pieces])
 
 
+def _grown(layout: Layout, bins: np.ndarray, w: np.ndarray, y: np.ndarray, depth: int, least: int) -> Tree:
+    """A tree of rows that are all here: rows go from a level to the next, nodes too small to split are not summed."""
+    tree, node, can = Tree.root(), np.zeros(len(y), np.int64), np.array([True])
+    for _ in range(depth):
+        if not tree.open:
+            break
+        look = np.flatnonzero(can)
+        if len(look) < len(can):
+            place = np.full(len(can), -1)
+            place[look] = np.arange(len(look))
+            node = place[node]
+            on = np.flatnonzero(node >= 0)
+            bins, w, y, node = bins[:, on], w[on], y[on], node[on]
+        few = layout.best(*layout.sums(bins, node, w, y, len(look)), least)
+        s = Splits(*(np.full(len(can), -1, v.dtype) for v in vars(few).values()))
+        for mine, found in zip(vars(s).values(), vars(few).values()):
+            mine[look] = found
+        tree.grow(s)
+        done = few.split >= 0
+        size = np.column_stack([few.left_n[done], few.right_n[done]]).ravel()
+        can = size >= 2 * max(least, 1)
+        child, which = np.where(done, 2 * (np.cumsum(done) - 1), -1)[node], few.split[node]
+        on = np.flatnonzero(child >= 0)
+        if len(on) < len(node):
+            bins, w, y, child, which = bins[:, on], w[on], y[on], child[on], which[on]
+        b = bins.ravel().take(layout.column.take(which) * np.int64(len(y)) + np.arange(len(y)))
+        node = child + ((b > layout.low.take(which)) & (b <= layout.high.take(which)))
+    return tree
+
+
+def _forest_block(base: RDD, layout: Layout, n: int, trees: int, depth: int, least: int, seed: int) -> list[Tree]:
+    """``_forest`` of one block: there is nothing to add up, so a task grows its trees to the end, in one job."""
+    groups = max(1, min(math.ceil(trees / LEAST_TREES), math.ceil(4 * trees * n / TASK_WORK)))
+
+    def grown(pair):
+        group, (pieces, bins, y) = pair
+        for t in range(group, trees, groups):
+            w = _draw(pieces, (seed, t), lambda r, n: r.poisson(1.0, n))
+            used = np.flatnonzero(w)
+            tree = _grown(layout, bins[:, used], w[used].astype(float), y[used], depth, least)
+            tree.split = tree.split.astype(np.int32)
+            yield t, tree
+
+    found = dict(base.context.parallelize(range(groups), groups).cartesian(base).flatMap(grown).collect())
+    return [found[t] for t in range(trees)]
+
+
 def _forest(base: RDD, layout: Layout, n: int, trees: int, depth: int, least: int, seed: int) -> list[Tree]:
     sc, forest = base.context, [Tree.root() for _ in range(trees)]
     groups = min(math.ceil(trees / LEAST_TREES), math.ceil(trees * n / TASK_WORK))
@@ -419,7 +466,8 @@ class TreeRegressor:
                     out[i] = TreeModel(trees, [1.0] + [self.step] * (len(trees) - 1), layout, False)
             elif bases:
                 for i, (base, layout, n) in bases.items():
-                    trees = _forest(base, layout, n, self.trees, self.depth, self.least, self.seed)
+                    grow = _forest_block if base.getNumPartitions() == 1 else _forest
+                    trees = grow(base, layout, n, self.trees, self.depth, self.least, self.seed)
                     out[i] = TreeModel(trees, [1 / len(trees)] * len(trees), layout, True)
             return [out[i] for i in range(len(dfs))]
         finally:

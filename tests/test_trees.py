@@ -93,3 +93,21 @@ def test_small_splits_are_boosted_in_one_job(spark, monkeypatch):
         for s, t, u in zip(a.trees, b.trees, c.trees):
             assert (s.split == t.split).all() and (s.value == t.value).all()
             assert (s.split == u.split).all() and np.allclose(s.value, u.value)
+
+
+def test_a_forest_of_one_block_takes_no_job_a_level(spark, data, monkeypatch):
+    """Deep trees of one block cost as many jobs as shallow ones, and are those of the jobs by level."""
+    def grown(depth):
+        group = f"forest-{depth}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            model = trees.TreeRegressor("label", trees=9, depth=depth, least=2).fit(data)
+            return model, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    (_, few), (deep, many) = grown(2), grown(9)
+    assert few == many
+    monkeypatch.setattr(trees, "_forest_block", trees._forest)
+    for a, b in zip(deep.trees, grown(9)[0].trees):
+        assert (a.split == b.split).all() and (a.left == b.left).all() and (a.value == b.value).all() and (a.gain == b.gain).all()
