@@ -99,13 +99,13 @@ class Layout:
                     out[c][x[:, f] > t[k]] = k + 1
         return out
 
-    def sums(self, bins: np.ndarray, node: np.ndarray, weight: np.ndarray, y: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
-        """Count and sum of every node's rows by bin, columns side by side."""
-        wy, count, total = weight * y, [], []
+    def sums(self, bins: np.ndarray, node: np.ndarray, weight: np.ndarray | None, y: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Count and sum of every node's rows by bin, columns side by side; no ``weight``: each row counts once."""
+        wy, count, total = y if weight is None else weight * y, [], []
         for (_, t), b in zip(self.columns, bins):
             k = len(t) + 1
             at = node * k + b
-            count.append(np.bincount(at, weight, nodes * k).reshape(nodes, k))
+            count.append(np.bincount(at, weight, nodes * k).reshape(nodes, k).astype(float, copy=False))
             total.append(np.bincount(at, wy, nodes * k).reshape(nodes, k))
         return np.hstack(count), np.hstack(total)
 
@@ -383,7 +383,7 @@ def _boost_blocks(bases: list[RDD], layouts: list[Layout], rounds: int, depth: i
             p, trees = np.zeros(len(y)), []
             for r in range(rounds):
                 target, tree = 2 * (y - p) if r else y, Tree.root()
-                w = _weights(pieces, len(y), r, share, seed)
+                w = _drawn(pieces, r, share, seed)
                 for _ in range(depth):
                     if not tree.open:
                         break
@@ -397,14 +397,18 @@ def _boost_blocks(bases: list[RDD], layouts: list[Layout], rounds: int, depth: i
     return [trees for _, trees in sorted(bases[0].context.union(jobs).collect(), key=lambda x: x[0])]
 
 
-def _weights(pieces: list, n: int, r: int, share: float, seed: int) -> np.ndarray:
-    return np.ones(n) if share >= 1 else _draw(pieces, (seed + r, 0), lambda g, n: g.random(n) < share).astype(float)
+def _drawn(pieces: list, r: int, share: float, seed: int) -> np.ndarray | None:
+    """Which rows a round uses (None: all)."""
+    return None if share >= 1 else _draw(pieces, (seed + r, 0), lambda g, n: g.random(n) < share)
 
 
-def _node_sums(layout: Layout, binned: tuple, first: int, nodes: int, bins: np.ndarray, w: np.ndarray, target: np.ndarray):
+def _node_sums(layout: Layout, binned: tuple, first: int, nodes: int, bins: np.ndarray, drawn: np.ndarray | None, target: np.ndarray):
     node = route(binned, bins)
-    used = np.flatnonzero((node >= first) & (w > 0))
-    return layout.sums(bins[:, used], node[used] - np.int64(first), w[used], target[used], nodes)
+    use = node >= first if drawn is None else (node >= first) & drawn
+    if not use.all():
+        used = np.flatnonzero(use)
+        bins, node, target = bins[:, used], node[used], target[used]
+    return layout.sums(bins, node - np.int64(first), None, target, nodes)
 
 
 def _level(state: RDD, layouts: list[Layout], live: dict[int, tuple], r: int, share: float, seed: int) -> dict[int, tuple]:
@@ -415,7 +419,7 @@ def _level(state: RDD, layouts: list[Layout], live: dict[int, tuple], r: int, sh
             return {}
         binned, first, nodes = live[k]
         target = 2 * (y - p) if r else y
-        w = _weights(pieces, len(y), r, share, seed)
+        w = _drawn(pieces, r, share, seed)
         return {k: _node_sums(layouts[k], binned, first, nodes, bins, w, target)}
 
     def add(a, b):
