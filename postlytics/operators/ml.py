@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from postlytics.functions.columns import rint_round
 from postlytics.operators.features import ER, Prepared
-from postlytics.operators.trees import TreeRegressor
+from postlytics.operators.trees import Binned, TreeRegressor
 
 SEED = 42
 LABEL = "label"
@@ -162,15 +162,22 @@ MOST_PARTITIONS = 1_024
 
 @dataclass
 class Encoded:
-    """One training split, encoded once: only features and label, cached until ``release``."""
+    """One training split, encoded once: only features and label, cached until ``release``, and binned once for its tree models."""
 
     encoder: PipelineModel
     train: DataFrame
     n: int
     label_std: float
+    binned: Binned | None = None
+
+    def bins(self) -> Binned:
+        self.binned = self.binned or Binned(self.train, LABEL, SEED)
+        return self.binned
 
     def release(self) -> None:
         self.train.unpersist()
+        if self.binned:
+            self.binned.release()
 
 
 def encode_split(fs: FeatureSet, train: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> Encoded:
@@ -223,12 +230,13 @@ def fit_model(name: str, data: Encoded, variant: str = "api", alpha: float = 1.0
     if name == "Ridge Regression":
         # sklearn's alpha on the unscaled squared loss == Spark's regParam * n / std(y)
         model.setRegParam(alpha * data.label_std / data.n if data.n else 0.0)
-    return PipelineModel(data.encoder.stages + [model.fit(data.train)])
+    fitted = model.fit_all([data.bins()])[0] if isinstance(model, TreeRegressor) else model.fit(data.train)
+    return PipelineModel(data.encoder.stages + [fitted])
 
 
 def fit_together(name: str, data: list[Encoded], variant: str = "api", gbt_subsample: float = 0.8) -> list[PipelineModel]:
     """A tree model on each of several encoded splits, in shared jobs."""
-    models = make_model(name, variant, gbt_subsample).fit_all([d.train for d in data])
+    models = make_model(name, variant, gbt_subsample).fit_all([d.bins() for d in data])
     return [PipelineModel(d.encoder.stages + [m]) for d, m in zip(data, models)]
 
 
@@ -272,6 +280,10 @@ def train_model(pre: Prepared, name: str, variant: str = "api", test_size: float
     return Trained(name, _fit(name, fs, train, variant), fs, test)
 
 
+#: Splits of a comparison whose encoded rows are cached side by side.
+SPLITS_CACHED = 3
+
+
 @dataclass
 class Zoo:
     """Metrics of every fit, (model, fold or None for the test split) -> (r2, mae, rmse), and the test-split models."""
@@ -285,41 +297,58 @@ def fit_zoo(pre: Prepared, names: list[str], variant: str = "api", k: int = 5, w
             parallelism: int = 6) -> Zoo:
     """Fits every model on the training split and (``k`` > 0) on every fold's complement.
 
-    Each split is encoded once and cached only while the models are fitted;
-    splits run side by side in a bounded pool, boosted models of all splits in
-    the same jobs.  Only metrics and trees come to the driver.
+    Each split is encoded once; its linear models come first, then it is binned for its tree models and its encoded rows
+    are given up, so only a few splits are cached at a time.  Boosted models of all splits share their jobs, which
+    run beside those of the forests.  Only metrics and trees come to the driver.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     fs, rows, train, test = prepare_model_data(pre, variant)
     splits = ([(None, train, test)] if with_test else []) + [(f, rows.where(F.col("fold") != f), rows.where(F.col("fold") == f))
                                                             for f in range(k)]
+    grown = {n: m for n in names if isinstance(m := make_model(n, variant), TreeRegressor)}
+    kept: list[tuple[Encoded, DataFrame]] = []
 
     def prepare(split):
-        data = encode_split(fs, split[1])
-        return data, data.encoder.transform(split[2]).select("features", LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+        fold, own, rest = split
+        data = encode_split(fs, own)
+        held = data.encoder.transform(rest).select("features", LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append((data, held))
+        scored = [score((n, fold, held, fit_model(n, data, variant))) for n in names if n not in grown]
+        if grown:
+            data.bins().load(list(grown.values()))
+            data.train.unpersist()
+        return fold, data, held, scored
 
     def score(fit):
         name, fold, held, model = fit
         r = evaluate(model.stages[-1].transform(held), digits=12).first()
         return name, fold, (r["r2"], r["mae"], r["rmse"]), model
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(splits)))) as pool:
-        ready = list(pool.map(prepare, splits))
-        try:
-            done = []
-            for name in names:
-                if name == "Gradient Boosting":  # its rounds are small jobs, shared by all splits
-                    models = fit_together(name, [d for d, _ in ready], variant)
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(splits), SPLITS_CACHED))) as few:
+            ready = list(few.map(prepare, splits))
+        done = [s for *_, scored in ready for s in scored]
+        n_rows = rows.count()
+        rows.unpersist()
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(splits))) + 1) as pool:
+            fits = []
+            for name in sorted(grown, key=lambda n: not grown[n].rounds):  # a boosted model is one long task a split: it begins first
+                if grown[name].rounds:
+                    fits.append((name, [pool.submit(fit_together, name, [data for _, data, _, _ in ready], variant)]))
                 else:
-                    models = list(pool.map(lambda r, name=name: fit_model(name, r[0], variant), ready))
-                done += pool.map(score, [(name, fold, held, m) for (fold, _, _), (_, held), m in zip(splits, ready, models)])
-        finally:
-            for data, held in ready:
-                held.unpersist()
-                data.release()
+                    fits.append((name, [pool.submit(fit_model, name, data, variant) for _, data, _, _ in ready]))
+            for name, jobs in fits:
+                models = jobs[0].result() if grown[name].rounds else [j.result() for j in jobs]
+                done += pool.map(score, [(name, fold, held, m) for (fold, _, held, _), m in zip(ready, models)])
+    finally:
+        rows.unpersist()
+        for data, held in kept:
+            held.unpersist()
+            data.release()
     trained = {n: Trained(n, m, fs, test) for n, fold, _, m in done if fold is None}
-    return Zoo({(n, fold): s for n, fold, s, _ in done}, trained, rows.count())
+    return Zoo({(n, fold): s for n, fold, s, _ in done}, trained, n_rows)
 
 
 def _cv_row(zoo: Zoo, name: str, k: int) -> tuple[float, float]:

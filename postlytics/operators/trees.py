@@ -6,7 +6,9 @@ byte a column, columns that exclude each other (one-hot digits) share one byte,
 and nothing is kept per row and tree: bootstrap counts are drawn anew from (seed,
 tree, block).  A level of all trees of a forest is one job, as is a level of a
 boosted tree (splits of one block are boosted in one job, and a forest of one block is grown in
-one); tasks send sums per node and bin or trees, never rows.
+one); tasks send sums per node and bin or trees, never rows.  A split is binned once for all its
+models.  Blocks of many rows add up several columns in one pass and only the smaller of two
+sibling nodes, from labels on a grid, so that sums and differences of sums are exact.
 """
 
 from __future__ import annotations
@@ -27,10 +29,17 @@ from pyspark.sql import functions as F
 from postlytics.session import ship
 
 MAX_BINS = 32
-#: Rows of one task: a boosted round is many short jobs, a task of a forest's level takes a group of trees over more rows
-#: (18 bytes each), so that fewer tables of sums are shuffled.
+#: Rows of one task: a round boosted over several blocks is many short jobs, a task of a forest's level takes a group of
+#: trees over more rows (18 bytes each), so that fewer tables of sums are shuffled; a split of FOREST_ROWS is one block to both.
 BOOST_ROWS = 250_000
 FOREST_ROWS = 2_000_000
+#: Blocks of more rows are summed by ``Packed``, smaller ones column by column (the same trees but for ties in rounding).
+PACKED_ROWS = 250_000
+#: Values of one code of several columns, and rows that are added up at a time.
+PACK = 1_024
+CHUNK = 1 << 17
+#: Rows of a partition that share a draw.
+PIECE_ROWS = 10_000
 #: Rows times trees of a forest's task, and the fewest trees of one.
 TASK_WORK = 1_000_000
 LEAST_TREES = 4
@@ -68,7 +77,7 @@ class Layout:
 
     @classmethod
     def of(cls, cuts: list[np.ndarray], together: np.ndarray) -> Layout:
-        """``together``: in how many rows two slots of one cut are both above it."""
+        """``together``: in how many batches of rows two slots of one cut are both above it in some row."""
         columns: list[tuple[list[int], np.ndarray]] = []
         for f, t in enumerate(cuts):
             if len(t) > 1:
@@ -195,58 +204,104 @@ def route(tree: tuple, bins: np.ndarray) -> np.ndarray:
     return node
 
 
+def _dense(column) -> np.ndarray:
+    """Rows of a column of arrays or of ML vectors (type, size, indices, values), of which sparse ones cross as they are."""
+    import pyarrow as pa
+
+    if isinstance(column, pa.ExtensionArray):
+        column = column.storage
+    if not pa.types.is_struct(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    kind, size, indices, values = (column.field(i) for i in range(4))
+    n, sparse = len(column), kind.to_numpy(zero_copy_only=False) == 0
+    per = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    slots = int(size[int(sparse.argmax())].as_py()) if sparse.any() else int(per[0])
+    row, value = np.repeat(np.arange(n), per), values.flatten().to_numpy(zero_copy_only=False)
+    slot = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+    slot[np.repeat(sparse, per)] = indices.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((n, slots))
+    out[row, slot] = value
+    return out
+
+
 def _batches(batches: Iterable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
         if b.num_rows:
-            yield (b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1),
-                   b.column(1).to_numpy(zero_copy_only=False))
+            yield _dense(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
+
+
+def _values(batches: Iterable) -> Iterator:
+    import pyarrow as pa
+
+    for x, _ in _batches(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]), pa.array([x.shape[1]], pa.int32())], ["x", "slots"])
 
 
 def _together(batches: Iterable, cuts: np.ndarray) -> Iterator:
     import pyarrow as pa
 
     total = np.zeros((len(cuts), len(cuts)))
+    one = np.flatnonzero(np.isfinite(cuts))
     for x, _ in _batches(batches):
-        above = (x > cuts).astype(float)
-        total += above.T @ above
+        above = x[:, one] > cuts[one]
+        bits = np.packbits(above, axis=1)
+        for f, rows in zip(one, above.T):
+            total[f, one] += np.unpackbits(np.bitwise_or.reduce(bits[rows], axis=0, initial=0, dtype=np.uint8), count=len(one))
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["m"])
 
 
+def _few(data: DataFrame) -> DataFrame:
+    """The same rows in some tasks a core: a Python task costs as much as the rows of one small partition."""
+    return data.coalesce(3 * data.sparkSession.sparkContext.defaultParallelism)
+
+
 def layout_of(data: DataFrame, n: int, seed: int) -> Layout:
     """Cuts from a sample of some 10,000 rows (all, if fewer) as in Spark ML; which columns exclude each other from all rows."""
     share = max(MAX_BINS * MAX_BINS, 10_000) / n
-    sample = (data if share >= 1 else data.sample(share, seed)).select("x").toArrow().column("x").combine_chunks()
-    x = sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1)
+    sample = _few(data if share >= 1 else data.sample(share, seed)).mapInArrow(_values, "x binary, slots int").collect()
+    x = np.vstack([np.frombuffer(r["x"]).reshape(-1, r["slots"]) for r in sample])
     cuts = [thresholds(c) for c in x.T]
     one = np.array([t[0] if len(t) == 1 else np.inf for t in cuts])
-    parts = data.mapInArrow(lambda it: _together(it, one), "m binary").rdd.map(lambda r: np.frombuffer(r[0]).reshape(len(one), -1))
+    parts = _few(data).mapInArrow(lambda it: _together(it, one), "m binary").rdd.map(lambda r: np.frombuffer(r[0]).reshape(len(one), -1))
     return Layout.of(cuts, parts.treeReduce(np.add))
 
 
-Block = tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]  # (partition, batch, rows) of its pieces; bytes; labels
+Block = tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]  # (partition, number, rows) of its pieces; bytes; labels
 
 
 def blocks(data: DataFrame, layout: Layout, n: int, rows: int) -> RDD:
-    """Binned rows, one element a partition of about ``rows``; pieces keep their number for draws."""
+    """Binned rows, one element a partition of about ``rows``; pieces (PIECE_ROWS of a partition) keep their number for draws."""
     parts, given = max(1, math.ceil(n / rows)), data.rdd.getNumPartitions()
 
     def encode(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        p = TaskContext.get().partitionId()
-        for i, (x, y) in enumerate(_batches(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([i], pa.int32()), pa.array([layout.encode(x).tobytes()]),
-                                              pa.array([y.astype(float).tobytes()])], ["p", "i", "b", "y"])
+        at, seen = None, 0  # partition and rows of it before
+        for b in batches:
+            p = b.column(2).to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
+            for lo, hi in zip(cut, cut[1:]):
+                if lo < hi and p[lo] != at:
+                    at, seen = int(p[lo]), 0
+                while lo < hi:
+                    to = min(hi, lo + PIECE_ROWS - seen % PIECE_ROWS)
+                    x, y = next(_batches([b.slice(lo, to - lo)]))
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([seen // PIECE_ROWS], pa.int32()), pa.array([seen % PIECE_ROWS], pa.int32()),
+                                                      pa.array([layout.encode(x).tobytes()]), pa.array([y.astype(float).tobytes()])], ["p", "i", "at", "b", "y"])
+                    seen, lo = seen + to - lo, to
 
     def join(it) -> Iterator[Block]:
-        got = sorted((v for _, v in it), key=lambda v: v[:2])
+        got = sorted((v for _, v in it), key=lambda v: v[:3])
         if got:
-            ys = [np.frombuffer(v[3]) for v in got]
-            bins = [np.frombuffer(v[2], np.uint8).reshape(-1, len(y)) for v, y in zip(got, ys)]
-            yield [(v[0], v[1], len(y)) for v, y in zip(got, ys)], np.hstack(bins), np.concatenate(ys)
-
-    pieces = data.mapInArrow(encode, "p int, i int, b binary, y binary").rdd.map(lambda r: (r[0] * parts // given, tuple(r)))
+            ys = [np.frombuffer(v[4]) for v in got]
+            bins = [np.frombuffer(v[3], np.uint8).reshape(-1, len(y)) for v, y in zip(got, ys)]
+            rows: dict[tuple[int, int], int] = {}
+            for v, y in zip(got, ys):  # a piece may come in parts, as tasks read several partitions
+                rows[v[:2]] = rows.get(v[:2], 0) + len(y)
+            yield [(*k, n) for k, n in rows.items()], np.hstack(bins), np.concatenate(ys)
+
+    pieces = (_few(data.withColumn("p", F.spark_partition_id())).mapInArrow(encode, "p int, i int, at int, b binary, y binary")
+              .rdd.map(lambda r: (r[0] * parts // given, tuple(r))))
     return pieces.partitionBy(parts, lambda k: k).mapPartitions(join).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -284,16 +339,173 @@ def _grown(layout: Layout, bins: np.ndarray, w: np.ndarray, y: np.ndarray, depth
     return tree
 
 
+def _on_grid(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
+    """Labels rounded to so many bits that their sums (``w`` times each) are exact in any order."""
+    top = float(np.abs(y).sum() if w is None else np.abs(y) @ w)
+    if not 0 < top < np.inf:
+        return y
+    scale = 51 - math.frexp(top)[1]
+    return np.ldexp(np.rint(np.ldexp(y, scale)), -scale)
+
+
+class Packed:
+    """A block's columns side by side in codes of at most PACK values: a pass of sums serves several columns."""
+
+    def __init__(self, layout: Layout, bins: np.ndarray):
+        self.layout, self.bins, self.flat = layout, bins, bins.ravel()
+        size = [len(t) + 1 for _, t in layout.columns]
+        self.first = np.append(0, np.cumsum(size))
+        groups: list[list[int]] = []
+        for c in sorted(range(len(size)), key=lambda c: -size[c]):
+            fits = [g for g in groups if math.prod(size[i] for i in g) * size[c] <= PACK]
+            if fits:
+                fits[0].append(c)
+            else:
+                groups.append([c])
+        self.single = [(bins[c], (c,), (k,)) for c, k in enumerate(size)]
+        self.groups = [(self._code(g, size), tuple(g), tuple(size[c] for c in g)) for g in groups]
+        self.stride = max(size)
+
+    def _code(self, columns: list[int], size: list[int]) -> np.ndarray:
+        code = self.bins[columns[0]].astype(np.uint16)
+        for c in columns[1:]:
+            code *= np.uint16(size[c])
+            code += self.bins[c]
+        return code
+
+    def sums(self, slot: np.ndarray, rows: np.ndarray, w: np.ndarray | None, wy: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        """Count and sum of ``rows`` by slot and bin, columns side by side."""
+        wide = slots * PACK <= len(rows)
+        count, total = np.empty((slots, self.first[-1])), np.empty((slots, self.first[-1]))
+        parts = self.groups if wide else self.single
+        found: list[list] = [[None, None] for _ in parts]
+        step = max(CHUNK, 4 * slots * PACK) if wide else max(CHUNK, len(rows))
+        for lo in range(0, max(len(rows), 1), step):
+            part = slice(lo, lo + step)
+            r, s, v, y = rows[part], slot[part], None if w is None else w[part], wy[part]
+            for (code, _, dims), sums in zip(parts, found):
+                size = math.prod(dims)
+                at = s * size
+                at += code.take(r)
+                for i, x in enumerate((np.bincount(at, v, slots * size), np.bincount(at, y, slots * size))):
+                    sums[i] = x if sums[i] is None else sums[i] + x
+        for (_, columns, dims), sums in zip(parts, found):
+            for out, x in zip((count, total), sums):
+                x = x.reshape(slots, *dims)
+                for i, c in enumerate(columns):
+                    others = tuple(j + 1 for j in range(len(dims)) if j != i)
+                    out[:, self.first[c]:self.first[c + 1]] = x.sum(axis=others) if others else x
+        return count, total
+
+    def step(self, tree: Tree, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Each row's node a level further (leaves stay)."""
+        lay, size = self.layout, len(tree.left)
+        inner = tree.split >= 0
+        at = np.maximum(tree.split, 0)
+        table = np.repeat(np.arange(size)[:, None], self.stride, 1)
+        b = np.arange(self.stride)[None]
+        right = (b > lay.low[at[inner]][:, None]) & (b <= lay.high[at[inner]][:, None])
+        table[inner] = tree.left[inner][:, None] + right
+        start = np.where(inner, lay.column[at].astype(np.int64), 0) * self.bins.shape[1]
+        out = np.empty(len(node), np.int64)
+        table = table.ravel()
+        for lo in range(0, len(node), CHUNK):
+            n = node[lo:lo + CHUNK]
+            place = start.take(n)
+            place += rows[lo:lo + CHUNK]
+            key = n * self.stride
+            key += self.flat.take(place)
+            out[lo:lo + CHUNK] = table.take(key)
+        return out
+
+    def grown(self, rows: np.ndarray, w: np.ndarray | None, y: np.ndarray, depth: int, least: int, track: bool = False) -> tuple[Tree, np.ndarray | None]:
+        """A tree of ``rows`` (label ``y`` on a grid, weight ``w``) and, if ``track``, each row's leaf.
+
+        Of two siblings the one of fewer rows is added up, the other is what the parent has more.
+        """
+        tree, least = Tree.root(), max(least, 1)
+        wy = y if w is None else w * y
+        leaf, place, node = np.zeros(len(rows), np.int64) if track else None, None, np.zeros(len(rows), np.int64)
+        count, total = self.sums(node, rows, w, wy, 1)
+        look = np.array([0])  # nodes of the last level that have sums
+        for level in range(depth):
+            few = self.layout.best(count, total, least)
+            s = Splits(*(np.full(tree.open, -1, v.dtype) for v in vars(few).values()))
+            for mine, found in zip(vars(s).values(), vars(few).values()):
+                mine[look] = found
+            tree.grow(s)
+            done = np.flatnonzero(few.split >= 0)
+            if not len(done):
+                break
+            if level == depth - 1:
+                if track:
+                    node = self.step(tree, node, rows)
+                break
+            node = self.step(tree, node, rows)
+            # children in order of their parents: left, right
+            size = np.column_stack([few.left_n[done], few.right_n[done]])
+            can = size >= 2 * least
+            small = (size[:, 1] < size[:, 0]).astype(np.int64)
+            need = np.flatnonzero(can.any(1))
+            if not len(need):
+                break
+            child = tree.first + 2 * need + small[need]
+            slot_of = np.full(len(tree.left), -1)
+            slot_of[child] = np.arange(len(need))
+            live = np.zeros(len(tree.left), bool)
+            live[tree.first:] = can.ravel()
+            on = live.take(node)
+            if (kept := np.count_nonzero(on)) < 0.875 * len(node):  # rows in leaves go
+                on = np.flatnonzero(on)
+                if track:
+                    leaf[slice(None) if place is None else place] = node
+                    place = on if place is None else place[on]
+                # rows of a smaller sibling that is a leaf are needed once more, as what its parent has less
+                lost = np.flatnonzero((slot_of.take(node) >= 0) & ~live.take(node))
+                slot, extra = slot_of.take(node[lost]), (rows[lost], None if w is None else w[lost], wy[lost])
+                node, rows, wy, w = node[on], rows[on], wy[on], None if w is None else w[on]
+            else:
+                slot, extra, kept = None, None, len(node)
+            mine = slot_of.take(node)
+            use = np.flatnonzero(mine >= 0)
+            given = [mine[use], rows[use], None if w is None else w[use], wy[use]]
+            if extra is not None and len(slot):
+                given = [None if a is None else np.concatenate([a, b]) for a, b in zip(given, (slot, *extra))]
+            c, t = self.sums(*given, len(need))
+            parent_c, parent_t = count[done[need]], total[done[need]]
+            both_c, both_t = np.empty((2 * len(need), c.shape[1])), np.empty((2 * len(need), c.shape[1]))
+            at = 2 * np.arange(len(need))
+            both_c[at + small[need]], both_t[at + small[need]] = c, t
+            both_c[at + 1 - small[need]], both_t[at + 1 - small[need]] = parent_c - c, parent_t - t
+            which = np.flatnonzero(can[need].ravel())
+            count, total = both_c[which], both_t[which]
+            look = (2 * need[:, None] + np.arange(2)).ravel()[which]
+        if track:
+            leaf[slice(None) if place is None else place] = node
+        return tree, leaf
+
+    def leaves(self, tree: Tree, rows: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(rows), np.int64)
+        for _ in range(tree.depth):
+            node = self.step(tree, node, rows)
+        return node
+
+
 def _forest_block(base: RDD, layout: Layout, n: int, trees: int, depth: int, least: int, seed: int) -> list[Tree]:
     """``_forest`` of one block: there is nothing to add up, so a task grows its trees to the end, in one job."""
     groups = max(1, min(math.ceil(trees / LEAST_TREES), math.ceil(4 * trees * n / TASK_WORK)))
 
     def grown(pair):
         group, (pieces, bins, y) = pair
+        packed = Packed(layout, bins) if len(y) > PACKED_ROWS else None
         for t in range(group, trees, groups):
             w = _draw(pieces, (seed, t), lambda r, n: r.poisson(1.0, n))
             used = np.flatnonzero(w)
-            tree = _grown(layout, bins[:, used], w[used].astype(float), y[used], depth, least)
+            if packed:
+                w = w[used].astype(float)
+                tree, _ = packed.grown(used, w, _on_grid(y[used], w), depth, least)
+            else:
+                tree = _grown(layout, bins[:, used], w[used].astype(float), y[used], depth, least)
             tree.split = tree.split.astype(np.int32)
             yield t, tree
 
@@ -375,15 +587,27 @@ def _boost(bases: list[RDD], layouts: list[Layout], n: int, rounds: int, depth:
 
 
 def _boost_blocks(bases: list[RDD], layouts: list[Layout], rounds: int, depth: int, step: float, share: float, seed: int) -> list[list[Tree]]:
-    """``_boost`` of splits of one block each (at most BOOST_ROWS rows): there is nothing to add up, so a split's task grows
+    """``_boost`` of splits of one block each (at most FOREST_ROWS rows): there is nothing to add up, so a split's task grows
     its trees and all of it is one job instead of one a level."""
     def grown(k: int, layout: Layout):
         def run(block):
             pieces, bins, y = block
             p, trees = np.zeros(len(y)), []
+            packed = Packed(layout, bins) if len(y) > PACKED_ROWS else None
             for r in range(rounds):
                 target, tree = 2 * (y - p) if r else y, Tree.root()
                 w = _drawn(pieces, r, share, seed)
+                if packed:
+                    used = np.arange(len(y)) if w is None else np.flatnonzero(w)
+                    tree, found = packed.grown(used, None, _on_grid(target[used]), depth, 1, track=True)
+                    if w is None:
+                        leaf = found
+                    else:
+                        leaf, rest = np.empty(len(y), np.int64), np.flatnonzero(~w)
+                        leaf[used], leaf[rest] = found, packed.leaves(tree, rest)
+                    p += ((step if r else 1.0) * tree.value).take(leaf)
+                    trees.append(tree)
+                    continue
                 for _ in range(depth):
                     if not tree.open:
                         break
@@ -445,38 +669,71 @@ class TreeRegressor:
     def fit(self, df: DataFrame) -> TreeModel:
         return self.fit_all([df])[0]
 
-    def fit_all(self, dfs: list[DataFrame]) -> list[TreeModel]:
+    def fit_all(self, splits: list[DataFrame | Binned]) -> list[TreeModel]:
         """One model a split; boosted ones share their jobs."""
-        out, bases = {}, {}
+        out, bases, own = {}, {}, []
         try:
-            for i, df in enumerate(dfs):
-                ship(df.sparkSession)
-                data = df.select(vector_to_array("features").alias("x"), F.col(self.label).cast("double").alias("y"))
-                n = data.count()
-                layout = layout_of(data, n, self.seed)
-                if layout.columns:
-                    bases[i] = (blocks(data, layout, n, BOOST_ROWS if self.rounds else FOREST_ROWS), layout, n)
+            for i, split in enumerate(splits):
+                if not isinstance(split, Binned):
+                    split = Binned(split, self.label, self.seed)
+                    own.append(split)
+                if split.layout.columns:
+                    bases[i] = split
                 else:  # nothing to split on
                     tree = Tree.root()
-                    tree.value[0] = data.agg(F.avg("y")).first()[0]
-                    out[i] = TreeModel([tree], [1.0], layout, False)
+                    tree.value[0] = split.data.agg(F.avg("y")).first()[0]
+                    out[i] = TreeModel([tree], [1.0], split.layout, False)
             if self.rounds and bases:
-                rdds, layouts, ns = zip(*bases.values())
-                if max(ns) <= BOOST_ROWS:
+                layouts, ns = [s.layout for s in bases.values()], [s.n for s in bases.values()]
+                rdds = [s.blocks(self.block_rows(max(ns))) for s in bases.values()]
+                if max(ns) <= FOREST_ROWS:
                     done = _boost_blocks(rdds, layouts, self.rounds, self.depth, self.step, self.share, self.seed)
                 else:
                     done = _boost(rdds, layouts, sum(ns), self.rounds, self.depth, self.step, self.share, self.seed)
                 for i, layout, trees in zip(bases, layouts, done):
                     out[i] = TreeModel(trees, [1.0] + [self.step] * (len(trees) - 1), layout, False)
             elif bases:
-                for i, (base, layout, n) in bases.items():
+                for i, split in bases.items():
+                    base = split.blocks(self.block_rows(split.n))
                     grow = _forest_block if base.getNumPartitions() == 1 else _forest
-                    trees = grow(base, layout, n, self.trees, self.depth, self.least, self.seed)
-                    out[i] = TreeModel(trees, [1 / len(trees)] * len(trees), layout, True)
-            return [out[i] for i in range(len(dfs))]
+                    trees = grow(base, split.layout, split.n, self.trees, self.depth, self.least, self.seed)
+                    out[i] = TreeModel(trees, [1 / len(trees)] * len(trees), split.layout, True)
+            return [out[i] for i in range(len(splits))]
         finally:
-            for base, *_ in bases.values():
-                base.unpersist()
+            for split in own:
+                split.release()
+
+    def block_rows(self, n: int) -> int:
+        """Rows of a block of a split of ``n``: boosting takes small ones where each round is a few jobs over all of them."""
+        return BOOST_ROWS if self.rounds and n > FOREST_ROWS else FOREST_ROWS
+
+
+class Binned:
+    """A split's layout and binned rows, made once for all models that grow on it; ``release`` gives the blocks up."""
+
+    def __init__(self, df: DataFrame, label: str, seed: int):
+        ship(df.sparkSession)
+        self.data = df.select(F.col("features").alias("x"), F.col(label).cast("double").alias("y"))
+        self.n = self.data.count()
+        self.layout = layout_of(self.data, self.n, seed)
+        self._blocks: dict[int, RDD] = {}
+
+    def blocks(self, rows: int) -> RDD:
+        parts = max(1, math.ceil(self.n / rows))
+        if parts not in self._blocks:
+            self._blocks[parts] = blocks(self.data, self.layout, self.n, rows)
+        return self._blocks[parts]
+
+    def load(self, models: list[TreeRegressor]) -> None:
+        """Blocks that ``models`` need are made now, so that the rows they come from may be given up."""
+        for rows in {m.block_rows(self.n) for m in models}:
+            if self.layout.columns:
+                self.blocks(rows).count()
+
+    def release(self) -> None:
+        for b in self._blocks.values():
+            b.unpersist()
+        self._blocks.clear()
 
 
 class TreeModel(Model):

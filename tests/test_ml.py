@@ -159,3 +159,14 @@ def test_rows_without_a_key_are_in_a_part(spark, pre_small):
 def test_tree_memory_fits_the_heap(spark):
     slots = spark.sparkContext.defaultParallelism
     assert 64 <= ml.tree_memory_mb(spark) <= max(64, 0.25 * 8192 / slots + 1)
+
+
+def test_a_comparison_bins_each_split_once_for_all_its_tree_models(pre_small, monkeypatch):
+    from postlytics.operators import trees
+
+    made, layout_of = [], trees.layout_of
+    monkeypatch.setattr(trees, "layout_of", lambda *a: made.append(a) or layout_of(*a))
+    monkeypatch.setattr(ml, "make_model", lambda name, *a, **k: trees.TreeRegressor(
+        ml.LABEL, trees=3, depth=3, seed=ml.SEED) if name == "Random Forest" else trees.TreeRegressor(ml.LABEL, rounds=4, depth=3, seed=ml.SEED))
+    zoo = ml.fit_zoo(pre_small, ["Random Forest", "Gradient Boosting"], k=3)
+    assert len(made) == 4 and len(zoo.scores) == 8  # before: once a model and split

@@ -111,3 +111,63 @@ def test_a_forest_of_one_block_takes_no_job_a_level(spark, data, monkeypatch):
     monkeypatch.setattr(trees, "_forest_block", trees._forest)
     for a, b in zip(deep.trees, grown(9)[0].trees):
         assert (a.split == b.split).all() and (a.left == b.left).all() and (a.value == b.value).all() and (a.gain == b.gain).all()
+
+
+def _mixed(rows: int, seed: int = 11):
+    rng = np.random.default_rng(seed)
+    kind = rng.integers(0, 5, rows)
+    x = np.column_stack([rng.normal(size=rows), rng.gamma(2, 10, rows), rng.integers(0, 9, rows), *[(kind == k).astype(float) for k in (1, 2, 3, 4)]])
+    y = x[:, 0] * 3 + np.sqrt(x[:, 1]) + (x[:, 2] > 4) * x[:, 0] + kind + rng.normal(0, .1, rows)
+    return x, y
+
+
+def test_a_large_block_is_summed_packed_into_the_same_trees(spark, monkeypatch):
+    """Several columns in one pass and siblings by difference give the trees of plain sums, weighted or not, with every leaf."""
+    x, y = _mixed(5_000)
+    layout = trees.Layout.of([trees.thresholds(c) for c in x.T], (x > 0.5).T.astype(float) @ (x > 0.5))
+    bins = layout.encode(x)
+    monkeypatch.setattr(trees, "CHUNK", 700)
+    packed = trees.Packed(layout, bins)
+    assert sum(len(columns) for _, columns, _ in packed.groups) == len(layout.columns) > len(packed.groups)
+    w = np.random.default_rng(1).poisson(1.0, len(y))
+    used = np.flatnonzero(w)
+    for rows, weight, depth, least in ((used, w[used].astype(float), 9, 3), (np.arange(len(y)), None, 5, 1), (used, None, 12, 1)):
+        plain = trees._grown(layout, bins[:, rows], np.ones(len(rows)) if weight is None else weight, y[rows], depth, least)
+        got, leaf = packed.grown(rows, weight, trees._on_grid(y[rows], weight), depth, least, track=True)
+        routed = trees.route(got.binned(layout), bins[:, rows])
+        assert (leaf == routed).all() and (packed.leaves(got, rows) == routed).all() and got.depth == plain.depth
+        assert np.allclose(got.value[routed], plain.value[trees.route(plain.binned(layout), bins[:, rows])], atol=1e-9)
+        assert np.allclose(got.gain.sum(), plain.gain.sum(), rtol=1e-9)
+
+
+def test_splits_of_a_comparison_are_boosted_in_one_job_beyond_a_round_s_block(spark, monkeypatch):
+    """Splits of more rows than a block of the jobs by level take no job a level (before: 5 jobs a round) and give their trees."""
+    x, y = _mixed(900)
+    dfs = [spark.createDataFrame([(Vectors.dense(r), float(t)) for r, t in zip(x[:n], y)], ["features", "label"]).repartition(3).cache() for n in (900, 700)]
+    for df in dfs:
+        df.count()
+    monkeypatch.setattr(trees, "BOOST_ROWS", 200)
+    monkeypatch.setattr(trees, "PACKED_ROWS", 100)
+    model = trees.TreeRegressor("label", rounds=30, depth=4, step=0.1, seed=5)  # all rows: splits that part them alike count as one
+    spark.sparkContext.setJobGroup("beyond", "beyond")
+    try:
+        got = model.fit_all(dfs)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("beyond")) < 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(trees, "FOREST_ROWS", 300)
+    for a, b, df in zip(got, model.fit_all(dfs), dfs):
+        p, q = ([r[0] for r in m.transform(df).select("prediction").collect()] for m in (a, b))
+        assert np.allclose(p, q, atol=1e-7) and np.std(p) > 1
+
+
+def test_a_piece_is_drawn_as_a_whole_however_tasks_read_it(spark, data, monkeypatch):
+    frame = data.repartition(7, "label").select(trees.vector_to_array("features").alias("x"), F.col("label").alias("y")).cache()
+    layout = trees.layout_of(frame, 600, 1)
+    monkeypatch.setattr(trees, "PIECE_ROWS", 40)
+    size = {r["p"]: r["count"] for r in frame.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    whole = sorted((p, i, min(40, n - 40 * i)) for p, n in size.items() for i in range(-(-n // 40)))
+    one = trees.blocks(frame, layout, 600, 1_000).first()
+    monkeypatch.setattr(trees, "_few", lambda d: d.coalesce(2))
+    two = trees.blocks(frame, layout, 600, 1_000).first()
+    assert one[0] == two[0] == whole and np.array_equal(one[1], two[1]) and np.array_equal(one[2], two[2])
